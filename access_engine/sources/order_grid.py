@@ -1,0 +1,198 @@
+"""The accessibility layers read off the order tables (see FIXTURES.md).
+
+One raster cell per order on a 125-column grid, population from the order lines, nations as local
+government units, regions as provinces, suppliers as diamond-shaped catchments, and one travel-time
+layer per season and facility type.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from access_engine import config
+from access_engine.operators.grid import Grid
+
+NCOLS = 125
+EXTENT = 500.0
+# --- Fixed values: layer order of the fixture rasters --------------------------------
+SEASONS = ["NM", "NMW", "MSN", "MSNW"]
+FACILITIES = ["allhf", "allhosp", "dhq", "privhosp", "govhosp", "hps", "banks", "fi"]
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def grid(spark: SparkSession, folder: str) -> Grid:
+    """The raster header: one number (grid height) read from the order keys."""
+    top = table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0]
+    nrows = top // NCOLS + 1
+    return Grid(0.0, EXTENT, EXTENT / NCOLS, EXTENT / nrows, NCOLS, nrows)
+
+
+def _row(key: Column) -> Column:
+    return F.floor(key / F.lit(NCOLS)).cast("int")
+
+
+def _col(key: Column) -> Column:
+    return (key % F.lit(NCOLS)).cast("int")
+
+
+def population(spark: SparkSession, folder: str) -> DataFrame:
+    """Population raster ``cell, row_no, col_no, pop``; an order without lines has 0."""
+    lines = (
+        table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+    )
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("cell"),
+        _row(F.col("o_orderkey")).alias("row_no"),
+        _col(F.col("o_orderkey")).alias("col_no"),
+        F.coalesce("q", F.lit(0.0)).alias("pop"),
+    )
+
+
+def base_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """The travel-time raster all layers scale: ``cell, row_no, col_no, base_hours``."""
+    key = F.col("o_orderkey")
+    part = F.col("o_totalprice") / F.lit(500000.0)
+    hours = (
+        F.when(key % 97 == 0, F.lit(None).cast("double"))
+        .when(key % 211 == 0, F.lit(1.01))
+        .when(key % 199 == 0, F.lit(100.0))
+        .otherwise(part * part * part * F.lit(110.0) - F.lit(2.0))
+    )
+    return table(spark, folder, "orders").select(
+        key.alias("cell"),
+        _row(key).alias("row_no"),
+        _col(key).alias("col_no"),
+        hours.alias("base_hours"),
+    )
+
+
+def stack(spark: SparkSession, folder: str) -> DataFrame:
+    """All travel-time layers as one multi-layer raster: ``cell, row_no, col_no, layers``."""
+    layers = F.array(
+        *[
+            F.struct(
+                F.lit(season).alias("season"),
+                F.lit(fac).alias("fac_type"),
+                F.lit(1.0 + 0.25 * s).alias("by_season"),
+                F.lit(1.0 + 0.125 * f).alias("by_fac"),
+            )
+            for s, season in enumerate(SEASONS)
+            for f, fac in enumerate(FACILITIES)
+        ]
+    )
+
+    def layer(at: Column) -> Column:
+        hours = F.col("base_hours") * at["by_season"] * at["by_fac"]
+        return F.struct(at["season"].alias("season"), at["fac_type"].alias("fac_type"), hours.alias("hours"))
+
+    return base_hours(spark, folder).select(
+        "cell", "row_no", "col_no", F.transform(layers, layer).alias("layers")
+    )
+
+
+def _corner(i: Column, j: Column, along: Column, a: int, b: int) -> Column:
+    inner = (i * a + j * b) % 21 - 10
+    return (along * 100 + F.when(along.isin(0, 5), F.lit(0)).otherwise(inner)).cast("double")
+
+
+def lgu_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Unit outlines as directed edges ``id, seq, x1, y1, x2, y2``; neighbours share corners."""
+    # (seq, column offset and row offset of the edge's two corners)
+    steps = [(0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1), (3, 0, 1, 0, 0)]
+    edges = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(("seq", "a", "b", "c", "d"), s)])
+            for s in steps
+        ]
+    )
+    nation = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("id"),
+        (F.col("n_nationkey") % 5).alias("ci"),
+        F.floor(F.col("n_nationkey") / 5).cast("int").alias("cj"),
+        F.explode(edges).alias("e"),
+    )
+    i1, j1 = F.col("ci") + F.col("e.a"), F.col("cj") + F.col("e.b")
+    i2, j2 = F.col("ci") + F.col("e.c"), F.col("cj") + F.col("e.d")
+    return nation.select(
+        "id",
+        F.col("e.seq").alias("seq"),
+        _corner(i1, j1, i1, 37, 17).alias("x1"),
+        _corner(i1, j1, j1, 13, 29).alias("y1"),
+        _corner(i2, j2, i2, 37, 17).alias("x2"),
+        _corner(i2, j2, j2, 13, 29).alias("y2"),
+    )
+
+
+def lgu_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Attributes of the units without population: ``id, hlcit_code, lu_name, state``."""
+    key = F.col("n_nationkey").cast("string")
+    state = (F.col("n_regionkey") + 1).cast("string")
+    return table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("id"),
+        F.concat(
+            F.lit("524 "),
+            state,
+            F.lit(" "),
+            F.lpad(key, 2, "0"),
+            F.lit(" 1 "),
+            F.lpad(key, 3, "0"),
+        ).alias("hlcit_code"),
+        F.col("n_name").alias("lu_name"),
+        state.alias("state"),
+    )
+
+
+def zone_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Zone of each unit by rows of nations; unit 24 has none."""
+    band = F.floor(F.col("id") / 5).cast("int")
+    chain = F.when(band == 0, F.lit(config.ZONE_ORDER[0]))
+    for i, name in enumerate(config.ZONE_ORDER[1:-1], start=1):
+        chain = chain.when(band == i, F.lit(name))
+    return (
+        lgu_codes(spark, folder)
+        .where(F.col("id") != 24)
+        .select(
+            F.col("hlcit_code").alias("adm2_code"),
+            chain.otherwise(F.lit(config.ZONE_ORDER[-1])).alias("geog"),
+        )
+    )
+
+
+def catchment_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Facility catchments as directed edges ``id, fac_type, seq, x1, y1, x2, y2``."""
+    key = F.col("s_suppkey")
+    # (seq, unit offsets of the edge's two corners)
+    steps = [(0, 1, 0, 0, 1), (1, 0, 1, -1, 0), (2, -1, 0, 0, -1), (3, 0, -1, 1, 0)]
+    edges = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(("seq", "a", "b", "c", "d"), s)])
+            for s in steps
+        ]
+    )
+    names = F.array(*[F.lit(f) for f in FACILITIES])
+    circle = table(spark, folder, "supplier").select(
+        key.alias("id"),
+        F.get(names, (key % 8).cast("int")).alias("fac_type"),
+        (key * 73 % 500).alias("cx"),
+        (key * 151 % 500).alias("cy"),
+        (F.lit(8) + key % 17).alias("r"),
+        F.explode(edges).alias("e"),
+    )
+
+    def at(centre: str, offset: str) -> Column:
+        return (F.col(centre) + F.col(offset) * F.col("r")).cast("double")
+
+    return circle.select(
+        "id",
+        "fac_type",
+        F.col("e.seq").alias("seq"),
+        at("cx", "e.a").alias("x1"),
+        at("cy", "e.b").alias("y1"),
+        at("cx", "e.c").alias("x2"),
+        at("cy", "e.d").alias("y2"),
+    )
