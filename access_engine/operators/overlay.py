@@ -34,11 +34,23 @@ def zonal_stats(
 
 
 def unstack(stack: DataFrame, *keep: str) -> DataFrame:
-    """Multi-layer raster -> one row per cell and layer.
+    """Multi-layer raster with an array ``hours`` -> one row per cell and ``layer`` number.
 
     The outer form keeps a cell without any layer (a leftover of an overlay), with NULLs.
     """
-    return stack.select(*keep, F.inline_outer("layers"))
+    return stack.select(*keep, F.posexplode_outer("hours").alias("layer", "hours"))
+
+
+def name_layers(df: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """Replace the layer number by season and facility type, after the rows have become few."""
+    seasons = F.array(*[F.lit(season) for season, _ in names])
+    facilities = F.array(*[F.lit(fac) for _, fac in names])
+    others = [c for c in df.columns if c != "layer"]
+    return df.select(
+        F.get(seasons, F.col("layer")).alias("season"),
+        F.get(facilities, F.col("layer")).alias("fac_type"),
+        *others,
+    )
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Column, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from access_engine.functions import bands as B
 from access_engine.operators.grid import Grid
-from access_engine.operators.overlay import CELL, lookup, unstack, zonal_stats
+from access_engine.operators.overlay import CELL, lookup, name_layers, unstack, zonal_stats
 from access_engine.operators.spans import locate, rasterise
 
 DATASET = ["season", "fac_type"]
@@ -32,20 +32,19 @@ def banded_cells(located: DataFrame, stack: DataFrame) -> DataFrame:
     The join runs on one row per cell; the layers are unfolded after it, inside the same stage
     that pre-aggregates, so the shuffle carries each cell once however many layers there are.
     """
-    joined = located.join(stack.select(*CELL, "layers"), CELL)
+    joined = located.join(stack.select(*CELL, "hours"), CELL)
     layers = unstack(joined, *located.columns)
     return B.classify_bands(layers).drop("hours")
 
 
-def band_population(
-    cells: DataFrame, unit: str, dataset: Sequence[str] = tuple(DATASET)
-) -> DataFrame:
+def band_population(cells: DataFrame, unit: str, names: Sequence[tuple[str, str]]) -> DataFrame:
     """``cat_pop`` per dataset, unit and band; band 0 (outside the bands) makes no zone."""
-    return (
+    sums = (
         cells.where(F.col("band") > 0)
-        .groupBy(*dataset, unit, F.col("band").alias("trav_value"))
+        .groupBy("layer", unit, F.col("band").alias("trav_value"))
         .agg(F.sum("pop").alias("cat_pop"))
     )
+    return name_layers(sums, names)
 
 
 def lgu_share(

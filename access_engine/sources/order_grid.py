@@ -24,6 +24,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of few splits one partition per core before its rows are multiplied.
+
+    A scan of many splits stays as it is; only a plain scan may be passed, so that counting its
+    partitions runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def grid(spark: SparkSession, folder: str) -> Grid:
     """The raster header: one number (grid height) read from the order keys."""
     top = table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0]
@@ -44,7 +54,7 @@ def population(spark: SparkSession, folder: str) -> DataFrame:
     lines = (
         table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
     )
-    orders = table(spark, folder, "orders").select("o_orderkey")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey"))
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("cell"),
         _row(F.col("o_orderkey")).alias("row_no"),
@@ -63,7 +73,7 @@ def base_hours(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 199 == 0, F.lit(100.0))
         .otherwise(part * part * part * F.lit(110.0) - F.lit(2.0))
     )
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders").select("o_orderkey", "o_totalprice")).select(
         key.alias("cell"),
         _row(key).alias("row_no"),
         _col(key).alias("col_no"),
@@ -71,27 +81,28 @@ def base_hours(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LAYERS = [(season, fac) for season in SEASONS for fac in FACILITIES]
+
+
 def stack(spark: SparkSession, folder: str) -> DataFrame:
-    """All travel-time layers as one multi-layer raster: ``cell, row_no, col_no, layers``."""
-    layers = F.array(
+    """All travel-time layers as one multi-layer raster ``cell, row_no, col_no, hours array``.
+
+    ``LAYERS`` names the array positions, as the header of a multi-layer raster file would.
+    """
+    factors = F.array(
         *[
-            F.struct(
-                F.lit(season).alias("season"),
-                F.lit(fac).alias("fac_type"),
-                F.lit(1.0 + 0.25 * s).alias("by_season"),
-                F.lit(1.0 + 0.125 * f).alias("by_fac"),
-            )
-            for s, season in enumerate(SEASONS)
-            for f, fac in enumerate(FACILITIES)
+            F.struct(F.lit(1.0 + 0.25 * s).alias("season"), F.lit(1.0 + 0.125 * f).alias("fac"))
+            for s in range(len(SEASONS))
+            for f in range(len(FACILITIES))
         ]
     )
-
-    def layer(at: Column) -> Column:
-        hours = F.col("base_hours") * at["by_season"] * at["by_fac"]
-        return F.struct(at["season"].alias("season"), at["fac_type"].alias("fac_type"), hours.alias("hours"))
-
     return base_hours(spark, folder).select(
-        "cell", "row_no", "col_no", F.transform(layers, layer).alias("layers")
+        "cell",
+        "row_no",
+        "col_no",
+        F.transform(factors, lambda by: F.col("base_hours") * by["season"] * by["fac"]).alias(
+            "hours"
+        ),
     )
 
 

@@ -39,21 +39,22 @@ def share_table(spark: SparkSession, folder: str) -> DataFrame:
     """LGU result of all 32 rasters with its season and facility codes."""
     cells = located(spark, folder)
     units = adm2(spark, folder, cells)
-    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id")
+    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id", G.LAYERS)
     keyed = per_unit.join(units.select("id", "hlcit_code"), "id").drop("id")
     return C.lgu_share(keyed, units)
 
 
 def band_classify(spark: SparkSession, folder: str) -> DataFrame:
     cells = B.classify_bands(O.unstack(G.stack(spark, folder), "cell"))
-    return cells.select(
+    return O.name_layers(cells, G.LAYERS).select(
         "season", "fac_type", "cell", "hours", "band", B.band_label(F.col("band")).alias("trav_cat")
     )
 
 
 def band_cell_histogram(spark: SparkSession, folder: str) -> DataFrame:
     cells = B.classify_bands(O.unstack(G.stack(spark, folder), "cell"))
-    return cells.groupBy("season", "fac_type", "band").agg(F.count("hours").alias("cells"))
+    counts = cells.groupBy("layer", "band").agg(F.count("hours").alias("cells"))
+    return O.name_layers(counts, G.LAYERS)
 
 
 def cells_in_lgu(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,34 +74,33 @@ def grid_align_pop(spark: SparkSession, folder: str) -> DataFrame:
 def overlay_union_or(spark: SparkSession, folder: str) -> DataFrame:
     """Full overlay of units and zones: unit cells without a zone and the reverse are kept."""
     units = located(spark, folder).select("row_no", "col_no", "id", "pop")
-    layers = G.stack(spark, folder).select("row_no", "col_no", "layers")
+    layers = G.stack(spark, folder).select("row_no", "col_no", "hours")
     cells = O.unstack(O.overlay(units, layers, "or"), "id", "pop")
     band = B.band_of(F.col("hours")).alias("band")
-    return (
-        cells.groupBy("season", "fac_type", "id", band)
+    zones = (
+        cells.groupBy("layer", "id", band)
         .agg(F.count(F.lit(1)).alias("cells"), F.sum("pop").alias("pop_sum"))
         .withColumn("dissolve", B.dissolve_key(F.col("id").cast("string"), F.col("band")))
     )
+    return O.name_layers(zones, G.LAYERS)
 
 
 def overlay_key_dissolve(spark: SparkSession, folder: str) -> DataFrame:
     """Overlay, drop rows lacking either key part, dissolve by key, read the key back."""
-    units = located(spark, folder).join(
-        G.lgu_codes(spark, folder).select("id", "hlcit_code"), "id"
-    )
     cells = O.overlay(
-        units.select("row_no", "col_no", "hlcit_code"),
-        G.stack(spark, folder).select("row_no", "col_no", "layers"),
+        located(spark, folder).select("row_no", "col_no", "id"),
+        G.stack(spark, folder).select("row_no", "col_no", "hours"),
         "or",
     )
-    banded = O.unstack(cells, "hlcit_code").withColumn("band", B.band_of(F.col("hours")))
+    banded = O.unstack(cells, "id").withColumn("band", B.band_of(F.col("hours")))
     zones = (
-        banded.where(F.col("hlcit_code").isNotNull() & F.col("band").isNotNull())
-        .groupBy("season", "fac_type", "hlcit_code", "band")
+        banded.where(F.col("id").isNotNull() & F.col("band").isNotNull())
+        .groupBy("layer", "id", "band")
         .agg(F.count(F.lit(1)).alias("cells"))
+        .join(G.lgu_codes(spark, folder).select("id", "hlcit_code"), "id")
     )
     key = F.col("dissolve")
-    return zones.select(
+    return O.name_layers(zones, G.LAYERS).select(
         "season",
         "fac_type",
         B.dissolve_key(F.col("hlcit_code"), F.col("band")).alias("dissolve"),
@@ -124,7 +124,7 @@ def lgu_band_share(spark: SparkSession, folder: str) -> DataFrame:
 def province_band_share(spark: SparkSession, folder: str) -> DataFrame:
     cells = located(spark, folder)
     units = adm2(spark, folder, cells)
-    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id")
+    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id", G.LAYERS)
     per_state = (
         per_unit.join(G.lgu_codes(spark, folder).select("id", "state"), "id")
         .groupBy("season", "fac_type", "state", "trav_value")
@@ -145,7 +145,7 @@ def lgu_left_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Zones looked up in a unit table that lacks province 2: its rows stay, with NULLs."""
     cells = located(spark, folder)
     units = adm2(spark, folder, cells).where(F.col("state") != "2")
-    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id")
+    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id", G.LAYERS)
     keyed = per_unit.join(G.lgu_codes(spark, folder).select("id", "hlcit_code"), "id").drop("id")
     return C.lgu_share(keyed, units)
 
