@@ -1,7 +1,7 @@
 """Registered queries on the driver tables and the SQL each is compared with."""
 
-from checks import catchment, classification, geometry, statistics
+from checks import catchment, charts, classification, geometry, statistics
 
-_PARTS = (classification, catchment, geometry, statistics)
+_PARTS = (classification, catchment, geometry, statistics, charts)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
