@@ -7,7 +7,9 @@ layer per season and facility type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from access_engine import config
@@ -20,8 +22,20 @@ SEASONS = ["NM", "NMW", "MSN", "MSNW"]
 FACILITIES = ["allhf", "allhosp", "dhq", "privhosp", "govhosp", "hps", "banks", "fi"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+LAYERS = [(season, fac) for season in SEASONS for fac in FACILITIES]
+
+# Declared, so that opening a table runs no job to look for its schema.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_totalprice double",
+    "lineitem": "l_orderkey bigint, l_quantity double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint",
+}
+CELL = [
+    "o_orderkey as cell",
+    f"cast(floor(o_orderkey / {NCOLS}) as int) as row_no",
+    f"cast(o_orderkey % {NCOLS} as int) as col_no",
+]
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -34,176 +48,126 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def grid(spark: SparkSession, folder: str) -> Grid:
-    """The raster header: one number (grid height) read from the order keys."""
-    top = table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0]
-    nrows = top // NCOLS + 1
-    return Grid(0.0, EXTENT, EXTENT / NCOLS, EXTENT / nrows, NCOLS, nrows)
-
+class OrderGrid:
+    """The layers of one folder of tables; every layer is a plan built at most once."""
 
-def _row(key: Column) -> Column:
-    return F.floor(key / F.lit(NCOLS)).cast("int")
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark = spark
+        self.folder = folder
 
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
-def _col(key: Column) -> Column:
-    return (key % F.lit(NCOLS)).cast("int")
-
-
-def population(spark: SparkSession, folder: str) -> DataFrame:
-    """Population raster ``cell, row_no, col_no, pop``; an order without lines has 0."""
-    lines = (
-        table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
-    )
-    orders = spread(table(spark, folder, "orders").select("o_orderkey"))
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.col("o_orderkey").alias("cell"),
-        _row(F.col("o_orderkey")).alias("row_no"),
-        _col(F.col("o_orderkey")).alias("col_no"),
-        F.coalesce("q", F.lit(0.0)).alias("pop"),
-    )
+    @cached_property
+    def grid(self) -> Grid:
+        """The raster header: one number (grid height) read from the order keys."""
+        nrows = self.table("orders").agg(F.max("o_orderkey")).first()[0] // NCOLS + 1
+        return Grid(0.0, EXTENT, EXTENT / NCOLS, EXTENT / nrows, NCOLS, nrows)
 
+    @cached_property
+    def population(self) -> DataFrame:
+        """Population raster ``cell, row_no, col_no, pop``; an order without lines has 0."""
+        lines = self.table("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+        orders = spread(self.table("orders").select("o_orderkey"))
+        return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr(
+            *CELL, "coalesce(q, 0D) as pop"
+        )
 
-def base_hours(spark: SparkSession, folder: str) -> DataFrame:
-    """The travel-time raster all layers scale: ``cell, row_no, col_no, base_hours``."""
-    key = F.col("o_orderkey")
-    part = F.col("o_totalprice") / F.lit(500000.0)
-    hours = (
-        F.when(key % 97 == 0, F.lit(None).cast("double"))
-        .when(key % 211 == 0, F.lit(1.01))
-        .when(key % 199 == 0, F.lit(100.0))
-        .otherwise(part * part * part * F.lit(110.0) - F.lit(2.0))
-    )
-    return spread(table(spark, folder, "orders").select("o_orderkey", "o_totalprice")).select(
-        key.alias("cell"),
-        _row(key).alias("row_no"),
-        _col(key).alias("col_no"),
-        hours.alias("base_hours"),
-    )
+    @cached_property
+    def base_hours(self) -> DataFrame:
+        """The travel-time raster all layers scale: ``cell, row_no, col_no, base_hours``."""
+        return spread(self.table("orders")).selectExpr(
+            *CELL,
+            """case when o_orderkey % 97 = 0 then cast(null as double)
+                    when o_orderkey % 211 = 0 then 1.01D
+                    when o_orderkey % 199 = 0 then 100D
+                    else (o_totalprice / 500000D) * (o_totalprice / 500000D)
+                         * (o_totalprice / 500000D) * 110D - 2D end as base_hours""",
+        )
 
+    @cached_property
+    def stack(self) -> DataFrame:
+        """All travel-time layers as one multi-layer raster ``cell, row_no, col_no, hours array``.
+
+        ``LAYERS`` names the array positions, as the header of a multi-layer raster file would.
+        """
+        n = len(FACILITIES)
+        return self.base_hours.selectExpr(
+            "cell",
+            "row_no",
+            "col_no",
+            f"""transform(sequence(0, {len(LAYERS) - 1}), k ->
+                    base_hours * (1D + 0.25D * (k div {n})) * (1D + 0.125D * (k % {n}))) as hours""",
+        )
 
-LAYERS = [(season, fac) for season in SEASONS for fac in FACILITIES]
+    @cached_property
+    def lgu_edges(self) -> DataFrame:
+        """Unit outlines as directed edges ``id, seq, x1, y1, x2, y2``; neighbours share corners."""
+        # seq, then column and row offset of the two corners of the edge
+        steps = "(0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1), (3, 0, 1, 0, 0)"
+
+        def corner(i: str, j: str) -> list[str]:
+            return [
+                f"cast({along} * 100 + if({along} in (0, 5), 0, ({i} * {a} + {j} * {b}) % 21 - 10) as double)"
+                for along, a, b in ((i, 37, 17), (j, 13, 29))
+            ]
+
+        (x1, y1), (x2, y2) = corner("i1", "j1"), corner("i2", "j2")
+        return (
+            self.table("nation")
+            .selectExpr(
+                "n_nationkey as id",
+                "n_nationkey % 5 as i",
+                "n_nationkey div 5 as j",
+                f"inline(array({steps})) as (seq, a, b, c, d)",
+            )
+            .selectExpr("id", "seq", "i + a as i1", "j + b as j1", "i + c as i2", "j + d as j2")
+            .selectExpr("id", "seq", f"{x1} as x1", f"{y1} as y1", f"{x2} as x2", f"{y2} as y2")
+        )
 
+    @cached_property
+    def lgu_codes(self) -> DataFrame:
+        """Attributes of the units without population: ``id, hlcit_code, lu_name, state``."""
+        return self.table("nation").selectExpr(
+            "n_nationkey as id",
+            """concat('524 ', string(n_regionkey + 1), ' ', lpad(string(n_nationkey), 2, '0'),
+                      ' 1 ', lpad(string(n_nationkey), 3, '0')) as hlcit_code""",
+            "n_name as lu_name",
+            "string(n_regionkey + 1) as state",
+        )
 
-def stack(spark: SparkSession, folder: str) -> DataFrame:
-    """All travel-time layers as one multi-layer raster ``cell, row_no, col_no, hours array``.
+    @cached_property
+    def zone_lookup(self) -> DataFrame:
+        """Zone of each unit by rows of nations; unit 24 has none."""
+        zones = F.array(*[F.lit(z) for z in config.ZONE_ORDER])
+        place = F.least(F.floor(F.col("id") / 5), F.lit(len(config.ZONE_ORDER) - 1)).cast("int")
+        return self.lgu_codes.where("id <> 24").select(
+            F.col("hlcit_code").alias("adm2_code"), F.get(zones, place).alias("geog")
+        )
 
-    ``LAYERS`` names the array positions, as the header of a multi-layer raster file would.
-    """
-    factors = F.array(
-        *[
-            F.struct(F.lit(1.0 + 0.25 * s).alias("season"), F.lit(1.0 + 0.125 * f).alias("fac"))
-            for s in range(len(SEASONS))
-            for f in range(len(FACILITIES))
-        ]
-    )
-    return base_hours(spark, folder).select(
-        "cell",
-        "row_no",
-        "col_no",
-        F.transform(factors, lambda by: F.col("base_hours") * by["season"] * by["fac"]).alias(
-            "hours"
-        ),
-    )
-
-
-def _corner(i: Column, j: Column, along: Column, a: int, b: int) -> Column:
-    inner = (i * a + j * b) % 21 - 10
-    return (along * 100 + F.when(along.isin(0, 5), F.lit(0)).otherwise(inner)).cast("double")
-
-
-def lgu_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Unit outlines as directed edges ``id, seq, x1, y1, x2, y2``; neighbours share corners."""
-    # (seq, column offset and row offset of the edge's two corners)
-    steps = [(0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1), (3, 0, 1, 0, 0)]
-    edges = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(("seq", "a", "b", "c", "d"), s)])
-            for s in steps
-        ]
-    )
-    nation = table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("id"),
-        (F.col("n_nationkey") % 5).alias("ci"),
-        F.floor(F.col("n_nationkey") / 5).cast("int").alias("cj"),
-        F.explode(edges).alias("e"),
-    )
-    i1, j1 = F.col("ci") + F.col("e.a"), F.col("cj") + F.col("e.b")
-    i2, j2 = F.col("ci") + F.col("e.c"), F.col("cj") + F.col("e.d")
-    return nation.select(
-        "id",
-        F.col("e.seq").alias("seq"),
-        _corner(i1, j1, i1, 37, 17).alias("x1"),
-        _corner(i1, j1, j1, 13, 29).alias("y1"),
-        _corner(i2, j2, i2, 37, 17).alias("x2"),
-        _corner(i2, j2, j2, 13, 29).alias("y2"),
-    )
-
-
-def lgu_codes(spark: SparkSession, folder: str) -> DataFrame:
-    """Attributes of the units without population: ``id, hlcit_code, lu_name, state``."""
-    key = F.col("n_nationkey").cast("string")
-    state = (F.col("n_regionkey") + 1).cast("string")
-    return table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("id"),
-        F.concat(
-            F.lit("524 "),
-            state,
-            F.lit(" "),
-            F.lpad(key, 2, "0"),
-            F.lit(" 1 "),
-            F.lpad(key, 3, "0"),
-        ).alias("hlcit_code"),
-        F.col("n_name").alias("lu_name"),
-        state.alias("state"),
-    )
-
-
-def zone_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Zone of each unit by rows of nations; unit 24 has none."""
-    band = F.floor(F.col("id") / 5).cast("int")
-    chain = F.when(band == 0, F.lit(config.ZONE_ORDER[0]))
-    for i, name in enumerate(config.ZONE_ORDER[1:-1], start=1):
-        chain = chain.when(band == i, F.lit(name))
-    return (
-        lgu_codes(spark, folder)
-        .where(F.col("id") != 24)
-        .select(
-            F.col("hlcit_code").alias("adm2_code"),
-            chain.otherwise(F.lit(config.ZONE_ORDER[-1])).alias("geog"),
+    @cached_property
+    def catchment_edges(self) -> DataFrame:
+        """Facility catchments as directed edges ``id, fac_type, seq, x1, y1, x2, y2``."""
+        # seq, then unit offsets of the two corners of the edge
+        steps = "(0, 1, 0, 0, 1), (1, 0, 1, -1, 0), (2, -1, 0, 0, -1), (3, 0, -1, 1, 0)"
+        names = ", ".join(f"'{f}'" for f in FACILITIES)
+        return (
+            self.table("supplier")
+            .selectExpr(
+                "s_suppkey as id",
+                f"get(array({names}), int(s_suppkey % 8)) as fac_type",
+                "s_suppkey * 73 % 500 as cx",
+                "s_suppkey * 151 % 500 as cy",
+                "8 + s_suppkey % 17 as r",
+                f"inline(array({steps})) as (seq, a, b, c, d)",
+            )
+            .selectExpr(
+                "id",
+                "fac_type",
+                "seq",
+                "double(cx + a * r) as x1",
+                "double(cy + b * r) as y1",
+                "double(cx + c * r) as x2",
+                "double(cy + d * r) as y2",
+            )
         )
-    )
-
-
-def catchment_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Facility catchments as directed edges ``id, fac_type, seq, x1, y1, x2, y2``."""
-    key = F.col("s_suppkey")
-    # (seq, unit offsets of the edge's two corners)
-    steps = [(0, 1, 0, 0, 1), (1, 0, 1, -1, 0), (2, -1, 0, 0, -1), (3, 0, -1, 1, 0)]
-    edges = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(("seq", "a", "b", "c", "d"), s)])
-            for s in steps
-        ]
-    )
-    names = F.array(*[F.lit(f) for f in FACILITIES])
-    circle = table(spark, folder, "supplier").select(
-        key.alias("id"),
-        F.get(names, (key % 8).cast("int")).alias("fac_type"),
-        (key * 73 % 500).alias("cx"),
-        (key * 151 % 500).alias("cy"),
-        (F.lit(8) + key % 17).alias("r"),
-        F.explode(edges).alias("e"),
-    )
-
-    def at(centre: str, offset: str) -> Column:
-        return (F.col(centre) + F.col(offset) * F.col("r")).cast("double")
-
-    return circle.select(
-        "id",
-        "fac_type",
-        F.col("e.seq").alias("seq"),
-        at("cx", "e.a").alias("x1"),
-        at("cy", "e.b").alias("y1"),
-        at("cx", "e.c").alias("x2"),
-        at("cy", "e.d").alias("y2"),
-    )

@@ -2,60 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from access_engine.operators.overlay import dissolve
 from access_engine.operators.spans import burn
 from access_engine.plans import catchment as K
-from access_engine.sources import order_grid as G
+from access_engine.sources.order_grid import FACILITIES, OrderGrid
 from checks.classification import adm2, located
 from checks.fixture_sql import with_views
 
 
-def covered(spark: SparkSession, folder: str, dataset=()) -> DataFrame:
-    return K.coverage(G.catchment_edges(spark, folder), G.grid(spark, folder), dataset)
+def covered(g: OrderGrid, dataset=()) -> DataFrame:
+    return K.coverage(g.catchment_edges, g.grid, dataset)
 
 
-def uncovered_layer(spark: SparkSession, folder: str) -> DataFrame:
-    cells = located(spark, folder)
-    gaps = K.uncovered_cells(cells, covered(spark, folder))
-    return K.uncovered_population(gaps, adm2(spark, folder, cells))
+def uncovered_layer(g: OrderGrid) -> DataFrame:
+    cells = located(g)
+    gaps = K.uncovered_cells(cells, covered(g))
+    return K.uncovered_population(gaps, adm2(g, cells))
 
 
-def catch_union_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return dissolve(burn(covered(spark, folder))).withColumn("cat", F.lit(1))
+def catch_union_cells(g: OrderGrid) -> DataFrame:
+    return dissolve(burn(covered(g))).withColumn("cat", F.lit(1))
 
 
-def catch_uncovered(spark: SparkSession, folder: str) -> DataFrame:
-    return uncovered_layer(spark, folder)
+def catch_uncovered(g: OrderGrid) -> DataFrame:
+    return uncovered_layer(g)
 
 
-def catch_uncovered_by_facility(spark: SparkSession, folder: str) -> DataFrame:
+def catch_uncovered_by_facility(g: OrderGrid) -> DataFrame:
     """Every facility type is one catchment file; all files in one job."""
-    cells = located(spark, folder)
-    files = spark.createDataFrame([(f,) for f in G.FACILITIES], "fac_type string")
+    cells = located(g)
+    files = g.spark.createDataFrame([(f,) for f in FACILITIES], "fac_type string")
     gaps = K.uncovered_cells_by_dataset(
-        cells, covered(spark, folder, ["fac_type"]), G.grid(spark, folder), files
+        cells, covered(g, ["fac_type"]), g.grid, files
     )
-    return K.uncovered_population(gaps, adm2(spark, folder, cells), ["fac_type"])
+    return K.uncovered_population(gaps, adm2(g, cells), ["fac_type"])
 
 
-def catch_covered_split(spark: SparkSession, folder: str) -> DataFrame:
-    cells = located(spark, folder)
-    totals = K.zonal_stats(cells, ["id"], stats=["sum"]).join(G.lgu_codes(spark, folder), "id")
+def catch_covered_split(g: OrderGrid) -> DataFrame:
+    cells = located(g)
+    totals = K.zonal_stats(cells, ["id"], stats=["sum"]).join(g.lgu_codes, "id")
     gaps = K.uncovered_population(
-        K.uncovered_cells(cells, covered(spark, folder)), adm2(spark, folder, cells)
+        K.uncovered_cells(cells, covered(g)), adm2(g, cells)
     )
     return K.covered_split(gaps, totals.select("hlcit_code", "pop_sum"))
 
 
-def catch_by_facility(spark: SparkSession, folder: str) -> DataFrame:
+def catch_by_facility(g: OrderGrid) -> DataFrame:
     return K.covered_by_dataset(
-        located(spark, folder),
-        covered(spark, folder, ["fac_type"]),
-        G.lgu_codes(spark, folder),
-        G.FACILITIES,
+        located(g),
+        covered(g, ["fac_type"]),
+        g.lgu_codes,
+        FACILITIES,
         "fac_type",
     )
 

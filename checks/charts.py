@@ -2,70 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from access_engine import config
 from access_engine.operators import density as D
 from access_engine.operators import summary as S
 from access_engine.plans import charts as C
+from access_engine.sources.order_grid import OrderGrid
 from checks import classification
 from checks.fixture_sql import COLOUR_CASE, DIGITS, PERCENT, with_views
 from checks.statistics import compare_sql, complete, final, rounded, summary_sql
 
 
-def chart_lgu_bands(spark: SparkSession, folder: str) -> DataFrame:
-    return C.lgu_bands(classification.share_table(spark, folder))
+def chart_lgu_bands(g: OrderGrid) -> DataFrame:
+    return C.lgu_bands(classification.share_table(g))
 
 
-def chart_province_bands(spark: SparkSession, folder: str) -> DataFrame:
-    return C.province_bands(classification.province_band_share(spark, folder))
+def chart_province_bands(g: OrderGrid) -> DataFrame:
+    return C.province_bands(classification.province_band_share(g))
 
 
 def _bars(level: str):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return C.level_bars(S.summarise(complete(spark, folder), level), level)
+    def query(g: OrderGrid) -> DataFrame:
+        return C.level_bars(S.summarise(complete(g), level), level)
 
     return query
 
 
 def _comparison(level: str):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return C.level_comparison(S.summarise(complete(spark, folder), level), level)
+    def query(g: OrderGrid) -> DataFrame:
+        return C.level_comparison(S.summarise(complete(g), level), level)
 
     return query
 
 
-def _by_season(spark: SparkSession, folder: str) -> DataFrame:
-    return final(spark, folder).where(F.col("season").isin(config.NON_WALKING))
+def _by_season(g: OrderGrid) -> DataFrame:
+    return final(g).where(F.col("season").isin(config.NON_WALKING))
 
 
-def _by_zone(spark: SparkSession, folder: str) -> DataFrame:
+def _by_zone(g: OrderGrid) -> DataFrame:
     normal = F.col("season") == config.NORMAL
-    return final(spark, folder).where(normal & F.col("geog").isNotNull())
+    return final(g).where(normal & F.col("geog").isNotNull())
 
 
-def ridge_density_season(spark: SparkSession, folder: str) -> DataFrame:
-    curves = D.density(_by_season(spark, folder), ["fac_type", "season"], "trav_cat", "pc_pop")
+def ridge_density_season(g: OrderGrid) -> DataFrame:
+    curves = D.density(_by_season(g), ["fac_type", "season"], "trav_cat", "pc_pop")
     return rounded(curves, "x", "density")
 
 
-def ridge_density_zone(spark: SparkSession, folder: str) -> DataFrame:
-    curves = D.density(_by_zone(spark, folder), ["fac_type", "geog"], "trav_cat", "pc_pop")
+def ridge_density_zone(g: OrderGrid) -> DataFrame:
+    curves = D.density(_by_zone(g), ["fac_type", "geog"], "trav_cat", "pc_pop")
     return rounded(curves, "x", "density")
 
 
-def ridge_quartiles(spark: SparkSession, folder: str) -> DataFrame:
-    lines = D.quantile_lines(_by_season(spark, folder), ["fac_type", "season"], "trav_cat", "pc_pop")
+def ridge_quartiles(g: OrderGrid) -> DataFrame:
+    lines = D.quantile_lines(_by_season(g), ["fac_type", "season"], "trav_cat", "pc_pop")
     return rounded(lines, "q25", "q50", "q75")
 
 
-def chart_ridge_season(spark: SparkSession, folder: str) -> DataFrame:
-    return C.ridge_headings(_by_season(spark, folder), "LGU comparison")
+def chart_ridge_season(g: OrderGrid) -> DataFrame:
+    return C.ridge_headings(_by_season(g), "LGU comparison")
 
 
-def chart_ridge_zone(spark: SparkSession, folder: str) -> DataFrame:
-    return C.ridge_headings(_by_zone(spark, folder), "Physiogeographic LGU comparison")
+def chart_ridge_zone(g: OrderGrid) -> DataFrame:
+    return C.ridge_headings(_by_zone(g), "Physiogeographic LGU comparison")
 
 
 QUERIES = {

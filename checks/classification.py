@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import Grid, align
 from access_engine.plans import classification as C
-from access_engine.sources import order_grid as G
+from access_engine.sources.order_grid import LAYERS, OrderGrid
 from checks.fixture_sql import BAND_CASE, with_views
 
 
-def located(spark: SparkSession, folder: str) -> DataFrame:
+def located(g: OrderGrid) -> DataFrame:
     """Population cells with their unit id."""
     return C.unit_cells(
-        G.population(spark, folder), G.lgu_edges(spark, folder), G.grid(spark, folder)
+        g.population, g.lgu_edges, g.grid
     )
 
 
-def adm2(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+def adm2(g: OrderGrid, cells: DataFrame) -> DataFrame:
     """Unit dimension; unit 23 is given population 0."""
-    return C.unit_dimension(cells, G.lgu_codes(spark, folder)).select(
+    return C.unit_dimension(cells, g.lgu_codes).select(
         "id",
         "hlcit_code",
         "lu_name",
@@ -35,46 +35,46 @@ def adm1(units: DataFrame) -> DataFrame:
     return units.groupBy("state").agg(F.sum("pop_sum").alias("pop_sum"))
 
 
-def share_table(spark: SparkSession, folder: str) -> DataFrame:
+def share_table(g: OrderGrid) -> DataFrame:
     """LGU result of all 32 rasters with its season and facility codes."""
-    cells = located(spark, folder)
-    units = adm2(spark, folder, cells)
-    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id", G.LAYERS)
+    cells = located(g)
+    units = adm2(g, cells)
+    per_unit = C.band_population(C.banded_cells(cells, g.stack), "id", LAYERS)
     keyed = per_unit.join(units.select("id", "hlcit_code"), "id").drop("id")
     return C.lgu_share(keyed, units)
 
 
-def band_classify(spark: SparkSession, folder: str) -> DataFrame:
-    cells = B.classify_bands(O.unstack(G.stack(spark, folder), "cell"))
-    return O.name_layers(cells, G.LAYERS).select(
+def band_classify(g: OrderGrid) -> DataFrame:
+    cells = B.classify_bands(O.unstack(g.stack, "cell"))
+    return O.name_layers(cells, LAYERS).select(
         "season", "fac_type", "cell", "hours", "band", B.band_label(F.col("band")).alias("trav_cat")
     )
 
 
-def band_cell_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    cells = B.classify_bands(O.unstack(G.stack(spark, folder), "cell"))
+def band_cell_histogram(g: OrderGrid) -> DataFrame:
+    cells = B.classify_bands(O.unstack(g.stack, "cell"))
     counts = cells.groupBy("layer", "band").agg(F.count("hours").alias("cells"))
-    return O.name_layers(counts, G.LAYERS)
+    return O.name_layers(counts, LAYERS)
 
 
-def cells_in_lgu(spark: SparkSession, folder: str) -> DataFrame:
-    return located(spark, folder).select("cell", "id")
+def cells_in_lgu(g: OrderGrid) -> DataFrame:
+    return located(g).select("cell", "id")
 
 
-def grid_align_pop(spark: SparkSession, folder: str) -> DataFrame:
+def grid_align_pop(g: OrderGrid) -> DataFrame:
     """Population points summed on a travel-time grid of another resolution and extent."""
-    fine = G.grid(spark, folder)
+    fine = g.grid
     coarse = Grid(10.0, 490.0, 16.0, 15.0, 29, 31)
-    points = G.population(spark, folder).select(
+    points = g.population.select(
         "pop", fine.x_centre(F.col("col_no")).alias("x"), fine.y_centre(F.col("row_no")).alias("y")
     )
     return O.zonal_stats(align(points, coarse), ["row_no", "col_no"])
 
 
-def overlay_union_or(spark: SparkSession, folder: str) -> DataFrame:
+def overlay_union_or(g: OrderGrid) -> DataFrame:
     """Full overlay of units and zones: unit cells without a zone and the reverse are kept."""
-    units = located(spark, folder).select("row_no", "col_no", "id", "pop")
-    layers = G.stack(spark, folder).select("row_no", "col_no", "hours")
+    units = located(g).select("row_no", "col_no", "id", "pop")
+    layers = g.stack.select("row_no", "col_no", "hours")
     cells = O.unstack(O.overlay(units, layers, "or"), "id", "pop")
     band = B.band_of(F.col("hours")).alias("band")
     zones = (
@@ -82,14 +82,14 @@ def overlay_union_or(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("cells"), F.sum("pop").alias("pop_sum"))
         .withColumn("dissolve", B.dissolve_key(F.col("id").cast("string"), F.col("band")))
     )
-    return O.name_layers(zones, G.LAYERS)
+    return O.name_layers(zones, LAYERS)
 
 
-def overlay_key_dissolve(spark: SparkSession, folder: str) -> DataFrame:
+def overlay_key_dissolve(g: OrderGrid) -> DataFrame:
     """Overlay, drop rows lacking either key part, dissolve by key, read the key back."""
     cells = O.overlay(
-        located(spark, folder).select("row_no", "col_no", "id"),
-        G.stack(spark, folder).select("row_no", "col_no", "hours"),
+        located(g).select("row_no", "col_no", "id"),
+        g.stack.select("row_no", "col_no", "hours"),
         "or",
     )
     banded = O.unstack(cells, "id").withColumn("band", B.band_of(F.col("hours")))
@@ -97,10 +97,10 @@ def overlay_key_dissolve(spark: SparkSession, folder: str) -> DataFrame:
         banded.where(F.col("id").isNotNull() & F.col("band").isNotNull())
         .groupBy("layer", "id", "band")
         .agg(F.count(F.lit(1)).alias("cells"))
-        .join(G.lgu_codes(spark, folder).select("id", "hlcit_code"), "id")
+        .join(g.lgu_codes.select("id", "hlcit_code"), "id")
     )
     key = F.col("dissolve")
-    return O.name_layers(zones, G.LAYERS).select(
+    return O.name_layers(zones, LAYERS).select(
         "season",
         "fac_type",
         B.dissolve_key(F.col("hlcit_code"), F.col("band")).alias("dissolve"),
@@ -113,40 +113,40 @@ def overlay_key_dissolve(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def zonal_sum_count(spark: SparkSession, folder: str) -> DataFrame:
-    return O.zonal_stats(located(spark, folder), ["id"])
+def zonal_sum_count(g: OrderGrid) -> DataFrame:
+    return O.zonal_stats(located(g), ["id"])
 
 
-def lgu_band_share(spark: SparkSession, folder: str) -> DataFrame:
-    return share_table(spark, folder)
+def lgu_band_share(g: OrderGrid) -> DataFrame:
+    return share_table(g)
 
 
-def province_band_share(spark: SparkSession, folder: str) -> DataFrame:
-    cells = located(spark, folder)
-    units = adm2(spark, folder, cells)
-    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id", G.LAYERS)
+def province_band_share(g: OrderGrid) -> DataFrame:
+    cells = located(g)
+    units = adm2(g, cells)
+    per_unit = C.band_population(C.banded_cells(cells, g.stack), "id", LAYERS)
     per_state = (
-        per_unit.join(G.lgu_codes(spark, folder).select("id", "state"), "id")
+        per_unit.join(g.lgu_codes.select("id", "state"), "id")
         .groupBy("season", "fac_type", "state", "trav_value")
         .agg(F.sum("cat_pop").alias("cat_pop"))
     )
     return C.province_share(per_state, adm1(units))
 
 
-def share_decimal_percent(spark: SparkSession, folder: str) -> DataFrame:
-    shares = share_table(spark, folder)
+def share_decimal_percent(g: OrderGrid) -> DataFrame:
+    shares = share_table(g)
     percent = B.share_percent_decimal(F.col("cat_pop"), F.col("adm_pop"))
     return shares.select(
         "season", "fac_type", "adm2_code", "trav_value", percent.cast("double").alias("pc_pop")
     )
 
 
-def lgu_left_lookup(spark: SparkSession, folder: str) -> DataFrame:
+def lgu_left_lookup(g: OrderGrid) -> DataFrame:
     """Zones looked up in a unit table that lacks province 2: its rows stay, with NULLs."""
-    cells = located(spark, folder)
-    units = adm2(spark, folder, cells).where(F.col("state") != "2")
-    per_unit = C.band_population(C.banded_cells(cells, G.stack(spark, folder)), "id", G.LAYERS)
-    keyed = per_unit.join(G.lgu_codes(spark, folder).select("id", "hlcit_code"), "id").drop("id")
+    cells = located(g)
+    units = adm2(g, cells).where(F.col("state") != "2")
+    per_unit = C.band_population(C.banded_cells(cells, g.stack), "id", LAYERS)
+    keyed = per_unit.join(g.lgu_codes.select("id", "hlcit_code"), "id").drop("id")
     return C.lgu_share(keyed, units)
 
 

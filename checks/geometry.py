@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,37 +13,37 @@ from access_engine.operators.grid import same_srid
 from access_engine.operators.regions import polygonize
 from access_engine.plans import catchment as K
 from access_engine.sources import features as V
-from access_engine.sources import order_grid as G
+from access_engine.sources.order_grid import LAYERS, OrderGrid
 from access_engine.storage import new_path
 from checks.catchment import covered
 from checks.classification import adm2, located
 from checks.fixture_sql import with_views
 
 
-def zones(spark: SparkSession, folder: str) -> DataFrame:
+def zones(g: OrderGrid) -> DataFrame:
     """Connected areas of equal band of all rasters; band 0 is no zone."""
-    cells = B.classify_bands(O.unstack(G.stack(spark, folder), "row_no", "col_no"))
+    cells = B.classify_bands(O.unstack(g.stack, "row_no", "col_no"))
     return polygonize(
-        cells.where(F.col("band") > 0).drop("hours"), G.grid(spark, folder), "band", ["layer"]
+        cells.where(F.col("band") > 0).drop("hours"), g.grid, "band", ["layer"]
     )
 
 
-def gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return K.uncovered_cells(located(spark, folder), covered(spark, folder))
+def gaps(g: OrderGrid) -> DataFrame:
+    return K.uncovered_cells(located(g), covered(g))
 
 
-def polygonize_components(spark: SparkSession, folder: str) -> DataFrame:
+def polygonize_components(g: OrderGrid) -> DataFrame:
     counts = (
-        zones(spark, folder).groupBy("layer", "band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
+        zones(g).groupBy("layer", "band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
     )
-    return O.name_layers(counts, G.LAYERS)
+    return O.name_layers(counts, LAYERS)
 
 
-def zone_area(spark: SparkSession, folder: str) -> DataFrame:
+def zone_area(g: OrderGrid) -> DataFrame:
     """Area per raster and band, number of areas and the largest one."""
-    size = G.grid(spark, folder).cell_area()
+    size = g.grid.cell_area()
     per_zone = (
-        zones(spark, folder)
+        zones(g)
         .groupBy("layer", "band", "zone_id")
         .agg((F.count(F.lit(1)) * F.lit(size)).alias("area"))
     )
@@ -52,29 +52,29 @@ def zone_area(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.sum("area"), 6).alias("area"),
         F.round(F.max("area"), 6).alias("largest"),
     )
-    return O.name_layers(per_band, G.LAYERS)
+    return O.name_layers(per_band, LAYERS)
 
 
-def dissolve_boundary_lgu_to_province(spark: SparkSession, folder: str) -> DataFrame:
-    edges = G.lgu_edges(spark, folder).join(
-        G.lgu_codes(spark, folder).select("id", "state"), "id"
+def dissolve_boundary_lgu_to_province(g: OrderGrid) -> DataFrame:
+    edges = g.lgu_edges.join(
+        g.lgu_codes.select("id", "state"), "id"
     )
     return S.dissolve_edges(edges, ["state"])
 
 
-def uncovered_boundary(spark: SparkSession, folder: str) -> DataFrame:
+def uncovered_boundary(g: OrderGrid) -> DataFrame:
     """Outline of the uncovered part of each unit as straight segments on grid lines."""
-    return S.span_boundary(S.cells_to_spans(gaps(spark, folder), ["id"]), ["id"])
+    return S.span_boundary(S.cells_to_spans(gaps(g), ["id"]), ["id"])
 
 
-def catch_final(spark: SparkSession, folder: str) -> DataFrame:
+def catch_final(g: OrderGrid) -> DataFrame:
     """Final table per unit from the uncovered layer with one row per connected part."""
-    cells = located(spark, folder)
-    free = K.uncovered_cells(cells, covered(spark, folder))
-    layer = K.uncovered_population(free, adm2(spark, folder, cells))
-    codes = G.lgu_codes(spark, folder)
+    cells = located(g)
+    free = K.uncovered_cells(cells, covered(g))
+    layer = K.uncovered_population(free, adm2(g, cells))
+    codes = g.lgu_codes
     parts = (
-        polygonize(free.select("row_no", "col_no", "id"), G.grid(spark, folder), "id")
+        polygonize(free.select("row_no", "col_no", "id"), g.grid, "id")
         .select("id", "zone_id")
         .distinct()
         .join(codes.select("id", F.col("hlcit_code").alias("a_hlcit_code")), "id")
@@ -82,19 +82,19 @@ def catch_final(spark: SparkSession, folder: str) -> DataFrame:
     return K.final_table(parts.select("a_hlcit_code", "zone_id").join(layer, "a_hlcit_code"))
 
 
-def geojson_features(spark: SparkSession, folder: str) -> DataFrame:
+def geojson_features(g: OrderGrid) -> DataFrame:
     """Uncovered features with statistics, written as GeoJSON, read back and measured."""
-    grid = G.grid(spark, folder)
-    cells = gaps(spark, folder)
+    grid = g.grid
+    cells = gaps(g)
     shapes = S.assemble_features(S.cells_to_spans(cells, ["id"]), grid, ["id"])
     stats = O.zonal_stats(cells, ["id"])
-    codes = G.lgu_codes(spark, folder).select("id", "hlcit_code")
+    codes = g.lgu_codes.select("id", "hlcit_code")
     features = shapes.join(stats, "id").join(codes, "id")
-    path = new_path(spark, "features")
+    path = new_path(g.spark, "features")
     columns = ["hlcit_code", "piece", "pop_sum", "pop_count"]
     V.write_geojson(features, path, columns, grid.srid)
     kinds = T.StructType([features.schema[c] for c in columns])
-    back = V.read_geojson(spark, path, kinds)
+    back = V.read_geojson(g.spark, path, kinds)
     same_srid(grid, *[r.srid for r in back.select("srid").distinct().collect()])
     area = S.signed_area(V.feature_edges(back, ["hlcit_code"]), ["hlcit_code"])
     counted = back.groupBy("hlcit_code").agg(

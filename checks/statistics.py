@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from access_engine import config
@@ -11,16 +11,16 @@ from access_engine.functions import paths as P
 from access_engine.functions.quantiles import group_quantiles
 from access_engine.operators import summary as S
 from access_engine.plans import pooled as N
-from access_engine.sources import order_grid as G
+from access_engine.sources.order_grid import OrderGrid
 from access_engine.sources import results as R
 from access_engine.storage import new_path
 from checks.classification import share_table
 from checks.fixture_sql import with_views
 
 
-def results(spark: SparkSession, folder: str) -> DataFrame:
+def results(g: OrderGrid) -> DataFrame:
     """Result rows with the path their file would have, and what is read off that path."""
-    table = share_table(spark, folder)
+    table = share_table(g)
     path = F.concat(
         F.col("season"), F.lit("/"), F.lower("season"), F.lit("_"), F.col("fac_type"), F.lit("_adm2.csv")
     )
@@ -31,16 +31,16 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pooled(spark: SparkSession, folder: str) -> DataFrame:
-    return N.pool(results(spark, folder), G.zone_lookup(spark, folder))
+def pooled(g: OrderGrid) -> DataFrame:
+    return N.pool(results(g), g.zone_lookup)
 
 
-def final(spark: SparkSession, folder: str) -> DataFrame:
-    return N.final_frame(pooled(spark, folder))
+def final(g: OrderGrid) -> DataFrame:
+    return N.final_frame(pooled(g))
 
 
-def complete(spark: SparkSession, folder: str) -> DataFrame:
-    return N.complete_rows(final(spark, folder))
+def complete(g: OrderGrid) -> DataFrame:
+    return N.complete_rows(final(g))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -50,21 +50,21 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 _SOFT = ("avg_pc_pop", "sd_pc_pop", "q25", "q50", "q75")
 
 
-def pooled_import(spark: SparkSession, folder: str) -> DataFrame:
-    return pooled(spark, folder)
+def pooled_import(g: OrderGrid) -> DataFrame:
+    return pooled(g)
 
 
-def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+def csv_roundtrip(g: OrderGrid) -> DataFrame:
     """Result table written as a tree of CSV files, read back with provenance, stacked and named."""
-    root = new_path(spark, "results")
-    R.write_result_tree(share_table(spark, folder), root)
-    return N.pool(R.read_results(spark, root), G.zone_lookup(spark, folder))
+    root = new_path(g.spark, "results")
+    R.write_result_tree(share_table(g), root)
+    return N.pool(R.read_results(g.spark, root), g.zone_lookup)
 
 
-def adm1_path_parse(spark: SparkSession, folder: str) -> DataFrame:
+def adm1_path_parse(g: OrderGrid) -> DataFrame:
     """Season, type and dataset name of the province files of all rasters of the result."""
     files = (
-        share_table(spark, folder)
+        share_table(g)
         .select(F.lower("season").alias("s"), F.col("fac_type").alias("f"))
         .distinct()
         .select(F.format_string("%s_%s/%s_%s_adm1.csv", "s", "f", "s", "f").alias("path"))
@@ -78,59 +78,59 @@ def adm1_path_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def denominators(spark: SparkSession, folder: str) -> DataFrame:
+def denominators(g: OrderGrid) -> DataFrame:
     return (
-        final(spark, folder)
+        final(g)
         .select("adm2_code", "province", "geog", "tot_pop", "geog_pop", "prov_pop")
         .distinct()
     )
 
 
 def _summary(level: str):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(S.summarise(complete(spark, folder), level), *_SOFT)
+    def query(g: OrderGrid) -> DataFrame:
+        return rounded(S.summarise(complete(g), level), *_SOFT)
 
     return query
 
 
-def summary_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(S.summarise_all(complete(spark, folder)), *_SOFT)
+def summary_grouping_sets(g: OrderGrid) -> DataFrame:
+    return rounded(S.summarise_all(complete(g)), *_SOFT)
 
 
-def season_compare_national(spark: SparkSession, folder: str) -> DataFrame:
-    table = S.summarise(complete(spark, folder), "nation")
+def season_compare_national(g: OrderGrid) -> DataFrame:
+    table = S.summarise(complete(g), "nation")
     return S.compare_seasons(table, ["fac_type", "trav_cat", "trav_value"], {"total": "tot_pop"})
 
 
-def season_compare_province(spark: SparkSession, folder: str) -> DataFrame:
-    table = S.summarise(complete(spark, folder), "province")
+def season_compare_province(g: OrderGrid) -> DataFrame:
+    table = S.summarise(complete(g), "province")
     keys = ["province", "fac_type", "trav_cat", "trav_value"]
     return S.compare_seasons(table, keys, {"total": "prov_pop"})
 
 
-def season_compare_zone(spark: SparkSession, folder: str) -> DataFrame:
-    table = S.summarise(complete(spark, folder), "zone")
+def season_compare_zone(g: OrderGrid) -> DataFrame:
+    table = S.summarise(complete(g), "zone")
     keys = ["geog", "fac_type", "trav_cat", "trav_value"]
     return S.compare_seasons(table, keys, {"total": "geog_pop"})
 
 
-def summary_melt(spark: SparkSession, folder: str) -> DataFrame:
-    table = S.summarise(complete(spark, folder), "nation")
+def summary_melt(g: OrderGrid) -> DataFrame:
+    table = S.summarise(complete(g), "nation")
     long = S.melt(
         table, S.BY_BAND, ["wtd_pc_pop", "avg_pc_pop", "sd_pc_pop", "max_pc_pop"]
     )
     return rounded(long, "value")
 
 
-def share_melt(spark: SparkSession, folder: str) -> DataFrame:
+def share_melt(g: OrderGrid) -> DataFrame:
     """Unit shares of the non-walking seasons, one row per point under the density curves."""
-    rows = final(spark, folder).where(F.col("season").isin(config.NON_WALKING))
+    rows = final(g).where(F.col("season").isin(config.NON_WALKING))
     ids = ["season", "fac_type", "trav_cat", "adm2_code", "tot_pop", "adm_pop"]
     return S.melt(rows, ids, ["pc_pop"])
 
 
-def median_adm_pop(spark: SparkSession, folder: str) -> DataFrame:
-    rows = final(spark, folder).where(F.col("season").isin(config.NON_WALKING))
+def median_adm_pop(g: OrderGrid) -> DataFrame:
+    rows = final(g).where(F.col("season").isin(config.NON_WALKING))
     table = group_quantiles(rows, ["fac_type"], "adm_pop", {"median_adm_pop": 0.5})
     return table.withColumn(
         "subtitle",
@@ -138,9 +138,9 @@ def median_adm_pop(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def zone_labels(spark: SparkSession, folder: str) -> DataFrame:
+def zone_labels(g: OrderGrid) -> DataFrame:
     """Zone label with its unit count written back on every row of normal times."""
-    rows = final(spark, folder).where(F.col("season") == config.NORMAL)
+    rows = final(g).where(F.col("season") == config.NORMAL)
     counted = rows.where(F.col("geog").isNotNull()).join(
         S.units_per_zone(rows), ["geog", "fac_type"]
     )
@@ -162,9 +162,9 @@ def zone_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def ordered_summary(spark: SparkSession, folder: str) -> DataFrame:
+def ordered_summary(g: OrderGrid) -> DataFrame:
     """Zone summary in category order, the order itself as columns."""
-    table = S.summarise(complete(spark, folder), "zone")
+    table = S.summarise(complete(g), "zone")
     ordered = table.select(
         "season",
         "fac_type",
@@ -178,8 +178,8 @@ def ordered_summary(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.orderBy("trav_order", "geog_order", "season_order", "fac_type")
 
 
-def fill_null_zero(spark: SparkSession, folder: str) -> DataFrame:
-    rows = final(spark, folder)
+def fill_null_zero(g: OrderGrid) -> DataFrame:
+    rows = final(g)
     return rows.na.fill(0).select(
         "season", "fac_type", "adm2_code", "trav_value", "adm_pop", "cat_pop", "pc_pop", "geog_pop"
     )
