@@ -204,7 +204,11 @@ def _multipolygon(pdf: pd.DataFrame, grid: Grid) -> str:
 
 
 def assemble_features(
-    spans: DataFrame, grid: Grid, keys: Sequence[str], limit: int = RING_SEGMENT_LIMIT
+    spans: DataFrame,
+    grid: Grid,
+    keys: Sequence[str],
+    limit: int = RING_SEGMENT_LIMIT,
+    tile: int = TILE,
 ) -> DataFrame:
     """Disjoint spans -> features ``keys, piece, geometry`` (GeoJSON text).
 
@@ -215,23 +219,23 @@ def assemble_features(
     spans = stored(spans, "spans")
     sizes = directed_outline(spans, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"))
     sized = spans.join(sizes.withColumn("large", F.col("edges") > limit), list(keys))
-    tiles_across = -(-grid.ncols // TILE)
+    tiles_across = -(-grid.ncols // tile)
 
-    def tile(c: Column) -> Column:
-        return F.floor(c / TILE).cast("int")
+    def tile_of(c: Column) -> Column:
+        return F.floor(c / tile).cast("int")
 
     whole = sized.where(~F.col("large")).select(
         *keys, F.lit(0).cast("long").alias("piece"), "row_no", "c0", "c1"
     )
     cut = (
         sized.where("large")
-        .withColumn("t", F.explode(F.sequence(tile(F.col("c0")), tile(F.col("c1") - 1))))
+        .withColumn("t", F.explode(F.sequence(tile_of(F.col("c0")), tile_of(F.col("c1") - 1))))
         .select(
             *keys,
-            (tile(F.col("row_no")).cast("long") * tiles_across + F.col("t") + 1).alias("piece"),
+            (tile_of(F.col("row_no")).cast("long") * tiles_across + F.col("t") + 1).alias("piece"),
             "row_no",
-            F.greatest("c0", F.col("t") * TILE).alias("c0"),
-            F.least("c1", (F.col("t") + 1) * TILE).alias("c1"),
+            F.greatest("c0", F.col("t") * tile).alias("c0"),
+            F.least("c1", (F.col("t") + 1) * tile).alias("c1"),
         )
     )
     group = [*keys, "piece"]

@@ -44,11 +44,11 @@ def _tile_labels(kind: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.n
             label = up
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
     pdf = pdf.sort_values("cell_id", ignore_index=True)
-    row = pdf["row_no"].to_numpy() % TILE
-    col = pdf["col_no"].to_numpy() % TILE
-    position = np.full((TILE + 1, TILE + 1), -1, dtype=np.int64)
+    row = pdf["row_no"].to_numpy() % tile
+    col = pdf["col_no"].to_numpy() % tile
+    position = np.full((tile + 1, tile + 1), -1, dtype=np.int64)
     position[row, col] = np.arange(len(pdf))
     kind = pd.factorize(pdf["class"])[0]
     label = _tile_labels(kind, position[row, col + 1], position[row + 1, col])
@@ -105,7 +105,9 @@ def connected_components(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFram
         edges = edges.drop("moved")
 
 
-def polygonize(cells: DataFrame, grid: Grid, class_col: str, keys: Sequence[str] = ()) -> DataFrame:
+def polygonize(
+    cells: DataFrame, grid: Grid, class_col: str, keys: Sequence[str] = (), tile: int = TILE
+) -> DataFrame:
     """Number the connected areas of equal class; ``zone_id`` is the area's smallest cell id.
 
     ``cells`` holds ``row_no, col_no``, the class and the ``keys`` of its dataset. The labelled
@@ -117,17 +119,20 @@ def polygonize(cells: DataFrame, grid: Grid, class_col: str, keys: Sequence[str]
         "col_no",
         F.col(class_col).alias("class"),
         grid.cell_id(F.col("row_no"), F.col("col_no")).alias("cell_id"),
-        F.floor(F.col("row_no") / TILE).cast("int").alias("tile_row"),
-        F.floor(F.col("col_no") / TILE).cast("int").alias("tile_col"),
+        F.floor(F.col("row_no") / tile).cast("int").alias("tile_row"),
+        F.floor(F.col("col_no") / tile).cast("int").alias("tile_col"),
     )
     out = tiled.drop("tile_row", "tile_col").withColumn("label", F.lit(0).cast("long")).schema
     local, _ = store(
-        tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(_label_tile, out), "tiles"
+        tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(
+            lambda pdf: _label_tile(pdf, tile), out
+        ),
+        "tiles",
     )
 
     def across(step: str) -> DataFrame:
-        last = local.where(F.col(step) % TILE == TILE - 1).withColumn(step, F.col(step) + 1)
-        first = local.where(F.col(step) % TILE == 0)
+        last = local.where(F.col(step) % tile == tile - 1).withColumn(step, F.col(step) + 1)
+        first = local.where(F.col(step) % tile == 0)
         same = [*keys, "row_no", "col_no", "class"]
         return (
             last.select(*same, F.col("label").alias("a"))
