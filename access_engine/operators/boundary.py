@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from access_engine.storage import stored
 
 TILE = 128
 
+# the ring function travels with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def dissolve_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outer edges of all polygons of a key: an edge two of them share vanishes.
@@ -178,7 +183,7 @@ def _inside(ring: np.ndarray, x: float, y: float) -> bool:
     return bool(np.count_nonzero(crosses) % 2)
 
 
-def _multipolygon(pdf: pd.DataFrame, grid: Grid) -> str:
+def _multipolygon(pdf: pd.DataFrame, x0: float, y0: float, dx: float, dy: float) -> str:
     """GeoJSON geometry of one bounded piece: outer rings with the holes that lie in them."""
     rings = _rings(*(pdf[c].to_numpy() for c in ("px", "py", "qx", "qy")))
     rings.sort(key=lambda r: abs(_twice_area(r)))
@@ -194,9 +199,7 @@ def _multipolygon(pdf: pd.DataFrame, grid: Grid) -> str:
 
     def placed(ring: np.ndarray) -> list[list[float]]:
         closed = np.vstack([ring, ring[:1]])
-        return [
-            [grid.x0 + float(x) * grid.dx, grid.y0 - float(y) * grid.dy] for x, y in closed
-        ]
+        return [[x0 + float(x) * dx, y0 - float(y) * dy] for x, y in closed]
 
     return json.dumps(
         {"type": "MultiPolygon", "coordinates": [[placed(r) for r in part] for part in parts]}
@@ -241,9 +244,11 @@ def assemble_features(
     group = [*keys, "piece"]
     outline = directed_outline(whole.unionByName(cut), group)
 
+    place = (grid.x0, grid.y0, grid.dx, grid.dy)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[:1][group].copy()
-        row["geometry"] = _multipolygon(pdf, grid)
+        row["geometry"] = _multipolygon(pdf, *place)
         return row
 
     kinds = dict(outline.dtypes)

@@ -7,10 +7,12 @@ fraction of the raster, and a component that fills the raster costs a few rounds
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from access_engine.storage import drop, store
 
 TILE = 128
 
+# the tile function travels with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _tile_labels(kind: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.ndarray:
     """Smallest position of the component of every cell of one tile.

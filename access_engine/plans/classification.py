@@ -27,7 +27,7 @@ def unit_dimension(located: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def banded_cells(located: DataFrame, stack: DataFrame) -> DataFrame:
-    """Unit cells of every layer with their band.
+    """Unit cells of every layer of a multi-layer raster with their band.
 
     The join runs on one row per cell; the layers are unfolded after it, inside the same stage
     that pre-aggregates, so the shuffle carries each cell once however many layers there are.
@@ -37,6 +37,15 @@ def banded_cells(located: DataFrame, stack: DataFrame) -> DataFrame:
     return B.classify_bands(layers).drop("hours")
 
 
+def banded_rasters(located: DataFrame, rasters: DataFrame) -> DataFrame:
+    """The same for rasters in long form; ``season, fac_type`` name the raster of a row.
+
+    Cells outside the bands leave before the join.
+    """
+    banded = B.classify_bands(rasters).where(F.col("band") > 0).drop("hours")
+    return banded.join(located, CELL)
+
+
 def band_population(cells: DataFrame, unit: str, names: Sequence[tuple[str, str]]) -> DataFrame:
     """``cat_pop`` per dataset, unit and band; band 0 (outside the bands) makes no zone."""
     sums = (
@@ -47,6 +56,13 @@ def band_population(cells: DataFrame, unit: str, names: Sequence[tuple[str, str]
     return name_layers(sums, names)
 
 
+def raster_band_population(cells: DataFrame, unit: str) -> DataFrame:
+    """``cat_pop`` per dataset, unit and band from :func:`banded_rasters`."""
+    return cells.groupBy(*DATASET, unit, F.col("band").alias("trav_value")).agg(
+        F.sum("pop").alias("cat_pop")
+    )
+
+
 def lgu_share(
     cat_pop: DataFrame, adm2: DataFrame, dataset: Sequence[str] = tuple(DATASET)
 ) -> DataFrame:
