@@ -17,6 +17,7 @@ from access_engine.operators import density as D
 from access_engine.operators import summary as S
 from access_engine.operators.boundary import assemble_features, cells_to_spans
 from access_engine.operators.grid import Grid, same_srid
+from access_engine.operators.spans import locate, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
 from access_engine.plans import classification as C
@@ -106,21 +107,17 @@ def catchments(
     header = W.read_grid(spark, grid)
     edges, table, _ = _units(spark, units, header, "adm2")
     codes = table.withColumn("id", F.col("hlcit_code"))
-    located = stored(
-        C.unit_cells(
-            W.read_population(spark, population),
-            edges.withColumnRenamed("hlcit_code", "id"),
-            header,
-        ),
-        "unit_cells",
+    unit_spans = stored(
+        rasterise(edges.withColumnRenamed("hlcit_code", "id"), header, ["id"]), "unit_spans"
     )
+    located = stored(locate(W.read_population(spark, population), unit_spans), "unit_cells")
     areas = _layer(spark, layer, CATCHMENT, header)
     outlines = V.feature_edges(areas, ["fac_type", "id"])
     together = stored(K.coverage(outlines.drop("fac_type"), header), "coverage")
-    free = stored(K.uncovered_cells(located, together), "uncovered")
+    free = K.uncovered_cells(located, together)
     gaps = stored(K.uncovered_population(free, codes), "gaps")
 
-    shapes = assemble_features(cells_to_spans(free, ["id"]), header, ["id"])
+    shapes = assemble_features(K.uncovered_spans(unit_spans, together, header), header, ["id"])
     final = shapes.join(gaps.withColumnRenamed("a_hlcit_code", "id"), "id").select(
         F.col("id").alias("a_hlcit_code"),
         "piece",

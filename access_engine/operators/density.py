@@ -99,8 +99,11 @@ def density(
     )
     x = F.lit(lo) + F.col("i") * F.lit((hi - lo) / (n - 1))
     off = (F.col("x") - F.col("at")) / F.col("bw")
+    # few rows that each become n: spread over all cores, whatever their size in bytes
+    cores = df.sparkSession.sparkContext.defaultParallelism
     sums = (
         _weights(placed, panel, group, value, lo, exact)
+        .repartition(cores)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("x", x)
         .groupBy(*keys, "bw", "i", "x")

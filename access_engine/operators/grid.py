@@ -28,11 +28,13 @@ class Grid:
     def y_centre(self, row: Column) -> Column:
         return F.lit(self.y0) - (row.cast("double") + F.lit(0.5)) * F.lit(self.dy)
 
-    def col_of(self, x: Column) -> Column:
-        return F.floor((x - F.lit(self.x0)) / F.lit(self.dx)).cast("int")
+    def col_position(self, x: Column) -> Column:
+        """Distance from the left border in columns; its floor is the column."""
+        return (x - F.lit(self.x0)) / F.lit(self.dx)
 
-    def row_of(self, y: Column) -> Column:
-        return F.floor((F.lit(self.y0) - y) / F.lit(self.dy)).cast("int")
+    def row_position(self, y: Column) -> Column:
+        """Distance from the upper border in rows; its floor is the row."""
+        return (F.lit(self.y0) - y) / F.lit(self.dy)
 
     def cell_id(self, row: Column, col: Column) -> Column:
         """Row-major cell number, 64 bit because ``nrows * ncols`` may pass 2**31."""
@@ -52,11 +54,12 @@ def align(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFram
 
     Points outside the grid have no cell there and leave.
     """
-    indexed = points.withColumn("row_no", grid.row_of(F.col(y))).withColumn(
-        "col_no", grid.col_of(F.col(x))
-    )
-    return indexed.where(
-        F.col("row_no").between(0, grid.nrows - 1) & F.col("col_no").between(0, grid.ncols - 1)
+    col, row = grid.col_position(F.col(x)), grid.row_position(F.col(y))
+    inside = (col >= 0) & (col < grid.ncols) & (row >= 0) & (row < grid.nrows)
+    return (
+        points.where(inside)
+        .withColumn("row_no", F.floor(row).cast("int"))
+        .withColumn("col_no", F.floor(col).cast("int"))
     )
 
 

@@ -46,8 +46,8 @@ def row_crossings(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFram
     y = grid.y_centre(F.col("row_no"))
     return (
         edges.where(F.col("y1") != F.col("y2"))
-        .withColumn("r0", F.greatest(first, F.lit(0)).cast("int"))
-        .withColumn("r1", F.least(last, F.lit(grid.nrows - 1)).cast("int"))
+        .withColumn("r0", F.least(F.greatest(first, F.lit(0)), F.lit(grid.nrows)).cast("int"))
+        .withColumn("r1", F.greatest(F.least(last, F.lit(grid.nrows - 1)), F.lit(-1)).cast("int"))
         .where(F.col("r0") <= F.col("r1"))
         .select(*keys, "x1", "y1", "x2", "y2", F.explode(F.sequence("r0", "r1")).alias("row_no"))
         .where((F.col("y1") > y) != (F.col("y2") > y))
@@ -128,22 +128,51 @@ def merge_spans(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _pair(steps.where(edge).select(*keys, "row_no", "col"), keys)
 
 
-def complement_spans(merged: DataFrame, grid: Grid, datasets: DataFrame) -> DataFrame:
+def complement_spans(
+    merged: DataFrame, grid: Grid, datasets: DataFrame | None = None
+) -> DataFrame:
     """The spans of the grid that ``merged`` leaves free, for every key row of ``datasets``.
 
     Toggling the merged spans inside a span over the whole row leaves the gaps. ``datasets`` holds
-    one row per dataset (file), so its product with the raster rows stays a list of rows.
+    one row per dataset (file) and its columns are the keys of ``merged``; without it there is one
+    dataset and no key.
     """
-    keys = datasets.columns
-    whole = datasets.withColumn(
-        "row_no", F.explode(F.sequence(F.lit(0), F.lit(grid.nrows - 1)))
-    ).select(*keys, "row_no", F.lit(0).alias("c0"), F.lit(grid.ncols).alias("c1"))
+    keys = datasets.columns if datasets is not None else []
+    rows = F.sequence(F.lit(0), F.lit(grid.nrows - 1))
+    source = datasets if datasets is not None else merged.sparkSession.range(1)
+    whole = source.select(
+        *keys, F.explode(rows).alias("row_no"), F.lit(0).alias("c0"), F.lit(grid.ncols).alias("c1")
+    )
     toggles = whole.unionByName(merged.select(*keys, "row_no", "c0", "c1")).select(
         *keys, "row_no", F.explode(F.array("c0", "c1")).alias("col")
     )
     return odd_spans(toggles, keys)
 
 
+def intersect_spans(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], width: int = STRIP
+) -> DataFrame:
+    """Overlay two span layers: the spans both cover, with the ``keys`` of both.
+
+    Spans are cut at strip borders, met within (row, strip) and melted together again; no cell is
+    touched.
+    """
+
+    def cut(spans: DataFrame) -> DataFrame:
+        return (
+            _by_strip(spans, width)
+            .withColumn("c0", F.greatest("c0", F.col("strip") * width))
+            .withColumn("c1", F.least("c1", (F.col("strip") + 1) * width))
+        )
+
+    left, right = cut(a), cut(b).withColumnsRenamed({"c0": "b0", "c1": "b1"})
+    both = left.join(right, ["row_no", "strip"]).where("c0 < b1 and b0 < c1")
+    return merge_spans(
+        both.select(*keys, "row_no", F.greatest("c0", "b0").alias("c0"), F.least("c1", "b1").alias("c1")),
+        keys,
+    )
+
+
 def burn(spans: DataFrame) -> DataFrame:
     """Spans -> one row per cell, for results that need cells."""
     others = [c for c in spans.columns if c not in ("c0", "c1")]

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import lookup, zonal_stats
-from access_engine.operators.spans import complement_spans, locate, merge_spans, rasterise
+from access_engine.operators.spans import (
+    complement_spans,
+    intersect_spans,
+    locate,
+    merge_spans,
+    rasterise,
+)
 
 
 def coverage(edges: DataFrame, grid: Grid, dataset: Sequence[str] = ()) -> DataFrame:
@@ -25,6 +31,14 @@ def uncovered_cells(located: DataFrame, covered: DataFrame) -> DataFrame:
     return locate(located, covered, "left_anti")
 
 
+def uncovered_spans(units: DataFrame, covered: DataFrame, grid: Grid) -> DataFrame:
+    """What the merged catchments leave of every unit, as spans ``id, row_no, c0, c1``.
+
+    For outlines and features; it works on outlines alone and reads no cell.
+    """
+    return intersect_spans(units, complement_spans(covered, grid), ["id"])
+
+
 def uncovered_cells_by_dataset(
     located: DataFrame, covered: DataFrame, grid: Grid, datasets: DataFrame
 ) -> DataFrame:

@@ -11,7 +11,9 @@ from access_engine.operators import boundary as S
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import same_srid
 from access_engine.operators.regions import polygonize
+from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
+from access_engine.plans.classification import banded_cells
 from access_engine.sources import features as V
 from access_engine.sources.order_grid import LAYERS, OrderGrid
 from access_engine.storage import new_path
@@ -32,6 +34,17 @@ def gaps(g: OrderGrid) -> DataFrame:
     return K.uncovered_cells(located(g), covered(g))
 
 
+def gap_spans(g: OrderGrid) -> DataFrame:
+    """The uncovered part of each unit as spans, from the outlines alone."""
+    return K.uncovered_spans(rasterise(g.lgu_edges, g.grid, ["id"]), covered(g), g.grid)
+
+
+def band_spans(g: OrderGrid) -> DataFrame:
+    """Spans of equal (unit, band) of every raster: the dissolved zones."""
+    cells = banded_cells(located(g), g.stack).where(F.col("band") > 0)
+    return S.cells_to_spans(cells, ["layer", "id", "band"])
+
+
 def polygonize_components(g: OrderGrid) -> DataFrame:
     counts = (
         zones(g).groupBy("layer", "band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
@@ -62,9 +75,37 @@ def dissolve_boundary_lgu_to_province(g: OrderGrid) -> DataFrame:
     return S.dissolve_edges(edges, ["state"])
 
 
+def province_cell_boundary(g: OrderGrid) -> DataFrame:
+    """Outline of each province from the spans of its units."""
+    spans = rasterise(g.lgu_edges, g.grid, ["id"]).join(g.lgu_codes.select("id", "state"), "id")
+    return S.span_boundary(merge_spans(spans, ["state"]), ["state"])
+
+
+def zone_boundary(g: OrderGrid) -> DataFrame:
+    """Cells, outline length and number of straight outline segments of every dissolved zone."""
+    keys = ["layer", "id", "band"]
+    spans = band_spans(g)
+    outline = (
+        S.span_boundary(spans, keys)
+        .groupBy(*keys)
+        .agg(F.sum(F.col("c1") - F.col("c0")).alias("edges"), F.count(F.lit(1)).alias("segments"))
+    )
+    sizes = spans.groupBy(*keys).agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
+    return O.name_layers(sizes.join(outline, keys), LAYERS)
+
+
+def overlay_parts(g: OrderGrid) -> DataFrame:
+    """Unit cells inside and outside the catchments by overlay of two cell sets."""
+    units = located(g).select("row_no", "col_no", "id", "pop")
+    reached = O.dissolve(burn(covered(g)))
+    inside = O.overlay(units, reached, "and").withColumn("part", F.lit("covered"))
+    outside = O.overlay(units, reached, "not").withColumn("part", F.lit("uncovered"))
+    return O.zonal_stats(inside.unionByName(outside), ["id", "part"])
+
+
 def uncovered_boundary(g: OrderGrid) -> DataFrame:
     """Outline of the uncovered part of each unit as straight segments on grid lines."""
-    return S.span_boundary(S.cells_to_spans(gaps(g), ["id"]), ["id"])
+    return S.span_boundary(gap_spans(g), ["id"])
 
 
 def catch_final(g: OrderGrid) -> DataFrame:
@@ -86,7 +127,7 @@ def geojson_features(g: OrderGrid) -> DataFrame:
     """Uncovered features with statistics, written as GeoJSON, read back and measured."""
     grid = g.grid
     cells = gaps(g)
-    shapes = S.assemble_features(S.cells_to_spans(cells, ["id"]), grid, ["id"])
+    shapes = S.assemble_features(gap_spans(g), grid, ["id"])
     stats = O.zonal_stats(cells, ["id"])
     codes = g.lgu_codes.select("id", "hlcit_code")
     features = shapes.join(stats, "id").join(codes, "id")
@@ -111,6 +152,9 @@ QUERIES = {
         polygonize_components,
         zone_area,
         dissolve_boundary_lgu_to_province,
+        province_cell_boundary,
+        zone_boundary,
+        overlay_parts,
         uncovered_boundary,
         catch_final,
         geojson_features,
@@ -141,6 +185,28 @@ def _with_components(cells_sql: str, group: str, body: str) -> str:
     return "with recursive " + head[len("with ") :] + ",\n" + _components("lab", group) + "\n" + body
 
 
+def _segments(cells: str, keys: str) -> str:
+    """Unit edges that occur once, run together along their grid line."""
+    sides = " union all ".join(
+        f"select {keys}, '{side}' as side, {line} as line, {pos} as pos from ({cells}) c"
+        for side, line, pos in (
+            ("h", "row_no", "col_no"),
+            ("h", "row_no + 1", "col_no"),
+            ("v", "col_no", "row_no"),
+            ("v", "col_no + 1", "row_no"),
+        )
+    )
+    return (
+        f"select {keys}, side, line, cast(min(pos) as int) as c0, cast(max(pos) + 1 as int) as c1 from "
+        f"(select *, pos - row_number() over (partition by {keys}, side, line order by pos) as run from "
+        f"(select {keys}, side, line, pos from ({sides}) e group by {keys}, side, line, pos having count(*) = 1) u) r "
+        f"group by {keys}, side, line, run"
+    )
+
+
+_DISSOLVED = (
+    "select b.season, b.fac_type, l.id, b.band, b.row_no, b.col_no from fx_band b join fx_lgu_cell l on l.cell = b.cell where b.band > 0"
+)
 _ZONES = "select season, fac_type, band, cell, row_no, col_no from fx_band where band > 0"
 _SIZE = "(select cast(4 as double) * (cast(500 as double) / nrows) from fx_rows)"
 
@@ -162,14 +228,20 @@ ORACLE = {
         "min(case when (x1, y1) < (x2, y2) then x2 else x1 end) as x2, min(case when (x1, y1) < (x2, y2) then y2 else y1 end) as y2, count(*) as n "
         "from fx_lgu_edge l join fx_adm2 a on a.id = l.id group by 1, 2, 3) t where n = 1"
     ),
-    "uncovered_boundary": with_views(
-        "select id, side, line, cast(min(pos) as int) as c0, cast(max(pos) + 1 as int) as c1 from "
-        "(select *, pos - row_number() over (partition by id, side, line order by pos) as run from "
-        "(select id, side, line, pos from (select id, 'h' as side, row_no as line, col_no as pos from fx_uncovered "
-        "union all select id, 'h', row_no + 1, col_no from fx_uncovered union all select id, 'v', col_no, row_no from fx_uncovered "
-        "union all select id, 'v', col_no + 1, row_no from fx_uncovered) e group by id, side, line, pos having count(*) = 1) u) r "
-        "group by id, side, line, run"
+    "province_cell_boundary": with_views(
+        _segments("select a.state, c.row_no, c.col_no from fx_lgu_cell l join fx_cells c on c.cell = l.cell join fx_adm2 a on a.id = l.id", "state")
+    ),
+    "zone_boundary": with_views(
+        "select season, fac_type, id, band, cells, edges, segments from "
+        "(select season, fac_type, id, band, sum(c1 - c0)::bigint as edges, count(*) as segments from "
+        f"({_segments(_DISSOLVED, 'season, fac_type, id, band')}) t group by season, fac_type, id, band) o "
+        f"join (select season, fac_type, id, band, count(*) as cells from ({_DISSOLVED}) u group by all) n using (season, fac_type, id, band)"
+    ),
+    "overlay_parts": with_views(
+        "select l.id, case when k.cell is null then 'uncovered' else 'covered' end as part, sum(c.pop) as pop_sum, count(c.pop) as pop_count "
+        "from fx_lgu_cell l join fx_cells c on c.cell = l.cell left join (select distinct cell from fx_catch_cell) k on k.cell = l.cell group by 1, 2"
     ),
+    "uncovered_boundary": with_views(_segments("select id, row_no, col_no from fx_uncovered", "id")),
     "catch_final": _with_components(
         "select u.id, u.cell, u.row_no, u.col_no, u.pop, a.hlcit_code, a.pop_sum from fx_uncovered u join fx_adm2 a on a.id = u.id",
         "id",

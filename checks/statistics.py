@@ -138,8 +138,8 @@ def median_adm_pop(g: OrderGrid) -> DataFrame:
     )
 
 
-def zone_labels(g: OrderGrid) -> DataFrame:
-    """Zone label with its unit count written back on every row of normal times."""
+def labelled_zones(g: OrderGrid) -> DataFrame:
+    """Rows of normal times with the unit count of their zone written back, and the zone label."""
     rows = final(g).where(F.col("season") == config.NORMAL)
     counted = rows.where(F.col("geog").isNotNull()).join(
         S.units_per_zone(rows), ["geog", "fac_type"]
@@ -151,17 +151,29 @@ def zone_labels(g: OrderGrid) -> DataFrame:
         F.lit(" P:"),
         B.grouped_digits(F.col("geog_pop")),
     )
-    return counted.select(
+    return counted.withColumn("geog_label", label)
+
+
+def zone_labels(g: OrderGrid) -> DataFrame:
+    return labelled_zones(g).select(
         "geog",
         "fac_type",
         "trav_value",
         "adm2_code",
         "geog_count",
-        label.alias("geog_label"),
+        "geog_label",
         B.zone_ordinal(F.col("geog")).alias("geog_order"),
     )
 
 
+def zone_share_melt(g: OrderGrid) -> DataFrame:
+    """Unit shares of normal times with their zone label, one row per point under the curves."""
+    ids = [
+        "geog", "fac_type", "trav_cat", "adm2_code", "tot_pop", "adm_pop", "geog_pop", "geog_label"
+    ]
+    return S.melt(labelled_zones(g), ids, ["pc_pop"])
+
+
 def ordered_summary(g: OrderGrid) -> DataFrame:
     """Zone summary in category order, the order itself as columns."""
     table = S.summarise(complete(g), "zone")
@@ -200,6 +212,7 @@ QUERIES = {
         share_melt,
         median_adm_pop,
         zone_labels,
+        zone_share_melt,
         ordered_summary,
         fill_null_zero,
     )
@@ -300,6 +313,13 @@ ORACLE = {
         "from fx_final f join (select geog, fac_type, count(distinct adm2_code) as n from fx_final where season = 'Normal times' group by geog, fac_type) c "
         "on c.geog = f.geog and c.fac_type = f.fac_type where season = 'Normal times'"
     ),
+    "zone_share_melt": with_views(
+        "select f.geog, f.fac_type, trav_cat, adm2_code, tot_pop, adm_pop, geog_pop, "
+        "f.geog || '; n=' || cast(n as varchar) || ' P:' || format('{:,}', cast(round_even(geog_pop, 0) as bigint)) as geog_label, "
+        "'pc_pop' as variable, pc_pop as value "
+        "from fx_final f join (select geog, fac_type, count(distinct adm2_code) as n from fx_final where season = 'Normal times' group by geog, fac_type) c "
+        "on c.geog = f.geog and c.fac_type = f.fac_type where season = 'Normal times'"
+    ),
     "ordered_summary": with_views(
         "select season, fac_type, geog, trav_cat, case season when 'Normal times' then 1 when 'Monsoon season' then 2 end as season_order, "
         "case geog when 'Terai' then 1 when 'Shivalik' then 2 when 'Hill' then 3 when 'Mountain' then 4 when 'High Mountain' then 5 end as geog_order, "

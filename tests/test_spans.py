@@ -8,6 +8,7 @@ from access_engine.operators.grid import Grid, align, same_srid
 from access_engine.operators.spans import (
     burn,
     complement_spans,
+    intersect_spans,
     locate,
     merge_spans,
     rasterise,
@@ -64,6 +65,7 @@ SHAPES = {
     "vertex on a centre": [[(2.5, 2.5), (10.5, 2.5), (10.5, 12.5), (2.5, 12.5)]],
     "sticks out of the grid": [[(-10, -5), (45, 3), (35, 30), (-4, 25)]],
     "off the grid": [[(40, 40), (50, 40), (45, 50)]],
+    "very far out": [[(-1e15, -1e15), (1e15, -1e15), (1e15, 1e15)], [(1e14, -1e14), (1e14, -1e15), (3e14, -1e15)]],
     "self crossing": [[(1, 1), (20, 18), (20, 1), (1, 18)]],
 }
 
@@ -114,6 +116,22 @@ def test_merge_and_complement(spark):
     assert len(free) == len(set(free)) and set(free) == every - want
 
 
+def test_intersection(spark):
+    rng = random.Random(8)
+    a, b = set(), set()
+    for cells, start in ((a, 0), (b, 5)):
+        for _ in range(60):
+            row, c0 = rng.randint(0, 5), rng.randint(start, 25)
+            cells |= {(k, row, c) for c in range(c0, c0 + 4) for k in (1, 2)}
+    def spans(cells, key):
+        rows = [(k, r, c, c + 1) for k, r, c in cells]
+        return merge_spans(spark.createDataFrame(rows, f"{key} int, row_no int, c0 int, c1 int"), [key])
+    both = burn(intersect_spans(spans(a, "i"), spans(b, "j"), ["i", "j"], width=4)).collect()
+    got = [(r.i, r.j, r.row_no, r.col_no) for r in both]
+    want = {(i, j, r, c) for i, r, c in a for j in (1, 2) if (j, r, c) in b}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_touching_spans_melt(spark):
     df = spark.createDataFrame([(0, 1, 4), (0, 4, 9), (0, 12, 13)], "row_no int, c0 int, c1 int")
     assert sorted((r.c0, r.c1) for r in merge_spans(df).collect()) == [(1, 9), (12, 13)]
@@ -144,7 +162,7 @@ def test_locate_across_strips(spark):
 
 
 def test_align_drops_points_outside(spark):
-    points = spark.createDataFrame([(0.0, 19.9), (29.9, 0.1), (-0.1, 5.0), (5.0, 20.5)], "x double, y double")
+    points = spark.createDataFrame([(0.0, 19.9), (29.9, 0.1), (-0.1, 5.0), (5.0, 20.5), (1e300, 5.0), (float("nan"), 5.0)], "x double, y double")
     rows = {(r.row_no, r.col_no) for r in align(points, GRID).collect()}
     assert rows == {(0, 0), (19, 29)}
 
