@@ -49,7 +49,9 @@ def _layer(spark: SparkSession, path: str, kinds: T.StructType, grid: Grid) -> D
     return layer
 
 
-def _units(spark: SparkSession, path: str, grid: Grid, level: str) -> tuple[DataFrame, DataFrame, str]:
+def _units(
+    spark: SparkSession, path: str, grid: Grid, level: str
+) -> tuple[DataFrame, DataFrame, str]:
     """Edges and attribute table of an administrative layer, and its code column."""
     kinds, code = (ADM2, "hlcit_code") if level == "adm2" else (ADM1, "state")
     layer = _layer(spark, path, kinds, grid)
@@ -66,17 +68,22 @@ def classify(
     grid: str,
     out: str,
     level: str = "adm2",
+    layout: str = "cells",
 ) -> None:
     """Result CSV tree, dissolved features and bar chart tables of every raster.
 
+    ``layout`` tells whether rasters and population are stored as ``cells`` or row ``segments``.
     ``out`` receives ``results/<season>/<dataset>_<level>.csv``, ``features`` and ``charts``.
     """
     header = W.read_grid(spark, grid)
     edges, table, code = _units(spark, units, header, level)
-    located = stored(
-        C.unit_cells(W.read_population(spark, population), edges, header, code), "unit_cells"
-    )
-    cells = C.banded_rasters(located, W.read_travel_time(spark, rasters))
+    times = W.read_travel_time(spark, rasters, layout)
+    people = W.read_population(spark, population, layout)
+    spans = rasterise(edges, header, [code])
+    if layout == "segments":
+        cells = C.banded_segments(times, people, stored(spans, "spans"), code, C.DATASET)
+    else:
+        cells = C.banded_rasters(stored(locate(people, spans), "unit_cells"), times)
     sums = C.raster_band_population(cells, code)
     share = C.lgu_share if level == "adm2" else C.province_share
     result = stored(share(sums, table), "result")

@@ -158,19 +158,11 @@ def intersect_spans(
     touched.
     """
 
-    def cut(spans: DataFrame) -> DataFrame:
-        return (
-            _by_strip(spans, width)
-            .withColumn("c0", F.greatest("c0", F.col("strip") * width))
-            .withColumn("c1", F.least("c1", (F.col("strip") + 1) * width))
-        )
-
-    left, right = cut(a), cut(b).withColumnsRenamed({"c0": "b0", "c1": "b1"})
+    left = cut_by_strip(a, width)
+    right = cut_by_strip(b, width).withColumnsRenamed({"c0": "b0", "c1": "b1"})
     both = left.join(right, ["row_no", "strip"]).where("c0 < b1 and b0 < c1")
-    return merge_spans(
-        both.select(*keys, "row_no", F.greatest("c0", "b0").alias("c0"), F.least("c1", "b1").alias("c1")),
-        keys,
-    )
+    start, end = F.greatest("c0", "b0").alias("c0"), F.least("c1", "b1").alias("c1")
+    return merge_spans(both.select(*keys, "row_no", start, end), keys)
 
 
 def burn(spans: DataFrame) -> DataFrame:
@@ -188,6 +180,15 @@ def _by_strip(spans: DataFrame, width: int) -> DataFrame:
     )
 
 
+def cut_by_strip(spans: DataFrame, width: int = STRIP) -> DataFrame:
+    """Spans cut at strip borders, with the ``strip`` of each piece."""
+    return (
+        _by_strip(spans, width)
+        .withColumn("c0", F.greatest("c0", F.col("strip") * width))
+        .withColumn("c1", F.least("c1", (F.col("strip") + 1) * width))
+    )
+
+
 def locate(
     cells: DataFrame, spans: DataFrame, how: str = "inner", width: int = STRIP
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from access_engine.functions import bands as B
 from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import CELL, lookup, name_layers, unstack, zonal_stats
+from access_engine.operators.segments import segment_cells
 from access_engine.operators.spans import locate, rasterise
 
 DATASET = ["season", "fac_type"]
@@ -46,6 +47,14 @@ def banded_rasters(located: DataFrame, rasters: DataFrame) -> DataFrame:
     return banded.join(located, CELL)
 
 
+def banded_segments(
+    rasters: DataFrame, population: DataFrame, spans: DataFrame, unit: str, keys: Sequence[str]
+) -> DataFrame:
+    """The same for rasters and population stored as row segments; units come as spans."""
+    cells = segment_cells(rasters, population, spans, keys, unit)
+    return B.classify_bands(cells).where(F.col("band") > 0).drop("hours")
+
+
 def band_population(cells: DataFrame, unit: str, names: Sequence[tuple[str, str]]) -> DataFrame:
     """``cat_pop`` per dataset, unit and band; band 0 (outside the bands) makes no zone."""
     sums = (
@@ -57,7 +66,7 @@ def band_population(cells: DataFrame, unit: str, names: Sequence[tuple[str, str]
 
 
 def raster_band_population(cells: DataFrame, unit: str) -> DataFrame:
-    """``cat_pop`` per dataset, unit and band from :func:`banded_rasters`."""
+    """``cat_pop`` per dataset, unit and band of cells that carry their raster's names."""
     return cells.groupBy(*DATASET, unit, F.col("band").alias("trav_value")).agg(
         F.sum("pop").alias("cat_pop")
     )

@@ -6,26 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from access_engine.operators.grid import Grid
 
-TRAVEL_TIME = T.StructType(
-    [
-        T.StructField("row_no", T.IntegerType()),
-        T.StructField("col_no", T.IntegerType()),
-        T.StructField("hours", T.DoubleType()),
-        T.StructField("season", T.StringType()),
-        T.StructField("fac_type", T.StringType()),
-    ]
-)
-POPULATION = T.StructType(
-    [
-        T.StructField("row_no", T.IntegerType()),
-        T.StructField("col_no", T.IntegerType()),
-        T.StructField("pop", T.DoubleType()),
-    ]
-)
+# long cells, or row segments (operators.segments)
+TRAVEL_TIME = {
+    "cells": "row_no int, col_no int, hours double, season string, fac_type string",
+    "segments": "row_no int, strip int, hours array<double>, season string, fac_type string",
+}
+POPULATION = {
+    "cells": "row_no int, col_no int, pop double",
+    "segments": "row_no int, strip int, pop array<double>",
+}
 GRID = "x0 double, y0 double, dx double, dy double, ncols int, nrows int, srid int"
 
 
@@ -38,13 +30,13 @@ def write_grid(spark: SparkSession, grid: Grid, path: str) -> None:
     spark.createDataFrame([tuple(vars(grid).values())], GRID).write.json(path)
 
 
-def read_travel_time(spark: SparkSession, path: str) -> DataFrame:
+def read_travel_time(spark: SparkSession, path: str, layout: str = "cells") -> DataFrame:
     """All travel-time rasters, partitioned by season and facility type."""
-    return spark.read.schema(TRAVEL_TIME).parquet(path)
+    return spark.read.schema(TRAVEL_TIME[layout]).parquet(path)
 
 
-def read_population(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POPULATION).parquet(path)
+def read_population(spark: SparkSession, path: str, layout: str = "cells") -> DataFrame:
+    return spark.read.schema(POPULATION[layout]).parquet(path)
 
 
 def tile_cells(
@@ -76,8 +68,10 @@ def stack_layers(rasters: DataFrame, names: Sequence[tuple[str, str]]) -> DataFr
     return rasters.groupBy("row_no", "col_no").agg(F.array(*layer).alias("hours"))
 
 
-def write_sorted(cells: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Cells laid out by raster row, so that Parquet statistics skip what a window does not need."""
-    ranged = cells.repartitionByRange(*partition_by, "row_no", "col_no")
-    writer = ranged.sortWithinPartitions(*partition_by, "row_no", "col_no").write
+def write_sorted(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Cells or segments laid out by raster row, so that Parquet statistics skip what a window
+    does not need."""
+    place = ["row_no", "strip" if "strip" in df.columns else "col_no"]
+    ranged = df.repartitionByRange(*partition_by, *place)
+    writer = ranged.sortWithinPartitions(*partition_by, *place).write
     writer.option("compression", "zstd").partitionBy(*partition_by).parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import Grid, align
+from access_engine.operators.segments import to_segments
+from access_engine.operators.spans import rasterise
 from access_engine.plans import classification as C
 from access_engine.sources.order_grid import LAYERS, OrderGrid
 from checks.fixture_sql import BAND_CASE, with_views
@@ -15,9 +17,7 @@ from checks.fixture_sql import BAND_CASE, with_views
 
 def located(g: OrderGrid) -> DataFrame:
     """Population cells with their unit id."""
-    return C.unit_cells(
-        g.population, g.lgu_edges, g.grid
-    )
+    return C.unit_cells(g.population, g.lgu_edges, g.grid)
 
 
 def adm2(g: OrderGrid, cells: DataFrame) -> DataFrame:
@@ -121,6 +121,17 @@ def lgu_band_share(g: OrderGrid) -> DataFrame:
     return share_table(g)
 
 
+def segment_band_share(g: OrderGrid) -> DataFrame:
+    """The LGU result again, from rasters and population stored as row segments."""
+    long = O.unstack(g.stack, "row_no", "col_no")
+    times = to_segments(long.where(F.col("hours").isNotNull()), "hours", ["layer"])
+    people = to_segments(g.population, "pop")
+    cells = C.banded_segments(times, people, rasterise(g.lgu_edges, g.grid, ["id"]), "id", ["layer"])
+    per_unit = C.band_population(cells, "id", LAYERS)
+    keyed = per_unit.join(g.lgu_codes.select("id", "hlcit_code"), "id").drop("id")
+    return C.lgu_share(keyed, adm2(g, located(g)))
+
+
 def province_band_share(g: OrderGrid) -> DataFrame:
     cells = located(g)
     units = adm2(g, cells)
@@ -161,6 +172,7 @@ QUERIES = {
         overlay_key_dissolve,
         zonal_sum_count,
         lgu_band_share,
+        segment_band_share,
         province_band_share,
         share_decimal_percent,
         lgu_left_lookup,
@@ -206,6 +218,7 @@ ORACLE = {
         "select id, sum(pop) as pop_sum, count(pop) as pop_count from fx_cells c join fx_lgu_cell l on l.cell = c.cell group by id"
     ),
     "lgu_band_share": with_views(f"select {_RESULT} from fx_labelled"),
+    "segment_band_share": with_views(f"select {_RESULT} from fx_labelled"),
     "province_band_share": with_views("select * from fx_province_share"),
     "share_decimal_percent": with_views(
         "select season, fac_type, adm2_code, trav_value, cast(try_cast(case when adm_pop > 0 then cat_pop / adm_pop * cast(100 as double) end as decimal(5,4)) as double) as pc_pop from fx_share"
