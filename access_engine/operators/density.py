@@ -114,7 +114,10 @@ def density(
         sums.alias("s")
         .join(sizes.alias("z"), same_keys("s", "z", keys))
         .select(
-            *[F.col(f"s.{k}").alias(k) for k in keys], "i", "x", (F.col("s.s") / scale).alias("density")
+            *[F.col(f"s.{k}").alias(k) for k in keys],
+            "i",
+            "x",
+            (F.col("s.s") / scale).alias("density"),
         )
     )
     peaks = curves.groupBy(*panel).agg(F.max("density").alias("peak"))

@@ -49,15 +49,18 @@ def _tile_labels(kind: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.n
             label = up
 
 
-def _label_tile(pdf: pd.DataFrame, tile: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("cell_id", ignore_index=True)
-    row = pdf["row_no"].to_numpy() % tile
-    col = pdf["col_no"].to_numpy() % tile
+def _label_tile(pdf: pd.DataFrame, tile: int, ncols: int) -> pd.DataFrame:
+    """``label``: the smallest cell id of the component within the tile."""
+    ids = pdf["cell_id"].to_numpy()
+    order = np.argsort(ids)
+    ids = ids[order]
+    row, col = ids // ncols % tile, ids % ncols % tile
     position = np.full((tile + 1, tile + 1), -1, dtype=np.int64)
-    position[row, col] = np.arange(len(pdf))
-    kind = pd.factorize(pdf["class"])[0]
+    position[row, col] = np.arange(len(ids))
+    kind = pd.factorize(pdf["class"].to_numpy()[order])[0]
     label = _tile_labels(kind, position[row, col + 1], position[row + 1, col])
-    return pdf.assign(label=pdf["cell_id"].to_numpy()[label]).drop(columns=["tile_row", "tile_col"])
+    pdf = pdf.drop(columns=["tile_row", "tile_col"]).iloc[order]
+    return pdf.assign(label=ids[label])
 
 
 def _star_round(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,8 +94,8 @@ def connected_components(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFram
     """``a, b`` pairs of node ids -> ``node, component`` with the smallest id as component.
 
     Nodes of different ``keys`` are different nodes. Every node of a pair gets a row, except the
-    smallest of its component. Each round is written to the shared folder and the round before it
-    removed, so the plan stays short and a lost executor costs one round at most.
+    smallest of its component. Each round is written to the shared folder and older ones
+    are removed, so the plan stays short and a lost executor costs one round at most.
     """
     spark = pairs.sparkSession
     edges, path = store(
@@ -101,10 +104,13 @@ def connected_components(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFram
         .distinct(),
         "links",
     )
+    superseded = None
     while True:
         following, next_path = store(_star_round(edges, keys), "links")
-        drop(spark, path)
-        edges, path = following, next_path
+        # a round is removed one round late: stages the optimizer gave up may still be reading it
+        if superseded:
+            drop(spark, superseded)
+        edges, superseded, path = following, path, next_path
         if not edges.agg(F.max("moved")).first()[0]:
             return edges.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("component"))
         edges = edges.drop("moved")
@@ -118,19 +124,25 @@ def polygonize(
     ``cells`` holds ``row_no, col_no``, the class and the ``keys`` of its dataset. The labelled
     tiles stay in the shared folder, because the result reads them.
     """
+    row, col, ncols = F.col("row_no"), F.col("col_no"), grid.ncols
     tiled = cells.select(
         *keys,
-        "row_no",
-        "col_no",
         F.col(class_col).alias("class"),
-        grid.cell_id(F.col("row_no"), F.col("col_no")).alias("cell_id"),
-        F.floor(F.col("row_no") / tile).cast("int").alias("tile_row"),
-        F.floor(F.col("col_no") / tile).cast("int").alias("tile_col"),
+        grid.cell_id(row, col).alias("cell_id"),
+        F.floor(row / tile).cast("int").alias("tile_row"),
+        F.floor(col / tile).cast("int").alias("tile_col"),
     )
     out = tiled.drop("tile_row", "tile_col").withColumn("label", F.lit(0).cast("long")).schema
+    labelled = tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(
+        lambda pdf: _label_tile(pdf, tile, ncols), out
+    )
     local, _ = store(
-        tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(
-            lambda pdf: _label_tile(pdf, tile), out
+        labelled.select(
+            *keys,
+            "class",
+            "label",
+            F.expr(f"int(cell_id div {ncols})").alias("row_no"),
+            F.expr(f"int(cell_id % {ncols})").alias("col_no"),
         ),
         "tiles",
     )

@@ -23,6 +23,7 @@ LEVELS = {
     "province": (["province"], "prov_pop"),
     "province_zone": (["province", "geog"], "geog_pop"),
 }
+TOTALS = {"geog": "geog_pop", "province": "prov_pop"}
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
@@ -74,7 +75,7 @@ def summarise(
     """
     extra, whole = LEVELS[level]
     keys = [*extra, *BY_BAND]
-    totals = list(dict.fromkeys(["tot_pop", *[f"{_TOTAL[k]}" for k in extra]]))
+    totals = ["tot_pop", *[TOTALS[k] for k in extra]]
     if largest_group(complete, keys) <= limit:
         stats = complete.groupBy(*keys).agg(
             *_moments(totals), *builtin_quantiles("pc_pop", QUARTILES)
@@ -93,9 +94,6 @@ def summarise(
     )
 
 
-_TOTAL = {"geog": "geog_pop", "province": "prov_pop"}
-
-
 def summarise_all(complete: DataFrame, limit: int = PERCENTILE_GROUP_LIMIT) -> DataFrame:
     """All four levels in one pass; ``level`` names the level, unused keys are NULL."""
     if largest_group(complete, BY_BAND) > limit:
@@ -150,7 +148,9 @@ _STATS = [
 ]
 
 
-def compare_seasons(summary: DataFrame, keys: Sequence[str], carried: Mapping[str, str]) -> DataFrame:
+def compare_seasons(
+    summary: DataFrame, keys: Sequence[str], carried: Mapping[str, str]
+) -> DataFrame:
     """Normal and monsoon share of the same group side by side.
 
     ``carried`` maps output columns to columns that are equal in both seasons.

@@ -15,7 +15,8 @@ from access_engine.operators.summary import LEVELS, compare_seasons
 def _bar_label(share: Column, people: Column) -> Column:
     """``<percent>%`` over ``<population> persons``; a missing share prints as NA."""
     percent = F.coalesce(B.percent_text(share), F.lit("NA"))
-    return F.concat(percent, F.lit("%\n"), F.coalesce(B.grouped_digits(people), F.lit("NA")), F.lit(" persons"))
+    count = F.coalesce(B.grouped_digits(people), F.lit("NA"))
+    return F.concat(percent, F.lit("%\n"), count, F.lit(" persons"))
 
 
 def _band_columns() -> list[Column]:

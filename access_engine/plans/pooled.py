@@ -14,9 +14,8 @@ from access_engine.storage import stored
 
 def pool(results: DataFrame, zones: DataFrame) -> DataFrame:
     """Zone of each unit, codes replaced by names; unknown codes stay as they are."""
-    named = lookup(
-        results, zones.withColumnRenamed("adm2_code", "unit"), F.col("adm2_code") == F.col("unit"), ["geog"]
-    )
+    by_unit = zones.withColumnRenamed("adm2_code", "unit")
+    named = lookup(results, by_unit, F.col("adm2_code") == F.col("unit"), ["geog"])
     return named.withColumn(
         "season", B.recode(F.col("season"), config.SEASON_NAMES)
     ).withColumn("fac_type", B.recode(F.col("fac_type"), config.FACILITY_NAMES))

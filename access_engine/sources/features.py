@@ -50,9 +50,8 @@ def ring_vertices(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = features.select(*keys, F.posexplode("coordinates").alias("part_no", "rings"))
     rings = parts.select(*keys, "part_no", F.posexplode("rings").alias("ring_no", "points"))
     points = rings.select(*keys, "part_no", "ring_no", F.posexplode("points").alias("seq", "p"))
-    return points.select(
-        *keys, "part_no", "ring_no", "seq", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")
-    )
+    x, y = F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")
+    return points.select(*keys, "part_no", "ring_no", "seq", x, y)
 
 
 def ring_edges(vertices: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -33,7 +33,7 @@ SCHEMAS = {
 }
 CELL = [
     "o_orderkey as cell",
-    f"cast(floor(o_orderkey / {NCOLS}) as int) as row_no",
+    f"cast(o_orderkey div {NCOLS} as int) as row_no",
     f"cast(o_orderkey % {NCOLS} as int) as col_no",
 ]
 
@@ -96,8 +96,8 @@ class OrderGrid:
             "cell",
             "row_no",
             "col_no",
-            f"""transform(sequence(0, {len(LAYERS) - 1}), k ->
-                    base_hours * (1D + 0.25D * (k div {n})) * (1D + 0.125D * (k % {n}))) as hours""",
+            f"""transform(sequence(0, {len(LAYERS) - 1}), k -> base_hours
+                    * (1D + 0.25D * (k div {n})) * (1D + 0.125D * (k % {n}))) as hours""",
         )
 
     @cached_property
@@ -108,7 +108,7 @@ class OrderGrid:
 
         def corner(i: str, j: str) -> list[str]:
             return [
-                f"cast({along} * 100 + if({along} in (0, 5), 0, ({i} * {a} + {j} * {b}) % 21 - 10) as double)"
+                f"double({along} * 100 + if({along} in (0, 5), 0, ({i} * {a} + {j} * {b}) % 21 - 10))"
                 for along, a, b in ((i, 37, 17), (j, 13, 29))
             ]
 

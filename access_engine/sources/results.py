@@ -69,6 +69,14 @@ def bind_rows(frames: Sequence[DataFrame]) -> DataFrame:
     return united
 
 
-def save_cells(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("row_no", "col_no")) -> None:
+def save_result(df: DataFrame, table: str, schema: T.StructType = LGU_RESULT) -> None:
+    """Keep the export columns of a result as a table, with the dataset columns in front."""
+    dataset = [c for c in ("season", "fac_type") if c in df.columns]
+    df.select(*dataset, *schema.names).write.saveAsTable(table)
+
+
+def save_cells(
+    df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("row_no", "col_no")
+) -> None:
     """Store a cell table bucketed and sorted by cell, so that later joins need no shuffle."""
     df.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)

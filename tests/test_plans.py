@@ -139,6 +139,19 @@ def test_plain_files_of_one_folder_per_season(spark, tmp_path):
     }
 
 
+def test_results_as_a_table(spark):
+    from checks import QUERIES
+
+    shares = QUERIES["lgu_band_share"](spark, FOLDER)
+    R.save_result(shares.withColumn("extra", F.lit(1)), "shares")
+    try:
+        kept = spark.table("shares")
+        assert kept.columns == ["season", "fac_type", *LGU_RESULT.names]
+        assert kept.count() == shares.count() and kept.limit(5).count() == 5
+    finally:
+        spark.sql("drop table shares")
+
+
 def test_one_folder_per_chart(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "loop string, v int")
     H.write_chart_tables(df, str(tmp_path / "charts"), ["loop"])
