@@ -73,20 +73,26 @@ def raster_band_population(cells: DataFrame, unit: str) -> DataFrame:
 
 
 def lgu_share(
-    cat_pop: DataFrame, adm2: DataFrame, dataset: Sequence[str] = tuple(DATASET)
+    cat_pop: DataFrame,
+    adm2: DataFrame,
+    key: str = "hlcit_code",
+    dataset: Sequence[str] = tuple(DATASET),
 ) -> DataFrame:
     """Result table of the local units: population and share per band.
 
-    ``cat_pop`` comes keyed by ``hlcit_code``; name and population are looked up, and a code the
-    dimension lacks keeps its row with NULLs.
+    ``cat_pop`` and ``adm2`` meet on ``key``, the unit code or another unit number. Name and
+    population are looked up; a code the dimension lacks keeps its row with NULLs.
     """
+    columns = ["hlcit_code", "lu_name", "pop_sum"]
     named = lookup(
-        cat_pop.withColumnRenamed("hlcit_code", "adm2_code"),
-        adm2.select("hlcit_code", "lu_name", "pop_sum"),
-        F.col("adm2_code") == F.col("hlcit_code"),
-        ["lu_name", "pop_sum"],
+        cat_pop.withColumnRenamed(key, "unit"),
+        adm2.select(*dict.fromkeys([key, *columns])),
+        F.col("unit") == F.col(key),
+        columns,
     )
-    return named.select(
+    return named.withColumn(
+        "adm2_code", F.col("unit") if key == "hlcit_code" else F.col("hlcit_code")
+    ).select(
         *dataset,
         F.col("lu_name").alias("adm_name"),
         "adm2_code",

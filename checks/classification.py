@@ -38,10 +38,8 @@ def adm1(units: DataFrame) -> DataFrame:
 def share_table(g: OrderGrid) -> DataFrame:
     """LGU result of all 32 rasters with its season and facility codes."""
     cells = located(g)
-    units = adm2(g, cells)
     per_unit = C.band_population(C.banded_cells(cells, g.stack), "id", LAYERS)
-    keyed = per_unit.join(units.select("id", "hlcit_code"), "id").drop("id")
-    return C.lgu_share(keyed, units)
+    return C.lgu_share(per_unit, adm2(g, cells), "id")
 
 
 def band_classify(g: OrderGrid) -> DataFrame:
@@ -127,9 +125,7 @@ def segment_band_share(g: OrderGrid) -> DataFrame:
     times = to_segments(long.where(F.col("hours").isNotNull()), "hours", ["layer"])
     people = to_segments(g.population, "pop")
     cells = C.banded_segments(times, people, rasterise(g.lgu_edges, g.grid, ["id"]), "id", ["layer"])
-    per_unit = C.band_population(cells, "id", LAYERS)
-    keyed = per_unit.join(g.lgu_codes.select("id", "hlcit_code"), "id").drop("id")
-    return C.lgu_share(keyed, adm2(g, located(g)))
+    return C.lgu_share(C.band_population(cells, "id", LAYERS), adm2(g, located(g)), "id")
 
 
 def province_band_share(g: OrderGrid) -> DataFrame:
