@@ -17,6 +17,7 @@ from access_engine.operators import density as D
 from access_engine.operators import summary as S
 from access_engine.operators.boundary import assemble_features, cells_to_spans
 from access_engine.operators.grid import Grid, same_srid
+from access_engine.operators.segments import segment_zones
 from access_engine.operators.spans import locate, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
@@ -80,17 +81,20 @@ def classify(
     times = W.read_travel_time(spark, rasters, layout)
     people = W.read_population(spark, population, layout)
     spans = rasterise(edges, header, [code])
+    keys = ["season", "fac_type", code, "band"]
     if layout == "segments":
-        cells = C.banded_segments(times, people, stored(spans, "spans"), code, C.DATASET)
+        spans = stored(spans, "spans")
+        cells = C.banded_segments(times, people, spans, code, C.DATASET)
+        zones = segment_zones(times, spans, C.DATASET, code, B.band_of).where(F.col("band") > 0)
     else:
         cells = C.banded_rasters(stored(locate(people, spans), "unit_cells"), times)
+        zones = cells_to_spans(cells, keys)
     sums = C.raster_band_population(cells, code)
     share = C.lgu_share if level == "adm2" else C.province_share
     result = stored(share(sums, table), "result")
     R.write_result_tree(result, f"{out}/results", level)
 
-    keys = ["season", "fac_type", code, "band"]
-    shapes = assemble_features(cells_to_spans(cells, keys), header, keys)
+    shapes = assemble_features(zones, header, keys)
     features = shapes.withColumn("dissolve", B.dissolve_key(F.col(code), F.col("band")))
     own = "adm2_code" if level == "adm2" else "adm_code"
     described = features.withColumnsRenamed({code: own, "band": "trav_value"}).join(

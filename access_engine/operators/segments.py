@@ -8,14 +8,14 @@ after the joins, in the stage that pre-aggregates them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from access_engine.config import STRIP
 from access_engine.operators.grid import strip_of
-from access_engine.operators.spans import cut_by_strip
+from access_engine.operators.spans import cut_by_strip, merge_spans
 
 
 def to_segments(
@@ -37,6 +37,18 @@ def to_segments(
     )
 
 
+def _unit_pieces(spans: DataFrame, unit: str, width: int) -> DataFrame:
+    """Spans cut by strip, with where they start in the segment's array and how long they are."""
+    return cut_by_strip(spans, width).select(
+        unit,
+        "row_no",
+        "strip",
+        "c0",
+        (F.col("c0") - F.col("strip") * width + 1).alias("first"),
+        (F.col("c1") - F.col("c0")).alias("length"),
+    )
+
+
 def segment_cells(
     rasters: DataFrame,
     population: DataFrame,
@@ -50,22 +62,15 @@ def segment_cells(
     The part of a segment a unit's span covers is sliced out of both arrays and unfolded; cells
     without travel time or population leave.
     """
-    cut = cut_by_strip(spans, width).select(
-        unit,
-        "row_no",
-        "strip",
-        "c0",
-        (F.col("c0") - F.col("strip") * width + 1).alias("first"),
-        (F.col("c1") - F.col("c0")).alias("length"),
-    )
     on = ["row_no", "strip"]
-    met = rasters.select(*keys, *on, "hours").join(population.select(*on, "pop"), on).join(cut, on)
+    met = rasters.select(*keys, *on, "hours").join(population.select(*on, "pop"), on)
     pairs = F.arrays_zip(
         F.slice("hours", F.col("first"), F.col("length")).alias("hours"),
         F.slice("pop", F.col("first"), F.col("length")).alias("pop"),
     )
     return (
-        met.select(*keys, unit, "row_no", "c0", F.posexplode(pairs).alias("at", "cell"))
+        met.join(_unit_pieces(spans, unit, width), on)
+        .select(*keys, unit, "row_no", "c0", F.posexplode(pairs).alias("at", "cell"))
         .select(
             *keys,
             unit,
@@ -76,3 +81,45 @@ def segment_cells(
         )
         .where(F.col("hours").isNotNull() & F.col("pop").isNotNull())
     )
+
+
+def segment_zones(
+    rasters: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    classify: Callable[[Column], Column],
+    width: int = STRIP,
+) -> DataFrame:
+    """Spans of equal (unit, class) of every raster: ``keys, unit, band, row_no, c0, c1``.
+
+    Runs of equal class are found inside each segment, so only runs are shuffled, never cells;
+    runs that touch at a strip border melt together. Cells without a class belong to no span.
+    """
+    on = ["row_no", "strip"]
+    met = (
+        rasters.select(*keys, *on, "hours")
+        .join(_unit_pieces(spans, unit, width), on)
+        .withColumn("covered", F.slice("hours", F.col("first"), F.col("length")))
+        .withColumn("bands", F.transform("covered", lambda hours: classify(hours)))
+    )
+    bands, starts = F.col("bands"), F.col("starts")
+    opens = F.filter(
+        F.sequence(F.lit(0), F.col("length") - 1),
+        lambda i: (i == 0) | ~F.get(bands, i).eqNullSafe(F.get(bands, i - 1)),
+    )
+    runs = F.transform(
+        starts,
+        lambda start, i: F.struct(
+            F.get(bands, start).alias("band"),
+            (F.col("c0") + start).alias("begin"),
+            (F.col("c0") + F.coalesce(F.get(starts, i + 1), F.col("length"))).alias("end"),
+        ),
+    )
+    pieces = (
+        met.withColumn("starts", opens)
+        .select(*keys, unit, "row_no", F.inline_outer(runs))
+        .where(F.col("band").isNotNull())
+        .withColumnsRenamed({"begin": "c0", "end": "c1"})
+    )
+    return merge_spans(pieces, [*keys, unit, "band"])

@@ -11,6 +11,7 @@ from access_engine.operators import boundary as S
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import same_srid
 from access_engine.operators.regions import polygonize
+from access_engine.operators.segments import segment_zones, to_segments
 from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans.classification import banded_cells
@@ -82,9 +83,12 @@ def province_cell_boundary(g: OrderGrid) -> DataFrame:
 
 
 def zone_boundary(g: OrderGrid) -> DataFrame:
+    return zone_outlines(band_spans(g))
+
+
+def zone_outlines(spans: DataFrame) -> DataFrame:
     """Cells, outline length and number of straight outline segments of every dissolved zone."""
     keys = ["layer", "id", "band"]
-    spans = band_spans(g)
     outline = (
         S.span_boundary(spans, keys)
         .groupBy(*keys)
@@ -94,6 +98,16 @@ def zone_boundary(g: OrderGrid) -> DataFrame:
     return O.name_layers(sizes.join(outline, keys), LAYERS)
 
 
+def segment_zone_boundary(g: OrderGrid) -> DataFrame:
+    """The dissolved zones once more, from rasters stored as row segments."""
+    long = O.unstack(g.stack, "row_no", "col_no").where(F.col("hours").isNotNull())
+    units = rasterise(g.lgu_edges, g.grid, ["id"])
+    spans = segment_zones(
+        to_segments(long, "hours", ["layer"]), units, ["layer"], "id", B.band_of
+    ).where(F.col("band") > 0)
+    return zone_outlines(spans)
+
+
 def overlay_parts(g: OrderGrid) -> DataFrame:
     """Unit cells inside and outside the catchments by overlay of two cell sets."""
     units = located(g).select("row_no", "col_no", "id", "pop")
@@ -154,6 +168,7 @@ QUERIES = {
         dissolve_boundary_lgu_to_province,
         province_cell_boundary,
         zone_boundary,
+        segment_zone_boundary,
         overlay_parts,
         uncovered_boundary,
         catch_final,
@@ -237,6 +252,12 @@ ORACLE = {
         f"({_segments(_DISSOLVED, 'season, fac_type, id, band')}) t group by season, fac_type, id, band) o "
         f"join (select season, fac_type, id, band, count(*) as cells from ({_DISSOLVED}) u group by all) n using (season, fac_type, id, band)"
     ),
+    "segment_zone_boundary": with_views(
+        "select season, fac_type, id, band, cells, edges, segments from "
+        "(select season, fac_type, id, band, sum(c1 - c0)::bigint as edges, count(*) as segments from "
+        f"({_segments(_DISSOLVED, 'season, fac_type, id, band')}) t group by season, fac_type, id, band) o "
+        f"join (select season, fac_type, id, band, count(*) as cells from ({_DISSOLVED}) u group by all) n using (season, fac_type, id, band)"
+    ),
     "overlay_parts": with_views(
         "select l.id, case when k.cell is null then 'uncovered' else 'covered' end as part, sum(c.pop) as pop_sum, count(c.pop) as pop_count "
         "from fx_lgu_cell l join fx_cells c on c.cell = l.cell left join (select distinct cell from fx_catch_cell) k on k.cell = l.cell group by 1, 2"

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from access_engine import __main__ as cli
 from access_engine import config
+from access_engine.operators import boundary as S
 from access_engine.operators.overlay import name_layers, unstack
 from access_engine.operators.segments import segment_cells, to_segments
 from access_engine.operators.spans import burn, rasterise
@@ -95,7 +96,7 @@ def test_classify(spark, classified):
     assert charts.count() == want.count()
 
 
-def test_classify_row_segments(spark, inputs, tmp_path):
+def test_classify_row_segments(spark, inputs, classified, tmp_path):
     """The same rasters stored as row segments give the same results and features."""
     times = W.read_travel_time(spark, f"{inputs}/rasters").where("hours is not null")
     people = W.read_population(spark, f"{inputs}/population")
@@ -108,6 +109,11 @@ def test_classify_row_segments(spark, inputs, tmp_path):
     want = QUERIES["lgu_band_share"](spark, FOLDER)
     got = R.read_results(spark, f"{tmp_path}/out/results")
     assert rows_of(got, want.columns) == rows_of(want, want.columns)
+    kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("season", "fac_type", "dissolve")])
+    sides = [V.read_geojson(spark, f"{root}/features", kinds) for root in (classified, f"{tmp_path}/out")]
+    areas = [S.signed_area(V.feature_edges(f, kinds.names), kinds.names) for f in sides]
+    mine, theirs = ({tuple(r)[:3]: r.area for r in a.collect()} for a in areas)
+    assert mine.keys() == theirs.keys() and all(mine[k] == pytest.approx(theirs[k]) for k in mine)
 
 
 def test_segments_hold_every_cell(spark):
