@@ -21,18 +21,38 @@ from access_engine.operators.spans import cut_by_strip, merge_spans
 def to_segments(
     cells: DataFrame, value: str, keys: Sequence[str] = (), width: int = STRIP
 ) -> DataFrame:
-    """Cells -> ``keys, row_no, strip`` and the array ``value``; a group holds one segment."""
-    at = F.map_from_entries(F.collect_list(F.struct(F.col("col_no") % width, F.col(value))))
+    """Cells -> ``keys, row_no, strip`` and the array ``value``; a group holds one segment.
+
+    Places without a cell are NULL. A segment without a gap is padded at its ends only.
+    """
+    kind = dict(cells.dtypes)[value]
+    sorted_cells = F.sort_array(
+        F.collect_list(F.struct((F.col("col_no") % width).alias("at"), F.col(value).alias("v")))
+    )
+
+    def blank(n: Column) -> Column:
+        return F.array_repeat(F.lit(None).cast(kind), n.cast("int"))
+
+    cell = F.col("cells")
+    first, last = F.get(cell, F.lit(0))["at"], F.element_at(cell, -1)["at"]
+    inner = F.flatten(
+        F.transform(
+            cell,
+            lambda c, i: F.concat(
+                blank(F.when(i > 0, c["at"] - F.get(cell, i - 1)["at"] - 1).otherwise(F.lit(0))),
+                F.array(c["v"]),
+            ),
+        )
+    )
+    filled = F.when(F.size(cell) == last - first + 1, cell["v"]).otherwise(inner)
     return (
         cells.groupBy(*keys, "row_no", strip_of(F.col("col_no"), width).alias("strip"))
-        .agg(at.alias("at"))
+        .agg(sorted_cells.alias("cells"))
         .select(
             *keys,
             "row_no",
             "strip",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("at", i)
-            ).alias(value),
+            F.concat(blank(first), filled, blank(F.lit(width - 1) - last)).alias(value),
         )
     )
 

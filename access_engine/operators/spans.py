@@ -168,7 +168,8 @@ def intersect_spans(
 def burn(spans: DataFrame) -> DataFrame:
     """Spans -> one row per cell, for results that need cells."""
     others = [c for c in spans.columns if c not in ("c0", "c1")]
-    return spans.select(*others, F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("col_no"))
+    cols = F.sequence(F.col("c0"), F.col("c1") - 1)
+    return spans.select(*others, F.explode(cols).alias("col_no"))
 
 
 def _by_strip(spans: DataFrame, width: int) -> DataFrame:

@@ -122,7 +122,7 @@ def lgu_band_share(g: OrderGrid) -> DataFrame:
 def segment_band_share(g: OrderGrid) -> DataFrame:
     """The LGU result again, from rasters and population stored as row segments."""
     long = O.unstack(g.stack, "row_no", "col_no")
-    times = to_segments(long.where(F.col("hours").isNotNull()), "hours", ["layer"])
+    times = to_segments(long, "hours", ["layer"])
     people = to_segments(g.population, "pop")
     cells = C.banded_segments(times, people, rasterise(g.lgu_edges, g.grid, ["id"]), "id", ["layer"])
     return C.lgu_share(C.band_population(cells, "id", LAYERS), adm2(g, located(g)), "id")
