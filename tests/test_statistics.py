@@ -70,10 +70,10 @@ def test_paths(spark):
     )
     assert values(df.select(P.season_of(F.col("p")).alias("x")), "x") == ["NM", "MSN", "plain.csv"]
     assert values(df.select(P.facility_of(F.col("p")).alias("x")), "x") == ["allhf", "all_hosp", None]
-    one = spark.createDataFrame([("msn_banks/msn_banks_adm1.csv",)], "p string").select(
+    one = spark.createDataFrame([("nmw_hps/nmw_hps_adm1.csv",)], "p string").select(
         P.chart_season_of(F.col("p")), P.chart_type_of(F.col("p")), P.dataset_of(P.file_name(F.col("p")))
     )
-    assert tuple(one.first()) == ("msn", "banks", "msn_banks")
+    assert tuple(one.first()) == ("nmw", "hps", "nmw_hps")
     assert spark.range(1).select(P.dataset_of(F.lit("nm_dhq_v2.final.tif")).alias("d")).first().d == "nm_dhq"
 
 
