@@ -107,13 +107,14 @@ def mixed(
         .agg(F.min_by("range", "range").alias("cut"), F.min_by(F.col("upto") - F.col("range_size"), "range").alias("before"))
         .select(F.col("source").alias("cs"), "cut", "before")
     )
-    plan = wanted.join(cut, wanted.s.eqNullSafe(cut.cs), "left").drop("cs")
-    rows = drawn.join(plan, drawn.source.eqNullSafe(plan.s)).drop("s")
+    plan = stored(wanted.join(cut, wanted.s.eqNullSafe(cut.cs), "left").drop("cs"), "plan")
     beyond = F.coalesce(F.col("cut"), F.lit(RANGES))
-    outside = rows.where(F.col("range") != beyond).select(
-        kept, "size", "source_size", "target", (F.col("whole") + (F.col("range") < beyond).cast("long")).alias("copies")
+    outside = (
+        drawn.join(plan, drawn.source.eqNullSafe(plan.s) & (drawn.range != beyond))
+        .drop("s")
+        .select(kept, "size", "source_size", "target", (F.col("whole") + (F.col("range") < beyond).cast("long")).alias("copies"))
     )
-    inside = rows.where(F.col("range") == beyond)
+    inside = drawn.join(plan, drawn.source.eqNullSafe(plan.s) & (drawn.range == plan.cut)).drop("s")
     rank = Window.partitionBy("source").orderBy(odds / chance, "u", "tie").rowsBetween(Window.unboundedPreceding, 0)
     after = F.col("before") + F.sum("size").over(rank)
     # The last document is taken if that brings the words nearer to the target.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from access_engine.llm import decontaminate, mixing, quality, sharding, simhash
+from access_engine.llm import chat, decontaminate, mixing, pii, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_simhash": simhash.query,
+    "op3_chat": chat.query,
+    "op4_pii": pii.query,
     "op6_decontaminate": decontaminate.query,
     "op7_mixing": mixing.query,
     "op8_sharding": sharding.query,
+    "op9_tokens": tokens.query,
 }
-ORACLE = {"op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
+ORACLE = {"op3_chat": chat.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
