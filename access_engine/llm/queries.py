@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from access_engine.llm import chat, decontaminate, mixing, pii, quality, sharding, simhash, tokens
+from access_engine.llm import chat, decontaminate, mixing, pii, quality, repeats, sharding, simhash, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_mixing": mixing.query,
     "op8_sharding": sharding.query,
     "op9_tokens": tokens.query,
+    "op10_repeats": repeats.query,
 }
 ORACLE = {"op3_chat": chat.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}

@@ -72,10 +72,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(BLOCK + 1, n)
     if size not in _powers:
         _powers.clear()
-        _powers[size] = tuple(
-            np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64))
-            for b in (_BASE, _INVERSE)
-        )
+        table = np.ones((2, size), np.uint64)
+        table[0, 1:], table[1, 1:] = _BASE, _INVERSE
+        _powers[size] = tuple(np.cumprod(table, axis=1, dtype=np.uint64))
     return _powers[size]
 
 
