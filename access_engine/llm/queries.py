@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from access_engine.llm import chat, decontaminate, mixing, pii, quality, repeats, sharding, simhash, tokens
+from access_engine.llm import chat, decontaminate, mixing, pii, quality, repeats, search, sharding, simhash, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_simhash": simhash.query,
     "op3_chat": chat.query,
     "op4_pii": pii.query,
+    "op5_search": search.query,
     "op6_decontaminate": decontaminate.query,
     "op7_mixing": mixing.query,
     "op8_sharding": sharding.query,
     "op9_tokens": tokens.query,
     "op10_repeats": repeats.query,
 }
-ORACLE = {"op3_chat": chat.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
+ORACLE = {"op3_chat": chat.SQL, "op5_search": search.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
