@@ -4,7 +4,7 @@ A text's windows of ``LENGTH`` bytes are parted by the smallest hash of the 128-
 windows, in whatever texts, get the same key. Runs of windows with a key that occurs twice go to the key's group. A
 group's windows are put in suffix order; the previous and the next smaller position in that order give, for every
 window, the longest match with an earlier one (the longest previous factor), and the greater positions that with a
-later one. A group that is too large is parted further, see `_resolved`.
+later one. A group that is too large is parted beforehand, see `_resolved`.
 """
 
 from __future__ import annotations
@@ -200,13 +200,13 @@ def repeated_runs(units: list[tuple], keep_first: bool) -> Iterator[tuple]:
 
 
 _SPANS = "array<struct<start: bigint, end: bigint>>"
-_UNIT = "doc_id long, digest binary, lo long, n long, key long, bytes binary"
-_FOUND = "digest binary, start long, end long, doc_id long, lo long, n long, bytes binary"
+_UNIT = "doc_id long, digest binary, lo long, n long, key long, large boolean, bytes binary"
+_FOUND = "digest binary, start long, end long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The candidate runs of windows of each text with their bytes."""
-    names = ["doc_id", "digest", "lo", "n", "key", "bytes"]
+    names = ["doc_id", "digest", "lo", "n", "key", "large", "bytes"]
     for batch in batches:
         data, offsets = byte_view(batch.column("text"))
         rows, size = [], 0
@@ -215,7 +215,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = data[offsets[k] : offsets[k + 1]]
             for s in batch.column("runs")[k].as_py():
                 lo, hi = s["lo"], s["hi"]
-                rows.append((doc_id, digest, lo, hi - lo, s["key"], text[lo : hi - 1 + LENGTH].tobytes()))
+                rows.append((doc_id, digest, lo, hi - lo, s["key"], s["large"], text[lo : hi - 1 + LENGTH].tobytes()))
                 size += hi - lo + LENGTH
                 if size > 8 << 20:
                     yield _batch(rows, names)
@@ -223,7 +223,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, names)
 
 
-_TYPES = {"doc_id": pa.int64(), "digest": pa.binary(), "bytes": pa.binary(), "content": pa.binary()}
+_TYPES = {"large": pa.bool_(), "doc_id": pa.int64(), "digest": pa.binary(), "bytes": pa.binary(), "content": pa.binary()}
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -234,44 +234,20 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _searched(keep_first: bool):
-    """Over units sorted by key: what repeats inside groups, and the units of groups that are too large."""
-    names = ["digest", "start", "end", "doc_id", "lo", "n", "bytes"]
+    """What repeats inside groups, over units sorted by key; several groups are sorted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []  # units of whole groups
-        group: list[tuple] = []  # units of the group that is being read
-        key, size, held, large = None, 0, 0, False
-
-        def passed(units: list[tuple]) -> pa.RecordBatch:
-            return _batch([(u[1], None, None, u[0], u[2], u[3], u[4]) for u in units], names)
-
-        def searched() -> pa.RecordBatch:
-            return _batch([(d, a, b, None, None, None, None) for d, a, b in repeated_runs(done, keep_first)], names)
-
+        held: list[tuple] = []
+        key, size = None, 0
         for batch in batches:
             columns = (batch.column(n).to_pylist() for n in ("key", "doc_id", "digest", "lo", "n", "bytes"))
             for k, *unit in zip(*columns, strict=True):
-                if k != key:
-                    if large:
-                        yield passed(group)
-                    elif len(group) > 1 or (group and group[0][3] > 1):
-                        done += group
-                        held += size
-                    if held > SORT_BYTES:
-                        yield searched()
-                        done, held = [], 0
-                    group, key, size, large = [], k, 0, False
-                group.append(tuple(unit))
-                size += len(unit[4])
-                if size > GROUP_BYTES:
-                    large = True
-                    yield passed(group)
-                    group, size = [], 0
-        if large:
-            yield passed(group)
-        else:
-            done += group
-        yield searched()
+                if k != key and size > SORT_BYTES:
+                    yield _batch(list(repeated_runs(held, keep_first)), ["digest", "start", "end"])
+                    held, size = [], 0
+                held.append(tuple(unit))
+                key, size = k, size + len(unit[4])
+        yield _batch(list(repeated_runs(held, keep_first)), ["digest", "start", "end"])
 
     return run
 
@@ -318,16 +294,14 @@ _PIECE = "doc_id long, digest binary, lo long, n long, key long, content binary,
 def _resolved(units: DataFrame, keep_first: bool) -> DataFrame:
     """(digest, start, end) of what repeats among the units.
 
-    Groups up to ``GROUP_BYTES`` are searched whole. The units of larger ones are cut into pieces of ``PIECE``
-    windows; pieces that share their core with no other have no repeat, equal pieces are all repeats of the first,
-    and of each set of equal pieces one stands for all in the pieces' own groups. Where such a group is too large
-    again, its windows are compared by a 128-bit hash of their bytes, counted with map-side combination.
+    Units of groups up to ``GROUP_BYTES`` meet by key and are searched whole. Larger groups never meet: their units
+    are cut into pieces of ``PIECE`` windows; pieces that share their core with no other have no repeat, equal pieces
+    are all repeats of the first, and of each set of equal pieces one stands for all in the pieces' own groups. Where
+    such a group is too large again, its windows are compared by a 128-bit hash of their bytes, counted with map-side
+    combination.
     """
-    first = stored(_grouped(units, keep_first), "repeats")
-    out = first.where("start IS NOT NULL").select("digest", "start", "end")
-    large = first.where("start IS NULL")
-    if large.isEmpty():
-        return out
+    units = stored(units, "units")
+    first = _grouped(units.where("NOT large"), keep_first)
 
     def cut(rows: DataFrame, width: int) -> DataFrame:
         return stored(rows.select("doc_id", "digest", "lo", "n", "bytes").mapInArrow(_pieces(width), _PIECE), "pieces")
@@ -335,25 +309,23 @@ def _resolved(units: DataFrame, keep_first: bool) -> DataFrame:
     def equal(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Repeats among equal pieces, and (key, content, one) with the first of each set."""
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "lo")
-        last = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "lo")
-        sets = pieces.groupBy("key", "content").agg(F.min(place).alias("one"), F.max(last).alias("other"))
+        sets = pieces.groupBy("key", "content").agg(F.min(place).alias("one"), F.max(place).alias("other"))
         more = sets.where("one != other").select("content", "one")
         members = pieces.withColumn("place", place).join(more, "content")
         if keep_first:
             members = members.where("place != one")
         return members.select("digest", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("end")), sets
 
-    pieces = cut(large, PIECE)
+    pieces = cut(units.where("large"), PIECE)
     same, sets = equal(pieces)
-    shared = sets.groupBy("key").count().where("count > 1").select("key")
-    ones = sets.select("key", "one.doc_id", "one.digest", "one.lo").join(shared, "key", "left_semi")
-    ones = ones.select(F.col("key").alias("k"), F.col("digest").alias("d"), F.col("lo").alias("l"))
+    shared = sets.groupBy("key").count().where("count > 1")
+    shared = shared.select("key", (F.col("count") * (PIECE + LENGTH) > GROUP_BYTES).alias("large"))
+    ones = sets.select("key", "one.digest", "one.lo").join(shared, "key")
+    ones = ones.select(F.col("key").alias("k"), F.col("digest").alias("d"), F.col("lo").alias("l"), "large")
     apart = pieces.join(ones, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")) & (F.col("lo") == F.col("l")))
-    second = stored(_grouped(apart, keep_first), "repeats")
-    windows = cut(second.where("start IS NULL"), 1)
-    alike, _ = equal(windows)
-    found = second.where("start IS NOT NULL").select("digest", "start", "end")
-    return out.union(same).union(found).union(alike)
+    second = _grouped(apart.where("NOT large"), keep_first)
+    alike, _ = equal(cut(apart.where("large"), 1))
+    return first.union(same).union(second).union(alike)
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,11 +377,12 @@ def removed_spans(docs: DataFrame, keep_first: bool = True) -> tuple[DataFrame,
     same = F.xxhash64("digest")
     repeated = (
         runs.groupBy("key")
-        .agg(F.min(same).alias("a"), F.max(same).alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(F.min(same).alias("a"), F.max(same).alias("b"), F.min("first").alias("first"), F.max("last").alias("last"),
+             F.sum(F.col("hi") - F.col("lo") + LENGTH).alias("bytes"))
         .where("a != b OR first != last")
-        .select("key")
+        .select("key", (F.col("bytes") > GROUP_BYTES).alias("large"))
     )
-    wanted = runs.join(repeated, "key").groupBy("digest").agg(F.collect_set(F.struct("lo", "hi", "key")).alias("runs"))
+    wanted = runs.join(repeated, "key").groupBy("digest").agg(F.collect_set(F.struct("lo", "hi", "key", "large")).alias("runs"))
     wanted = wanted.join(classes, "digest").select(F.col("digest").alias("d"), F.col("first").alias("f"), "runs")
     texts = stored(
         long.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("f"))).select(
