@@ -77,10 +77,6 @@ SRID = 32644
 
 # Width of a column strip: the join key of cells and spans, and the length of a row segment.
 STRIP = 256
-# Largest group the built-in exact percentile may hold; larger groups are ranked across tasks.
-PERCENTILE_GROUP_LIMIT = 100_000
-# Largest boundary (in segments) one task assembles into rings; larger features go out in tiles.
-RING_SEGMENT_LIMIT = 100_000
 
 LGU_RESULT = T.StructType(
     [

@@ -1,8 +1,7 @@
 """Exact quantiles (linear interpolation) for groups of any size.
 
-A group small enough for one task uses the built-in aggregate. Beyond that the values are counted,
-ordered over all tasks by a range partitioning, and ranked by adding up partition totals; no task
-ever holds more of a group than one range partition.
+The values are counted, ordered over all tasks by a range partitioning, and ranked by adding up
+partition totals; no task ever holds more of a group than one range partition.
 """
 
 from __future__ import annotations
@@ -13,29 +12,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from access_engine.config import PERCENTILE_GROUP_LIMIT
 from access_engine.storage import stored
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Number of rows of the largest group: one counting pass, one number to the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     """Null-safe equality of the key columns of two aliased sides."""
     pairs = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
 
 
-def builtin_quantiles(value: str, probs: Mapping[str, float]) -> list[Column]:
-    return [F.percentile(value, p).alias(name) for name, p in probs.items()]
-
-
-def ranked_quantiles(
+def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """``keys`` + one column per entry of ``probs``, by distributed ranking."""
+    """``keys`` + one column per entry of ``probs``; a group without a value has no row."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
@@ -91,16 +80,3 @@ def ranked_quantiles(
             for n in probs
         ],
     )
-
-
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    limit: int = PERCENTILE_GROUP_LIMIT,
-) -> DataFrame:
-    """Quantiles per group by whichever way the largest group allows; pass a stored table."""
-    if largest_group(df, keys) <= limit:
-        return df.groupBy(*keys).agg(*builtin_quantiles(value, probs))
-    return ranked_quantiles(df, keys, value, probs)

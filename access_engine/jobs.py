@@ -46,10 +46,24 @@ CATCHMENT = T.StructType(
 
 def _layer(spark: SparkSession, path: str, kinds: T.StructType, grid: Grid) -> DataFrame:
     layer = V.read_geojson(spark, path, kinds)
-    same_srid(grid, *[r.srid for r in layer.select("srid").distinct().limit(2).collect()])
+    low, high, known = layer.agg(F.min("srid"), F.max("srid"), F.count("srid")).first()
+    if known:  # plain GeoJSON names no system and is taken as in the grid's
+        same_srid(grid, low, high)
     return layer
 
 
+def _one_row(layer: DataFrame, code: str) -> DataFrame:
+    """Attributes of each unit; features of one unit that disagree on them stop the run."""
+
+    def agreed(column: str):
+        wrong = F.concat(F.lit(f"features of a unit disagree on {column}: "), F.col(code))
+        return F.when(
+            F.min(column).eqNullSafe(F.max(column)), F.min(column)
+        ).otherwise(F.raise_error(wrong)).alias(column)
+
+    return layer.groupBy(code).agg(*[agreed(c) for c in layer.columns if c != code])
+
+
 def _units(
     spark: SparkSession, path: str, grid: Grid, level: str
 ) -> tuple[DataFrame, DataFrame, str]:
@@ -57,7 +71,8 @@ def _units(
     kinds, code = (ADM2, "hlcit_code") if level == "adm2" else (ADM1, "state")
     layer = _layer(spark, path, kinds, grid)
     # a unit may come as several features; they share its attributes
-    table = layer.drop("coordinates", "srid").withColumnRenamed("sum", "pop_sum").distinct()
+    attributes = layer.drop("coordinates", "srid", "feature").withColumnRenamed("sum", "pop_sum")
+    table = _one_row(attributes, code)
     return V.feature_edges(layer, [code]), table, code
 
 
@@ -100,7 +115,7 @@ def classify(
     described = features.withColumnsRenamed({code: own, "band": "trav_value"}).join(
         result, ["season", "fac_type", own, "trav_value"], "left"
     )
-    columns = ["season", "fac_type", "dissolve", "piece", *result.columns[2:]]
+    columns = ["season", "fac_type", "dissolve", *result.columns[2:]]
     V.write_geojson(described, f"{out}/features", columns, header.srid)
 
     chart = H.lgu_bands(result) if level == "adm2" else H.province_bands(result)
@@ -123,36 +138,32 @@ def catchments(
     )
     located = stored(locate(W.read_population(spark, population), unit_spans), "unit_cells")
     areas = _layer(spark, layer, CATCHMENT, header)
-    outlines = V.feature_edges(areas, ["fac_type", "id"])
-    together = stored(K.coverage(outlines.drop("fac_type"), header), "coverage")
+    outlines = V.feature_edges(areas, ["fac_type", "feature"])
+    together = stored(K.coverage(outlines, header, feature=["feature"]), "coverage")
     free = K.uncovered_cells(located, together)
     gaps = stored(K.uncovered_population(free, codes), "gaps")
 
     shapes = assemble_features(K.uncovered_spans(unit_spans, together, header), header, ["id"])
     final = shapes.join(gaps.withColumnRenamed("a_hlcit_code", "id"), "id").select(
         F.col("id").alias("a_hlcit_code"),
-        "piece",
         "adm_pop",
         F.col("catch_pop_sum").alias("catch_pop"),
         "pc_uncov",
         "geometry",
     )
-    columns = ["a_hlcit_code", "piece", "adm_pop", "catch_pop", "pc_uncov"]
+    columns = ["a_hlcit_code", "adm_pop", "catch_pop", "pc_uncov"]
     V.write_geojson(final, f"{out}/uncovered", columns, header.srid)
     totals = located.groupBy(F.col("id").alias("hlcit_code")).agg(F.sum("pop").alias("pop_sum"))
     every = codes.select("hlcit_code").join(totals, "hlcit_code", "left")
     R.write_csv(K.covered_split(gaps, every), f"{out}/coverage")
 
-    per_file = stored(K.coverage(outlines, header, ["fac_type"]), "coverage")
-    files = areas.select("fac_type").distinct()
-    gap_cells = K.uncovered_cells_by_dataset(located, per_file, header, files)
+    per_file = stored(K.coverage(outlines, header, ["fac_type"], ["feature"]), "coverage")
+    files = stored(areas.select("fac_type").distinct(), "files")
     R.write_csv(
-        K.uncovered_population(gap_cells, codes, ["fac_type"]), f"{out}/uncovered_by_facility"
+        K.uncovered_by_dataset(located, per_file, codes, files), f"{out}/uncovered_by_facility"
     )
-    names = sorted(r.fac_type for r in files.collect())
     R.write_csv(
-        K.covered_by_dataset(located, per_file, codes, names, "fac_type"),
-        f"{out}/covered_by_facility",
+        K.covered_by_dataset(located, per_file, codes, files), f"{out}/covered_by_facility"
     )
 
 
@@ -161,9 +172,10 @@ def statistics(spark: SparkSession, results: str, lookup: str, out: str) -> None
     zones = R.read_csv(spark, lookup, config.ZONE_LOOKUP)
     final = N.final_frame(N.pool(R.read_results(spark, results), zones))
     complete = stored(N.complete_rows(final), "complete")
-    R.write_csv(S.summarise_all(complete), f"{out}/summary")
+    summary = stored(S.summarise_all(complete), "summary")
+    R.write_csv(summary, f"{out}/summary")
     for level in ("nation", "province", "zone"):
-        table = stored(S.summarise(complete, level), "summary")
+        table = S.one_level(summary, level)
         keys = S.LEVELS[level][0]
         H.write_chart_tables(
             H.level_bars(table, level), f"{out}/charts/{level}", [*keys, "season", "fac_type"]

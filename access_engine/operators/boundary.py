@@ -10,15 +10,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from access_engine.config import RING_SEGMENT_LIMIT
 from access_engine.operators.grid import Grid
 from access_engine.operators.spans import odd_spans
-from access_engine.storage import stored
-
-TILE = 128
 
 # the ring function travels with the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -142,13 +138,17 @@ def directed_outline(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     return horizontal.unionByName(left).unionByName(right)
 
 
-def _rings(px, py, qx, qy) -> list[np.ndarray]:
-    """Chain directed edges to closed rings, turning left where two rings touch."""
+def _rings(px, py, qx, qy) -> tuple[list[np.ndarray], np.ndarray]:
+    """Chain directed edges to closed rings, turning left where two rings touch.
+
+    Also the number of the ring that each edge belongs to.
+    """
     leaving = defaultdict(list)
     for i, start in enumerate(zip(px, py)):
         leaving[start].append(i)
     step = np.column_stack([np.sign(qx - px), np.sign(qy - py)])
     used = np.zeros(len(px), dtype=bool)
+    owner = np.zeros(len(px), dtype=int)
     rings = []
     for first in range(len(px)):
         if used[first]:
@@ -156,6 +156,7 @@ def _rings(px, py, qx, qy) -> list[np.ndarray]:
         ring, at = [], first
         while not used[at]:
             used[at] = True
+            owner[at] = len(rings)
             ring.append((px[at], py[at]))
             options = [i for i in leaving[(qx[at], qy[at])] if not used[i]]
             if not options:
@@ -168,7 +169,7 @@ def _rings(px, py, qx, qy) -> list[np.ndarray]:
             (before[:, 1] == points[:, 1]) & (points[:, 1] == after[:, 1])
         )
         rings.append(points[~straight])
-    return rings
+    return rings, owner
 
 
 def _twice_area(ring: np.ndarray) -> float:
@@ -176,26 +177,40 @@ def _twice_area(ring: np.ndarray) -> float:
     return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))
 
 
-def _inside(ring: np.ndarray, x: float, y: float) -> bool:
-    x1, y1 = ring[:, 0], ring[:, 1]
-    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
-    crosses = ((y1 > y) != (y2 > y)) & (x < x1)
-    return bool(np.count_nonzero(crosses) % 2)
+def _homes(rings: list[np.ndarray], owner: np.ndarray, px, py, qy) -> list[int]:
+    """For each ring the outer ring it belongs to.
+
+    The cell above a hole's top left corner lies in the area around the hole. The nearest upright
+    edge to its left bounds that area; it is the outer ring's or that of a hole that starts higher.
+    """
+    home = list(range(len(rings)))
+    upright = np.flatnonzero(py != qy)
+    row, col = np.minimum(py, qy)[upright], px[upright]
+    order = np.lexsort((col, row))
+    upright, row, col = upright[order], row[order], col[order]
+    width = int(col.max()) + 2 if len(col) else 1
+    key = row * width + col
+    corners = {
+        i: r[np.lexsort((r[:, 0], r[:, 1]))[0]] for i, r in enumerate(rings) if _twice_area(r) < 0
+    }
+    for i in sorted(corners, key=lambda i: (corners[i][1], corners[i][0])):
+        x, y = (int(v) for v in corners[i])
+        left = int(np.searchsorted(key, (y - 1) * width + x, "right")) - 1
+        home[i] = home[owner[upright[left]]]
+    return home
 
 
 def _multipolygon(pdf: pd.DataFrame, x0: float, y0: float, dx: float, dy: float) -> str:
-    """GeoJSON geometry of one bounded piece: outer rings with the holes that lie in them."""
-    rings = _rings(*(pdf[c].to_numpy() for c in ("px", "py", "qx", "qy")))
-    rings.sort(key=lambda r: abs(_twice_area(r)))
-    outer = [r for r in rings if _twice_area(r) > 0]
-    parts = [[r] for r in outer]
-    for hole in (r for r in rings if _twice_area(r) < 0):
-        corner = hole[np.lexsort((hole[:, 0], hole[:, 1]))[0]]
-        # the cell above the hole's top left corner belongs to the area around it
-        home = next(
-            i for i, r in enumerate(outer) if _inside(r, corner[0] + 0.5, corner[1] - 0.5)
-        )
-        parts[home].append(hole)
+    """GeoJSON geometry of one feature: outer rings with the holes that lie in them."""
+    px, py, qx, qy = (pdf[c].to_numpy(np.int64) for c in ("px", "py", "qx", "qy"))
+    rings, owner = _rings(px, py, qx, qy)
+    homes = _homes(rings, owner, px, py, qy)
+    outer = [i for i, r in enumerate(rings) if _twice_area(r) > 0]
+    parts_of = {i: [rings[i]] for i in outer}
+    for i, home in enumerate(homes):
+        if i not in parts_of:
+            parts_of[home].append(rings[i])
+    parts = [parts_of[i] for i in sorted(outer, key=lambda i: abs(_twice_area(rings[i])))]
 
     def placed(ring: np.ndarray) -> list[list[float]]:
         closed = np.vstack([ring, ring[:1]])
@@ -206,54 +221,23 @@ def _multipolygon(pdf: pd.DataFrame, x0: float, y0: float, dx: float, dy: float)
     )
 
 
-def assemble_features(
-    spans: DataFrame,
-    grid: Grid,
-    keys: Sequence[str],
-    limit: int = RING_SEGMENT_LIMIT,
-    tile: int = TILE,
-) -> DataFrame:
-    """Disjoint spans -> features ``keys, piece, geometry`` (GeoJSON text).
+def assemble_features(spans: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
+    """Disjoint spans -> one feature ``keys, geometry`` (GeoJSON text) per key.
 
-    A feature whose outline has at most ``limit`` edges is one piece and keeps its shape. A larger
-    one is written tile by tile, every piece with its tile number, so that no task holds more than
-    ``limit`` edges or one tile; the pieces together cover exactly the same cells.
+    A feature is one value, so its outline is put together in one task, in n log n steps.
     """
-    spans = stored(spans, "spans")
-    sizes = directed_outline(spans, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"))
-    sized = spans.join(sizes.withColumn("large", F.col("edges") > limit), list(keys))
-    tiles_across = -(-grid.ncols // tile)
-
-    def tile_of(c: Column) -> Column:
-        return F.floor(c / tile).cast("int")
-
-    whole = sized.where(~F.col("large")).select(
-        *keys, F.lit(0).cast("long").alias("piece"), "row_no", "c0", "c1"
-    )
-    cut = (
-        sized.where("large")
-        .withColumn("t", F.explode(F.sequence(tile_of(F.col("c0")), tile_of(F.col("c1") - 1))))
-        .select(
-            *keys,
-            (tile_of(F.col("row_no")).cast("long") * tiles_across + F.col("t") + 1).alias("piece"),
-            "row_no",
-            F.greatest("c0", F.col("t") * tile).alias("c0"),
-            F.least("c1", (F.col("t") + 1) * tile).alias("c1"),
-        )
-    )
-    group = [*keys, "piece"]
-    outline = directed_outline(whole.unionByName(cut), group)
+    outline = directed_outline(spans, keys)
 
     place = (grid.x0, grid.y0, grid.dx, grid.dy)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[:1][group].copy()
+        row = pdf.iloc[:1][list(keys)].copy()
         row["geometry"] = _multipolygon(pdf, *place)
         return row
 
     kinds = dict(outline.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", geometry string"
-    return outline.groupBy(*group).applyInPandas(one, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", geometry string"
+    return outline.groupBy(*keys).applyInPandas(one, schema)
 
 
 def signed_area(edges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,12 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from access_engine.functions.quantiles import group_quantiles, largest_group, same_keys
+from access_engine.functions.quantiles import group_quantiles, same_keys
 
 GRID_POINTS = 512
 MIN_POINTS = 3  # smaller groups get no curve
-EXACT_LIMIT = 20_000  # values per group summed one by one; above that they are binned first
-BINS_PER_BANDWIDTH = 64
 
 
 def points_in_limits(df: DataFrame, value: str, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -39,37 +37,6 @@ def bandwidths(points: DataFrame, panel: Sequence[str], group: str, value: str)
     return joined.select("a.*", own.alias("bw")).groupBy(*panel).agg(F.avg("bw").alias("bw"))
 
 
-def _weights(
-    points: DataFrame, panel: Sequence[str], group: str, value: str, lo: float, exact: bool
-) -> DataFrame:
-    """Where the kernels sit and how much each weighs, pre-aggregated per group.
-
-    Beyond the exact limit every value is shared out linearly between its two neighbouring bins of
-    1/64 bandwidth, so the kernel work depends on the number of bins, not of values.
-    """
-    keys = [*panel, group]
-    if exact:
-        return points.groupBy(*keys, "bw", F.col(value).alias("at")).agg(
-            F.count(F.lit(1)).cast("double").alias("w")
-        )
-    step = F.col("bw") / F.lit(float(BINS_PER_BANDWIDTH))
-    place = (F.col(value) - F.lit(lo)) / step
-    part = place - F.floor(place)
-    two = F.explode(
-        F.array(
-            F.struct(F.floor(place).alias("bin"), (F.lit(1.0) - part).alias("w")),
-            F.struct((F.floor(place) + 1).alias("bin"), part.alias("w")),
-        )
-    )
-    return (
-        points.select(*keys, "bw", two.alias("b"))
-        .groupBy(*keys, "bw", "b.bin")
-        .agg(F.sum("b.w").alias("w"))
-        .withColumn("at", F.lit(lo) + F.col("bin") * F.col("bw") / F.lit(float(BINS_PER_BANDWIDTH)))
-        .drop("bin")
-    )
-
-
 def density(
     df: DataFrame,
     panel: Sequence[str],
@@ -79,18 +46,18 @@ def density(
     lo: float = 0.0,
     hi: float = 1.0,
     rel_min: float = 0.01,
-    exact_limit: int = EXACT_LIMIT,
+    min_points: int = MIN_POINTS,
 ) -> DataFrame:
     """Curve points ``panel, group, i, x, density``; heights under ``rel_min`` of the panel's peak
     are cut.
 
-    Pass a stored table: its group sizes are looked at before the curve is planned.
+    Every different value of a group is one kernel, weighed by how often it occurs; groups of fewer
+    than ``min_points`` values have no curve.
     """
     points = points_in_limits(df.select(*panel, group, value), value, lo, hi)
     keys = [*panel, group]
-    exact = largest_group(points, keys) <= exact_limit
     widths = bandwidths(points, panel, group, value)
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_POINTS)
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points)
     placed = (
         points.alias("p")
         .join(widths.alias("b"), same_keys("p", "b", panel))
@@ -102,7 +69,8 @@ def density(
     # few rows that each become n: spread over all cores, whatever their size in bytes
     cores = df.sparkSession.sparkContext.defaultParallelism
     sums = (
-        _weights(placed, panel, group, value, lo, exact)
+        placed.groupBy(*keys, "bw", F.col(value).alias("at"))
+        .agg(F.count(F.lit(1)).cast("double").alias("w"))
         .repartition(cores)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("x", x)

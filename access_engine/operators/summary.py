@@ -7,13 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from access_engine.config import MONSOON, NON_WALKING, NORMAL, PERCENTILE_GROUP_LIMIT
-from access_engine.functions.quantiles import (
-    builtin_quantiles,
-    largest_group,
-    ranked_quantiles,
-    same_keys,
-)
+from access_engine.config import MONSOON, NON_WALKING, NORMAL
+from access_engine.functions.quantiles import group_quantiles, same_keys
 
 BY_BAND = ["season", "fac_type", "trav_cat", "trav_value"]
 # keys in front of BY_BAND, and the total each level's share refers to
@@ -65,51 +60,38 @@ def _moments(totals: Sequence[str]) -> list[Column]:
     ]
 
 
-def summarise(
-    complete: DataFrame, level: str, limit: int = PERCENTILE_GROUP_LIMIT
-) -> DataFrame:
+def summarise(complete: DataFrame, level: str) -> DataFrame:
     """Weighted share, mean, sd, quartiles and maximum of the unit shares of one level.
 
-    ``complete`` is the pooled table without incomplete rows, stored: its largest group decides
-    whether the quartiles come from the built-in aggregate or from distributed ranks.
+    ``complete`` is the pooled table without incomplete rows.
     """
     extra, whole = LEVELS[level]
     keys = [*extra, *BY_BAND]
-    totals = ["tot_pop", *[TOTALS[k] for k in extra]]
-    if largest_group(complete, keys) <= limit:
-        stats = complete.groupBy(*keys).agg(
-            *_moments(totals), *builtin_quantiles("pc_pop", QUARTILES)
-        )
-    else:
-        moments = complete.groupBy(*keys).agg(*_moments(totals))
-        quartiles = ranked_quantiles(complete, keys, "pc_pop", QUARTILES)
-        stats = (
-            moments.alias("m")
-            .join(quartiles.alias("q"), same_keys("m", "q", keys))
-            .select("m.*", *[f"q.{q}" for q in QUARTILES])
-        )
+    moments = complete.groupBy(*keys).agg(*_moments(["tot_pop", *[TOTALS[k] for k in extra]]))
+    quartiles = group_quantiles(complete, keys, "pc_pop", QUARTILES)
+    stats = (
+        moments.alias("m")
+        .join(quartiles.alias("q"), same_keys("m", "q", keys))
+        .select("m.*", *[f"q.{q}" for q in QUARTILES])
+    )
     share = F.try_divide("pop_in_band", whole)
     return stats.withColumn("wtd_pc_pop", share).withColumn(
         "wtd_pc_pop_label", F.bround("wtd_pc_pop", 4)
     )
 
 
-def summarise_all(complete: DataFrame, limit: int = PERCENTILE_GROUP_LIMIT) -> DataFrame:
+def one_level(summary: DataFrame, level: str) -> DataFrame:
+    """The rows of one level out of :func:`summarise_all`, without the keys it has not."""
+    unused = [k for k in TOTALS if k not in LEVELS[level][0]]
+    return summary.where(F.col("level") == level).drop("level", *unused)
+
+
+def summarise_all(complete: DataFrame) -> DataFrame:
     """All four levels in one pass; ``level`` names the level, unused keys are NULL."""
-    if largest_group(complete, BY_BAND) > limit:
-        parts = [
-            summarise(complete, level, limit).withColumn("level", F.lit(level)) for level in LEVELS
-        ]
-        columns = ["level", "province", "geog", *BY_BAND, *_STATS]
-        united = parts[0]
-        for part in parts[1:]:
-            united = united.unionByName(part, allowMissingColumns=True)
-        return united.select(*columns)
     sets = [[F.col(c) for c in [*extra, *BY_BAND]] for extra, _ in LEVELS.values()]
     every = ["province", "geog", *BY_BAND]
     stats = complete.groupingSets(sets, *every).agg(
         *_moments(["tot_pop", "geog_pop", "prov_pop"]),
-        *builtin_quantiles("pc_pop", QUARTILES),
         F.grouping("province").alias("no_province"),
         F.grouping("geog").alias("no_geog"),
     )
@@ -123,8 +105,27 @@ def summarise_all(complete: DataFrame, limit: int = PERCENTILE_GROUP_LIMIT) -> D
     whole = F.when(geog, F.col("geog_pop")).when(province, F.col("prov_pop")).otherwise(
         F.col("tot_pop")
     )
+    marked = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("level"),
+                    *[(F.col(k) if k in extra else F.lit(None)).cast("string").alias(k) for k in ("province", "geog")],
+                )
+                for name, (extra, _) in LEVELS.items()
+            ]
+        )
+    )
+    rows = complete.select(marked.alias("l"), *BY_BAND, "pc_pop").select("l.*", *BY_BAND, "pc_pop")
+    quartiles = group_quantiles(rows, ["level", *every], "pc_pop", QUARTILES)
+    stats = (
+        stats.withColumn("level", level)
+        .alias("m")
+        .join(quartiles.alias("q"), same_keys("m", "q", ["level", *every]))
+        .select("m.*", *[f"q.{q}" for q in QUARTILES])
+    )
     return stats.select(
-        level.alias("level"),
+        "level",
         *every,
         *[c for c in _STATS if c not in ("geog_pop", "prov_pop", "wtd_pc_pop", "wtd_pc_pop_label")],
         F.when(geog, F.col("geog_pop")).alias("geog_pop"),

@@ -18,12 +18,17 @@ from access_engine.operators.spans import (
 )
 
 
-def coverage(edges: DataFrame, grid: Grid, dataset: Sequence[str] = ()) -> DataFrame:
+def coverage(
+    edges: DataFrame, grid: Grid, dataset: Sequence[str] = (), feature: Sequence[str] = ("id",)
+) -> DataFrame:
     """Merged spans of all catchments, per dataset (file) when one is named.
 
-    Overlapping catchments melt into one span per raster row before any cell is touched.
+    ``feature`` names the columns that tell every single feature apart: the even-odd rule holds
+    within a feature, and two that shared a name would cancel where they overlap. Overlapping
+    catchments melt into one span per raster row before any cell is touched.
     """
-    return merge_spans(rasterise(edges, grid, [*dataset, "id"]).drop("id"), dataset)
+    keys = [*dataset, *[f for f in feature if f not in dataset]]
+    return merge_spans(rasterise(edges, grid, keys).select(*dataset, "row_no", "c0", "c1"), dataset)
 
 
 def uncovered_cells(located: DataFrame, covered: DataFrame) -> DataFrame:
@@ -39,14 +44,35 @@ def uncovered_spans(units: DataFrame, covered: DataFrame, grid: Grid) -> DataFra
     return intersect_spans(units, complement_spans(covered, grid), ["id"])
 
 
-def uncovered_cells_by_dataset(
-    located: DataFrame, covered: DataFrame, grid: Grid, datasets: DataFrame
+def uncovered_by_dataset(
+    located: DataFrame, covered: DataFrame, adm2: DataFrame, datasets: DataFrame
 ) -> DataFrame:
-    """Unit cells outside the catchments of each dataset, one row per cell and dataset.
+    """Uncovered population and share per dataset (row of ``datasets``) and unit.
 
-    The gaps are built as spans, so the cells are read once for all datasets.
+    What a dataset covers of a unit is taken off the unit's total, so cells are not repeated per
+    dataset; a unit that a dataset covers completely has no row.
     """
-    return locate(located, complement_spans(covered, grid, datasets))
+    keys = datasets.columns
+    whole = located.groupBy("id").agg(
+        F.sum("pop").alias("pop"), F.count("pop").alias("known"), F.count(F.lit(1)).alias("cells")
+    )
+    part = (
+        locate(located, covered)
+        .groupBy(*keys, "id")
+        .agg(
+            F.sum("pop").alias("in_pop"),
+            F.count("pop").alias("in_known"),
+            F.count(F.lit(1)).alias("in_cells"),
+        )
+    )
+    # the result has a row for nearly every pair, and these are all pairs
+    every = whole.crossJoin(datasets).join(part, [*keys, "id"], "left")
+    none = F.lit(0)
+    rest = F.when(
+        F.col("known") > F.coalesce("in_known", none), F.col("pop") - F.coalesce("in_pop", F.lit(0.0))
+    )
+    left = every.where(F.col("cells") > F.coalesce("in_cells", none))
+    return _described(left.select(*keys, "id", rest.alias("catch_pop_sum")), adm2, keys)
 
 
 def uncovered_population(
@@ -54,6 +80,10 @@ def uncovered_population(
 ) -> DataFrame:
     """Uncovered population and share per unit; a unit without an uncovered cell has no row."""
     sums = zonal_stats(cells, [*dataset, "id"], stats=["sum"], prefix="catch_pop_")
+    return _described(sums, adm2, dataset)
+
+
+def _described(sums: DataFrame, adm2: DataFrame, dataset: Sequence[str]) -> DataFrame:
     joined = lookup(
         sums.withColumnRenamed("id", "unit"),
         adm2.select("id", "hlcit_code", "pop_sum"),
@@ -101,15 +131,12 @@ def covered_split(uncovered: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def covered_by_dataset(
-    located: DataFrame, covered: DataFrame, units: DataFrame, names: Sequence[str], dataset: str
+    located: DataFrame, covered: DataFrame, units: DataFrame, datasets: DataFrame
 ) -> DataFrame:
-    """Covered population of every unit and dataset, 0 where a catchment reaches no cell."""
-    sums = zonal_stats(locate(located, covered), [dataset, "id"], stats=["sum"], prefix="covered_")
-    every = units.select(
-        "id",
-        F.col("hlcit_code").alias("adm2_code"),
-        F.explode(F.array(*[F.lit(n) for n in names])).alias(dataset),
-    )
-    return every.join(sums, [dataset, "id"], "left").select(
-        dataset, "adm2_code", F.coalesce("covered_sum", F.lit(0.0)).alias("covered_pop")
+    """Covered population of every unit and dataset (row of ``datasets``), 0 where none is."""
+    keys = datasets.columns
+    sums = zonal_stats(locate(located, covered), [*keys, "id"], stats=["sum"], prefix="covered_")
+    every = units.select("id", F.col("hlcit_code").alias("adm2_code")).crossJoin(datasets)
+    return every.join(sums, [*keys, "id"], "left").select(
+        *keys, "adm2_code", F.coalesce("covered_sum", F.lit(0.0)).alias("covered_pop")
     )

@@ -8,13 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_POSITION = T.ArrayType(T.DoubleType())
-_GEOMETRY = T.StructType(
-    [
-        T.StructField("type", T.StringType()),
-        T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(_POSITION)))),
-    ]
-)
+_POLYGON = "array<array<array<double>>>"
 
 
 def write_geojson(features: DataFrame, path: str, properties: Sequence[str], srid: int) -> None:
@@ -32,16 +26,35 @@ def write_geojson(features: DataFrame, path: str, properties: Sequence[str], sri
 
 
 def read_geojson(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
-    """Features with their properties as columns, ``srid`` and nested MultiPolygon coordinates."""
+    """Features with their properties as columns, ``srid``, ``feature`` and ``coordinates``.
+
+    ``Polygon`` and ``MultiPolygon`` come out alike, as nested MultiPolygon coordinates; any other
+    geometry and a line that is no JSON stop the run. ``srid`` is NULL where the file has none.
+    ``feature`` tells the features of one reading apart, whatever their attributes.
+    """
     schema = T.StructType(
         [
             T.StructField("srid", T.IntegerType()),
             T.StructField("properties", properties),
-            T.StructField("geometry", _GEOMETRY),
+            T.StructField("geometry", T.StringType()),
         ]
     )
-    return spark.read.schema(schema).json(path).select(
-        "properties.*", "srid", F.col("geometry.coordinates").alias("coordinates")
+    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    kind = F.get_json_object("geometry", "$.type")
+    shape = F.get_json_object("geometry", "$.coordinates")
+    strict = {"mode": "FAILFAST"}
+    coordinates = (
+        F.when(kind == "MultiPolygon", F.from_json(shape, f"array<{_POLYGON}>", strict))
+        .when(kind == "Polygon", F.array(F.from_json(shape, _POLYGON, strict)))
+        .otherwise(
+            F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(kind, F.lit("no geometry"))))
+        )
+    )
+    return lines.select(
+        "properties.*",
+        "srid",
+        F.monotonically_increasing_id().alias("feature"),
+        coordinates.alias("coordinates"),
     )
 
 

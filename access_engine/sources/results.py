@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from access_engine.config import LGU_RESULT
 from access_engine.functions import paths as P
+from access_engine.storage import qualified
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -18,7 +20,13 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A CSV whose header has the schema's names in order; another header or a bad value is an error."""
+    return _strict(spark, schema).csv(path)
+
+
+def _strict(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
+    options = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
+    return spark.read.schema(schema).options(**options)
 
 
 def write_result_tree(df: DataFrame, root: str, level: str = "adm2") -> None:
@@ -40,17 +48,22 @@ def read_results(
     """Every CSV below a subfolder of ``root`` with ``source, season, fac_type`` from its path.
 
     ``source`` is the path relative to ``root``; part files of a written folder count as that
-    folder, and files lying in ``root`` itself are no results.
+    folder, and files lying in ``root`` itself are no results. Every file must have the header of
+    ``schema``; a tree of the other level is an error, not a table of shifted columns.
     """
     rows = (
-        spark.read.schema(schema)
-        .option("header", True)
+        _strict(spark, schema)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(root)
     )
-    full = F.url_decode(F.col("_metadata.file_path"))
-    inner = F.regexp_extract(full, "^.*/" + root.rstrip("/").rsplit("/", 1)[-1] + "/(.+)$", 1)
+    # a plus sign in a path is no space
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    full = F.regexp_replace(full, "^([a-z0-9]+):/+", "$1:/")
+    base = re.sub("^([a-z0-9]+):/+", r"\1:/", qualified(spark, root).rstrip("/")) + "/"
+    strange = F.raise_error(F.concat(F.lit(f"not below {base}: "), full))
+    inner = F.when(F.startswith(full, F.lit(base)), F.substring(full, len(base) + 1, 1 << 30))
+    inner = inner.otherwise(strange)
     plain = F.regexp_replace(inner, "(folder|file)=", "")
     source = F.regexp_replace(plain, r"/part-[^/]*$", "")
     return (

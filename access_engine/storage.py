@@ -33,6 +33,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return store(df, label)[0]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as Spark names the files it reads below it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`store` once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

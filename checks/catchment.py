@@ -35,10 +35,7 @@ def catch_uncovered_by_facility(g: OrderGrid) -> DataFrame:
     """Every facility type is one catchment file; all files in one job."""
     cells = located(g)
     files = g.spark.createDataFrame([(f,) for f in FACILITIES], "fac_type string")
-    gaps = K.uncovered_cells_by_dataset(
-        cells, covered(g, ["fac_type"]), g.grid, files
-    )
-    return K.uncovered_population(gaps, adm2(g, cells), ["fac_type"])
+    return K.uncovered_by_dataset(cells, covered(g, ["fac_type"]), adm2(g, cells), files)
 
 
 def catch_covered_split(g: OrderGrid) -> DataFrame:
@@ -55,8 +52,7 @@ def catch_by_facility(g: OrderGrid) -> DataFrame:
         located(g),
         covered(g, ["fac_type"]),
         g.lgu_codes,
-        FACILITIES,
-        "fac_type",
+        g.spark.createDataFrame([(f,) for f in FACILITIES], "fac_type string"),
     )
 
 

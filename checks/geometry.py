@@ -146,11 +146,11 @@ def geojson_features(g: OrderGrid) -> DataFrame:
     codes = g.lgu_codes.select("id", "hlcit_code")
     features = shapes.join(stats, "id").join(codes, "id")
     path = new_path(g.spark, "features")
-    columns = ["hlcit_code", "piece", "pop_sum", "pop_count"]
+    columns = ["hlcit_code", "pop_sum", "pop_count"]
     V.write_geojson(features, path, columns, grid.srid)
     kinds = T.StructType([features.schema[c] for c in columns])
     back = V.read_geojson(g.spark, path, kinds)
-    same_srid(grid, *[r.srid for r in back.select("srid").distinct().collect()])
+    same_srid(grid, *back.agg(F.min("srid"), F.max("srid")).first())
     area = S.signed_area(V.feature_edges(back, ["hlcit_code"]), ["hlcit_code"])
     counted = back.groupBy("hlcit_code").agg(
         F.max("pop_sum").alias("pop_sum"),

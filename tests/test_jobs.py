@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from access_engine import __main__ as cli
 from access_engine import config
 from access_engine.operators import boundary as S
+from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import name_layers, unstack
 from access_engine.operators.segments import segment_cells, to_segments
 from access_engine.operators.spans import burn, rasterise
@@ -177,6 +178,88 @@ def test_layers_of_another_reference_system_are_refused(spark, inputs, tmp_path)
             f"{tmp_path}/units", "--grid", f"{inputs}/grid", "--out", f"{tmp_path}/out", "--level", "adm1")
 
 
+SQUARE = "[[[%d,%d],[%d,%d],[%d,%d],[%d,%d],[%d,%d]]]"
+
+
+def square_text(x, y, w, h):
+    return SQUARE % (x, y, x + w, y, x + w, y - h, x, y - h, x, y)
+
+
+def write_lines(folder, *features):
+    folder.mkdir()
+    (folder / "part.json").write_text("\n".join(features))
+    return str(folder)
+
+
+def feature(properties, kind, coordinates, srid=""):
+    return '{"type":"Feature",%s"properties":%s,"geometry":{"type":"%s","coordinates":%s}}' % (srid, properties, kind, coordinates)
+
+
+def test_geojson_of_any_polygon_kind(spark, tmp_path):
+    kinds = T.StructType([T.StructField("id", T.LongType())])
+    one, two = square_text(0, 10, 4, 4), square_text(5, 10, 2, 2)
+    path = write_lines(tmp_path / "a", feature('{"id":1}', "Polygon", one), feature("{}", "MultiPolygon", f"[{one},{two}]", '"srid":5,'))
+    rows = {r.id: r for r in V.read_geojson(spark, path, kinds).collect()}
+    assert (rows[1].srid, len(rows[1].coordinates)) == (None, 1) and (rows[None].srid, len(rows[None].coordinates)) == (5, 2)
+    assert rows[1].feature != rows[None].feature
+    for bad in (feature("{}", "Point", "[1,2]"), '{"type":"Feature","geometry":{"type":"Pol', '{"type":"Feature"}'):
+        path = write_lines(tmp_path / f"b{len(bad)}", feature('{"id":1}', "Polygon", one), bad)
+        with pytest.raises(Exception):
+            V.read_geojson(spark, path, kinds).collect()
+
+
+def small_inputs(spark, root, units, catchments):
+    """A grid of 10 x 10 cells of one person."""
+    W.write_grid(spark, Grid(0.0, 10.0, 1.0, 1.0, 10, 10), f"{root}/grid")
+    people = spark.range(100).selectExpr("int(id / 10) as row_no", "int(id % 10) as col_no", "1D as pop")
+    W.write_sorted(people, f"{root}/population")
+    write_lines(root / "units", *units)
+    write_lines(root / "catchments", *catchments)
+    run("catchments", "--layer", f"{root}/catchments", "--population", f"{root}/population", "--units", f"{root}/units",
+        "--grid", f"{root}/grid", "--out", f"{root}/out")
+
+
+UNIT = '{"hlcit_code":"c1","lu_name":"one","sum":100}'
+
+
+@pytest.mark.parametrize("ids", [("1", "1"), ("null", "null")])
+def test_catchments_that_share_an_id(spark, tmp_path, ids):
+    """Two files use one id, and their catchments overlap: what either covers is covered."""
+    areas = [
+        feature('{"id":%s,"fac_type":"dhq"}' % ids[0], "Polygon", square_text(0, 10, 7, 10)),
+        feature('{"id":%s,"fac_type":"banks"}' % ids[1], "Polygon", square_text(4, 10, 4, 10)),
+        feature('{"id":%s,"fac_type":"dhq"}' % ids[1], "Polygon", square_text(5, 10, 3, 10)),
+    ]
+    small_inputs(spark, tmp_path, [feature(UNIT, "Polygon", square_text(0, 10, 10, 10))], areas)
+    kinds = T.StructType([T.StructField("a_hlcit_code", T.StringType()), T.StructField("catch_pop", T.DoubleType())])
+    assert [tuple(r)[:2] for r in V.read_geojson(spark, f"{tmp_path}/out/uncovered", kinds).collect()] == [("c1", 20.0)]
+    by_file = spark.read.option("header", True).csv(f"{tmp_path}/out/uncovered_by_facility")
+    assert {(r.fac_type, float(r.catch_pop_sum)) for r in by_file.collect()} == {("dhq", 20.0), ("banks", 60.0)}
+
+
+def test_unit_in_parts(spark, tmp_path):
+    parts = [square_text(0, 10, 5, 10), square_text(5, 10, 5, 10)]
+    area = feature('{"id":1,"fac_type":"dhq"}', "Polygon", square_text(0, 10, 7, 10))
+    small_inputs(spark, tmp_path, [feature(UNIT, "Polygon", p) for p in parts], [area])
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/out/uncovered_by_facility").collect()
+    assert [(r.a_hlcit_code, float(r.adm_pop), float(r.pc_uncov)) for r in rows] == [("c1", 100.0, 0.3)]
+    other = tmp_path / "other"
+    other.mkdir()
+    with pytest.raises(Exception, match="disagree on pop_sum"):
+        small_inputs(spark, other, [feature(UNIT, "Polygon", parts[0]), feature(UNIT.replace("100", "60"), "Polygon", parts[1])], [area])
+
+
+@pytest.mark.parametrize("name", ["results(2026)", "a+b", "with space", "results/NM/results"])
+def test_results_below_any_folder_name(spark, tmp_path, name):
+    row = [("one", "c1", "1", 1, "band", 10.0, 1.0, 0.1, "NM", "dhq"), ("two", "c2", "1", 1, "band", 10.0, 2.0, 0.2, "MSN", "all_hosp")]
+    df = spark.createDataFrame(row, T.StructType([*config.LGU_RESULT, T.StructField("season", T.StringType()), T.StructField("fac_type", T.StringType())]))
+    R.write_result_tree(df, f"{tmp_path}/{name}")
+    back = R.read_results(spark, f"{tmp_path}/{name}")
+    assert rows_of(back, df.columns) == rows_of(df, df.columns)
+    with pytest.raises(Exception):
+        R.read_results(spark, f"{tmp_path}/{name}", config.PROVINCE_RESULT).collect()
+
+
 def test_tiles_and_stacks(spark):
     tiles = spark.createDataFrame(
         [(0, 0, [1.0, 2.0, -9.0, 4.0]), (0, 1, [5.0, None, 7.0, 8.0]), (1, 0, [9.0] * 4)],

@@ -55,15 +55,13 @@ def test_catchment_gap_by_dataset(spark, layers):
     located, adm2, codes, catchments = layers
     covered = K.coverage(catchments, GRID, ["fac_type"])
     files = spark.createDataFrame([("dhq",), ("banks",), ("fi",)], "fac_type string")
-    gaps = K.uncovered_population(
-        K.uncovered_cells_by_dataset(located, covered, GRID, files), adm2, ["fac_type"]
-    )
+    gaps = K.uncovered_by_dataset(located, covered, adm2, files)
     got = {(r.fac_type, r.a_hlcit_code): r.catch_pop_sum for r in gaps.collect()}
     assert got == {
         ("dhq", "c1"): 40.0, ("dhq", "c2"): 20.0, ("banks", "c1"): 50.0, ("banks", "c2"): 20.0,
         ("fi", "c1"): 50.0, ("fi", "c2"): 50.0,
     }
-    inside = K.covered_by_dataset(located, covered, codes, ["dhq", "fi"], "fac_type")
+    inside = K.covered_by_dataset(located, covered, codes, files.where("fac_type != 'banks'"))
     assert {(r.fac_type, r.adm2_code): r.covered_pop for r in inside.collect()} == {
         ("dhq", "c1"): 10.0, ("dhq", "c2"): 30.0, ("dhq", "c3"): 0.0,
         ("fi", "c1"): 0.0, ("fi", "c2"): 0.0, ("fi", "c3"): 0.0,

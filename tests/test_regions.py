@@ -1,6 +1,7 @@
 """Connected areas against a flood fill, boundaries, rings and features."""
 
 import json
+import time
 import random
 
 import pytest
@@ -121,30 +122,45 @@ def feature_grid():
 
 def read_back(spark, tmp_path, features):
     path = str(tmp_path / "out")
-    V.write_geojson(features, path, ["id", "piece"], 32644)
-    kinds = T.StructType([features.schema["id"], features.schema["piece"]])
+    V.write_geojson(features, path, ["id"], 32644)
+    kinds = T.StructType([features.schema["id"]])
     return V.read_geojson(spark, path, kinds)
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_features_keep_their_cells(spark, tmp_path, limit):
-    """Hole, several parts, corner contact; whole or cut into tiles the cells are the same."""
+def test_features_keep_their_cells(spark, tmp_path):
+    """Hole, several parts, corner contact: one feature that covers the same cells."""
     cells, rows = pattern_cells(spark)
     grid = feature_grid()
-    features = S.assemble_features(S.cells_to_spans(cells, ["id"]), grid, ["id"], limit, 4)
+    features = S.assemble_features(S.cells_to_spans(cells, ["id"]), grid, ["id"])
     back = read_back(spark, tmp_path, features).cache()
-    if limit == 1000:
-        (only,) = back.collect()
-        sizes = sorted(len(part) for part in only.coordinates)
-        assert only.srid == 32644 and sizes == [1, 1, 1, 1, 1, 2]
-    else:
-        assert back.count() > 1
+    (only,) = back.collect()
+    sizes = sorted(len(part) for part in only.coordinates)
+    assert only.srid == 32644 and sizes == [1, 1, 1, 1, 1, 2]
     area = S.signed_area(V.feature_edges(back, ["id"]), ["id"]).first().area
     assert area == pytest.approx(len(rows) * 6.0)
     drawn = burn(rasterise(V.feature_edges(back, ["id"]), grid, ["id"])).collect()
     assert sorted((r.id, r.row_no, r.col_no) for r in drawn) == sorted(rows)
-    joined = V.ring_edges(V.ring_vertices(back, ["id", "piece"]), ["id", "piece"])
-    assert joined.count() == V.feature_edges(back, ["id", "piece"]).count()
+    joined = V.ring_edges(V.ring_vertices(back, ["id"]), ["id"])
+    assert joined.count() == V.feature_edges(back, ["id"]).count()
+
+
+def test_holes_within_islands_within_holes(spark):
+    pattern = ["#########", "#.......#", "#.#####.#", "#.#.#.#.#", "#.#####.#", "#.......#", "#########"]
+    cells, _ = pattern_cells(spark, pattern)
+    text = S.assemble_features(S.cells_to_spans(cells, ["id"]), feature_grid(), ["id"]).first().geometry
+    assert sorted(len(part) for part in json.loads(text)["coordinates"]) == [2, 3]
+
+
+def test_large_outlines_take_seconds(spark):
+    """A sieve of 50,000 cells has over 100,000 outline edges, nearly all of them holes'."""
+    cells = spark.range(300 * 340).selectExpr("7 as id", "int(id / 340) as row_no", "int(id % 340) as col_no")
+    sieve = cells.where("row_no % 2 = 0 or col_no % 2 = 0")
+    outline = S.directed_outline(S.cells_to_spans(sieve, ["id"]), ["id"]).toPandas()
+    assert len(outline) > 100_000
+    start = time.time()
+    shape = json.loads(S._multipolygon(outline, 0.0, 0.0, 1.0, 1.0))
+    assert time.time() - start < 10
+    assert len(shape["coordinates"]) == 1 and len(shape["coordinates"][0]) > 20_000
 
 
 def test_rings_are_closed(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from access_engine import config
 from access_engine.functions import bands as B
 from access_engine.functions import paths as P
-from access_engine.functions.quantiles import builtin_quantiles, group_quantiles, ranked_quantiles
+from access_engine.functions.quantiles import group_quantiles
 from access_engine.operators import density as D
 from access_engine.operators import overlay as O
 from access_engine.operators import summary as S
@@ -85,23 +85,19 @@ def hot_groups(spark):
     return spark.createDataFrame(rows, "k string, v double")
 
 
-def test_ranked_quantiles_equal_the_builtin(spark):
+def test_quantiles_equal_the_builtin(spark):
     df = hot_groups(spark)
-    want = {r.k: r for r in df.groupBy("k").agg(*builtin_quantiles("v", PROBS)).collect()}
-    got = {r.k: r for r in ranked_quantiles(df, ["k"], "v", PROBS).collect()}
+    builtin = [F.percentile("v", p).alias(name) for name, p in PROBS.items()]
+    want = {r.k: r for r in df.groupBy("k").agg(*builtin).collect()}
+    ranked = group_quantiles(df, ["k"], "v", PROBS)
+    assert "percentile(" not in plan_of(ranked)
+    got = {r.k: r for r in ranked.collect()}
     assert set(got) == set(want)
     for k in want:
         for q in PROBS:
             assert got[k][q] == pytest.approx(want[k][q], abs=1e-12)
 
 
-def test_group_quantiles_choose_by_size(spark):
-    df = hot_groups(spark)
-    small = group_quantiles(df, ["k"], "v", PROBS, limit=10_000)
-    large = group_quantiles(df, ["k"], "v", PROBS, limit=100)
-    assert "percentile(" in plan_of(small) and "percentile(" not in plan_of(large)
-
-
 UNITS = ["u1", "u2", "u3", "u4", "u5"]
 
 
@@ -146,34 +142,34 @@ def test_summary_by_hand_and_by_ranks(spark, level):
     groups = {}
     for r in complete.collect():
         groups.setdefault(tuple(r[k] for k in keys), []).append(r)
-    for limit in (1000, 1):
-        rows = S.summarise(complete, level, limit).collect()
-        assert {tuple(r[k] for k in keys) for r in rows} == set(groups)
-        for r in rows:
-            members = groups[tuple(r[k] for k in keys)]
-            shares = [m.pc_pop for m in members]
-            assert r.wtd_pc_pop == pytest.approx(sum(m.cat_pop for m in members) / members[0][whole])
-            assert r.avg_pc_pop == pytest.approx(statistics.mean(shares))
-            assert r.max_pc_pop == max(shares)
-            assert r.q75 == pytest.approx(float(np.quantile(shares, 0.75)))
-            if len(shares) == 1:
-                assert r.sd_pc_pop is None
-            else:
-                assert r.sd_pc_pop == pytest.approx(statistics.stdev(shares))
+    rows = S.summarise(complete, level).collect()
+    assert {tuple(r[k] for k in keys) for r in rows} == set(groups)
+    for r in rows:
+        members = groups[tuple(r[k] for k in keys)]
+        shares = [m.pc_pop for m in members]
+        assert r.wtd_pc_pop == pytest.approx(sum(m.cat_pop for m in members) / members[0][whole])
+        assert r.avg_pc_pop == pytest.approx(statistics.mean(shares))
+        assert r.max_pc_pop == max(shares)
+        assert r.q75 == pytest.approx(float(np.quantile(shares, 0.75)))
+        if len(shares) == 1:
+            assert r.sd_pc_pop is None
+        else:
+            assert r.sd_pc_pop == pytest.approx(statistics.stdev(shares))
 
 
 def test_grouping_sets_equal_the_single_levels(spark):
     complete = N.complete_rows(pooled(spark))
-    one_pass = S.summarise_all(complete, 1000)
-    ranked = S.summarise_all(complete, 1)
-    assert one_pass.columns == ranked.columns
+    every = S.summarise_all(complete).cache()
 
-    def table(df):
-        return sorted(
-            [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()], key=str
-        )
+    def table(df, columns):
+        rows = df.select(*columns).collect()
+        return sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows], key=str)
 
-    assert table(one_pass) == table(ranked)
+    for level, (extra, _) in S.LEVELS.items():
+        single = S.summarise(complete, level)
+        found = S.one_level(every, level)
+        assert [k for k in S.TOTALS if k in found.columns] == [k for k in S.TOTALS if k in extra]
+        assert table(found, single.columns) == table(single, single.columns)
 
 
 def test_season_comparison(spark):
@@ -186,21 +182,19 @@ def test_season_comparison(spark):
         assert r.monsoon_share == shares["Monsoon season", r.fac_type, r.trav_value]
 
 
-def test_density_integrates_to_one_and_binning_agrees(spark):
+def test_density_integrates_to_one(spark):
     rng = random.Random(4)
     rows = [("p", g, min(max(rng.gauss(m, 0.05), 0.0), 1.0)) for g, m in (("a", 0.4), ("b", 0.55)) for _ in range(400)]
     rows += [("p", "tiny", 0.5), ("flat", "a", 0.5), ("flat", "a", 0.5), ("flat", "a", 0.5)]
     rows += [("p", "a", 1.5), ("p", "a", None)]
     df = spark.createDataFrame(rows, "panel string, band string, v double")
     exact = {(r.band, r.i): r for r in D.density(df, ["panel"], "band", "v").collect()}
-    binned = {(r.band, r.i): r for r in D.density(df, ["panel"], "band", "v", exact_limit=1).collect()}
     assert {b for b, _ in exact} == {"a", "b"}
     for band in ("a", "b"):
         area = sum(r.density for (b, _), r in exact.items() if b == band) / 511
         assert area == pytest.approx(1.0, abs=0.01)
-    for at in exact.keys() & binned.keys():
-        assert binned[at].density == pytest.approx(exact[at].density, rel=2e-3, abs=1e-3)
-    assert len(exact.keys() ^ binned.keys()) <= 2
+    wide = D.density(df, ["panel"], "band", "v", min_points=401).select("band").distinct().collect()
+    assert [r.band for r in wide] == []
 
 
 def test_density_by_hand(spark):
