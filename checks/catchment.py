@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from access_engine.operators.overlay import dissolve
 from access_engine.operators.spans import burn
 from access_engine.plans import catchment as K
+from access_engine.sources import features as V
 from access_engine.sources.order_grid import FACILITIES, OrderGrid
+from access_engine.storage import new_path
 from checks.classification import adm2, located
 from checks.fixture_sql import with_views
 
@@ -38,6 +41,29 @@ def catch_uncovered_by_facility(g: OrderGrid) -> DataFrame:
     return K.uncovered_by_dataset(cells, covered(g, ["fac_type"]), adm2(g, cells), files)
 
 
+def catch_shared_ids(g: OrderGrid) -> DataFrame:
+    """Catchments whose ids repeat or are missing, as Polygon and MultiPolygon, written and read."""
+    points = F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "x1", "y1"))), lambda p: F.array(p["x1"], p["y1"])
+    )
+    rings = g.catchment_edges.groupBy("id", "fac_type").agg(points.alias("ring"))
+    polygon = F.to_json(F.array(F.concat("ring", F.slice("ring", 1, 1))))
+    single = F.concat(F.lit('{"type":"Polygon","coordinates":'), polygon, F.lit("}"))
+    multi = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), polygon, F.lit("]}"))
+    shapes = rings.select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("id"),
+        "fac_type",
+        F.when(F.col("id") % 2 == 0, single).otherwise(multi).alias("geometry"),
+    )
+    path = new_path(g.spark, "catchments")
+    V.write_geojson(shapes, path, ["id", "fac_type"], g.grid.srid)
+    kinds = T.StructType([shapes.schema["id"], shapes.schema["fac_type"]])
+    outlines = V.feature_edges(V.read_geojson(g.spark, path, kinds), ["feature"])
+    cells = located(g)
+    free = K.uncovered_cells(cells, K.coverage(outlines, g.grid, feature=["feature"]))
+    return K.uncovered_population(free, adm2(g, cells))
+
+
 def catch_covered_split(g: OrderGrid) -> DataFrame:
     cells = located(g)
     totals = K.zonal_stats(cells, ["id"], stats=["sum"]).join(g.lgu_codes, "id")
@@ -62,6 +88,7 @@ QUERIES = {
         catch_union_cells,
         catch_uncovered,
         catch_uncovered_by_facility,
+        catch_shared_ids,
         catch_covered_split,
         catch_by_facility,
     )
@@ -95,3 +122,4 @@ ORACLE = {
         "join fx_lgu_cell l on l.cell = k.cell group by fac_type, l.id) u on u.id = a.id and u.fac_type = f.fac_type"
     ),
 }
+ORACLE["catch_shared_ids"] = ORACLE["catch_uncovered"]

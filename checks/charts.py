@@ -61,6 +61,11 @@ def ridge_quartiles(g: OrderGrid) -> DataFrame:
     return rounded(lines, "q25", "q50", "q75")
 
 
+def ridge_quartiles_zone(g: OrderGrid) -> DataFrame:
+    lines = D.quantile_lines(_by_zone(g), ["fac_type", "geog"], "trav_cat", "pc_pop")
+    return rounded(lines, "q25", "q50", "q75")
+
+
 def chart_ridge_season(g: OrderGrid) -> DataFrame:
     return C.ridge_headings(_by_season(g), "LGU comparison")
 
@@ -81,6 +86,7 @@ QUERIES = {
     "ridge_density_season": ridge_density_season,
     "ridge_density_zone": ridge_density_zone,
     "ridge_quartiles": ridge_quartiles,
+    "ridge_quartiles_zone": ridge_quartiles_zone,
     "chart_ridge_season": chart_ridge_season,
     "chart_ridge_zone": chart_ridge_zone,
 }
@@ -166,6 +172,15 @@ def _heading_sql(where: str, stem: str) -> str:
     )
 
 
+
+def _quartile_sql(panel: str, where: str) -> str:
+    cuts = ", ".join(f"round(quantile_cont(pc_pop, {p}), 6) as q{round(100 * p)}" for p in (0.25, 0.5, 0.75))
+    return with_views(
+        f"select fac_type, {panel}, trav_cat, {cuts} from fx_final where {where} and pc_pop between 0 and 1 "
+        f"group by fac_type, {panel}, trav_cat"
+    )
+
+
 ORACLE = {
     "chart_lgu_bands": with_views(
         f"select season, fac_type, adm2_code, adm_name, province, {_BAND}, round_even(pc_pop, 4) as pc_pop, "
@@ -185,10 +200,8 @@ ORACLE = {
     "chart_compare_zone": with_views(_comparison_sql("zone")),
     "ridge_density_season": _ridge_sql("fac_type, season", _SEASONS),
     "ridge_density_zone": _ridge_sql("fac_type, geog", _NORMAL),
-    "ridge_quartiles": with_views(
-        "select fac_type, season, trav_cat, round(quantile_cont(pc_pop, 0.25), 6) as q25, round(quantile_cont(pc_pop, 0.5), 6) as q50, "
-        f"round(quantile_cont(pc_pop, 0.75), 6) as q75 from fx_final where {_SEASONS} and pc_pop between 0 and 1 group by fac_type, season, trav_cat"
-    ),
+    "ridge_quartiles": _quartile_sql("season", _SEASONS),
+    "ridge_quartiles_zone": _quartile_sql("geog", _NORMAL),
     "chart_ridge_season": _heading_sql(_SEASONS, "LGU comparison"),
     "chart_ridge_zone": _heading_sql(_NORMAL, "Physiogeographic LGU comparison"),
 }
