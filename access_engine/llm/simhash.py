@@ -200,7 +200,7 @@ def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
     """(a, b): links that connect all of the distinct fingerprints ``fp`` within ``BITS`` bits of each other.
 
     Groups agree on two of five blocks. The members of a group with more than ``split`` of them are grouped anew by
-    five of eight blocks of the open bits; 50 or more bits then agree, which bounds such a group by 2^14 fingerprints.
+    five of eight blocks of the open bits; 49 or more bits then agree, which bounds such a group by 2^15 fingerprints.
     """
     first = stored(_together(_keyed(fps, _array(COARSE)), split), "links")
     large = first.where("way >= 0").select(F.col("a").alias("fp"), "way")
