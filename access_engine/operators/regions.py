@@ -20,6 +20,7 @@ from access_engine.operators.grid import Grid
 from access_engine.storage import drop, store
 
 TILE = 128
+SALT = 8  # tasks that share the edges of one node
 
 # the tile function travels with the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -63,24 +64,39 @@ def _label_tile(pdf: pd.DataFrame, tile: int, ncols: int) -> pd.DataFrame:
     return pdf.assign(label=ids[label])
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+
+
+def _on_every_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def _star_round(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One large-star and one small-star step on edges ``hi > lo``.
 
-    Minima are aggregated map-side and joined back, so a node with very many neighbours is never
-    gathered in one place; ``moved`` tells whether the step changed anything.
+    Minima are aggregated map-side and joined back. The joins are salted by the other end, so the
+    many edges of a node that a raster-filling area hangs on go to several tasks; only nodes that
+    have something to pass on, few after the first round, are repeated for it. ``moved`` tells
+    whether the step changed anything.
     """
-    ends = [*keys, F.col("lo").alias("node"), F.col("hi").alias("other")]
-    both = edges.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("other")).unionAll(
-        edges.select(*ends)
+    # only a node with a smaller neighbour can move the edges it is the lower end of
+    below = edges.groupBy(*keys, "hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
+    passing = below.join(edges.select(*keys, "lo").distinct(), [*keys, "lo"], "left_semi")
+    large = (
+        _salted(edges, "hi")
+        .join(_on_every_salt(passing), [*keys, "lo", "salt"], "left")
+        .select(
+            *keys, "hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved")
+        )
     )
-    least = both.groupBy(*keys, "node").agg(F.min("other").alias("m"))
-    large = edges.join(least.withColumnRenamed("node", "lo"), [*keys, "lo"]).select(
-        *keys, "hi", F.least("lo", "m").alias("lo"), (F.col("m") < F.col("lo")).alias("moved")
+    lowest = large.groupBy(*keys, "hi").agg(
+        F.min("lo").alias("m"), F.max("lo").alias("most"), F.max("moved").alias("moved")
     )
-    lowest = large.groupBy(*keys, "hi").agg(F.min("lo").alias("m"), F.max("moved").alias("moved"))
+    several = lowest.where(F.col("m") < F.col("most")).select(*keys, "hi", "m")
     small = (
-        large.drop("moved")
-        .join(lowest.drop("moved"), [*keys, "hi"])
+        _salted(large.drop("moved"), "lo")
+        .join(_on_every_salt(several), [*keys, "hi", "salt"])
         .where(F.col("lo") > F.col("m"))
         .select(
             *keys, F.col("lo").alias("hi"), F.col("m").alias("lo"), F.lit(True).alias("moved")
@@ -116,6 +132,35 @@ def connected_components(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFram
         edges = edges.drop("moved")
 
 
+def _across(local: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Pairs ``a, b`` of labels of one class that touch across a tile border, from one scan.
+
+    Every cell at a border names the first cell beyond it: itself, or its neighbour below or to
+    the right.
+    """
+    sides = [
+        F.when(
+            F.col(step) % tile == (tile - 1 if ahead else 0),
+            F.struct(
+                F.lit(step).alias("step"),
+                (F.col("row_no") + (ahead if step == "row_no" else 0)).alias("row_no"),
+                (F.col("col_no") + (ahead if step == "col_no" else 0)).alias("col_no"),
+                F.lit(ahead).alias("ahead"),
+            ),
+        )
+        for step in ("row_no", "col_no")
+        for ahead in (1, 0)
+    ]
+    beyond = local.select(
+        *keys, "class", "label", F.inline(F.array_compact(F.array(*sides)))
+    )
+    met = beyond.groupBy(*keys, "class", "step", "row_no", "col_no").agg(
+        F.max(F.when(F.col("ahead") == 1, F.col("label"))).alias("a"),
+        F.max(F.when(F.col("ahead") == 0, F.col("label"))).alias("b"),
+    )
+    return met.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, "a", "b")
+
+
 def polygonize(
     cells: DataFrame, grid: Grid, class_col: str, keys: Sequence[str] = (), tile: int = TILE
 ) -> DataFrame:
@@ -147,17 +192,7 @@ def polygonize(
         "tiles",
     )
 
-    def across(step: str) -> DataFrame:
-        last = local.where(F.col(step) % tile == tile - 1).withColumn(step, F.col(step) + 1)
-        first = local.where(F.col(step) % tile == 0)
-        same = [*keys, "row_no", "col_no", "class"]
-        return (
-            last.select(*same, F.col("label").alias("a"))
-            .join(first.select(*same, F.col("label").alias("b")), same)
-            .select(*keys, "a", "b")
-        )
-
-    joined = connected_components(across("row_no").unionAll(across("col_no")), keys)
+    joined = connected_components(_across(local, keys, tile), keys)
     zone = F.coalesce("component", "label").alias("zone_id")
     return local.join(joined.withColumnRenamed("node", "label"), [*keys, "label"], "left").select(
         *keys, "row_no", "col_no", F.col("class").alias(class_col), zone

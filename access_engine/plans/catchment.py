@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from access_engine.config import STRIP
 from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import lookup, zonal_stats
 from access_engine.operators.spans import (
@@ -36,12 +37,14 @@ def uncovered_cells(located: DataFrame, covered: DataFrame) -> DataFrame:
     return locate(located, covered, "left_anti")
 
 
-def uncovered_spans(units: DataFrame, covered: DataFrame, grid: Grid) -> DataFrame:
+def uncovered_spans(
+    units: DataFrame, covered: DataFrame, grid: Grid, width: int = STRIP
+) -> DataFrame:
     """What the merged catchments leave of every unit, as spans ``id, row_no, c0, c1``.
 
     For outlines and features; it works on outlines alone and reads no cell.
     """
-    return intersect_spans(units, complement_spans(covered, grid), ["id"])
+    return intersect_spans(units, complement_spans(covered, grid), ["id"], width)
 
 
 def uncovered_by_dataset(
@@ -109,6 +112,11 @@ def final_table(layer: DataFrame, dataset: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def with_geometry(final: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The final table with the merged ``geometry`` of each unit, one row per unit."""
+    return final.join(shapes.select("a_hlcit_code", "geometry"), "a_hlcit_code")
+
+
 def covered_split(uncovered: DataFrame, totals: DataFrame) -> DataFrame:
     """Covered and uncovered population of every unit as two rows.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from access_engine.config import STRIP
 from access_engine.functions import bands as B
 from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import CELL, lookup, name_layers, unstack, zonal_stats
@@ -16,9 +17,11 @@ from access_engine.operators.spans import locate, rasterise
 DATASET = ["season", "fac_type"]
 
 
-def unit_cells(pop: DataFrame, edges: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
+def unit_cells(
+    pop: DataFrame, edges: DataFrame, grid: Grid, key: str = "id", width: int = STRIP
+) -> DataFrame:
     """Population cells with the unit each lies in; computed once and joined to every raster."""
-    return locate(pop, rasterise(edges, grid, [key]))
+    return locate(pop, rasterise(edges, grid, [key]), width=width)
 
 
 def unit_dimension(located: DataFrame, codes: DataFrame) -> DataFrame:
@@ -48,10 +51,15 @@ def banded_rasters(located: DataFrame, rasters: DataFrame) -> DataFrame:
 
 
 def banded_segments(
-    rasters: DataFrame, population: DataFrame, spans: DataFrame, unit: str, keys: Sequence[str]
+    rasters: DataFrame,
+    population: DataFrame,
+    spans: DataFrame,
+    unit: str,
+    keys: Sequence[str],
+    width: int = STRIP,
 ) -> DataFrame:
     """The same for rasters and population stored as row segments; units come as spans."""
-    cells = segment_cells(rasters, population, spans, keys, unit)
+    cells = segment_cells(rasters, population, spans, keys, unit, width)
     return B.classify_bands(cells).where(F.col("band") > 0).drop("hours")
 
 

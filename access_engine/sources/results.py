@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,8 +57,13 @@ def read_results(
         .option("pathGlobFilter", "*.csv")
         .csv(root)
     )
+    return _with_provenance(rows, spark, root, F.col("_metadata.file_path"))
+
+
+def _with_provenance(rows: DataFrame, spark: SparkSession, root: str, file: Column) -> DataFrame:
+    """Adds ``source, season, fac_type`` from the path of each row's file."""
     # a plus sign in a path is no space
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    full = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
     full = F.regexp_replace(full, "^([a-z0-9]+):/+", "$1:/")
     base = re.sub("^([a-z0-9]+):/+", r"\1:/", qualified(spark, root).rstrip("/")) + "/"
     strange = F.raise_error(F.concat(F.lit(f"not below {base}: "), full))
@@ -74,6 +79,56 @@ def read_results(
     )
 
 
+def read_results_by_name(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Every CSV below a subfolder of ``root``, columns matched by the names of each file's header.
+
+    Files may differ in their columns and in the order of them: a column of ``schema`` that a file
+    lacks is NULL there; a file without a header, with a name ``schema`` has not, or with a value
+    that is not of its column's type stops the run. All files are read in one job; a row is one
+    line.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .text(root)
+        .select("value", F.col("_metadata.file_path").alias("file"))
+        .where(F.length("value") > 0)
+    )
+    # one more field at the end of each line, a mark, tells how many fields the line has
+    mark, width = "#", len(schema)
+    fields = F.from_csv(
+        F.concat("value", F.lit(f",{mark}")), ", ".join(f"c{i} string" for i in range(width + 1))
+    )
+    split = lines.select("value", "file", fields.alias("f")).select(
+        "value", "file", F.array("f.*").alias("cells")
+    )
+    last = F.array_max(
+        F.transform("cells", lambda c, i: F.when(c.isNotNull(), i).otherwise(F.lit(-1)))
+    )
+    split = split.withColumn("n", last).withColumn("cells", F.slice("cells", 1, last))
+    known = F.array(*[F.lit(n) for n in schema.names])
+    is_header = (F.col("n") > 0) & F.forall(
+        "cells", lambda c: F.coalesce(F.array_contains(known, c), F.lit(False))
+    )
+    split = split.withColumn("is_header", is_header)
+    heads = (
+        split.where("is_header").groupBy("file").agg(F.min("cells").alias("names"), F.max("cells").alias("other"))
+    )
+    wrong = F.raise_error(F.concat(F.lit("no header, or a line unlike it: "), "file", F.lit(": "), "value"))
+    fits = (F.col("names") == F.col("other")) & (F.size("names") == F.col("n"))
+    rows = split.where(~F.col("is_header")).join(heads, "file", "left")
+    rows = rows.withColumn("names", F.when(F.coalesce(fits, F.lit(False)), F.col("names")).otherwise(wrong))
+
+    def named(column: T.StructField) -> Column:
+        text = F.get("cells", F.array_position("names", column.name).cast("int") - 1)
+        value = text.try_cast(column.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"bad {column.name} in "), "file", F.lit(": "), text))
+        return F.when(text.isNotNull() & value.isNull(), bad).otherwise(value).alias(column.name)
+
+    typed = rows.select(*[named(c) for c in schema.fields], "file")
+    return _with_provenance(typed, spark, root, F.col("file")).drop("file")
+
+
 def bind_rows(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack frames, filling columns a frame lacks with NULL."""
     united, *rest = frames

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from access_engine.config import STRIP
 from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import Grid, align
@@ -119,13 +120,20 @@ def lgu_band_share(g: OrderGrid) -> DataFrame:
     return share_table(g)
 
 
-def segment_band_share(g: OrderGrid) -> DataFrame:
+def segment_band_share(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """The LGU result again, from rasters and population stored as row segments."""
     long = O.unstack(g.stack, "row_no", "col_no")
-    times = to_segments(long, "hours", ["layer"])
-    people = to_segments(g.population, "pop")
-    cells = C.banded_segments(times, people, rasterise(g.lgu_edges, g.grid, ["id"]), "id", ["layer"])
-    return C.lgu_share(C.band_population(cells, "id", LAYERS), adm2(g, located(g)), "id")
+    times = to_segments(long, "hours", ["layer"], width)
+    people = to_segments(g.population, "pop", width=width)
+    units = rasterise(g.lgu_edges, g.grid, ["id"])
+    cells = C.banded_segments(times, people, units, "id", ["layer"], width)
+    within = C.unit_cells(g.population, g.lgu_edges, g.grid, width=width)
+    return C.lgu_share(C.band_population(cells, "id", LAYERS), adm2(g, within), "id")
+
+
+def strip_band_share(g: OrderGrid) -> DataFrame:
+    """The same over strips of 16 columns, several of which a unit's row spans."""
+    return segment_band_share(g, 16)
 
 
 def province_band_share(g: OrderGrid) -> DataFrame:
@@ -169,6 +177,7 @@ QUERIES = {
         zonal_sum_count,
         lgu_band_share,
         segment_band_share,
+        strip_band_share,
         province_band_share,
         share_decimal_percent,
         lgu_left_lookup,
@@ -215,6 +224,7 @@ ORACLE = {
     ),
     "lgu_band_share": with_views(f"select {_RESULT} from fx_labelled"),
     "segment_band_share": with_views(f"select {_RESULT} from fx_labelled"),
+    "strip_band_share": with_views(f"select {_RESULT} from fx_labelled"),
     "province_band_share": with_views("select * from fx_province_share"),
     "share_decimal_percent": with_views(
         "select season, fac_type, adm2_code, trav_value, cast(try_cast(case when adm_pop > 0 then cat_pop / adm_pop * cast(100 as double) end as decimal(5,4)) as double) as pc_pop from fx_share"

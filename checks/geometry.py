@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from access_engine.config import STRIP
 from access_engine.functions import bands as B
 from access_engine.operators import boundary as S
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import same_srid
-from access_engine.operators.regions import polygonize
+from access_engine.operators.regions import TILE, polygonize
 from access_engine.operators.segments import segment_zones, to_segments
 from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
@@ -23,11 +24,15 @@ from checks.classification import adm2, located
 from checks.fixture_sql import with_views
 
 
-def zones(g: OrderGrid) -> DataFrame:
+#: Strip width and tile size that the small grid has several of, in both directions.
+NARROW, SMALL = 16, 32
+
+
+def zones(g: OrderGrid, tile: int = TILE) -> DataFrame:
     """Connected areas of equal band of all rasters; band 0 is no zone."""
     cells = B.classify_bands(O.unstack(g.stack, "row_no", "col_no"))
     return polygonize(
-        cells.where(F.col("band") > 0).drop("hours"), g.grid, "band", ["layer"]
+        cells.where(F.col("band") > 0).drop("hours"), g.grid, "band", ["layer"], tile
     )
 
 
@@ -35,9 +40,9 @@ def gaps(g: OrderGrid) -> DataFrame:
     return K.uncovered_cells(located(g), covered(g))
 
 
-def gap_spans(g: OrderGrid) -> DataFrame:
+def gap_spans(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """The uncovered part of each unit as spans, from the outlines alone."""
-    return K.uncovered_spans(rasterise(g.lgu_edges, g.grid, ["id"]), covered(g), g.grid)
+    return K.uncovered_spans(rasterise(g.lgu_edges, g.grid, ["id"]), covered(g), g.grid, width)
 
 
 def band_spans(g: OrderGrid) -> DataFrame:
@@ -46,13 +51,27 @@ def band_spans(g: OrderGrid) -> DataFrame:
     return S.cells_to_spans(cells, ["layer", "id", "band"])
 
 
-def polygonize_components(g: OrderGrid) -> DataFrame:
+def polygonize_components(g: OrderGrid, tile: int = TILE) -> DataFrame:
     counts = (
-        zones(g).groupBy("layer", "band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
+        zones(g, tile).groupBy("layer", "band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
     )
     return O.name_layers(counts, LAYERS)
 
 
+def tile_components(g: OrderGrid) -> DataFrame:
+    """The connected areas once more, over tile borders in both directions."""
+    return polygonize_components(g, SMALL)
+
+
+def smooth_components(g: OrderGrid) -> DataFrame:
+    """Connected areas of a raster of broad slanting belts, which run through many tiles."""
+    belts = g.base_hours.where("base_hours IS NOT NULL").selectExpr(
+        "row_no", "col_no", "cast((row_no + 2 * col_no) div 40 % 9 as double) as hours"
+    )
+    areas = polygonize(B.classify_bands(belts).drop("hours"), g.grid, "band", tile=SMALL)
+    return areas.groupBy("band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
+
+
 def zone_area(g: OrderGrid) -> DataFrame:
     """Area per raster and band, number of areas and the largest one."""
     size = g.grid.cell_area()
@@ -98,16 +117,20 @@ def zone_outlines(spans: DataFrame) -> DataFrame:
     return O.name_layers(sizes.join(outline, keys), LAYERS)
 
 
-def segment_zone_boundary(g: OrderGrid) -> DataFrame:
+def segment_zone_boundary(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """The dissolved zones once more, from rasters stored as row segments."""
     long = O.unstack(g.stack, "row_no", "col_no")
     units = rasterise(g.lgu_edges, g.grid, ["id"])
     spans = segment_zones(
-        to_segments(long, "hours", ["layer"]), units, ["layer"], "id", B.band_of
+        to_segments(long, "hours", ["layer"], width), units, ["layer"], "id", B.band_of, width
     ).where(F.col("band") > 0)
     return zone_outlines(spans)
 
 
+def strip_zone_boundary(g: OrderGrid) -> DataFrame:
+    return segment_zone_boundary(g, NARROW)
+
+
 def overlay_parts(g: OrderGrid) -> DataFrame:
     """Unit cells inside and outside the catchments by overlay of two cell sets."""
     units = located(g).select("row_no", "col_no", "id", "pop")
@@ -117,31 +140,49 @@ def overlay_parts(g: OrderGrid) -> DataFrame:
     return O.zonal_stats(inside.unionByName(outside), ["id", "part"])
 
 
-def uncovered_boundary(g: OrderGrid) -> DataFrame:
+def uncovered_boundary(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """Outline of the uncovered part of each unit as straight segments on grid lines."""
-    return S.span_boundary(gap_spans(g), ["id"])
+    return S.span_boundary(gap_spans(g, width), ["id"])
+
+
+def strip_uncovered_boundary(g: OrderGrid) -> DataFrame:
+    return uncovered_boundary(g, NARROW)
 
 
 def catch_final(g: OrderGrid) -> DataFrame:
-    """Final table per unit from the uncovered layer with one row per connected part."""
+    """Final table per unit from the uncovered layer with one row per connected part.
+
+    Its merged geometry is shown by the area and the number of corners of its rings.
+    """
     cells = located(g)
     free = K.uncovered_cells(cells, covered(g))
     layer = K.uncovered_population(free, adm2(g, cells))
-    codes = g.lgu_codes
+    codes = g.lgu_codes.select("id", F.col("hlcit_code").alias("a_hlcit_code"))
     parts = (
         polygonize(free.select("row_no", "col_no", "id"), g.grid, "id")
         .select("id", "zone_id")
         .distinct()
-        .join(codes.select("id", F.col("hlcit_code").alias("a_hlcit_code")), "id")
+        .join(codes, "id")
+    )
+    shapes = S.assemble_features(gap_spans(g), g.grid, ["id"]).join(codes, "id").drop("id")
+    table = K.final_table(parts.select("a_hlcit_code", "zone_id").join(layer, "a_hlcit_code"))
+    final = K.with_geometry(table, shapes)
+    columns = [c for c in final.columns if c != "geometry"]
+    path = new_path(g.spark, "final")
+    V.write_geojson(final, path, columns, g.grid.srid)
+    back = V.read_geojson(g.spark, path, T.StructType([final.schema[c] for c in columns]))
+    measured = V.feature_edges(back, columns).groupBy(*columns)
+    twice = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    return measured.agg(
+        F.round(F.sum(twice) / 2, 4).alias("area"), F.count(F.lit(1)).alias("corners")
     )
-    return K.final_table(parts.select("a_hlcit_code", "zone_id").join(layer, "a_hlcit_code"))
 
 
-def geojson_features(g: OrderGrid) -> DataFrame:
+def geojson_features(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """Uncovered features with statistics, written as GeoJSON, read back and measured."""
     grid = g.grid
     cells = gaps(g)
-    shapes = S.assemble_features(gap_spans(g), grid, ["id"])
+    shapes = S.assemble_features(gap_spans(g, width), grid, ["id"])
     stats = O.zonal_stats(cells, ["id"])
     codes = g.lgu_codes.select("id", "hlcit_code")
     features = shapes.join(stats, "id").join(codes, "id")
@@ -160,19 +201,28 @@ def geojson_features(g: OrderGrid) -> DataFrame:
     return counted.join(area, "hlcit_code").withColumn("area", F.round("area", 4))
 
 
+def strip_geojson_features(g: OrderGrid) -> DataFrame:
+    return geojson_features(g, NARROW)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         polygonize_components,
+        tile_components,
+        smooth_components,
         zone_area,
         dissolve_boundary_lgu_to_province,
         province_cell_boundary,
         zone_boundary,
         segment_zone_boundary,
+        strip_zone_boundary,
         overlay_parts,
         uncovered_boundary,
+        strip_uncovered_boundary,
         catch_final,
         geojson_features,
+        strip_geojson_features,
     )
 }
 
@@ -266,9 +316,15 @@ ORACLE = {
     "catch_final": _with_components(
         "select u.id, u.cell, u.row_no, u.col_no, u.pop, a.hlcit_code, a.pop_sum from fx_uncovered u join fx_adm2 a on a.id = u.id",
         "id",
-        "select hlcit_code as a_hlcit_code, avg(pop_sum) as adm_pop, avg(s) as catch_pop, avg(pc) as pc_uncov, count(*) as parts from "
-        "(select distinct cc.id, label from cc) p join (select id, hlcit_code, pop_sum, sum(pop) as s, "
-        "case when pop_sum <> 0 then sum(pop) / pop_sum end as pc from lab group by id, hlcit_code, pop_sum) g on g.id = p.id group by hlcit_code",
+        "select a_hlcit_code, adm_pop, catch_pop, pc_uncov, parts, area, corners from "
+        "(select hlcit_code as a_hlcit_code, avg(pop_sum) as adm_pop, avg(s) as catch_pop, avg(pc) as pc_uncov, count(*) as parts, "
+        f"round(max(n) * {_SIZE}, 4) as area, cc_id from "
+        "(select distinct cc.id as cc_id, label from cc) p join (select id, hlcit_code, pop_sum, sum(pop) as s, count(*) as n, "
+        "case when pop_sum <> 0 then sum(pop) / pop_sum end as pc from lab group by id, hlcit_code, pop_sum) g on g.id = p.cc_id group by hlcit_code, cc_id) f "
+        # a grid point is a corner where one or three of the four cells around it belong to the unit, two where opposite ones do
+        "join (select id, sum(case when n in (1, 3) then 1 when n = 2 and d in (0, 2) then 2 else 0 end)::bigint as corners from "
+        "(select id, r, c, count(*) as n, sum(k) as d from (select id, row_no + i as r, col_no + j as c, (i + j) % 2 as k "
+        "from lab cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j)) e group by id, r, c) v group by id) w on w.id = f.cc_id",
     ),
     "geojson_features": _with_components(
         "select u.id, u.cell, u.row_no, u.col_no, u.pop, a.hlcit_code from fx_uncovered u join fx_adm2 a on a.id = u.id",
@@ -277,3 +333,16 @@ ORACLE = {
         f"round(count(*) * {_SIZE}, 4) as area from lab join (select id, count(distinct label) as parts from cc group by id) p on p.id = lab.id group by hlcit_code",
     ),
 }
+ORACLE |= {
+    "tile_components": ORACLE["polygonize_components"],
+    "strip_zone_boundary": ORACLE["zone_boundary"],
+    "strip_uncovered_boundary": ORACLE["uncovered_boundary"],
+    "strip_geojson_features": ORACLE["geojson_features"],
+    "smooth_components": _with_components(
+        "select cell, row_no, col_no, case ((row_no + 2 * col_no) - (row_no + 2 * col_no) % 40) / 40 % 9 "
+        "when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 4 when 4 then 4 else 5 end as band "
+        "from fx_cells where base_hours is not null",
+        "band",
+        "select band, label as zone_id, count(*) as cells from cc group by all",
+    ),
+}
