@@ -52,7 +52,7 @@ def _layer(spark: SparkSession, path: str, kinds: T.StructType, grid: Grid) -> D
     return layer
 
 
-def _one_row(layer: DataFrame, code: str) -> DataFrame:
+def one_row(layer: DataFrame, code: str) -> DataFrame:
     """Attributes of each unit; features of one unit that disagree on them stop the run."""
 
     def agreed(column: str):
@@ -72,7 +72,7 @@ def _units(
     layer = _layer(spark, path, kinds, grid)
     # a unit may come as several features; they share its attributes
     attributes = layer.drop("coordinates", "srid", "feature").withColumnRenamed("sum", "pop_sum")
-    table = _one_row(attributes, code)
+    table = one_row(attributes, code)
     return V.feature_edges(layer, [code]), table, code
 
 

@@ -29,7 +29,9 @@ def _strict(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
     return spark.read.schema(schema).options(**options)
 
 
-def write_result_tree(df: DataFrame, root: str, level: str = "adm2") -> None:
+def write_result_tree(
+    df: DataFrame, root: str, level: str = "adm2", mode: str = "errorifexists"
+) -> None:
     """One folder ``<season>/<dataset>_<level>.csv`` per dataset, as a run per raster leaves it.
 
     All datasets go out in one job; rows are first brought together by dataset, hot datasets split
@@ -39,7 +41,7 @@ def write_result_tree(df: DataFrame, root: str, level: str = "adm2") -> None:
     file = F.concat(F.lower(season), F.lit("_"), fac, F.lit(f"_{level}.csv"))
     df.withColumn("folder", season).withColumn("file", file).drop("season", "fac_type").hint(
         "rebalance", "folder", "file"
-    ).write.option("header", True).partitionBy("folder", "file").csv(root)
+    ).write.mode(mode).option("header", True).partitionBy("folder", "file").csv(root)
 
 
 def read_results(
@@ -105,7 +107,9 @@ def read_results_by_name(spark: SparkSession, root: str, schema: T.StructType) -
     last = F.array_max(
         F.transform("cells", lambda c, i: F.when(c.isNotNull(), i).otherwise(F.lit(-1)))
     )
-    split = split.withColumn("n", last).withColumn("cells", F.slice("cells", 1, last))
+    # a line of more fields than the schema has columns has lost its mark
+    n = F.when(F.get("cells", last) == mark, last).otherwise(F.lit(-1))
+    split = split.withColumn("n", n).withColumn("cells", F.slice("cells", 1, last))
     known = F.array(*[F.lit(n) for n in schema.names])
     is_header = (F.col("n") > 0) & F.forall(
         "cells", lambda c: F.coalesce(F.array_contains(known, c), F.lit(False))

@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from access_engine.sources.order_grid import OrderGrid
-from checks import catchment, charts, classification, geometry, statistics
+from checks import catchment, charts, classification, geometry, sources, statistics
 
-_PARTS = (classification, catchment, geometry, statistics, charts)
+_PARTS = (classification, catchment, geometry, statistics, charts, sources)
 
 
 def _on_tables(plan: Callable[[OrderGrid], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,3 +16,4 @@ def _on_tables(plan: Callable[[OrderGrid], DataFrame]) -> Callable[[SparkSession
 
 QUERIES = {name: _on_tables(plan) for part in _PARTS for name, plan in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
+ORACLE["chart_folders"] = ORACLE["chart_lgu_bands"]

@@ -279,3 +279,43 @@ def test_raster_partitions_and_rows_are_pruned(spark, inputs):
     plan = plan_of(one)
     assert "PartitionFilters: [isnotnull(season" in plan and "LessThan(row_no,3)" in plan
     assert one.count() == 3 * 125
+
+
+def test_results_by_name(spark, tmp_path):
+    """Files with other columns in another order are read by their header; what doesn't fit stops the run."""
+    schema = T.StructType(
+        [
+            T.StructField("adm_name", T.StringType()),
+            T.StructField("trav_value", T.IntegerType()),
+            T.StructField("cat_pop", T.DoubleType()),
+        ]
+    )
+
+    def tree(name, **files):
+        for file, text in files.items():
+            path = tmp_path / name / "NM" / f"{file}.csv"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text)
+        return R.read_results_by_name(spark, str(tmp_path / name), schema).select(*schema.names, "source")
+
+    good = tree(
+        "a+b (1)",
+        nm_dhq_adm2='adm_name,trav_value,cat_pop\n"Old, new",1,2.5\nB,,\n\n',
+        nm_fi_adm2="cat_pop,adm_name\n7,C\n",
+        nm_hps_adm2="adm_name\n",
+    )
+    assert sorted(map(tuple, good.collect()), key=str) == [
+        ("B", None, None, "NM/nm_dhq_adm2.csv"),
+        ("C", None, 7.0, "NM/nm_fi_adm2.csv"),
+        ("Old, new", 1, 2.5, "NM/nm_dhq_adm2.csv"),
+    ]
+    for name, text in {
+        "other_name": "adm_name,pop\nA,1\n",
+        "no_header": "A,1,2\n",
+        "short": "adm_name,trav_value,cat_pop\nA,1\n",
+        "long": "adm_name,cat_pop\nA,1,2\n",
+        "longer": "adm_name,trav_value,cat_pop\nA,1,2,3\n",
+        "bad_value": "adm_name,trav_value\nA,one\n",
+    }.items():
+        with pytest.raises(Exception, match="unlike it|bad trav_value"):
+            tree(name, nm_dhq_adm2=text).collect()
