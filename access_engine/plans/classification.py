@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from access_engine.config import STRIP
@@ -73,6 +73,30 @@ def band_population(cells: DataFrame, unit: str, names: Sequence[tuple[str, str]
     return name_layers(sums, names)
 
 
+def band_population_and_total(
+    located: DataFrame, stack: DataFrame, unit: str, names: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """``cat_pop`` per dataset, unit and band with the unit's whole population ``pop_sum``.
+
+    One pass over the cells gives both: a cell goes in once per layer and once more for the total,
+    which the few aggregated rows of its unit then take over.
+    """
+    joined = located.join(stack.select(*CELL, "hours"), CELL, "left")
+    whole = F.array(F.lit(None).cast("double"))
+    layers = joined.select(
+        unit, "pop", F.posexplode(F.concat(whole, F.coalesce("hours", F.array().cast("array<double>")))).alias("at", "hours")
+    )
+    band = F.when(F.col("at") > 0, B.band_of(F.col("hours"))).otherwise(F.lit(-1))
+    sums = (
+        layers.withColumn("band", band)
+        .where(F.col("band") != 0)
+        .groupBy((F.col("at") - 1).alias("layer"), unit, F.col("band").alias("trav_value"))
+        .agg(F.sum("pop").alias("cat_pop"))
+    )
+    total = F.max(F.when(F.col("layer") < 0, F.col("cat_pop"))).over(Window.partitionBy(unit))
+    return name_layers(sums.withColumn("pop_sum", total).where(F.col("layer") >= 0), names)
+
+
 def raster_band_population(cells: DataFrame, unit: str) -> DataFrame:
     """``cat_pop`` per dataset, unit and band of cells that carry their raster's names."""
     return cells.groupBy(*DATASET, unit, F.col("band").alias("trav_value")).agg(
@@ -89,9 +113,12 @@ def lgu_share(
     """Result table of the local units: population and share per band.
 
     ``cat_pop`` and ``adm2`` meet on ``key``, the unit code or another unit number. Name and
-    population are looked up; a code the dimension lacks keeps its row with NULLs.
+    population are looked up, the population unless ``cat_pop`` brings it; a code the dimension
+    lacks keeps its row with NULLs.
     """
-    columns = ["hlcit_code", "lu_name", "pop_sum"]
+    columns = ["hlcit_code", "lu_name"]
+    if "pop_sum" not in cat_pop.columns:
+        columns.append("pop_sum")
     named = lookup(
         cat_pop.withColumnRenamed(key, "unit"),
         adm2.select(*dict.fromkeys([key, *columns])),

@@ -38,9 +38,13 @@ def adm1(units: DataFrame) -> DataFrame:
 
 def share_table(g: OrderGrid) -> DataFrame:
     """LGU result of all 32 rasters with its season and facility codes."""
-    cells = located(g)
-    per_unit = C.band_population(C.banded_cells(cells, g.stack), "id", LAYERS)
-    return C.lgu_share(per_unit, adm2(g, cells), "id")
+    return C.lgu_share(unit_bands(g), g.lgu_codes, "id")
+
+
+def unit_bands(g: OrderGrid) -> DataFrame:
+    """Population per raster, unit and band, with that of the unit; unit 23 is given population 0."""
+    sums = C.band_population_and_total(located(g), g.stack, "id", LAYERS)
+    return sums.withColumn("pop_sum", F.when(F.col("id") == 23, F.lit(0.0)).otherwise(F.col("pop_sum")))
 
 
 def band_classify(g: OrderGrid) -> DataFrame:
