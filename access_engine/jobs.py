@@ -15,9 +15,9 @@ from access_engine import config
 from access_engine.functions import bands as B
 from access_engine.operators import density as D
 from access_engine.operators import summary as S
-from access_engine.operators.boundary import assemble_features, cells_to_spans
+from access_engine.operators.boundary import assemble_features
 from access_engine.operators.grid import Grid, same_srid
-from access_engine.operators.segments import segment_zones
+from access_engine.operators.segments import located_segments, segment_zones, to_segments
 from access_engine.operators.spans import locate, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
@@ -26,7 +26,7 @@ from access_engine.plans import pooled as N
 from access_engine.sources import features as V
 from access_engine.sources import rasters as W
 from access_engine.sources import results as R
-from access_engine.storage import stored
+from access_engine.storage import leaves_nothing, stored
 
 # properties of the two administrative layers and of a catchment layer
 ADM2 = T.StructType(
@@ -76,6 +76,7 @@ def _units(
     return V.feature_edges(layer, [code]), table, code
 
 
+@leaves_nothing
 def classify(
     spark: SparkSession,
     rasters: str,
@@ -89,21 +90,20 @@ def classify(
     """Result CSV tree, dissolved features and bar chart tables of every raster.
 
     ``layout`` tells whether rasters and population are stored as ``cells`` or row ``segments``.
+    Cells are turned into segments first, which is the only time they are shuffled.
     ``out`` receives ``results/<season>/<dataset>_<level>.csv``, ``features`` and ``charts``.
     """
     header = W.read_grid(spark, grid)
     edges, table, code = _units(spark, units, header, level)
     times = W.read_travel_time(spark, rasters, layout)
     people = W.read_population(spark, population, layout)
-    spans = rasterise(edges, header, [code])
+    if layout == "cells":
+        times = stored(to_segments(times, "hours", C.DATASET), "segments")
+        people = stored(to_segments(people, "pop"), "segments")
+    spans = stored(rasterise(edges, header, [code]), "spans")
     keys = ["season", "fac_type", code, "band"]
-    if layout == "segments":
-        spans = stored(spans, "spans")
-        cells = C.banded_segments(times, people, spans, code, C.DATASET)
-        zones = segment_zones(times, spans, C.DATASET, code, B.band_of).where(F.col("band") > 0)
-    else:
-        cells = C.banded_rasters(stored(locate(people, spans), "unit_cells"), times)
-        zones = cells_to_spans(cells, keys)
+    cells = C.banded_segments(times, people, spans, code, C.DATASET)
+    zones = segment_zones(times, spans, C.DATASET, code, B.band_of).where(F.col("band") > 0)
     sums = C.raster_band_population(cells, code)
     share = C.lgu_share if level == "adm2" else C.province_share
     result = stored(share(sums, table), "result")
@@ -122,11 +122,19 @@ def classify(
     H.write_chart_tables(chart, f"{out}/charts", ["season", "fac_type"])
 
 
+@leaves_nothing
 def catchments(
-    spark: SparkSession, layer: str, population: str, units: str, grid: str, out: str
+    spark: SparkSession,
+    layer: str,
+    population: str,
+    units: str,
+    grid: str,
+    out: str,
+    layout: str = "cells",
 ) -> None:
     """Uncovered features and tables: of all catchments together and per facility type.
 
+    ``layout`` tells whether the population is stored as ``cells`` or row ``segments``.
     ``out`` receives ``uncovered`` (features), ``uncovered_by_facility``, ``coverage`` and
     ``covered_by_facility`` (CSV).
     """
@@ -136,7 +144,9 @@ def catchments(
     unit_spans = stored(
         rasterise(edges.withColumnRenamed("hlcit_code", "id"), header, ["id"]), "unit_spans"
     )
-    located = stored(locate(W.read_population(spark, population), unit_spans), "unit_cells")
+    people = W.read_population(spark, population, layout)
+    place = located_segments if layout == "segments" else locate
+    located = stored(place(people, unit_spans), "unit_cells")
     areas = _layer(spark, layer, CATCHMENT, header)
     outlines = V.feature_edges(areas, ["fac_type", "feature"])
     together = stored(K.coverage(outlines, header, feature=["feature"]), "coverage")
@@ -167,6 +177,7 @@ def catchments(
     )
 
 
+@leaves_nothing
 def statistics(spark: SparkSession, results: str, lookup: str, out: str) -> None:
     """Summaries, season comparisons, chart tables and density curves of pooled results."""
     zones = R.read_csv(spark, lookup, config.ZONE_LOOKUP)

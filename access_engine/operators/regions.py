@@ -55,6 +55,8 @@ def _label_tile(pdf: pd.DataFrame, tile: int, ncols: int) -> pd.DataFrame:
     ids = pdf["cell_id"].to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
+    if (ids[1:] == ids[:-1]).any():
+        raise ValueError("a cell occurs twice in one raster")
     row, col = ids // ncols % tile, ids % ncols % tile
     position = np.full((tile + 1, tile + 1), -1, dtype=np.int64)
     position[row, col] = np.arange(len(ids))

@@ -23,7 +23,8 @@ def to_segments(
 ) -> DataFrame:
     """Cells -> ``keys, row_no, strip`` and the array ``value``; a group holds one segment.
 
-    Places without a cell are NULL. A segment without a gap is padded at its ends only.
+    Places without a cell are NULL. A segment without a gap is padded at its ends only. A cell
+    that occurs twice stops the job.
     """
     kind = dict(cells.dtypes)[value]
     sorted_cells = F.sort_array(
@@ -44,7 +45,12 @@ def to_segments(
             ),
         )
     )
-    filled = F.when(F.size(cell) == last - first + 1, cell["v"]).otherwise(inner)
+    twice = F.size(F.array_distinct(cell["at"])) < F.size(cell)
+    filled = (
+        F.when(twice, F.raise_error(F.format_string("row %s holds a cell twice", "row_no")))
+        .when(F.size(cell) == last - first + 1, cell["v"])
+        .otherwise(inner)
+    )
     return (
         cells.groupBy(*keys, "row_no", strip_of(F.col("col_no"), width).alias("strip"))
         .agg(sorted_cells.alias("cells"))
@@ -103,6 +109,22 @@ def segment_cells(
     )
 
 
+def located_segments(
+    population: DataFrame, spans: DataFrame, unit: str = "id", width: int = STRIP
+) -> DataFrame:
+    """Cells of a population raster inside a unit: ``row_no, col_no, pop, unit``.
+
+    Only segments are joined; cells without a value leave.
+    """
+    covered = F.slice("pop", F.col("first"), F.col("length"))
+    return (
+        population.join(_unit_pieces(spans, unit, width), ["row_no", "strip"])
+        .select(unit, "row_no", "c0", F.posexplode(covered).alias("at", "pop"))
+        .where(F.col("pop").isNotNull())
+        .select("row_no", (F.col("c0") + F.col("at")).alias("col_no"), "pop", unit)
+    )
+
+
 def segment_zones(
     rasters: DataFrame,
     spans: DataFrame,

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, or where it is unset one in the warehouse, which sessions share too."""
@@ -25,6 +31,9 @@ def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -45,3 +54,30 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables stored inside the block at its end, also after a failure.
+
+    Nothing lazy may leave the block: what is to stay is written elsewhere inside it.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            drop(spark, path)
+
+
+def leaves_nothing(run: Callable[..., None]) -> Callable[..., None]:
+    """A run whose stored tables go when it ends; its first argument is the session."""
+
+    @wraps(run)
+    def inside(spark: SparkSession, *args, **kwargs) -> None:
+        with scratch(spark):
+            run(spark, *args, **kwargs)
+
+    return inside

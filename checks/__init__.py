@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from access_engine.sources.order_grid import OrderGrid
 from checks import catchment, charts, classification, geometry, sources, statistics
+from checks.order_grid import OrderGrid
 
 _PARTS = (classification, catchment, geometry, statistics, charts, sources)
 

@@ -10,10 +10,10 @@ from access_engine.operators.overlay import dissolve
 from access_engine.operators.spans import burn
 from access_engine.plans import catchment as K
 from access_engine.sources import features as V
-from access_engine.sources.order_grid import FACILITIES, OrderGrid
 from access_engine.storage import new_path
 from checks.classification import adm2, located
 from checks.fixture_sql import with_views
+from checks.order_grid import FACILITIES, OrderGrid
 
 
 def covered(g: OrderGrid, dataset=()) -> DataFrame:

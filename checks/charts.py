@@ -9,9 +9,9 @@ from access_engine import config
 from access_engine.operators import density as D
 from access_engine.operators import summary as S
 from access_engine.plans import charts as C
-from access_engine.sources.order_grid import OrderGrid
 from checks import classification
 from checks.fixture_sql import COLOUR_CASE, DIGITS, PERCENT, with_views
+from checks.order_grid import OrderGrid
 from checks.statistics import compare_sql, complete, final, rounded, summary_sql
 
 

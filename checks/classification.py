@@ -12,8 +12,8 @@ from access_engine.operators.grid import Grid, align
 from access_engine.operators.segments import to_segments
 from access_engine.operators.spans import rasterise
 from access_engine.plans import classification as C
-from access_engine.sources.order_grid import LAYERS, OrderGrid
 from checks.fixture_sql import BAND_CASE, with_views
+from checks.order_grid import LAYERS, OrderGrid
 
 
 def located(g: OrderGrid) -> DataFrame:

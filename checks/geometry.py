@@ -17,11 +17,11 @@ from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans.classification import banded_cells
 from access_engine.sources import features as V
-from access_engine.sources.order_grid import LAYERS, OrderGrid
 from access_engine.storage import new_path
 from checks.catchment import covered
 from checks.classification import adm2, located
 from checks.fixture_sql import with_views
+from checks.order_grid import LAYERS, OrderGrid
 
 
 #: Strip width and tile size that the small grid has several of, in both directions.

@@ -18,11 +18,11 @@ from access_engine.plans import classification as C
 from access_engine.sources import features as V
 from access_engine.sources import rasters as W
 from access_engine.sources import results as R
-from access_engine.sources.order_grid import LAYERS, OrderGrid
 from access_engine.storage import new_path
 from checks import classification
 from checks.classification import adm2, located, share_table
 from checks.fixture_sql import BAND_CASE, with_views
+from checks.order_grid import LAYERS, OrderGrid
 
 TILE_ROWS, TILE_COLS, NODATA = 8, 32, -9999.0
 

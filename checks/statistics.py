@@ -11,11 +11,11 @@ from access_engine.functions import paths as P
 from access_engine.functions.quantiles import group_quantiles
 from access_engine.operators import summary as S
 from access_engine.plans import pooled as N
-from access_engine.sources.order_grid import OrderGrid
 from access_engine.sources import results as R
 from access_engine.storage import new_path
 from checks.classification import share_table
 from checks.fixture_sql import with_views
+from checks.order_grid import OrderGrid
 
 
 def results(g: OrderGrid) -> DataFrame:

@@ -1,5 +1,7 @@
 """The runs from files to files give what the registered queries give."""
 
+from pathlib import Path
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -15,9 +17,10 @@ from access_engine.operators.spans import burn, rasterise
 from access_engine.sources import features as V
 from access_engine.sources import rasters as W
 from access_engine.sources import results as R
-from access_engine.sources.order_grid import LAYERS, OrderGrid
+from access_engine.storage import shared_folder
 from checks import QUERIES
 from checks.classification import adm1, adm2, located
+from checks.order_grid import LAYERS, OrderGrid
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -64,6 +67,11 @@ def run(*words):
     cli.main([str(w) for w in words])
 
 
+def stored_tables(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "access_engine"
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
 def rows_of(df, columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
@@ -128,11 +136,20 @@ def test_segments_hold_every_cell(spark):
     assert {(r.id, r.row_no, r.col_no, r.pop) for r in both.collect()} == {(1, 0, 0, 1.0), (1, 0, 5, 2.0), (1, 3, 4, 7.0)}
 
 
+@pytest.mark.parametrize("columns", [[0, 0], [0, 0, 2]])  # the latter has as many rows as places
+def test_a_cell_twice_is_refused(spark, columns):
+    cells = spark.createDataFrame([(7, c, 1.0) for c in columns], "row_no int, col_no int, pop double")
+    with pytest.raises(Exception, match="row 7 holds a cell twice"):
+        to_segments(cells, "pop", width=4).collect()
+
+
 def test_classify_provinces(spark, inputs, tmp_path):
+    before = stored_tables(spark)
     run(
         "classify", "--rasters", f"{inputs}/rasters", "--population", f"{inputs}/population", "--units",
         f"{inputs}/provinces", "--grid", f"{inputs}/grid", "--out", tmp_path, "--level", "adm1",
     )
+    assert stored_tables(spark) == before  # the run leaves none of its own
     want = QUERIES["province_band_share"](spark, FOLDER)
     got = R.read_results(spark, f"{tmp_path}/results", config.PROVINCE_RESULT)
     columns = [c for c in want.columns if c not in ("season", "fac_type")]
@@ -140,9 +157,14 @@ def test_classify_provinces(spark, inputs, tmp_path):
     assert rows_of(got, names) == rows_of(want, names)
 
 
-def test_catchments(spark, inputs, tmp_path):
+@pytest.mark.parametrize("layout", ["cells", "segments"])
+def test_catchments(spark, inputs, tmp_path, layout):
+    people = f"{inputs}/population"
+    if layout == "segments":
+        W.write_sorted(to_segments(W.read_population(spark, people), "pop"), f"{tmp_path}/p")
+        people = f"{tmp_path}/p"
     run(
-        "catchments", "--layer", f"{inputs}/catchments", "--population", f"{inputs}/population",
+        "catchments", "--layer", f"{inputs}/catchments", "--population", people, "--layout", layout,
         "--units", f"{inputs}/units", "--grid", f"{inputs}/grid", "--out", tmp_path,
     )
     want = QUERIES["catch_uncovered"](spark, FOLDER)

@@ -11,8 +11,8 @@ from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
 from access_engine.plans import classification as C
 from access_engine.sources import results as R
-from access_engine.sources.order_grid import OrderGrid
 from access_engine.storage import drop, new_path, shared_folder, store
+from checks.order_grid import OrderGrid
 
 FOLDER = "/root/testdata/sf0.001"
 GRID = Grid(0.0, 10.0, 1.0, 1.0, 10, 10)
