@@ -72,6 +72,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
+def settled(spark: SparkSession, label: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``rows`` describes as a written table, without the tables stored on the way to them."""
+    path = new_path(spark, label)
+    with scratch(spark):
+        df = rows()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def leaves_nothing(run: Callable[..., None]) -> Callable[..., None]:
     """A run whose stored tables go when it ends; its first argument is the session."""
 

@@ -1,5 +1,7 @@
 """Whole plans on hand-written layers, and the shape of their physical plans."""
 
+from pathlib import Path
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
 from access_engine.plans import classification as C
 from access_engine.sources import results as R
-from access_engine.storage import drop, new_path, shared_folder, store
+from access_engine.storage import drop, new_path, scratch, settled, shared_folder, store, stored
 from checks.order_grid import OrderGrid
 
 FOLDER = "/root/testdata/sf0.001"
@@ -167,6 +169,26 @@ def test_storage_uses_the_folder_of_the_session(spark):
         spark.read.parquet(path)
 
 
+def test_settled_rows_stay_and_the_tables_before_them_go(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "access_engine"
+
+    def rows():
+        return stored(spark.range(5).toDF("n"), "passing").where("n > 2")
+
+    table = settled(spark, "lasting", rows)
+    assert [r.n for r in table.orderBy("n").collect()] == [3, 4]
+    names = [p.name for p in folder.iterdir()]
+    assert any(n.startswith("lasting-") for n in names) and not any(n.startswith("passing-") for n in names)
+
+
+def test_a_failed_run_leaves_no_table(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "access_engine"
+    with pytest.raises(ValueError), scratch(spark):
+        stored(spark.range(5).toDF("n"), "failing")
+        raise ValueError
+    assert not any(p.name.startswith("failing-") for p in folder.iterdir())
+
+
 def test_chart_labels_of_missing_shares(spark):
     df = spark.createDataFrame(
         [("NM", "dhq", "c", "n", "1", 2, "30 minutes to 1 hour", None, 1234567.0)],
