@@ -45,10 +45,9 @@ def _in_range(records: DataFrame, splitters: DataFrame, ranges: int) -> DataFram
     step = 64
     place = F.struct(F.col("key").alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
     table = splitters.agg(F.array_sort(F.collect_list(F.struct("key", "doc_id"))).alias("fine"))  # `ranges` at most
-    table = table.select(
-        "fine", F.expr(f"transform(sequence(0, {ranges // step}), i -> get(fine, i * {step}))").alias("coarse")
-    )
-    joined = records.withColumn("place", place).join(F.broadcast(table))
+    coarse = F.expr(f"transform(sequence(0, {ranges // step}), i -> get(fine, i * {step}))")
+    table = table.select(F.struct("fine", coarse.alias("coarse")).alias("table")).scalar()
+    joined = records.withColumn("place", place).withColumn("table", table).select("*", "table.*").drop("table")
     block = joined.withColumn("block", F.expr("size(filter(coarse, s -> s <= place))"))
     inner = f"size(filter(slice(fine, (block - 1) * {step} + 1, {step}), s -> s <= place))"
     return block.withColumn(
