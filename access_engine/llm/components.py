@@ -9,7 +9,7 @@ from access_engine.storage import drop, store
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of (a, b), unordered links between longs.
+    """(node, root) of all nodes of (a, b), unordered links between longs or between strings.
 
     Large-star and small-star rounds: each moves links nearer to the smallest node and never adds any, so a node with
     very many links stays a list of rows that joins and combined aggregates deal with. Each round is a written table.

@@ -1,0 +1,181 @@
+"""Near duplicates by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Minima of hashes over a set agree with a chance equal to the similarity. Texts that agree on all minima of one of the
+bands stand in one group. Groups are first compared along a chain and with one text; texts of a group that these links left apart then
+meet where they share a shingle among their rarest, of which similar sets must share one. So a group of many texts costs
+few comparisons and none of its pairs is passed over. Every pair is compared on its whole shingle sets before it is linked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from access_engine.llm.components import components
+from access_engine.llm.text import LOWER, mix, span_hashes, text_blocks, word_bounds
+from access_engine.storage import stored
+
+WIDTH = 5
+#: Linked from this many hundredths of similarity on.
+SIMILAR = 80
+#: Minima per band, and bands. A pair at 0.8 exactly agrees on no band with a chance of (1 - 0.8^4)^40 = 7e-10.
+ROWS = 4
+BANDS = 40
+_SALTS = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
+_FOLD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, shingle hashes, where each row's begin and end): sorted and distinct for each text.
+
+    Shingles are of lower-cased words (A-Z); a text of fewer words is one shingle, one without words has none.
+    """
+    for low, high, data, offsets in text_blocks(column):
+        starts, ends, first = word_bounds(data, offsets)
+        words = span_hashes(LOWER[data], starts, ends)
+        count = np.diff(first)
+        many = np.where(count, np.maximum(count - WIDTH + 1, 1), 0)
+        owner = np.repeat(np.arange(high - low), many)
+        begin = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[:-1][owner]
+        length = np.minimum(count, WIDTH)[owner]
+        hashes = np.zeros(len(owner), np.uint64)
+        for k in range(WIDTH):
+            some = length > k
+            hashes[some] = mix(hashes[some] * _FOLD + words[begin[some] + k] + np.uint64(1))
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        yield low, high, hashes[new], np.searchsorted(owner[new], np.arange(high - low + 1))
+
+
+def bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row per text, one number per band; zeros for a text without shingles."""
+    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        for band in range(BANDS):
+            folded = np.zeros(len(full), np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                least = np.minimum.reduceat((hashes ^ _SALTS[0, k]) * (_SALTS[1, k] | np.uint64(1)), bounds[:-1][full])
+                folded = mix(folded * _FOLD + least)
+            out[full, band] = folded
+    return out
+
+
+def digest() -> Column:
+    """Name of a text: equal for equal texts, null and empty ones alike."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(digest().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, hashes, bounds in shingle_sets(batch.column("text")):
+            found = pa.array(bands(hashes, bounds).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * BANDS), found)
+            key = batch.column("key").slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(bounds)), lists], ["key", "size", "bands"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, sorted and distinct, are alike; two empty ones are."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(0, batch.num_rows, 256):
+            part = batch.slice(row, 256)
+            left, right = (
+                [h[b[k] : b[k + 1]] for low, high, h, b in shingle_sets(part.column(c)) for k in range(high - low)] for c in ("left", "right")
+            )
+            alike = pa.array([similar(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield part.select(["a", "b"]).filter(alike)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike."""
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
+    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+    return stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a string, b string"), "alike")
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, hashes, bounds in shingle_sets(batch.column("text")):
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            part = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("root"), lists], ["key", "root", "shingles"])
+
+
+def _sharing_rare(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): texts (key, root) of different roots that can be alike.
+
+    Of n shingles at least 0.8 n are in any set that is alike, so one of the n - ceil(0.8 n) + 1 rarest is.
+    """
+    sets = apart.join(texts, "key").select("key", "root", "text")
+    sets = sets.mapInArrow(_shingled, "key string, root string, shingles array<long>")
+    each = stored(sets.select("key", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "shingles")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    # The shingles that no other text has are the rarest; they come first and meet nothing.
+    by_key = Window.partitionBy("key").orderBy(F.desc("texts"), "shingle")
+    rare = each.join(shared, "shingle").withColumn("rank", F.row_number().over(by_key))
+    rare = stored(rare.where(F.col("rank") * 100 >= F.col("size") * SIMILAR).drop("texts"), "rare")
+    x, y = (rare.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "root", "rank"))) for s in "xy")
+    # Behind the rarest shared shingle there must be enough others for all that similar sets share.
+    return (
+        x.join(y, "shingle")
+        .where("key_x < key_y AND root_x != root_y")
+        .where(F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * SIMILAR)
+        .where(F.least("rank_x", "rank_y") * (100 + SIMILAR) >= (F.col("size_x") + F.col("size_y")) * SIMILAR)
+        .select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+        .distinct()
+    )
+
+
+def roots(docs: DataFrame) -> DataFrame:
+    """(key, root): the digest of every text that has a near duplicate, and the smallest digest that links lead to."""
+    sketches = _texts(docs).mapInArrow(_sketched, "key string, size long, bands array<long>").dropDuplicates(["key"])
+    by_band = Window.partitionBy("way", "hash")
+    members = sketches.select("key", "size", F.posexplode("bands").alias("way", "hash"))
+    members = stored(members.withColumn("many", F.count("*").over(by_band)).where("many > 1"), "members")
+    texts = _texts(docs).join(members.select("key").distinct(), "key", "left_semi")
+    texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    # What many texts are copies of meets most others: it is compared with all of its groups.
+    met = members.groupBy("key").agg(F.sum("many").alias("met"))
+    centre = F.max(F.struct("met", "key", "size")).over(by_band)
+    before = F.lag(F.struct("met", "key", "size")).over(by_band.orderBy("size", "key"))
+    pairs = members.join(met, "key").withColumns({"centre": centre, "before": before})
+    pairs = pairs.select("key", "size", F.explode(F.array("centre", "before")).alias("o")).where("key != o.key")
+    # Sets whose sizes differ by more can't be alike.
+    pairs = pairs.where(F.least("size", "o.size") * 100 >= F.greatest("size", "o.size") * SIMILAR)
+    chain = stored(pairs.select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b")).distinct(), "chain")
+    links = _linked(chain, texts)
+    reached = stored(components(links), "reached")
+    named = members.join(reached, members.key == reached.node, "left").select("way", "hash", "key", F.coalesce("root", "key").alias("root"))
+    parted = named.groupBy("way", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = stored(named.join(parted, ["way", "hash"], "left_semi").select("key", "root").distinct(), "apart")
+    rest = _sharing_rare(apart, texts).join(chain, ["a", "b"], "left_anti")
+    links = links.union(_linked(rest, texts))
+    return components(links).select(F.col("node").alias("key"), "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id that links between similar texts lead to.
+
+    Equal texts are alike, and so are all that hold no word. Rows without doc_id count as members but never name a
+    group. Repeated rows stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), digest().alias("key"))
+    found = roots(docs)
+    rows = rows.join(found, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

@@ -8,7 +8,7 @@ within three bits do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -231,12 +231,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, rule: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """One row of ``docs`` per group of near duplicates, that with the smallest doc_id; all columns.
 
+    ``rule`` gives the (doc_id, component_id) of every row.
+
     Of repeated doc_ids one row stays. Rows without doc_id can't be told apart by a name and all stay.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    keep = rule(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
     one = given.groupBy("id").agg(F.min("row").alias("row"))
     one = one.join(keep, one.id == keep.kept, "left_semi").select("row.*")
