@@ -72,7 +72,8 @@ def digest() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(key, text) of every row."""
     return docs.select(digest().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -144,11 +145,11 @@ def _sharing_rare(apart: DataFrame, texts: DataFrame) -> DataFrame:
 
 def roots(docs: DataFrame) -> DataFrame:
     """(key, root): the digest of every text that has a near duplicate, and the smallest digest that links lead to."""
-    sketches = _texts(docs).mapInArrow(_sketched, "key string, size long, bands array<long>").dropDuplicates(["key"])
+    sketches = keyed_texts(docs).mapInArrow(_sketched, "key string, size long, bands array<long>").dropDuplicates(["key"])
     by_band = Window.partitionBy("way", "hash")
     members = sketches.select("key", "size", F.posexplode("bands").alias("way", "hash"))
     members = stored(members.withColumn("many", F.count("*").over(by_band)).where("many > 1"), "members")
-    texts = _texts(docs).join(members.select("key").distinct(), "key", "left_semi")
+    texts = keyed_texts(docs).join(members.select("key").distinct(), "key", "left_semi")
     texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
     # What many texts are copies of meets most others: it is compared with all of its groups.
     met = members.groupBy("key").agg(F.sum("many").alias("met"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from access_engine.llm.components import components
+from access_engine.llm.jaccard import digest, keyed_texts
 from access_engine.llm.text import LOWER, byte_view, mix
 from access_engine.storage import stored
 
@@ -73,15 +74,21 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+    return _marked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows of a name and a text with the text's fingerprint in its place."""
+    name, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column("text"))
             found = [fingerprint(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(name), fp], [name, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, f"{name} {kind}, fp long")
 
 
 def survivors(fp: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -231,18 +238,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, rule: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """One row of ``docs`` per group of near duplicates, that with the smallest doc_id; all columns.
+def roots(docs: DataFrame) -> DataFrame:
+    """(key, root) of every different text: its digest, and one fingerprint for all that links lead to."""
+    marked = stored(_marked(keyed_texts(docs)).dropDuplicates(["key"]), "fingerprints")
+    reached = components(links(marked.select("fp").distinct()))
+    return marked.join(reached, marked.fp == reached.node, "left").select("key", F.coalesce("root", "fp").alias("root"))
+
 
-    ``rule`` gives the (doc_id, component_id) of every row.
+def first_of_each(docs: DataFrame, rule: Callable[[DataFrame], DataFrame] = roots) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates, that with the smallest (doc_id, digest of the text); all columns.
 
-    Of repeated doc_ids one row stays. Rows without doc_id can't be told apart by a name and all stay.
+    ``rule`` gives the (key, root) of texts by digest; a text it leaves out is a group by itself. Rows are told apart by
+    doc_id and digest, so rows of unlike texts that share a doc_id all stay. A row without doc_id stays where no row of
+    its group has one, and only one of them does. Of rows equal in both the smallest stays.
     """
-    keep = rule(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-    one = given.groupBy("id").agg(F.min("row").alias("row"))
-    one = one.join(keep, one.id == keep.kept, "left_semi").select("row.*")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest().alias("key"))
+    name = (F.col("id").isNull().alias("unnamed"), F.col("id"))
+    firsts = rows.groupBy("key").agg(F.min(F.struct(*name)).alias("name")).select("name", "key")
+    group = F.coalesce(F.col("root").cast("string"), "key")
+    firsts = firsts.join(rule(docs), "key", "left").groupBy(group).agg(F.min(F.struct("name", "key")).alias("first"))
+    one = rows.groupBy("key").agg(F.min(F.struct(*name, "row")).alias("one"))
+    return one.join(firsts.select(F.col("first.key").alias("key")), "key", "left_semi").select("one.row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

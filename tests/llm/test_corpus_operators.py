@@ -169,6 +169,14 @@ def test_stage_links_what_is_similar(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rule", [simhash.roots, jaccard.roots])
+def test_rows_with_shared_or_no_ids_are_told_apart(spark, rule):
+    a, b, c = (" ".join(f"{letter}{k}" for k in range(30)) for letter in "abc")
+    rows = [(1, a), (2, b), (2, a), (2, b), (None, a), (None, c), (None, c), (3, b.upper())]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rule).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == [(0, c), (1, a), (2, b)]
+
+
 # Decontamination
 
 
