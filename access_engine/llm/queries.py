@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from access_engine.llm import chat, decontaminate, mixing, periods, pii, quality, repeats, search, sharding, simhash, tokens
+from access_engine.llm import chat, decontaminate, licenses, mixing, periods, pii, quality, repeats, search, sharding, simhash, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_tokens": tokens.query,
     "op10_repeats": repeats.query,
     "op11_periods": periods.query,
+    "op12_licenses": licenses.query,
 }
 ORACLE = {"op3_chat": chat.SQL, "op5_search": search.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
