@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from access_engine.llm import chat, decontaminate, licenses, mixing, periods, pii, quality, repeats, search, sharding, simhash, tokens
+from access_engine.llm import chat, decontaminate, licenses, mixing, periods, pii, quality, repeats, search, sharding, simhash, tokens, trie
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_repeats": repeats.query,
     "op11_periods": periods.query,
     "op12_licenses": licenses.query,
+    "op13_trie": trie.query,
 }
 ORACLE = {"op3_chat": chat.SQL, "op5_search": search.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
