@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from access_engine.llm import decontaminate, jaccard, mixing, quality, sharding, simhash
+from access_engine.llm import decontaminate, mixing, quality, sharding, simhash
 from access_engine.storage import settled
 
 
@@ -16,8 +16,8 @@ def good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates: five-word similarity of 0.8 or more."""
-    return simhash.first_of_each(docs, jaccard.roots)
+    """The document with the smallest doc_id of each group of near duplicates: three-word SimHash within three bits."""
+    return simhash.first_of_each(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
