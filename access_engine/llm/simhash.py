@@ -8,7 +8,7 @@ within three bits do.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from access_engine.llm.components import components
-from access_engine.llm.jaccard import digest, keyed_texts
 from access_engine.llm.text import LOWER, byte_view, mix
 from access_engine.storage import stored
 
@@ -238,27 +237,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def digest() -> Column:
+    """Name of a text: equal for equal texts, null and empty ones alike."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def roots(docs: DataFrame) -> DataFrame:
     """(key, root) of every different text: its digest, and one fingerprint for all that links lead to."""
-    marked = stored(_marked(keyed_texts(docs)).dropDuplicates(["key"]), "fingerprints")
+    texts = docs.select(digest().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    marked = stored(_marked(texts).dropDuplicates(["key"]), "fingerprints")
     reached = components(links(marked.select("fp").distinct()))
     return marked.join(reached, marked.fp == reached.node, "left").select("key", F.coalesce("root", "fp").alias("root"))
 
 
-def first_of_each(docs: DataFrame, rule: Callable[[DataFrame], DataFrame] = roots) -> DataFrame:
+def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per group of near duplicates, that with the smallest (doc_id, digest of the text); all columns.
 
-    ``rule`` gives the (key, root) of texts by digest; a text it leaves out is a group by itself. Rows are told apart by
-    doc_id and digest, so rows of unlike texts that share a doc_id all stay. A row without doc_id stays where no row of
-    its group has one, and only one of them does. Of rows equal in both the smallest stays.
+    Rows are told apart by doc_id and digest, so rows of unlike texts that share a doc_id all stay. A row without doc_id
+    stays where no row of its group has one, and only one of them does. Of rows equal in both the smallest stays. Only
+    names and digests are aggregated; whole rows meet the chosen ones in one join, whose key no two texts share.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest().alias("key"))
-    name = (F.col("id").isNull().alias("unnamed"), F.col("id"))
-    firsts = rows.groupBy("key").agg(F.min(F.struct(*name)).alias("name")).select("name", "key")
-    group = F.coalesce(F.col("root").cast("string"), "key")
-    firsts = firsts.join(rule(docs), "key", "left").groupBy(group).agg(F.min(F.struct("name", "key")).alias("first"))
-    one = rows.groupBy("key").agg(F.min(F.struct(*name, "row")).alias("one"))
-    return one.join(firsts.select(F.col("first.key").alias("key")), "key", "left_semi").select("one.row.*")
+    names = stored(rows.groupBy("id", "key").agg(F.count("*").alias("n")), "names")
+    firsts = names.groupBy("key").agg(F.min("id").alias("id"))
+    grouped = firsts.join(roots(docs), "key").groupBy("root")
+    first = grouped.agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first"))
+    chosen = first.select(F.col("first.id").alias("i"), F.col("first.key").alias("k"))
+    chosen = stored(chosen.join(names, (F.col("k") == names.key) & F.col("i").eqNullSafe(names.id)).select("i", "k", "n"), "chosen")
+    found = rows.join(chosen, (rows.key == chosen.k) & rows.id.eqNullSafe(chosen.i))
+    once = found.where("n = 1").select("row.*")
+    return once.unionByName(found.where("n > 1").groupBy("id", "key").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ subtrees follow by doubling the distance to the ancestor they are passed to, the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from access_engine.llm.text import WORD
 from access_engine.storage import drop, store, stored
 
-#: Share of the conversations, in sixteenths, that is inserted by each batch and those before it.
+#: Parts of all conversations that are in the trie after each batch, of as many parts as after the last.
 BATCHES = (1, 16)
 #: Tasks that share the rows of one key in a join.
 SALT = 8
@@ -184,13 +184,13 @@ def _batch(pending: DataFrame, nodes: DataFrame | None, steps: int) -> DataFrame
     return whole
 
 
-def compacted(sequences: DataFrame) -> DataFrame:
+def compacted(sequences: DataFrame, batches: Sequence[int] = BATCHES) -> DataFrame:
     """The compacted nodes of a trie of (name, path, totals, size), different sequences; the root is not among them."""
-    steps = sequences.agg(F.max("size")).first()[0]
-    part = F.pmod(F.xxhash64("name"), F.lit(BATCHES[-1]))
+    steps = (sequences.agg(F.max("size")).first()[0] or 0).bit_length()
+    part = F.pmod(F.xxhash64("name"), F.lit(batches[-1]))
     nodes, low = None, 0
-    for high in BATCHES:
-        nodes = stored(_batch(sequences.where((part >= low) & (part < high)), nodes, (steps or 0).bit_length()), "trie")
+    for high in batches:
+        nodes = stored(_batch(sequences.where((part >= low) & (part < high)), nodes, steps), "trie")
         low = high
     return nodes
 
@@ -243,14 +243,14 @@ def _ends(named: DataFrame) -> DataFrame:
     return rows.mapInArrow(_member_hashes, "name binary, ends string")
 
 
-def prefix_trie(gathered: DataFrame) -> DataFrame:
+def prefix_trie(gathered: DataFrame, batches: Sequence[int] = BATCHES) -> DataFrame:
     """One row per node of the trie of all turn sequences (conv_id, turns), as :func:`gathered` gives them.
 
     Columns: conv_id (smallest member), depth, parent_conv_id (the parent's conv_id; null at the root), n_convs
     (members), n_children, n_leaves, saved_tokens (over the subtree, (members - 1) times the words of the node's last
     text), ends_sha256 (of the conv_ids that end at the node, ascending, comma-joined). Conversations without turns are
     members of the root alone. Equal turns in equal order are one sequence, however many conversations share it. An
-    empty table has no nodes. conv_id is unique. A conversation is one value, whatever its length. Turns are told apart
+    empty table has no nodes. conv_id is unique. ``batches`` are cumulative parts of all sequences, the last all of them. A conversation is one value, whatever its length. Turns are told apart
     by 128-bit digests.
     """
     spark = gathered.sparkSession
@@ -258,7 +258,7 @@ def prefix_trie(gathered: DataFrame) -> DataFrame:
     rows = stored(rows.withColumn("size", F.size("path")), "conversations")
     named = rows.groupBy("name").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("least"))
     different = rows.join(named.select(F.col("least").alias("conv_id")), "conv_id", "left_semi").where("size > 0")
-    edges = compacted(stored(different.drop("conv_id"), "sequences"))
+    edges = compacted(stored(different.drop("conv_id"), "sequences"), batches)
     root = spark.sql("SELECT X'' AS name, CAST(NULL AS BINARY) AS parent, -1 AS low, 0 AS high, X'' AS first, X'' AS handle")
     root = root.select("*", F.array("name").alias("path"), F.array(F.lit(0).cast("long")).alias("totals"), F.lit(0).cast("long").alias("before"))
     nodes = edges.unionByName(root)

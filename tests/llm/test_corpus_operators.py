@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from access_engine.llm import decontaminate, jaccard, mixing, queries, search, sharding, simhash
+from access_engine.llm import decontaminate, mixing, queries, search, sharding, simhash
 from access_engine.llm.components import components
 from checks.compare import connect, difference
 
@@ -137,43 +137,10 @@ def test_near_duplicates_odd_rows(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == simhash.first_of_each(odd.limit(0)).count() == 0
 
 
-def plain_similarity(a, b):
-    def shingles(text):
-        words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()]
-        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
-
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def test_stage_links_what_is_similar(spark):
-    rng = random.Random(8)
-    texts = ["", None, " \t", "Two words", "two  WORDS", "two other"]
-    for _ in range(25):
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(5, 300))]
-        for _ in range(rng.randint(1, 8)):
-            texts.append(" ".join(words))
-            words = words[:]
-            for _ in range(rng.randint(0, 3)):
-                words[rng.randrange(len(words))] = f"w{rng.randrange(5000)}"
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    share = {(a, b): plain_similarity(s, t) for a, s in rows for b, t in rows if a < b}
-    close = [p for p, j in share.items() if j >= 0.8]
-    assert any(0.4 < j < 0.8 for j in share.values())
-    assert any((plain_fingerprint(texts[a] or "") ^ plain_fingerprint(texts[b] or "")).bit_count() > 3 for a, b in close)
-    name = groups(close, [d for d, _ in rows])
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == name
-    kept = corpus_pipeline.single(spark, docs, FOLDER).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(name.values()))
-    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("rule", [simhash.roots, jaccard.roots])
-def test_rows_with_shared_or_no_ids_are_told_apart(spark, rule):
+def test_rows_with_shared_or_no_ids_are_told_apart(spark):
     a, b, c = (" ".join(f"{letter}{k}" for k in range(30)) for letter in "abc")
     rows = [(1, a), (2, b), (2, a), (2, b), (None, a), (None, c), (None, c), (3, b.upper())]
-    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rule).collect()
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(((r.doc_id or 0, r.text) for r in kept)) == [(0, c), (1, a), (2, b)]
 
 
