@@ -15,8 +15,8 @@ from access_engine import config
 from access_engine.functions import bands as B
 from access_engine.operators import density as D
 from access_engine.operators import summary as S
-from access_engine.operators.boundary import assemble_features
 from access_engine.operators.grid import Grid, same_srid
+from access_engine.operators.rings import assemble_features
 from access_engine.operators.segments import located_segments, segment_zones, to_segments
 from access_engine.operators.spans import locate, rasterise
 from access_engine.plans import catchment as K

@@ -1,24 +1,14 @@
-"""Outlines: edge cancellation on polygon rings and on cell sets, and ring assembly for export."""
+"""Outlines: edge cancellation on polygon rings and on cell sets."""
 
 from __future__ import annotations
 
-import json
-import sys
-from collections import defaultdict
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from access_engine.operators.grid import Grid
 from access_engine.operators.spans import odd_spans
 
-# the ring function travels with the job, so executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def dissolve_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outer edges of all polygons of a key: an edge two of them share vanishes.
@@ -138,108 +128,6 @@ def directed_outline(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     return horizontal.unionByName(left).unionByName(right)
 
 
-def _rings(px, py, qx, qy) -> tuple[list[np.ndarray], np.ndarray]:
-    """Chain directed edges to closed rings, turning left where two rings touch.
-
-    Also the number of the ring that each edge belongs to.
-    """
-    leaving = defaultdict(list)
-    for i, start in enumerate(zip(px, py)):
-        leaving[start].append(i)
-    step = np.column_stack([np.sign(qx - px), np.sign(qy - py)])
-    used = np.zeros(len(px), dtype=bool)
-    owner = np.zeros(len(px), dtype=int)
-    rings = []
-    for first in range(len(px)):
-        if used[first]:
-            continue
-        ring, at = [], first
-        while not used[at]:
-            used[at] = True
-            owner[at] = len(rings)
-            ring.append((px[at], py[at]))
-            options = [i for i in leaving[(qx[at], qy[at])] if not used[i]]
-            if not options:
-                break
-            # rows grow downwards, so a left turn has a negative cross product
-            at = min(options, key=lambda i: step[at, 0] * step[i, 1] - step[at, 1] * step[i, 0])
-        points = np.array(ring)
-        before, after = np.roll(points, 1, axis=0), np.roll(points, -1, axis=0)
-        straight = ((before[:, 0] == points[:, 0]) & (points[:, 0] == after[:, 0])) | (
-            (before[:, 1] == points[:, 1]) & (points[:, 1] == after[:, 1])
-        )
-        rings.append(points[~straight])
-    return rings, owner
-
-
-def _twice_area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], -ring[:, 1]
-    return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))
-
-
-def _homes(rings: list[np.ndarray], owner: np.ndarray, px, py, qy) -> list[int]:
-    """For each ring the outer ring it belongs to.
-
-    The cell above a hole's top left corner lies in the area around the hole. The nearest upright
-    edge to its left bounds that area; it is the outer ring's or that of a hole that starts higher.
-    """
-    home = list(range(len(rings)))
-    upright = np.flatnonzero(py != qy)
-    row, col = np.minimum(py, qy)[upright], px[upright]
-    order = np.lexsort((col, row))
-    upright, row, col = upright[order], row[order], col[order]
-    width = int(col.max()) + 2 if len(col) else 1
-    key = row * width + col
-    corners = {
-        i: r[np.lexsort((r[:, 0], r[:, 1]))[0]] for i, r in enumerate(rings) if _twice_area(r) < 0
-    }
-    for i in sorted(corners, key=lambda i: (corners[i][1], corners[i][0])):
-        x, y = (int(v) for v in corners[i])
-        left = int(np.searchsorted(key, (y - 1) * width + x, "right")) - 1
-        home[i] = home[owner[upright[left]]]
-    return home
-
-
-def _multipolygon(pdf: pd.DataFrame, x0: float, y0: float, dx: float, dy: float) -> str:
-    """GeoJSON geometry of one feature: outer rings with the holes that lie in them."""
-    px, py, qx, qy = (pdf[c].to_numpy(np.int64) for c in ("px", "py", "qx", "qy"))
-    rings, owner = _rings(px, py, qx, qy)
-    homes = _homes(rings, owner, px, py, qy)
-    outer = [i for i, r in enumerate(rings) if _twice_area(r) > 0]
-    parts_of = {i: [rings[i]] for i in outer}
-    for i, home in enumerate(homes):
-        if i not in parts_of:
-            parts_of[home].append(rings[i])
-    parts = [parts_of[i] for i in sorted(outer, key=lambda i: abs(_twice_area(rings[i])))]
-
-    def placed(ring: np.ndarray) -> list[list[float]]:
-        closed = np.vstack([ring, ring[:1]])
-        return [[x0 + float(x) * dx, y0 - float(y) * dy] for x, y in closed]
-
-    return json.dumps(
-        {"type": "MultiPolygon", "coordinates": [[placed(r) for r in part] for part in parts]}
-    )
-
-
-def assemble_features(spans: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
-    """Disjoint spans -> one feature ``keys, geometry`` (GeoJSON text) per key.
-
-    A feature is one value, so its outline is put together in one task, in n log n steps.
-    """
-    outline = directed_outline(spans, keys)
-
-    place = (grid.x0, grid.y0, grid.dx, grid.dy)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[:1][list(keys)].copy()
-        row["geometry"] = _multipolygon(pdf, *place)
-        return row
-
-    kinds = dict(outline.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", geometry string"
-    return outline.groupBy(*keys).applyInPandas(one, schema)
-
-
 def signed_area(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shoelace sum over directed edges ``x1, y1, x2, y2``; holes count negative."""
     twice = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")

@@ -12,6 +12,7 @@ from access_engine.operators import boundary as S
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import same_srid
 from access_engine.operators.regions import TILE, polygonize
+from access_engine.operators.rings import assemble_features
 from access_engine.operators.segments import segment_zones, to_segments
 from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
@@ -164,7 +165,7 @@ def catch_final(g: OrderGrid) -> DataFrame:
         .distinct()
         .join(codes, "id")
     )
-    shapes = S.assemble_features(gap_spans(g), g.grid, ["id"]).join(codes, "id").drop("id")
+    shapes = assemble_features(gap_spans(g), g.grid, ["id"]).join(codes, "id").drop("id")
     table = K.final_table(parts.select("a_hlcit_code", "zone_id").join(layer, "a_hlcit_code"))
     final = K.with_geometry(table, shapes)
     columns = [c for c in final.columns if c != "geometry"]
@@ -182,7 +183,7 @@ def geojson_features(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """Uncovered features with statistics, written as GeoJSON, read back and measured."""
     grid = g.grid
     cells = gaps(g)
-    shapes = S.assemble_features(gap_spans(g, width), grid, ["id"])
+    shapes = assemble_features(gap_spans(g, width), grid, ["id"])
     stats = O.zonal_stats(cells, ["id"])
     codes = g.lgu_codes.select("id", "hlcit_code")
     features = shapes.join(stats, "id").join(codes, "id")

@@ -4,12 +4,15 @@ import json
 import time
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from access_engine.operators import boundary as S
 from access_engine.operators.grid import Grid
 from access_engine.operators.regions import connected_components, polygonize
+from access_engine.operators.rings import assemble_features, chained, corners, rings
 from access_engine.operators.spans import burn, rasterise
 from access_engine.sources import features as V
 
@@ -131,7 +134,7 @@ def test_features_keep_their_cells(spark, tmp_path):
     """Hole, several parts, corner contact: one feature that covers the same cells."""
     cells, rows = pattern_cells(spark)
     grid = feature_grid()
-    features = S.assemble_features(S.cells_to_spans(cells, ["id"]), grid, ["id"])
+    features = assemble_features(S.cells_to_spans(cells, ["id"]), grid, ["id"])
     back = read_back(spark, tmp_path, features).cache()
     (only,) = back.collect()
     sizes = sorted(len(part) for part in only.coordinates)
@@ -147,25 +150,106 @@ def test_features_keep_their_cells(spark, tmp_path):
 def test_holes_within_islands_within_holes(spark):
     pattern = ["#########", "#.......#", "#.#####.#", "#.#.#.#.#", "#.#####.#", "#.......#", "#########"]
     cells, _ = pattern_cells(spark, pattern)
-    text = S.assemble_features(S.cells_to_spans(cells, ["id"]), feature_grid(), ["id"]).first().geometry
+    text = assemble_features(S.cells_to_spans(cells, ["id"]), feature_grid(), ["id"]).first().geometry
     assert sorted(len(part) for part in json.loads(text)["coordinates"]) == [2, 3]
 
 
-def test_large_outlines_take_seconds(spark):
-    """A sieve of 50,000 cells has over 100,000 outline edges, nearly all of them holes'."""
-    cells = spark.range(300 * 340).selectExpr("7 as id", "int(id / 340) as row_no", "int(id % 340) as col_no")
-    sieve = cells.where("row_no % 2 = 0 or col_no % 2 = 0")
-    outline = S.directed_outline(S.cells_to_spans(sieve, ["id"]), ["id"]).toPandas()
-    assert len(outline) > 100_000
+def plain_rings(outline):
+    """Rings of directed edges, each as its corners from the smallest on, by following edges one by one."""
+    leaving, out = {}, []
+    for px, py, qx, qy in outline:
+        leaving.setdefault((px, py), []).append((qx, qy))
+    while leaving:
+        start = at = min(leaving)
+        way, points = None, []
+        while True:
+            options = leaving[at]
+            turn = lambda q: 0 if way is None else way[0] * (q[1] - at[1]) - way[1] * (q[0] - at[0])
+            to = min(options, key=turn)
+            options.remove(to)
+            if not options:
+                del leaving[at]
+            new = ((to[0] > at[0]) - (to[0] < at[0]), (to[1] > at[1]) - (to[1] < at[1]))
+            if new != way:
+                points.append(at)
+            at, way = to, new
+            if at == start and (at not in leaving or min(leaving[at], key=turn) is None or len(points) > 2):
+                break
+        ways = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(points, points[1:] + points[:1])]
+        straight = [w[0] * v[0] > 0 or w[1] * v[1] > 0 for w, v in zip(ways[-1:] + ways[:-1], ways)]
+        points = [p for p, s in zip(points, straight) if not s]
+        k = points.index(min(points))
+        out.append(points[k:] + points[:k])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [3, 40, 1 << 18])
+def test_rings_ranked_over_many_tasks_equal_plain_chaining(spark, block):
+    """A feature whose corners lie in many blocks: a serpentine of one long ring, noise, and a second feature."""
+    nrows, ncols = 41, 37
+    cells = [(1, r, c) for (r, c), k in raster("serpentine", nrows, ncols).items() if k == 1]
+    cells += [(2, r, c) for (r, c), k in raster("one class", 5, 6).items()]
+    grid = Grid(0.0, float(nrows), 1.0, 1.0, ncols, nrows)
+    spans = S.cells_to_spans(spark.createDataFrame(cells, "feature long, row_no int, col_no int"), ["feature"])
+    outline = S.directed_outline(spans, ["feature"])
+    found = {}
+    for r in rings(outline.repartition(7), grid, block).collect():
+        point = r.id // 4
+        found.setdefault((r.feature, r.ring), {})[r.nth] = (point % (ncols + 1), point // (ncols + 1))
+    assert all(sorted(ring) == list(range(len(ring))) for ring in found.values())
+    for feature in (1, 2):
+        got = [[ring[k] for k in range(len(ring))] for (f, _), ring in found.items() if f == feature]
+        got = [ring[ring.index(min(ring)) :] + ring[: ring.index(min(ring))] for ring in got]
+        edges = [(e.px, e.py, e.qx, e.qy) for e in outline.where(f"feature = {feature}").collect()]
+        assert sorted(got) == plain_rings(edges)
+
+
+@pytest.mark.parametrize("block", [5, 1 << 18])
+def test_features_of_noise_keep_their_cells(spark, tmp_path, block):
+    """Holes in areas in holes, corner contacts, features without a key: what is drawn covers the same cells."""
+    rng = random.Random(3)
+    rows = [(i, r, c) for i in (1, 2) for r in range(7) for c in range(10) if rng.random() < 0.6]
+    cells = spark.createDataFrame(rows, "id int, row_no int, col_no int")
+    features = assemble_features(S.cells_to_spans(cells, ["id"]), feature_grid(), ["id"], block)
+    back = read_back(spark, tmp_path, features).cache()
+    drawn = burn(rasterise(V.feature_edges(back, ["id"]), feature_grid(), ["id"])).collect()
+    assert sorted((r.id, r.row_no, r.col_no) for r in drawn) == sorted(rows)
+    for feature in back.collect():  # each part is one connected area with its own holes
+        own = {(r, c): 1 for i, r, c in rows if i == feature.id}
+        assert len(feature.coordinates) == len(set(flood(own).values()))
+    nameless = cells.select(F.lit(None).cast("int").alias("id"), "row_no", "col_no").distinct()
+    assert assemble_features(S.cells_to_spans(nameless, ["id"]), feature_grid(), ["id"], block).count() == 1
+    assert assemble_features(S.cells_to_spans(cells.limit(0), ["id"]), feature_grid(), ["id"], block).count() == 0
+
+
+def test_no_task_chains_more_than_its_share(spark):
+    """A sieve has over 100,000 outline edges, nearly all of them holes': its corners go to many partitions."""
+    cells = spark.range(600 * 640).selectExpr("7L as feature", "int(id / 640) as row_no", "int(id % 640) as col_no")
+    spans = S.cells_to_spans(cells.where("row_no % 3 < 2 or col_no % 3 < 2"), ["feature"])
+    grid = Grid(0.0, 600.0, 1.0, 1.0, 640, 600)
+    points = corners(S.directed_outline(spans, ["feature"]), grid)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")  # the optimizer would merge what is small here
+    parts = [r["count"] for r in points.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset(merged)
+    assert sum(parts) > 100_000 and max(parts) < sum(parts) / 4
     start = time.time()
-    shape = json.loads(S._multipolygon(outline, 0.0, 0.0, 1.0, 1.0))
-    assert time.time() - start < 10
-    assert len(shape["coordinates"]) == 1 and len(shape["coordinates"][0]) > 20_000
+    text = assemble_features(spans, grid, ["feature"]).first().geometry
+    assert time.time() - start < 60
+    shape = json.loads(text)
+    assert len(shape["coordinates"]) == 1 and len(shape["coordinates"][0]) > 40_000
+    assert all(ring[0] == ring[-1] and len(ring) == 5 for ring in shape["coordinates"][0][1:])
+
+
+def test_chains_start_where_something_leads_in():
+    chain, nth, last = chained(np.array([1, 1, 1, 1, 2, 2]), np.array([4, 8, 12, 16, 4, 8]), np.array([8, 12, 99, 4, 8, 4]))
+    assert chain.tolist() == [16, 16, 16, 16, 4, 4] and nth.tolist() == [1, 2, 3, 0, 0, 1]
+    assert last.tolist() == [False, False, True, False, False, True]
 
 
 def test_rings_are_closed(spark, tmp_path):
     cells, _ = pattern_cells(spark)
-    text = S.assemble_features(S.cells_to_spans(cells, ["id"]), feature_grid(), ["id"]).first()
+    text = assemble_features(S.cells_to_spans(cells, ["id"]), feature_grid(), ["id"]).first()
     shape = json.loads(text.geometry)
     assert shape["type"] == "MultiPolygon"
     assert all(ring[0] == ring[-1] for part in shape["coordinates"] for ring in part)
