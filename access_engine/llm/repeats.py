@@ -429,5 +429,10 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{folder}/documents.parquet"), keep_first=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256")
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.col("sha256").alias("kept_sha256"),
+        (F.size("spans") > 0).alias("has_repeat"),
     )
