@@ -16,9 +16,10 @@ from access_engine.functions import bands as B
 from access_engine.operators import density as D
 from access_engine.operators import summary as S
 from access_engine.operators.grid import Grid, same_srid
+from access_engine.operators.prefix import running_sums, span_sums
 from access_engine.operators.rings import assemble_features
-from access_engine.operators.segments import located_segments, segment_zones, to_segments
-from access_engine.operators.spans import locate, rasterise
+from access_engine.operators.segments import segment_zones, to_segments
+from access_engine.operators.spans import rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
 from access_engine.plans import classification as C
@@ -145,15 +146,16 @@ def catchments(
         rasterise(edges.withColumnRenamed("hlcit_code", "id"), header, ["id"]), "unit_spans"
     )
     people = W.read_population(spark, population, layout)
-    place = located_segments if layout == "segments" else locate
-    located = stored(place(people, unit_spans), "unit_cells")
+    if layout == "cells":
+        people = to_segments(people, "pop")
+    running = stored(running_sums(people, "pop", header), "running_sums")
     areas = _layer(spark, layer, CATCHMENT, header)
     outlines = V.feature_edges(areas, ["fac_type", "feature"])
     together = stored(K.coverage(outlines, header, feature=["feature"]), "coverage")
-    free = K.uncovered_cells(located, together)
-    gaps = stored(K.uncovered_population(free, codes), "gaps")
+    free = stored(K.uncovered_spans(unit_spans, together, header), "free")
+    gaps = stored(K.uncovered_by_outline(free, running, codes), "gaps")
 
-    shapes = assemble_features(K.uncovered_spans(unit_spans, together, header), header, ["id"])
+    shapes = assemble_features(free, header, ["id"])
     final = shapes.join(gaps.withColumnRenamed("a_hlcit_code", "id"), "id").select(
         F.col("id").alias("a_hlcit_code"),
         "adm_pop",
@@ -163,17 +165,19 @@ def catchments(
     )
     columns = ["a_hlcit_code", "adm_pop", "catch_pop", "pc_uncov"]
     V.write_geojson(final, f"{out}/uncovered", columns, header.srid)
-    totals = located.groupBy(F.col("id").alias("hlcit_code")).agg(F.sum("pop").alias("pop_sum"))
+    totals = span_sums(unit_spans, running, ["id"]).withColumnRenamed("id", "hlcit_code")
     every = codes.select("hlcit_code").join(totals, "hlcit_code", "left")
     R.write_csv(K.covered_split(gaps, every), f"{out}/coverage")
 
     per_file = stored(K.coverage(outlines, header, ["fac_type"], ["feature"]), "coverage")
+    inside = stored(K.covered_spans(unit_spans, per_file, ["fac_type"]), "covered_spans")
     files = stored(areas.select("fac_type").distinct(), "files")
     R.write_csv(
-        K.uncovered_by_dataset(located, per_file, codes, files), f"{out}/uncovered_by_facility"
+        K.uncovered_by_spans(unit_spans, inside, running, codes, files),
+        f"{out}/uncovered_by_facility",
     )
     R.write_csv(
-        K.covered_by_dataset(located, per_file, codes, files), f"{out}/covered_by_facility"
+        K.covered_by_spans(inside, running, codes, files), f"{out}/covered_by_facility"
     )
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from access_engine.config import STRIP
 from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import lookup, zonal_stats
+from access_engine.operators.prefix import span_sums
 from access_engine.operators.spans import (
     complement_spans,
     intersect_spans,
@@ -70,12 +71,62 @@ def uncovered_by_dataset(
     )
     # the result has a row for nearly every pair, and these are all pairs
     every = whole.crossJoin(datasets).join(part, [*keys, "id"], "left")
-    none = F.lit(0)
-    rest = F.when(
-        F.col("known") > F.coalesce("in_known", none), F.col("pop") - F.coalesce("in_pop", F.lit(0.0))
+    left = every.where(F.col("cells") > F.coalesce("in_cells", F.lit(0)))
+    return _described(left.select(*keys, "id", _rest().alias("catch_pop_sum")), adm2, keys)
+
+
+def _rest() -> Column:
+    """What a dataset leaves of a unit's population; NULL where no cell that it leaves has one."""
+    return F.when(
+        F.col("known") > F.coalesce("in_known", F.lit(0)),
+        F.col("pop") - F.coalesce("in_pop", F.lit(0.0)),
     )
-    left = every.where(F.col("cells") > F.coalesce("in_cells", none))
-    return _described(left.select(*keys, "id", rest.alias("catch_pop_sum")), adm2, keys)
+
+
+def covered_spans(
+    units: DataFrame, covered: DataFrame, dataset: Sequence[str] = (), width: int = STRIP
+) -> DataFrame:
+    """What the merged catchments of each dataset cover of every unit, as spans."""
+    return intersect_spans(units, covered, [*dataset, "id"], width)
+
+
+def uncovered_by_spans(
+    units: DataFrame,
+    covered: DataFrame,
+    running: DataFrame,
+    adm2: DataFrame,
+    datasets: DataFrame,
+    width: int = STRIP,
+) -> DataFrame:
+    """:func:`uncovered_by_dataset` from running sums of the population: a dataset costs its spans, and no cell is read.
+
+    ``covered`` are the spans of :func:`covered_spans`. A unit of which a dataset leaves no cell with a known population
+    has no row.
+    """
+    keys = datasets.columns
+    whole = span_sums(units, running, ["id"], "", width).withColumnsRenamed({"sum": "pop", "count": "known"})
+    part = span_sums(covered, running, [*keys, "id"], "in_", width)
+    part = part.withColumnsRenamed({"in_sum": "in_pop", "in_count": "in_known"})
+    # units x datasets rows, nearly all of which are results
+    every = whole.crossJoin(datasets).join(part, [*keys, "id"], "left")
+    left = every.select(*keys, "id", _rest().alias("catch_pop_sum")).where("catch_pop_sum IS NOT NULL")
+    return _described(left, adm2, keys)
+
+
+def uncovered_by_outline(
+    free: DataFrame, running: DataFrame, adm2: DataFrame, width: int = STRIP
+) -> DataFrame:
+    """:func:`uncovered_population` from the spans that the catchments leave and running sums of the population."""
+    sums = span_sums(free, running, ["id"], "catch_pop_", width).where("catch_pop_count > 0")
+    return _described(sums.drop("catch_pop_count"), adm2, ())
+
+
+def covered_by_spans(
+    covered: DataFrame, running: DataFrame, units: DataFrame, datasets: DataFrame, width: int = STRIP
+) -> DataFrame:
+    """:func:`covered_by_dataset` from running sums of the population."""
+    sums = span_sums(covered, running, [*datasets.columns, "id"], "covered_", width)
+    return _covered_table(sums, units, datasets)
 
 
 def uncovered_population(
@@ -144,6 +195,11 @@ def covered_by_dataset(
     """Covered population of every unit and dataset (row of ``datasets``), 0 where none is."""
     keys = datasets.columns
     sums = zonal_stats(locate(located, covered), [*keys, "id"], stats=["sum"], prefix="covered_")
+    return _covered_table(sums, units, datasets)
+
+
+def _covered_table(sums: DataFrame, units: DataFrame, datasets: DataFrame) -> DataFrame:
+    keys = datasets.columns
     every = units.select("id", F.col("hlcit_code").alias("adm2_code")).crossJoin(datasets)
     return every.join(sums, [*keys, "id"], "left").select(
         *keys, "adm2_code", F.coalesce("covered_sum", F.lit(0.0)).alias("covered_pop")

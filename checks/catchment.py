@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from access_engine.operators.overlay import dissolve
-from access_engine.operators.spans import burn
+from access_engine.operators.prefix import running_sums, span_sums
+from access_engine.operators.segments import to_segments
+from access_engine.operators.spans import burn, rasterise
 from access_engine.plans import catchment as K
 from access_engine.sources import features as V
 from access_engine.storage import new_path
@@ -82,6 +84,38 @@ def catch_by_facility(g: OrderGrid) -> DataFrame:
     )
 
 
+def _by_spans(g: OrderGrid):
+    """Unit spans, what each file covers of them, running sums of the population, and the files."""
+    units = rasterise(g.lgu_edges, g.grid, ["id"])
+    inside = K.covered_spans(units, covered(g, ["fac_type"]), ["fac_type"])
+    running = running_sums(to_segments(g.population, "pop"), "pop", g.grid)
+    return units, inside, running, g.spark.createDataFrame([(f,) for f in FACILITIES], "fac_type string")
+
+
+def _summed(g: OrderGrid, units: DataFrame, running: DataFrame) -> DataFrame:
+    """Unit dimension from running sums; unit 23 is given population 0."""
+    pop = F.when(F.col("id") == 23, F.lit(0.0)).otherwise(F.col("pop_sum")).alias("pop_sum")
+    return span_sums(units, running, ["id"]).join(g.lgu_codes, "id").select("id", "hlcit_code", pop)
+
+
+def prefix_uncovered_by_facility(g: OrderGrid) -> DataFrame:
+    """Uncovered population per file and unit from running sums: files cost their spans alone."""
+    units, inside, running, files = _by_spans(g)
+    return K.uncovered_by_spans(units, inside, running, _summed(g, units, running), files)
+
+
+def prefix_by_facility(g: OrderGrid) -> DataFrame:
+    _, inside, running, files = _by_spans(g)
+    return K.covered_by_spans(inside, running, g.lgu_codes, files)
+
+
+def prefix_uncovered(g: OrderGrid) -> DataFrame:
+    """Population outside all catchments from outlines and running sums."""
+    units, _, running, _ = _by_spans(g)
+    free = K.uncovered_spans(units, covered(g), g.grid)
+    return K.uncovered_by_outline(free, running, _summed(g, units, running))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +125,9 @@ QUERIES = {
         catch_shared_ids,
         catch_covered_split,
         catch_by_facility,
+        prefix_uncovered,
+        prefix_uncovered_by_facility,
+        prefix_by_facility,
     )
 }
 
@@ -123,3 +160,8 @@ ORACLE = {
     ),
 }
 ORACLE["catch_shared_ids"] = ORACLE["catch_uncovered"]
+ORACLE |= {
+    "prefix_uncovered": ORACLE["catch_uncovered"],
+    "prefix_uncovered_by_facility": ORACLE["catch_uncovered_by_facility"],
+    "prefix_by_facility": ORACLE["catch_by_facility"],
+}

@@ -9,6 +9,7 @@ from access_engine.config import STRIP
 from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import Grid, align
+from access_engine.operators.prefix import running_sums, span_sums
 from access_engine.operators.segments import to_segments
 from access_engine.operators.spans import rasterise
 from access_engine.plans import classification as C
@@ -120,6 +121,16 @@ def zonal_sum_count(g: OrderGrid) -> DataFrame:
     return O.zonal_stats(located(g), ["id"])
 
 
+def prefix_zonal_sum(g: OrderGrid, width: int = STRIP) -> DataFrame:
+    """Sums and counts of the units from running sums along raster rows; no cell meets a unit."""
+    sums = running_sums(to_segments(g.population, "pop", width=width), "pop", g.grid, width)
+    return span_sums(rasterise(g.lgu_edges, g.grid, ["id"]), sums, ["id"], width=width)
+
+
+def strip_prefix_zonal_sum(g: OrderGrid) -> DataFrame:
+    return prefix_zonal_sum(g, 16)
+
+
 def lgu_band_share(g: OrderGrid) -> DataFrame:
     return share_table(g)
 
@@ -179,6 +190,8 @@ QUERIES = {
         overlay_union_or,
         overlay_key_dissolve,
         zonal_sum_count,
+        prefix_zonal_sum,
+        strip_prefix_zonal_sum,
         lgu_band_share,
         segment_band_share,
         strip_band_share,
@@ -238,3 +251,4 @@ ORACLE = {
         "case when province <> '2' then adm_pop end as adm_pop, cat_pop, case when province <> '2' then pc_pop end as pc_pop from fx_labelled"
     ),
 }
+ORACLE |= {n: ORACLE["zonal_sum_count"] for n in ("prefix_zonal_sum", "strip_prefix_zonal_sum")}

@@ -4,7 +4,11 @@ import random
 
 import pytest
 
+from conftest import plan_of
+
 from access_engine.operators.grid import Grid, align, same_srid
+from access_engine.operators.prefix import running_sums, span_sums
+from access_engine.operators.segments import to_segments
 from access_engine.operators.spans import (
     burn,
     complement_spans,
@@ -179,3 +183,37 @@ def test_left_join_keeps_cells_outside(spark):
     cells = spark.range(4).selectExpr("0 as row_no", "int(id) as col_no")
     rows = locate(cells, spans, "left").orderBy("col_no").collect()
     assert [r.id for r in rows] == [1, 1, None, None]
+
+
+@pytest.mark.parametrize("width", [3, 8, 64])
+def test_running_sums_equal_the_sum_of_cells(spark, width):
+    """Missing strips and rows, missing values, spans of one cell, whole rows and beyond what is stored."""
+    rng = random.Random(6)
+    grid = Grid(0.0, 9.0, 1.0, 1.0, 29, 9)
+    cells = {(r, c): rng.choice([None, 0.0, 1.5, 7.0]) for r in range(8) for c in range(29) if r != 4 and not 6 <= c < 15}
+    spans = [(k % 4, r, c0, c0 + n) for k in range(60) for r, c0, n in [(rng.randrange(9), rng.randrange(29), rng.randint(0, 9))]]
+    spans = [(k, r, c0, min(c1, 29)) for k, r, c0, c1 in spans] + [(5, r, 0, 29) for r in range(9)] + [(6, 4, 3, 20), (6, 0, 7, 14)]
+    held = to_segments(spark.createDataFrame([(*k, v) for k, v in cells.items()], "row_no int, col_no int, pop double"), "pop", width=width)
+    frame = spark.createDataFrame(spans, "id int, row_no int, c0 int, c1 int")
+    found = span_sums(frame, running_sums(held, "pop", grid, width), ["id"], width=width).collect()
+    wanted = {}
+    for k, r, c0, c1 in spans:
+        own = [cells.get((r, c)) for c in range(c0, c1)]
+        total, n = wanted.get(k, (0.0, 0))
+        wanted[k] = total + sum(v for v in own if v is not None), n + sum(v is not None for v in own)
+    assert {r.id: (r.pop_sum, r.pop_count) for r in found} == {k: (t if n else None, n) for k, (t, n) in wanted.items()}
+    assert span_sums(frame.limit(0), running_sums(held, "pop", grid, width), ["id"], width=width).count() == 0
+    assert running_sums(held.limit(0), "pop", grid, width).count() == 0
+
+
+def test_running_sums_unfold_no_cell(spark):
+    held = to_segments(spark.createDataFrame([(0, 0, 1.0)], "row_no int, col_no int, pop double"), "pop")
+    spans = spark.createDataFrame([(1, 0, 0, 1)], "id int, row_no int, c0 int, c1 int")
+    plan = plan_of(span_sums(spans, running_sums(held, "pop", Grid(0.0, 1.0, 1.0, 1.0, 1, 1)), ["id"]))
+    assert "posexplode" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_running_sums_refuse_what_would_spoil_a_row(spark):
+    bad = spark.createDataFrame([(0, 0, [1.0, float("nan")])], "row_no int, strip int, pop array<double>")
+    with pytest.raises(Exception, match="finite"):
+        running_sums(bad, "pop", Grid(0.0, 1.0, 1.0, 1.0, 2, 1)).collect()
