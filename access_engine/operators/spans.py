@@ -209,3 +209,81 @@ def locate(
         how,
     )
     return joined.drop("cell_strip", "strip", "span_row", "c0", "c1")
+
+
+def overlay_spans(
+    a: DataFrame, b: DataFrame, how: str = "or", on: Sequence[str] = ()
+) -> DataFrame:
+    """Overlay two span layers in one sweep along each raster row; no cell and no pair of spans is formed.
+
+    ``on`` are columns of both layers that part them into datasets. Each layer's other columns name its features, which
+    must not overlap within the layer. The sweep carries the feature of either layer that is open: ``or`` gives the
+    pieces of both layers and the leftovers of each, with NULL for the other's columns, ``and`` the common pieces,
+    ``not`` what ``b`` leaves of ``a``. Neighbouring pieces of equal features are one. A window holds the places where
+    spans of one row and dataset begin or end.
+    """
+    place = ("row_no", "c0", "c1", *on)
+    names = [[c for c in layer.columns if c not in place] for layer in (a, b)]
+    if set(names[0]) & set(names[1]):
+        raise ValueError(f"both layers have columns {sorted(set(names[0]) & set(names[1]))}")
+    held = [F.struct(*(F.col(c) for c in own), F.lit(True).alias("is_open")) for own in names]
+    blank = [
+        F.struct(
+            *(F.lit(None).cast(layer.schema[c].dataType).alias(c) for c in own),
+            F.lit(False).alias("is_open"),
+        )
+        for layer, own in zip((a, b), names)
+    ]
+
+    def steps(layer: DataFrame, side: int) -> DataFrame:
+        """Where spans begin, with their feature, and where they end."""
+        ends = [
+            F.struct(F.col(end).alias("col"), F.lit(step).alias("step")) for end, step in (("c0", 1), ("c1", -1))
+        ]
+        rows = layer.where("c0 < c1").select(*on, "row_no", held[side].alias("feature"), F.inline(F.array(*ends)))
+        columns = []
+        for other in (0, 1):
+            own = F.col("feature") if other == side else F.lit(None).cast(_kind(blank[other], rows))
+            columns += [
+                F.when(F.col("step") > 0, own).alias(f"begins_{other}"),
+                F.when(F.lit(other == side), F.col("step")).otherwise(0).alias(f"step_{other}"),
+                F.lit(other == side).alias(f"any_{other}"),
+                F.when((F.col("step") > 0) & F.lit(other == side), 1).otherwise(0).alias(f"many_{other}"),
+            ]
+        return rows.select(*on, "row_no", "col", *columns)
+
+    along = Window.partitionBy(*on, "row_no").orderBy("col")
+    points = steps(a, 0).unionByName(steps(b, 1)).groupBy(*on, "row_no", "col")
+    merged = points.agg(
+        *(
+            one
+            for k in (0, 1)
+            for one in (
+                F.max(f"begins_{k}").alias(f"begins_{k}"),
+                F.sum(f"step_{k}").alias(f"step_{k}"),
+                F.max(f"any_{k}").alias(f"any_{k}"),
+                F.sum(f"many_{k}").alias(f"many_{k}"),
+            )
+        )
+    )
+    swept = merged
+    for k in (0, 1):
+        now = F.when(F.col(f"any_{k}"), F.coalesce(F.col(f"begins_{k}"), blank[k]))
+        swept = swept.withColumn(f"now_{k}", F.coalesce(F.last(now, ignorenulls=True).over(along), blank[k]))
+        swept = swept.withColumn(f"open_{k}", F.sum(f"step_{k}").over(along))
+    wrong = F.greatest("open_0", "open_1", "many_0", "many_1") > 1
+    refused = F.raise_error(F.format_string("features of a layer overlap in row %s", "row_no"))
+    state = F.struct("now_0", "now_1")
+    swept = swept.withColumn("state", F.when(wrong, refused).otherwise(state))
+    changed = ~F.col("state").eqNullSafe(F.lag("state").over(along))
+    turns = swept.withColumn("changed", changed).where("changed")
+    pieces = turns.select(*on, "row_no", F.col("col").alias("c0"), F.lead("col").over(along).alias("c1"), "state.*")
+    first, second = F.col("now_0.is_open"), F.col("now_1.is_open")
+    wanted = {"or": first | second, "and": first & second, "not": first & ~second}[how]
+    kept = names[0] if how == "not" else [*names[0], *names[1]]
+    columns = [F.col(f"now_{int(c in names[1])}.{c}").alias(c) for c in kept]
+    return pieces.where(wanted).select(*on, *columns, "row_no", "c0", "c1")
+
+
+def _kind(column: Column, df: DataFrame):
+    return df.select(column.alias("c")).schema["c"].dataType

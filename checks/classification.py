@@ -10,8 +10,8 @@ from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import Grid, align
 from access_engine.operators.prefix import running_sums, span_sums
-from access_engine.operators.segments import to_segments
-from access_engine.operators.spans import rasterise
+from access_engine.operators.segments import segment_zones, to_segments
+from access_engine.operators.spans import overlay_spans, rasterise
 from access_engine.plans import classification as C
 from checks.fixture_sql import BAND_CASE, with_views
 from checks.order_grid import LAYERS, OrderGrid
@@ -89,6 +89,32 @@ def overlay_union_or(g: OrderGrid) -> DataFrame:
     return O.name_layers(zones, LAYERS)
 
 
+def span_overlay_or(g: OrderGrid, width: int = STRIP) -> DataFrame:
+    """The full overlay once more, of span layers: one sweep per raster row, sums from running sums."""
+    times = to_segments(O.unstack(g.stack, "row_no", "col_no"), "hours", ["layer"], width)
+    rows = g.spark.range(g.grid.nrows).select(F.lit(0).alias("all"), F.col("id").cast("int").alias("row_no"))
+    rows = rows.select("*", F.lit(0).alias("c0"), F.lit(g.grid.ncols).alias("c1"))
+    zones = segment_zones(times, rows, ["layer"], "all", B.band_of, width).drop("all")
+    layers = g.spark.range(len(LAYERS)).select(F.col("id").cast("int").alias("layer"))
+    units = rasterise(g.lgu_edges, g.grid, ["id"]).crossJoin(layers)
+    pieces = overlay_spans(units, zones, "or", ["layer"])
+    sums = running_sums(to_segments(g.population, "pop", width=width), "pop", g.grid, width)
+    found = span_sums(pieces, sums, ["layer", "id", "band"], width=width).where("pop_count > 0")
+    counted = found.select(
+        "layer",
+        "id",
+        "band",
+        F.col("pop_count").alias("cells"),
+        F.when(F.col("id").isNotNull(), F.col("pop_sum")).alias("pop_sum"),
+        B.dissolve_key(F.col("id").cast("string"), F.col("band")).alias("dissolve"),
+    )
+    return O.name_layers(counted, LAYERS)
+
+
+def strip_span_overlay_or(g: OrderGrid) -> DataFrame:
+    return span_overlay_or(g, 16)
+
+
 def overlay_key_dissolve(g: OrderGrid) -> DataFrame:
     """Overlay, drop rows lacking either key part, dissolve by key, read the key back."""
     cells = O.overlay(
@@ -188,6 +214,8 @@ QUERIES = {
         cells_in_lgu,
         grid_align_pop,
         overlay_union_or,
+        span_overlay_or,
+        strip_span_overlay_or,
         overlay_key_dissolve,
         zonal_sum_count,
         prefix_zonal_sum,
@@ -252,3 +280,4 @@ ORACLE = {
     ),
 }
 ORACLE |= {n: ORACLE["zonal_sum_count"] for n in ("prefix_zonal_sum", "strip_prefix_zonal_sum")}
+ORACLE |= {n: ORACLE["overlay_union_or"] for n in ("span_overlay_or", "strip_span_overlay_or")}
