@@ -1,14 +1,14 @@
-"""Connected areas of equal class (4-neighbourhood), for rasters of any size.
+"""Connected areas of equal class (4-neighbourhood), for rasters of any size, on runs of cells.
 
-Cells are labelled inside square tiles first, each tile a bounded group; only pairs of labels that
-touch across a tile border enter the distributed contraction. What iterates is therefore a small
-fraction of the raster, and a component that fills the raster costs a few rounds over tile borders.
+What is moved are runs of equal class along raster rows, cut at column strips. Runs are united inside tiles first, each a
+bounded group; only pairs of labels that touch across a tile border enter the distributed contraction. What iterates is
+therefore a small fraction of the runs, and a component that fills the raster costs a few rounds over tile borders.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,26 +16,22 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from access_engine.operators.boundary import cells_to_spans
 from access_engine.operators.grid import Grid
+from access_engine.operators.spans import burn, cut_by_strip
 from access_engine.storage import drop, store
 
 TILE = 128
+BLOCK = 1 << 18  # runs that a task unites at once; a tile's may be more
 SALT = 8  # tasks that share the edges of one node
 
 # the tile function travels with the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _tile_labels(kind: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Smallest position of the component of every cell of one tile.
-
-    ``right`` and ``below`` hold the position of the neighbour, -1 for none.
-    """
-    here = np.arange(len(kind))
-    a, b = np.concatenate([here, here]), np.concatenate([right, below])
-    linked = (b >= 0) & (kind[a] == kind[b])
-    a, b = a[linked], b[linked]
-    label = here.copy()
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of ``n`` nodes that the links ``a, b`` make."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         high = np.maximum(label[a], label[b])
@@ -50,20 +46,50 @@ def _tile_labels(kind: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.n
             label = up
 
 
-def _label_tile(pdf: pd.DataFrame, tile: int, ncols: int) -> pd.DataFrame:
-    """``label``: the smallest cell id of the component within the tile."""
-    ids = pdf["cell_id"].to_numpy()
-    order = np.argsort(ids)
-    ids = ids[order]
-    if (ids[1:] == ids[:-1]).any():
-        raise ValueError("a cell occurs twice in one raster")
-    row, col = ids // ncols % tile, ids % ncols % tile
-    position = np.full((tile + 1, tile + 1), -1, dtype=np.int64)
-    position[row, col] = np.arange(len(ids))
-    kind = pd.factorize(pdf["class"].to_numpy()[order])[0]
-    label = _tile_labels(kind, position[row, col + 1], position[row + 1, col])
-    pdf = pdf.drop(columns=["tile_row", "tile_col"]).iloc[order]
-    return pdf.assign(label=ids[label])
+def _label_runs(pdf: pd.DataFrame, group: np.ndarray, ncols: int) -> np.ndarray:
+    """Smallest cell id of each run's component within its tile; runs are sorted by tile, row and column.
+
+    Below a run lie those of the next row that end after its start and start before its end: one range of the sorted
+    runs of the tile, as they don't overlap.
+    """
+    row, c0, c1 = (pdf[c].to_numpy(np.int64) for c in ("row_no", "c0", "c1"))
+    wide = ncols + 1
+    line = group * (int(row.max(initial=0)) + 2) + row
+    first = np.searchsorted(line * wide + c1, (line + 1) * wide + c0, "right")
+    last = np.maximum(np.searchsorted(line * wide + c0, (line + 1) * wide + c1, "left"), first)
+    sizes = last - first
+    above = np.repeat(np.arange(len(row)), sizes)
+    below = np.arange(len(above)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[above]
+    kind = pd.factorize(pdf["class"].to_numpy())[0]
+    same = kind[above] == kind[below]
+    return (row * ncols + c0)[_united(len(row), above[same], below[same])]
+
+
+def _tiles(tile_columns: Sequence[str], ncols: int, block: int):
+    """A function for ``mapInPandas`` over runs sorted by tile: adds ``label``; a tile is never parted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def out(whole: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            return whole.assign(label=_label_runs(whole, group, ncols))
+
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) < block:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            group = whole.groupby(list(tile_columns), sort=False, dropna=False).ngroup().to_numpy()
+            full = int(np.searchsorted(group, group[-1]))
+            if full:
+                yield out(whole[:full], group[:full])
+            held = [whole[full:]]
+        whole = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if len(whole):
+            group = whole.groupby(list(tile_columns), sort=False, dropna=False).ngroup().to_numpy()
+            yield out(whole, group)
+
+    return run
 
 
 def _salted(rows: DataFrame, by: str) -> DataFrame:
@@ -135,67 +161,78 @@ def connected_components(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFram
 
 
 def _across(local: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
-    """Pairs ``a, b`` of labels of one class that touch across a tile border, from one scan.
+    """Pairs ``a, b`` of labels of one class that touch across a tile border.
 
-    Every cell at a border names the first cell beyond it: itself, or its neighbour below or to
-    the right.
+    Sideways a run that ends at a border meets the one that starts there; downwards runs of the last row of a tile meet
+    those of the first row below that share a column. Both look at the runs along borders only.
     """
-    sides = [
-        F.when(
-            F.col(step) % tile == (tile - 1 if ahead else 0),
-            F.struct(
-                F.lit(step).alias("step"),
-                (F.col("row_no") + (ahead if step == "row_no" else 0)).alias("row_no"),
-                (F.col("col_no") + (ahead if step == "col_no" else 0)).alias("col_no"),
-                F.lit(ahead).alias("ahead"),
-            ),
+    ends = F.array_compact(
+        F.array(
+            F.when(F.col("c1") % tile == 0, F.struct(F.col("c1").alias("col"), F.lit(True).alias("left"))),
+            F.when(F.col("c0") % tile == 0, F.struct(F.col("c0").alias("col"), F.lit(False).alias("left"))),
+        )
+    )
+    beside = (
+        local.select(*keys, "class", "label", "row_no", F.inline(ends))
+        .groupBy(*keys, "class", "row_no", "col")
+        .agg(
+            F.max(F.when(F.col("left"), F.col("label"))).alias("a"),
+            F.max(F.when(~F.col("left"), F.col("label"))).alias("b"),
         )
-        for step in ("row_no", "col_no")
-        for ahead in (1, 0)
-    ]
-    beyond = local.select(
-        *keys, "class", "label", F.inline(F.array_compact(F.array(*sides)))
+        .where("a IS NOT NULL AND b IS NOT NULL")
+        .select(*keys, "a", "b")
     )
-    met = beyond.groupBy(*keys, "class", "step", "row_no", "col_no").agg(
-        F.max(F.when(F.col("ahead") == 1, F.col("label"))).alias("a"),
-        F.max(F.when(F.col("ahead") == 0, F.col("label"))).alias("b"),
+    upper = local.where(F.col("row_no") % tile == tile - 1).select(
+        *keys, "class", "strip", (F.col("row_no") + 1).alias("row_no"), "c0", "c1", F.col("label").alias("a")
     )
-    return met.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, "a", "b")
+    lower = local.where(F.col("row_no") % tile == 0).select(
+        *keys, "class", "strip", "row_no", F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("label").alias("b")
+    )
+    over = upper.join(lower, [*keys, "class", "strip", "row_no"]).where("c0 < b1 AND b0 < c1")
+    return beside.unionByName(over.select(*keys, "a", "b")).distinct()
 
 
-def polygonize(
-    cells: DataFrame, grid: Grid, class_col: str, keys: Sequence[str] = (), tile: int = TILE
+def connected_runs(
+    runs: DataFrame,
+    grid: Grid,
+    class_col: str,
+    keys: Sequence[str] = (),
+    tile: int = TILE,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Number the connected areas of equal class; ``zone_id`` is the area's smallest cell id.
+    """Runs ``row_no, c0, c1`` with ``zone_id``: the smallest cell id of the connected area of equal class they lie in.
 
-    ``cells`` holds ``row_no, col_no``, the class and the ``keys`` of its dataset. The labelled
-    tiles stay in the shared folder, because the result reads them.
+    Runs of one dataset (``keys``) don't overlap. They come back cut at every ``tile`` columns. The labelled runs stay
+    in the shared folder, because the result reads them.
     """
-    row, col, ncols = F.col("row_no"), F.col("col_no"), grid.ncols
-    tiled = cells.select(
+    cut = cut_by_strip(runs, tile).select(
         *keys,
         F.col(class_col).alias("class"),
-        grid.cell_id(row, col).alias("cell_id"),
-        F.floor(row / tile).cast("int").alias("tile_row"),
-        F.floor(col / tile).cast("int").alias("tile_col"),
-    )
-    out = tiled.drop("tile_row", "tile_col").withColumn("label", F.lit(0).cast("long")).schema
-    labelled = tiled.groupBy(*keys, "tile_row", "tile_col").applyInPandas(
-        lambda pdf: _label_tile(pdf, tile, ncols), out
+        "row_no",
+        "strip",
+        "c0",
+        "c1",
+        F.floor(F.col("row_no") / tile).cast("int").alias("tile_row"),
     )
-    local, _ = store(
-        labelled.select(
-            *keys,
-            "class",
-            "label",
-            F.expr(f"int(cell_id div {ncols})").alias("row_no"),
-            F.expr(f"int(cell_id % {ncols})").alias("col_no"),
-        ),
-        "tiles",
-    )
-
+    tiles = [*keys, "tile_row", "strip"]
+    sorted_runs = cut.repartition(*tiles).sortWithinPartitions(*tiles, "row_no", "c0")
+    out = cut.withColumn("label", F.lit(0).cast("long")).schema
+    local, _ = store(sorted_runs.mapInPandas(_tiles(tiles, grid.ncols, block), out).drop("tile_row"), "tiles")
     joined = connected_components(_across(local, keys, tile), keys)
     zone = F.coalesce("component", "label").alias("zone_id")
     return local.join(joined.withColumnRenamed("node", "label"), [*keys, "label"], "left").select(
-        *keys, "row_no", "col_no", F.col("class").alias(class_col), zone
+        *keys, F.col("class").alias(class_col), "row_no", "c0", "c1", zone
     )
+
+
+def polygonize(
+    cells: DataFrame, grid: Grid, class_col: str, keys: Sequence[str] = (), tile: int = TILE
+) -> DataFrame:
+    """Number the connected areas of equal class; ``zone_id`` is the area's smallest cell id.
+
+    ``cells`` holds ``row_no, col_no``, the class and the ``keys`` of its dataset. For results that need cells;
+    :func:`connected_runs` gives the same as runs.
+    """
+    runs = cells_to_spans(cells, list(dict.fromkeys([*keys, class_col])))
+    found = burn(connected_runs(runs, grid, class_col, keys, tile))
+    return found.select(*keys, "row_no", "col_no", class_col, "zone_id")

@@ -11,7 +11,7 @@ from access_engine.functions import bands as B
 from access_engine.operators import boundary as S
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import same_srid
-from access_engine.operators.regions import TILE, polygonize
+from access_engine.operators.regions import TILE, connected_runs, polygonize
 from access_engine.operators.rings import assemble_features
 from access_engine.operators.segments import segment_zones, to_segments
 from access_engine.operators.spans import burn, merge_spans, rasterise
@@ -30,11 +30,10 @@ NARROW, SMALL = 16, 32
 
 
 def zones(g: OrderGrid, tile: int = TILE) -> DataFrame:
-    """Connected areas of equal band of all rasters; band 0 is no zone."""
+    """Runs of the connected areas of equal band of all rasters; band 0 is no zone."""
     cells = B.classify_bands(O.unstack(g.stack, "row_no", "col_no"))
-    return polygonize(
-        cells.where(F.col("band") > 0).drop("hours"), g.grid, "band", ["layer"], tile
-    )
+    runs = S.cells_to_spans(cells.where(F.col("band") > 0), ["layer", "band"])
+    return connected_runs(runs, g.grid, "band", ["layer"], tile)
 
 
 def gaps(g: OrderGrid) -> DataFrame:
@@ -53,10 +52,8 @@ def band_spans(g: OrderGrid) -> DataFrame:
 
 
 def polygonize_components(g: OrderGrid, tile: int = TILE) -> DataFrame:
-    counts = (
-        zones(g, tile).groupBy("layer", "band", "zone_id").agg(F.count(F.lit(1)).alias("cells"))
-    )
-    return O.name_layers(counts, LAYERS)
+    size = F.sum(F.col("c1") - F.col("c0")).alias("cells")
+    return O.name_layers(zones(g, tile).groupBy("layer", "band", "zone_id").agg(size), LAYERS)
 
 
 def tile_components(g: OrderGrid) -> DataFrame:
@@ -79,7 +76,7 @@ def zone_area(g: OrderGrid) -> DataFrame:
     per_zone = (
         zones(g)
         .groupBy("layer", "band", "zone_id")
-        .agg((F.count(F.lit(1)) * F.lit(size)).alias("area"))
+        .agg((F.sum(F.col("c1") - F.col("c0")) * F.lit(size)).alias("area"))
     )
     per_band = per_zone.groupBy("layer", "band").agg(
         F.count(F.lit(1)).alias("zones"),

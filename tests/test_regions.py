@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from access_engine.operators import boundary as S
 from access_engine.operators.grid import Grid
-from access_engine.operators.regions import connected_components, polygonize
+from access_engine.operators.regions import connected_components, connected_runs, polygonize
 from access_engine.operators.rings import assemble_features, chained, corners, rings
 from access_engine.operators.spans import burn, rasterise
 from access_engine.sources import features as V
@@ -69,6 +69,20 @@ def test_polygonize(spark, kind):
     assert got == {(d, *at): z for at, z in want.items() for d in (0, 1)}
 
 
+@pytest.mark.parametrize("kind", ["noise", "serpentine"])
+def test_runs_of_many_blocks(spark, kind):
+    """Tasks that unite a few runs at a time part no tile; runs come back cut at strips and nothing else."""
+    classes = raster(kind, 33, 47)
+    grid = Grid(0.0, 33.0, 1.0, 1.0, 47, 33)
+    cells = spark.createDataFrame([(r, c, k) for (r, c), k in classes.items()], "row_no int, col_no int, band int")
+    runs = connected_runs(S.cells_to_spans(cells, ["band"]), grid, "band", tile=8, block=20).collect()
+    want = flood(classes)
+    assert {(r.row_no, c): r.zone_id for r in runs for c in range(r.c0, r.c1)} == want
+    assert sum(r.c1 - r.c0 for r in runs) == len(classes)
+    ends = {(r.row_no, r.c1): r.zone_id for r in runs}
+    assert all(r.c0 % 8 == 0 for r in runs if ends.get((r.row_no, r.c0)) == r.zone_id)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 3000)]
     star = [(10_000, 10_001 + i) for i in range(5000)]
