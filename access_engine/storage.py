@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
@@ -38,6 +38,21 @@ def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def gathered(spark: SparkSession, parts: Iterable[DataFrame], schema: str, label: str) -> DataFrame:
+    """The rows of all ``parts`` as one written table; a part is written before the next one is asked for.
+
+    For work in many passes: no plan holds more than one of them.
+    """
+    path = new_path(spark, label)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     return store(df, label)[0]
 

@@ -13,7 +13,7 @@ from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
 from access_engine.plans import classification as C
 from access_engine.sources import results as R
-from access_engine.storage import drop, new_path, scratch, settled, shared_folder, store, stored
+from access_engine.storage import drop, gathered, new_path, scratch, settled, shared_folder, store, stored
 from checks.order_grid import OrderGrid
 
 FOLDER = "/root/testdata/sf0.001"
@@ -169,6 +169,24 @@ def test_storage_uses_the_folder_of_the_session(spark):
         spark.read.parquet(path)
 
 
+def test_parts_of_many_passes_are_one_table(spark):
+    asked = []
+
+    def parts():
+        for k in range(3):
+            asked.append(gathered_files())
+            yield spark.range(k, k + 2)
+
+    def gathered_files():
+        return len(list(Path(shared_folder(spark).removeprefix("file:"), "access_engine").glob("passes-*/part-*")))
+
+    before = gathered_files()
+    table = gathered(spark, parts(), "id long", "passes")
+    assert sorted(r.id for r in table.collect()) == [0, 1, 1, 2, 2, 3]
+    assert before < asked[0] < asked[1] < asked[2]  # each was written before the next
+    assert gathered(spark, iter(()), "id long", "passes").count() == 0
+
+
 def test_settled_rows_stay_and_the_tables_before_them_go(spark):
     folder = Path(shared_folder(spark).removeprefix("file:")) / "access_engine"
 
