@@ -1,12 +1,14 @@
 """SimHash, decontamination, mixing, sharding, search and the pipeline against brute force and on odd input."""
 
+import math
 import random
 import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -254,14 +256,72 @@ def test_sharding_odd_rows(odd):
 # Search
 
 
-def test_search_over_many_shards_and_query_blocks(spark, docs, monkeypatch):
-    whole = sorted(map(tuple, search.top_k(docs.where("doc_id % 20 = 0"), docs, 4).collect()))
-    monkeypatch.setattr(search, "SHARD_BYTES", 20_000)
-    monkeypatch.setattr(search, "BLOCK_DOCS", 3)
-    monkeypatch.setattr(search, "QUERIES", 4)
-    parted = sorted(map(tuple, search.top_k(docs.where("doc_id % 20 = 0").repartition(3), docs.repartition(4), 4).collect()))
-    assert [(r[0], r[1], r[3]) for r in parted] == [(r[0], r[1], r[3]) for r in whole] and len(whole) == 40
-    assert [r[2] for r in parted] == pytest.approx([r[2] for r in whole])
+def plain_search(queries, docs, k):
+    """BM25 of every document for every query; rows are (doc_id, text)."""
+    words = [Counter("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()) for _, t in docs]
+    average = sum(sum(w.values()) for w in words) / max(1, len(docs)) or 1.0
+    frequency = Counter(w for own in words for w in own)
+    out = []
+    for query_id, text in queries:
+        asked = set("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split())
+        scores = []
+        for (doc_id, _), own in zip(docs, words, strict=True):
+            if doc_id is None or not asked & own.keys():
+                continue
+            length = 1.2 * (0.25 + 0.75 * sum(own.values()) / average)
+            weight = {w: math.log1p((len(docs) - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in asked & own.keys()}
+            scores.append((-round(sum(v * own[w] * 2.2 / (own[w] + length) for w, v in weight.items()), 9), doc_id))
+        out += [(query_id, rank, doc_id, -score) for rank, (score, doc_id) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def found_rows(frame):
+    return sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in frame.collect())
+
+
+@pytest.mark.parametrize("shard_bytes,block_docs,many", [(20_000, 3, 4), (1, 64, 4096), (search.SHARD_BYTES, 1, 3)])
+def test_search_over_many_shards_and_query_blocks(spark, docs, shard_bytes, block_docs, many):
+    asked = docs.where("doc_id % 20 = 0")
+    found = search.top_k(asked.repartition(3), docs.repartition(4), 4, shard_bytes, block_docs, many)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    wanted = plain_search([r for r in rows if r[0] % 20 == 0], rows, 4)
+    assert [r[:3] for r in found_rows(found)] == [r[:3] for r in wanted] and len(wanted) == 40
+    assert [r[3] for r in found_rows(found)] == pytest.approx([r[3] for r in wanted])
+    if shard_bytes == 20_000:
+        assert search.build_index(docs.repartition(4), shard_bytes).count() > 15
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "a"), (2, "b"), (3, ""), (4, None), (5, "  ")],  # under one word on average
+    [(1, "a b"), (2, "a c"), (None, "a a a b"), (None, "d"), (3, "d")],  # rows without doc_id count
+    [(1, "a b"), (1, "a b"), (2, "A B"), (3, "b"), (4, "a b x y z")],  # repeated rows and ties
+    [(k, "w " * (k % 5) + "x" * (k % 3)) for k in range(40)],
+])
+def test_search_counts_all_documents(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_bytes in (1, 10, search.SHARD_BYTES):
+        found = found_rows(search.top_k(frame, frame.repartition(3), 3, shard_bytes, 2))
+        wanted = plain_search([r for r in rows if r[0] is not None], rows, 3)
+        assert [r[:3] for r in found] == [r[:3] for r in wanted]
+        assert [r[3] for r in found] == pytest.approx([r[3] for r in wanted])
+
+
+def test_search_passes_over_blocks(docs):
+    """Blocks that can't hold one of the best are not looked into, and that changes no result."""
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in texts], "text": [t for _, t in texts]})
+    (row,) = next(search._shard_rows(iter([batch]), search.SHARD_BYTES)).to_pylist()
+    shard, queries = search.Shard(row, row["total"] / row["n"], 4), []
+    for _, text in texts[::20]:
+        _, words, _, _ = search._terms(pa.array([text]))
+        frequency = np.diff(shard.starts)[np.searchsorted(shard.words, words)]
+        queries.append((words, np.log1p((len(texts) - frequency + 0.5) / (frequency + 0.5))))
+    found = list(shard.search(queries, 5, np.zeros(len(queries))))
+    known = np.array([scores[-1] for _, scores in found])
+    shard.looked = shard.passed = 0
+    again = list(shard.search(queries, 5, known))
+    assert all(a.tolist() == c.tolist() and b.tolist() == d.tolist() for (a, b), (c, d) in zip(found, again, strict=True))
+    assert shard.passed > shard.looked
 
 
 def test_search_odd_rows(odd):
