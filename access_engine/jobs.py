@@ -185,10 +185,10 @@ def catchments(
 def statistics(spark: SparkSession, results: str, lookup: str, out: str) -> None:
     """Summaries, season comparisons, chart tables and density curves of pooled results."""
     zones = R.read_csv(spark, lookup, config.ZONE_LOOKUP)
-    final = N.final_frame(N.pool(R.read_results(spark, results), zones))
+    final = stored(N.final_frame(N.pool(R.read_results(spark, results), zones)), "final")
     complete = stored(N.complete_rows(final), "complete")
     summary = stored(S.summarise_all(complete), "summary")
-    R.write_csv(summary, f"{out}/summary")
+    R.write_csv(R.in_order(summary, *H.category_order(summary.columns)), f"{out}/summary")
     for level in ("nation", "province", "zone"):
         table = S.one_level(summary, level)
         keys = S.LEVELS[level][0]
@@ -205,6 +205,8 @@ def statistics(spark: SparkSession, results: str, lookup: str, out: str) -> None
         H.write_chart_tables(curves, f"{out}/ridges/{name}", ["fac_type"])
         lines = D.quantile_lines(rows, ["fac_type", panel], "trav_cat", "pc_pop")
         H.write_chart_tables(lines, f"{out}/ridges/{name}_quartiles", ["fac_type"])
+    labels = H.zone_labels(final.where(F.col("season") == config.NORMAL))
+    R.write_csv(R.in_order(labels, "fac_type", "geog_order", "geog"), f"{out}/ridges/zone_labels")
     R.write_csv(H.ridge_headings(seasons, "LGU comparison"), f"{out}/ridges/season_headings")
     R.write_csv(
         H.ridge_headings(normal, "Physiogeographic LGU comparison"), f"{out}/ridges/zone_headings"

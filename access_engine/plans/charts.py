@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from access_engine.functions import bands as B
 from access_engine.functions.quantiles import group_quantiles
-from access_engine.operators.summary import LEVELS, compare_seasons
+from access_engine.operators.summary import LEVELS, compare_seasons, units_per_zone
+from access_engine.sources.results import in_order
 
 
 def _bar_label(share: Column, people: Column) -> Column:
@@ -151,6 +152,46 @@ def ridge_headings(rows: DataFrame, stem: str) -> DataFrame:
     )
 
 
+def labelled_zones(rows: DataFrame) -> DataFrame:
+    """Pooled rows of a zone with the number of its units, and the label that heads its chart."""
+    known = rows.where(F.col("geog").isNotNull())
+    label = F.concat(
+        F.col("geog"),
+        F.lit("; n="),
+        F.col("geog_count").cast("string"),
+        F.lit(" P:"),
+        B.grouped_digits(F.col("geog_pop")),
+    )
+    counted = known.join(units_per_zone(rows), ["geog", "fac_type"])
+    return counted.withColumn("geog_label", label)
+
+
+def zone_labels(rows: DataFrame) -> DataFrame:
+    """Label, unit count, population and place of every zone and facility type."""
+    keys = ["geog", "fac_type", "geog_count", "geog_pop", "geog_label"]
+    return labelled_zones(rows).select(*keys).distinct().withColumn("geog_order", B.zone_ordinal(F.col("geog")))
+
+
+def category_order(columns: Sequence[str]) -> list[Column | str]:
+    """The order of a table's rows by season, zone, unit and band, of those it has."""
+    places = {
+        "level": "level",
+        "season": B.season_ordinal(F.col("season")),
+        "geog": B.zone_ordinal(F.col("geog")),
+        "province": "province",
+        "fac_type": "fac_type",
+        "adm_code": "adm_code",
+        "adm2_code": "adm2_code",
+        "trav_value": "trav_value",
+        "trav_cat": B.label_ordinal(F.col("trav_cat")),
+        "i": "i",
+    }
+    # names break the ties of what has no place in its category
+    names = [c for c in ("season", "geog", "trav_cat") if c in columns]
+    return [place for c, place in places.items() if c in columns] + names
+
+
 def write_chart_tables(chart: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """One folder per chart, named by the keys that select it."""
-    chart.write.partitionBy(*keys).parquet(path)
+    """One folder per chart, named by the keys that select it; its rows in category order."""
+    rest = [c for c in chart.columns if c not in keys]
+    in_order(chart, *keys, *category_order(rest)).write.partitionBy(*keys).parquet(path)

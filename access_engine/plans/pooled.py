@@ -22,12 +22,12 @@ def pool(results: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def final_frame(pooled: DataFrame) -> DataFrame:
-    """Pooled results with their denominators, written once for everything that follows.
+    """Pooled results with their denominators.
 
-    The pooled rows feed three totals and every summary; without the stored copy each of them
-    would run the raster jobs again.
+    The pooled rows feed three totals and every summary; they are written once, or each of them
+    would run the raster jobs again. The totals are small and join by broadcast where they are.
     """
-    return stored(with_denominators(stored(pooled, "pooled")), "final")
+    return with_denominators(stored(pooled, "pooled"))
 
 
 def complete_rows(final: DataFrame) -> DataFrame:

@@ -29,19 +29,27 @@ def _strict(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
     return spark.read.schema(schema).options(**options)
 
 
+def in_order(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows in one order over all partitions: files written from them, read by name, give it back.
+
+    Rows are dealt out by ranges of the whole order, so a large group goes to several tasks.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_result_tree(
     df: DataFrame, root: str, level: str = "adm2", mode: str = "errorifexists"
 ) -> None:
     """One folder ``<season>/<dataset>_<level>.csv`` per dataset, as a run per raster leaves it.
 
-    All datasets go out in one job; rows are first brought together by dataset, hot datasets split
-    over several files.
+    All datasets go out in one job, each in the order of unit code and band over its files.
     """
     season, fac = F.col("season"), F.col("fac_type")
     file = F.concat(F.lower(season), F.lit("_"), fac, F.lit(f"_{level}.csv"))
-    df.withColumn("folder", season).withColumn("file", file).drop("season", "fac_type").hint(
-        "rebalance", "folder", "file"
-    ).write.mode(mode).option("header", True).partitionBy("folder", "file").csv(root)
+    code = "adm2_code" if level == "adm2" else "adm_code"
+    named = df.withColumn("folder", season).withColumn("file", file).drop("season", "fac_type")
+    ordered = in_order(named, "folder", "file", code, "trav_value")
+    ordered.write.mode(mode).option("header", True).partitionBy("folder", "file").csv(root)
 
 
 def read_results(

@@ -10,6 +10,7 @@ from access_engine.functions import bands as B
 from access_engine.functions import paths as P
 from access_engine.functions.quantiles import group_quantiles
 from access_engine.operators import summary as S
+from access_engine.plans import charts as H
 from access_engine.plans import pooled as N
 from access_engine.sources import results as R
 from access_engine.storage import new_path
@@ -140,18 +141,7 @@ def median_adm_pop(g: OrderGrid) -> DataFrame:
 
 def labelled_zones(g: OrderGrid) -> DataFrame:
     """Rows of normal times with the unit count of their zone written back, and the zone label."""
-    rows = final(g).where(F.col("season") == config.NORMAL)
-    counted = rows.where(F.col("geog").isNotNull()).join(
-        S.units_per_zone(rows), ["geog", "fac_type"]
-    )
-    label = F.concat(
-        F.col("geog"),
-        F.lit("; n="),
-        F.col("geog_count").cast("string"),
-        F.lit(" P:"),
-        B.grouped_digits(F.col("geog_pop")),
-    )
-    return counted.withColumn("geog_label", label)
+    return H.labelled_zones(final(g).where(F.col("season") == config.NORMAL))
 
 
 def zone_labels(g: OrderGrid) -> DataFrame:

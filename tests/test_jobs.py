@@ -103,6 +103,15 @@ def test_classify(spark, classified):
     assert cells.count() == cells.select("season", "fac_type", "row_no", "col_no").distinct().count()
     charts = spark.read.parquet(f"{classified}/charts")
     assert charts.count() == want.count()
+    # files of a dataset, read one after the other by name, hold its rows in the order of code and band
+    for dataset in Path(classified, "results").glob("*/*"):
+        lines = [line.split(",") for file in sorted(dataset.glob("part-*")) for line in file.read_text().splitlines()]
+        head = lines[0]
+        keys = [(r[head.index("adm2_code")], int(r[head.index("trav_value")])) for r in lines if r != head]
+        assert keys == sorted(keys) and len(keys) == len(set(keys)) > 0
+    one = next(Path(classified, "charts").glob("*/*"))
+    shown = [r for file in sorted(one.glob("part-*")) for r in spark.read.parquet(str(file)).select("adm2_code", "trav_value").collect()]
+    assert shown == sorted(shown)
 
 
 def test_classify_row_segments(spark, inputs, classified, tmp_path):
@@ -185,6 +194,13 @@ def test_statistics(spark, inputs, classified, tmp_path):
     got = R.read_csv(spark, f"{tmp_path}/summary", want.schema)
     soft = {c: F.round(c, 6) for c in ("avg_pc_pop", "sd_pc_pop", "q25", "q50", "q75")}
     assert rows_of(got.withColumns(soft), want.columns) == rows_of(want, want.columns)
+    names = "".join(f.read_text() for f in sorted(Path(tmp_path, "summary").glob("part-*"))).splitlines()
+    levels = [line.split(",")[0] for line in names if not line.startswith("level")]
+    assert levels == sorted(levels) and set(levels) == {"nation", "zone", "province", "province_zone"}
+    wanted = QUERIES["zone_labels"](spark, FOLDER).select("geog", "fac_type", "geog_count", "geog_label", "geog_order").distinct()
+    labels = R.read_csv(spark, f"{tmp_path}/ridges/zone_labels", T.StructType.fromDDL(
+        "geog string, fac_type string, geog_count long, geog_pop double, geog_label string, geog_order int"))
+    assert rows_of(labels, wanted.columns) == rows_of(wanted, wanted.columns)
     curves = QUERIES["ridge_density_season"](spark, FOLDER)
     assert spark.read.parquet(f"{tmp_path}/ridges/season").count() == curves.count()
     for level, query in (("nation", "chart_national"), ("zone_seasons", "chart_compare_zone")):
