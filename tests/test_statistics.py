@@ -208,6 +208,21 @@ def test_density_by_hand(spark):
         assert r.density == pytest.approx(want)
 
 
+@pytest.mark.parametrize("bw", [0.0007, 0.02, 0.3, 5.0])
+def test_series_equals_the_exact_sum_of_kernels(spark, bw):
+    """Values at the ends of their boxes, many equal ones, bandwidths below a step of the grid and beyond it."""
+    rng = random.Random(4)
+    values = [rng.random() for _ in range(300)] + [0.0, 1.0, 0.5, bw, 3 * bw] + [0.25] * 50
+    values = [v for v in values if v <= 1]
+    rows = spark.createDataFrame([("g", bw, v) for v in values], "g string, bw double, at double")
+    found = {r.i: r.s for r in D.kernel_sums(rows, ["g"], 65, 0.0, 1.0).collect()}
+    for i in range(65):
+        exact = sum(math.exp(-(((i / 64 - v) / bw) ** 2) / 2) for v in values)
+        assert found.get(i, 0.0) == pytest.approx(exact, abs=1e-11)
+    boxes = {math.floor(v / bw) for v in values}
+    assert len(boxes) <= len(set(values))
+
+
 def test_quantile_lines_ignore_values_outside(spark):
     df = spark.createDataFrame([("p", "a", x) for x in (0.1, 0.3, 0.5, 7.0)], "panel string, band string, v double")
     assert D.quantile_lines(df, ["panel"], "band", "v").first().q50 == pytest.approx(0.3)
