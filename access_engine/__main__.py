@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> None:
             run.add_argument("--level", choices=["adm1", "adm2"], default="adm2")
         if name != "statistics":
             run.add_argument("--layout", choices=["cells", "segments"], default="cells")
+            run.add_argument("--population-grid")
     chosen = vars(parser.parse_args(argv))
     spark = SparkSession.builder.appName("access-engine").getOrCreate()
     getattr(jobs, chosen.pop("run"))(spark, **chosen)

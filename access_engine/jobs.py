@@ -15,10 +15,10 @@ from access_engine import config
 from access_engine.functions import bands as B
 from access_engine.operators import density as D
 from access_engine.operators import summary as S
-from access_engine.operators.grid import Grid, same_srid
+from access_engine.operators.grid import Grid, resample, same_srid
 from access_engine.operators.prefix import running_sums, span_sums
 from access_engine.operators.rings import assemble_features
-from access_engine.operators.segments import segment_zones, to_segments
+from access_engine.operators.segments import segment_zones, to_cells, to_segments
 from access_engine.operators.spans import rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
@@ -53,6 +53,18 @@ def _layer(spark: SparkSession, path: str, kinds: T.StructType, grid: Grid) -> D
     return layer
 
 
+def _population(
+    spark: SparkSession, path: str, layout: str, grid: Grid, own: str | None
+) -> DataFrame:
+    """Population as row segments on ``grid``; ``own`` is the header of a raster on another grid."""
+    people = W.read_population(spark, path, layout)
+    header = W.read_grid(spark, own) if own else grid
+    if header != grid:
+        cells = to_cells(people, "pop") if layout == "segments" else people
+        return to_segments(resample(cells, "pop", header, grid), "pop")
+    return to_segments(people, "pop") if layout == "cells" else people
+
+
 def one_row(layer: DataFrame, code: str) -> DataFrame:
     """Attributes of each unit; features of one unit that disagree on them stop the run."""
 
@@ -87,20 +99,22 @@ def classify(
     out: str,
     level: str = "adm2",
     layout: str = "cells",
+    population_grid: str | None = None,
 ) -> None:
     """Result CSV tree, dissolved features and bar chart tables of every raster.
 
     ``layout`` tells whether rasters and population are stored as ``cells`` or row ``segments``.
-    Cells are turned into segments first, which is the only time they are shuffled.
+    Cells are turned into segments first, which is the only time they are shuffled. A population
+    raster on a grid of its own, whose header ``population_grid`` names, is parted over the cells
+    of ``grid``.
     ``out`` receives ``results/<season>/<dataset>_<level>.csv``, ``features`` and ``charts``.
     """
     header = W.read_grid(spark, grid)
     edges, table, code = _units(spark, units, header, level)
     times = W.read_travel_time(spark, rasters, layout)
-    people = W.read_population(spark, population, layout)
+    people = stored(_population(spark, population, layout, header, population_grid), "segments")
     if layout == "cells":
         times = stored(to_segments(times, "hours", C.DATASET), "segments")
-        people = stored(to_segments(people, "pop"), "segments")
     spans = stored(rasterise(edges, header, [code]), "spans")
     keys = ["season", "fac_type", code, "band"]
     cells = C.banded_segments(times, people, spans, code, C.DATASET)
@@ -132,10 +146,12 @@ def catchments(
     grid: str,
     out: str,
     layout: str = "cells",
+    population_grid: str | None = None,
 ) -> None:
     """Uncovered features and tables: of all catchments together and per facility type.
 
-    ``layout`` tells whether the population is stored as ``cells`` or row ``segments``.
+    ``layout`` tells whether the population is stored as ``cells`` or row ``segments``, and
+    ``population_grid`` names its header where it is not ``grid``.
     ``out`` receives ``uncovered`` (features), ``uncovered_by_facility``, ``coverage`` and
     ``covered_by_facility`` (CSV).
     """
@@ -145,9 +161,7 @@ def catchments(
     unit_spans = stored(
         rasterise(edges.withColumnRenamed("hlcit_code", "id"), header, ["id"]), "unit_spans"
     )
-    people = W.read_population(spark, population, layout)
-    if layout == "cells":
-        people = to_segments(people, "pop")
+    people = _population(spark, population, layout, header, population_grid)
     running = stored(running_sums(people, "pop", header), "running_sums")
     areas = _layer(spark, layer, CATCHMENT, header)
     outlines = V.feature_edges(areas, ["fac_type", "feature"])

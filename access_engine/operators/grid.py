@@ -63,6 +63,50 @@ def align(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFram
     )
 
 
+def _overlap(
+    index: Column, origin: tuple[float, float], size: tuple[float, float], count: int, sign: int
+) -> Column:
+    """Target indexes along one axis that a source cell overlaps, with the share of it in each.
+
+    Positions grow from the origin by ``sign``; ``origin`` and ``size`` are those of source and target.
+    """
+    (own, other), (width, wide) = origin, size
+    low = F.lit(sign * (own - other)) + index.cast("double") * F.lit(width)
+    high = low + F.lit(width)
+    first = F.greatest(F.floor(low / F.lit(wide)), F.lit(0)).cast("int")
+    last = F.least(F.ceil(high / F.lit(wide)) - 1, F.lit(count - 1)).cast("int")
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    def share(place: Column) -> Column:
+        begin, end = place.cast("double") * F.lit(wide), (place + 1).cast("double") * F.lit(wide)
+        return (F.least(high, end) - F.greatest(low, begin)) / F.lit(width)
+
+    return F.transform(places, lambda place: F.struct(place.alias("place"), share(place).alias("share")))
+
+
+def resample(
+    cells: DataFrame, value: str, source: Grid, target: Grid, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Amounts of one raster on the cells of another: ``keys, row_no, col_no`` and ``value``.
+
+    A cell is parted over the target cells by the share of its area in each, which is the product of its shares along
+    both axes, so totals are kept; what lies outside the target leaves. Cells without a value add nothing. Partial sums
+    are built before the shuffle.
+    """
+    same_srid(source, target)
+    across = _overlap(F.col("col_no"), (source.x0, target.x0), (source.dx, target.dx), target.ncols, 1)
+    down = _overlap(F.col("row_no"), (source.y0, target.y0), (source.dy, target.dy), target.nrows, -1)
+    parts = (
+        cells.where(F.col(value).isNotNull())
+        .select(*keys, value, across.alias("across"), F.explode(down).alias("down"))
+        .select(*keys, value, "down", F.explode("across").alias("across"))
+        .where("down.share > 0 AND across.share > 0")
+    )
+    amount = F.col(value) * F.col("across.share") * F.col("down.share")
+    place = [F.col("down.place").alias("row_no"), F.col("across.place").alias("col_no")]
+    return parts.groupBy(*keys, *place).agg(F.sum(amount).alias(value))
+
+
 def same_srid(*layers: Grid | int) -> int:
     """Overlaying layers of different reference systems is an error, not a silent misfit."""
     codes = {layer.srid if isinstance(layer, Grid) else layer for layer in layers}

@@ -63,6 +63,15 @@ def to_segments(
     )
 
 
+def to_cells(segments: DataFrame, value: str, keys: Sequence[str] = (), width: int = STRIP) -> DataFrame:
+    """The cells with a value of row segments."""
+    return (
+        segments.select(*keys, "row_no", "strip", F.posexplode(value).alias("at", value))
+        .where(F.col(value).isNotNull())
+        .select(*keys, "row_no", (F.col("strip") * width + F.col("at")).alias("col_no"), value)
+    )
+
+
 def _unit_pieces(spans: DataFrame, unit: str, width: int) -> DataFrame:
     """Spans cut by strip, with where they start in the segment's array and how long they are."""
     return cut_by_strip(spans, width).select(

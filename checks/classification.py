@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from access_engine.config import STRIP
 from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
-from access_engine.operators.grid import Grid, align
+from access_engine.operators.grid import Grid, align, resample
 from access_engine.operators.prefix import running_sums, span_sums
 from access_engine.operators.segments import segment_zones, to_segments
 from access_engine.operators.spans import overlay_spans, rasterise
@@ -75,6 +75,12 @@ def grid_align_pop(g: OrderGrid) -> DataFrame:
     return O.zonal_stats(align(points, coarse), ["row_no", "col_no"])
 
 
+def grid_resample_pop(g: OrderGrid) -> DataFrame:
+    """Population parted by area over the cells of a grid of another resolution and extent."""
+    other = Grid(-6.0, 497.0, 7.0, 9.0, 70, 60)
+    return resample(g.population, "pop", g.grid, other).withColumn("pop", F.round("pop", 6))
+
+
 def overlay_union_or(g: OrderGrid) -> DataFrame:
     """Full overlay of units and zones: unit cells without a zone and the reverse are kept."""
     units = located(g).select("row_no", "col_no", "id", "pop")
@@ -213,6 +219,7 @@ QUERIES = {
         band_cell_histogram,
         cells_in_lgu,
         grid_align_pop,
+        grid_resample_pop,
         overlay_union_or,
         span_overlay_or,
         strip_span_overlay_or,
@@ -249,6 +256,15 @@ ORACLE = {
         "from fx_cells where floor((490.0::double - y) / 15.0::double) between 0 and 30 "
         "and floor((x - 10.0::double) / 16.0::double) between 0 and 28 group by 1, 2"
     ),
+    "grid_resample_pop": with_views(
+        "select row_no, col_no, round(sum(pop * w * h), 6) as pop from ("
+        "select pop, t.i as col_no, (least(x0 + 4::double, (t.i + 1) * 7::double - 6) - greatest(x0, t.i * 7::double - 6)) / 4::double as w, "
+        "u.i as row_no, (least(y1, 497 - u.i * 9::double) - greatest(y1 - 500::double / nrows, 497 - (u.i + 1) * 9::double)) / (500::double / nrows) as h "
+        "from (select pop, col_no * 4::double as x0, 500::double - f.row_no * (500::double / nrows) as y1, nrows from fx_cells f cross join fx_rows) c "
+        "join (select i::int as i from range(70) r(i)) t on x0 < (t.i + 1) * 7::double - 6 and x0 + 4 > t.i * 7::double - 6 "
+        "join (select i::int as i from range(60) r(i)) u on y1 > 497 - (u.i + 1) * 9::double and y1 - 500::double / nrows < 497 - u.i * 9::double) p "
+        "where w > 0 and h > 0 group by row_no, col_no"
+    ),
     "overlay_union_or": with_views(
         "select season, fac_type, id, band, count(*) as cells, sum(pop) as pop_sum, "
         "cast(id as varchar) || '_' || cast(band as varchar) as dissolve "

@@ -188,6 +188,22 @@ def test_catchments(spark, inputs, tmp_path, layout):
         assert rows_of(back, expected.columns) == rows_of(expected, expected.columns)
 
 
+@pytest.mark.parametrize("layout", ["cells", "segments"])
+def test_population_on_a_grid_of_its_own(spark, tmp_path, layout):
+    """Cells of the population two wide and half as high as those of the run: shares and totals stay."""
+    squares = [feature('{"hlcit_code":"%s","lu_name":"u","sum":50.0}' % u, "Polygon", square_text(x, 10, 5, 10)) for u, x in (("a", 0), ("b", 5))]
+    small_inputs(spark, tmp_path, squares, [feature('{"id":1,"fac_type":"f"}', "Polygon", square_text(3, 10, 1, 10))])
+    W.write_grid(spark, Grid(0.0, 10.0, 2.0, 0.5, 5, 20), f"{tmp_path}/own")
+    people = spark.range(100).selectExpr("int(id / 5) as row_no", "int(id % 5) as col_no", "1D as pop")
+    people = to_segments(people, "pop") if layout == "segments" else people
+    W.write_sorted(people, f"{tmp_path}/people")
+    run("catchments", "--layer", f"{tmp_path}/catchments", "--population", f"{tmp_path}/people", "--units", f"{tmp_path}/units",
+        "--grid", f"{tmp_path}/grid", "--out", f"{tmp_path}/parted", "--layout", layout, "--population-grid", f"{tmp_path}/own")
+    kinds = T.StructType.fromDDL("adm2_code string, coverage string, pop double")
+    rows = {(r.adm2_code, r.coverage): r.pop for r in R.read_csv(spark, f"{tmp_path}/parted/coverage", kinds).collect()}
+    assert rows == {("a", "Covered"): 10.0, ("a", "Uncovered"): 40.0, ("b", "Covered"): 0.0, ("b", "Uncovered"): 50.0}
+
+
 def test_statistics(spark, inputs, classified, tmp_path):
     run("statistics", "--results", f"{classified}/results", "--lookup", f"{inputs}/lookup", "--out", tmp_path)
     want = QUERIES["summary_grouping_sets"](spark, FOLDER)

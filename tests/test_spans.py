@@ -6,7 +6,7 @@ import pytest
 
 from conftest import plan_of
 
-from access_engine.operators.grid import Grid, align, same_srid
+from access_engine.operators.grid import Grid, align, resample, same_srid
 from access_engine.operators.prefix import running_sums, span_sums
 from access_engine.operators.segments import to_segments
 from access_engine.operators.spans import (
@@ -261,3 +261,37 @@ def test_overlapping_features_of_a_layer_are_refused(spark):
             overlay_spans(one, two).collect()
     with pytest.raises(ValueError, match="both layers"):
         overlay_spans(two, two)
+
+
+@pytest.mark.parametrize("target", [
+    Grid(0.0, 20.0, 1.0, 1.0, 30, 20),
+    Grid(-3.0, 24.0, 0.7, 2.3, 60, 15),
+    Grid(-3.0, 24.0, 7.0, 0.3, 6, 100),
+    Grid(4.5, 13.25, 2.0, 2.0, 5, 4),
+])
+def test_resampling_keeps_what_lies_inside(spark, target):
+    rng = random.Random(5)
+    cells = {(r, c): rng.choice([None, 1.0, 3.25]) for r in range(20) for c in range(30)}
+    frame = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row_no int, col_no int, pop double")
+    found = {(r.row_no, r.col_no): r.pop for r in resample(frame, "pop", GRID, target).collect()}
+    wanted = {}
+    for (r, c), v in cells.items():
+        for i in range(target.nrows if v else 0):
+            top = target.y0 - i * target.dy
+            h = min(20.0 - r, top) - max(19.0 - r, top - target.dy)
+            for j in range(target.ncols if h > 1e-9 else 0):
+                left = target.x0 + j * target.dx
+                w = min(c + 1, left + target.dx) - max(c, left)
+                if w > 1e-9:
+                    wanted[i, j] = wanted.get((i, j), 0.0) + v * w * h
+    assert {k: pytest.approx(v) for k, v in wanted.items()} == {k: v for k, v in found.items() if v > 1e-8}
+    if target.x0 < 0:  # the target covers all of the source
+        assert sum(found.values()) == pytest.approx(sum(v for v in cells.values() if v))
+    if target == GRID:
+        assert found == {k: v for k, v in cells.items() if v}
+
+
+def test_resampling_between_reference_systems_is_refused(spark):
+    frame = spark.createDataFrame([(0, 0, 1.0)], "row_no int, col_no int, pop double")
+    with pytest.raises(ValueError):
+        resample(frame, "pop", GRID, Grid(0.0, 20.0, 1.0, 1.0, 30, 20, 4326))
