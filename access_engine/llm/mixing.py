@@ -1,8 +1,10 @@
 """Mixing sources to target weights: whole copies first, then a Pareto order sample of whole documents.
 
 Everything is DataFrame operations. A source whose target is e times its size gives every document floor(e) certain
-copies; one more copy goes to documents in the order of their random odds over their inclusion odds, until the words
-that are still wanted are taken.
+copies. The words that are still wanted are sampled with unequal chances: a document's chance is in proportion to its
+size, and one that would come to 1 or more is certain. Documents are ranked by their random odds over the odds of their
+chance and taken in that order until the words are there. Where a source's order is cut is found on ranges of the rank,
+refined once, so that no task orders more than a sliver of a source; after that every document is decided by itself.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
 MOST = 2.0
 SEED = 11
-#: Order sums are taken over this many ranges of ranks first; single rows are ordered only in the range that is cut.
-RANGES = 1 << 14
+#: The rank is cut into so many ranges, and the one that holds the cut again; single rows are ordered only there.
+RANGES = 1 << 12
 
 
 def words(text: Column) -> Column:
@@ -65,6 +67,58 @@ def _drawn(docs: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def chances(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, per_word) from (source, size, n) and (s, rest): a document's chance is its size times ``per_word``, 1 at most,
+    so that the expected words are ``rest``.
+
+    Sizes are certain, the largest first, as long as their share of what is left then comes to 1. A window holds the
+    different sizes of a source.
+    """
+    counted = histogram.join(wanted.select("s", "rest"), histogram.source.eqNullSafe(F.col("s"))).where("size > 0")
+    whole = F.col("size") * F.col("n")
+    square = (F.col("size").cast("decimal(19,0)") * whole).cast("decimal(38,0)")
+    larger = Window.partitionBy("s").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("s").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("rest") - F.coalesce(F.sum(whole).over(larger), F.lit(0))
+    counted = counted.withColumn("left", left).withColumn("squares", F.sum(square).over(upto).cast("double"))
+    open_ = counted.where(~(F.col("size") * F.col("left") >= F.col("squares")))
+    largest = open_.groupBy("s").agg(F.max_by(F.struct("left", "squares"), "size").alias("m"))
+    return largest.select("s", (F.greatest("m.left", F.lit(0.0)) / F.col("m.squares")).alias("per_word"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds the rank ``q``, random odds over the odds of the chance, and its place ``v`` between 0 and 1."""
+    chance = F.col("size") * F.col("per_word")
+    odds, own = F.col("u") / (1 - F.col("u")), chance / (1 - chance)
+    q = (
+        F.when((F.col("rest") <= 0) | (F.col("size") == 0), float("inf"))
+        .when(F.coalesce(chance >= 1, F.lit(True)), 0.0)  # without an open size all are certain
+        .when(chance <= 0, float("inf"))
+        .otherwise(odds / own)
+    )
+    rows = rows.withColumn("q", q)
+    return rows.withColumn("v", F.when(F.col("q") == float("inf"), 1.0).otherwise(F.col("q") / (1 + F.col("q"))))
+
+
+def _range(level: int) -> Column:
+    """Number of the range of ``v``, and within it that of the finer range."""
+    coarse = F.least(F.floor(F.col("v") * RANGES), F.lit(RANGES - 1))
+    fine = F.least(F.floor((F.col("v") * RANGES - coarse) * RANGES), F.lit(RANGES - 1))
+    return (coarse, fine)[level].cast("int")
+
+
+def _cut(rows: DataFrame, plan: DataFrame, level: int) -> DataFrame:
+    """``plan`` with the range in which a source's words reach what it wants, and the words before that range."""
+    sums = rows.groupBy("s", _range(level).alias("range")).agg(F.sum("size").alias("range_size"))
+    running = Window.partitionBy("s").orderBy("range")
+    sums = sums.withColumn("upto", F.sum("range_size").over(running)).join(plan.select(F.col("s").alias("t"), "rest", "before"), F.col("s").eqNullSafe(F.col("t")))
+    found = sums.where((F.col("rest") > 0) & (F.col("before") + F.col("upto") >= F.col("rest")))
+    start = F.col("before") + F.col("upto") - F.col("range_size")
+    first = found.groupBy(F.col("s").alias("t")).agg(F.min("range").alias(f"cut_{level}"), F.min_by(start, "range").alias("start"))
+    joined = plan.join(first, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+    return joined.withColumn("before", F.coalesce("start", "before")).drop("start")
+
+
 def mixed(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -78,13 +132,13 @@ def mixed(
     The size is the number of words, 0 for a null text. Sources stand in code point order, null last, and take the
     weights in turn; a source without words has target 0. Documents get whole copies only, so a source's words miss its
     target by half a document at most. The draw depends on seed, doc_id and text alone, so reruns agree; repeated
-    rows are drawn alike, and their order among themselves changes nothing. A document without words is drawn like
-    any other.
+    rows are drawn alike, and their order among themselves changes nothing. A document without words is in no sample and
+    has its source's whole copies alone. The number of sources is small: their targets are one window.
     """
-    # Within a source the chance is the same for all, so ranges of the random number are ranges of the rank.
-    drawn = _drawn(docs, seed).withColumn("range", F.floor(F.col("u") * RANGES).cast("int"))
-    sums = stored(drawn.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
-    sizes = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
+    drawn = _drawn(docs, seed)
+    draws = stored(drawn.drop("row"), "draws")
+    histogram = stored(draws.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = stored(targets(sizes, weights, total, most), "targets").select(
         F.col("source").alias("s"),
         "source_size",
@@ -92,37 +146,48 @@ def mixed(
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("expected"),
     )
     wanted = wanted.withColumn("whole", F.floor("expected")).select(
-        "s", "source_size", "target", "whole",
-        (F.col("expected") - F.col("whole")).alias("p"),
-        (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"),
-    )
-    kept = F.struct(*(F.col(f"row.`{c}`") for c in columns or docs.columns)).alias("row")
-    odds, chance = F.col("u") / (1 - F.col("u")), F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p")))
-    sums = sums.join(wanted, sums.source.eqNullSafe(wanted.s)).drop("s")
-    running = Window.partitionBy("source").orderBy("range")
-    sums = sums.withColumn("upto", F.sum("range_size").over(running))
-    cut = (
-        sums.where(F.col("upto") >= F.col("rest"))
-        .groupBy("source")
-        .agg(F.min_by("range", "range").alias("cut"), F.min_by(F.col("upto") - F.col("range_size"), "range").alias("before"))
-        .select(F.col("source").alias("cs"), "cut", "before")
-    )
-    plan = stored(wanted.join(cut, wanted.s.eqNullSafe(cut.cs), "left").drop("cs"), "plan")
-    beyond = F.coalesce(F.col("cut"), F.lit(RANGES))
-    outside = (
-        drawn.join(plan, drawn.source.eqNullSafe(plan.s) & (drawn.range != beyond))
-        .drop("s")
-        .select(kept, "size", "source_size", "target", (F.col("whole") + (F.col("range") < beyond).cast("long")).alias("copies"))
+        "s", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")
     )
-    inside = drawn.join(plan, drawn.source.eqNullSafe(plan.s) & (drawn.range == plan.cut)).drop("s")
-    rank = Window.partitionBy("source").orderBy(odds / chance, "u", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    after = F.col("before") + F.sum("size").over(rank)
+    found = chances(histogram, wanted).withColumnRenamed("s", "t")
+    plan = wanted.join(found, F.col("s").eqNullSafe(F.col("t")), "left").drop("t").withColumn("before", F.lit(0).cast("long"))
+    plan = stored(plan, "plan")
+
+    def ranked(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return _ranked(rows.join(known, rows.source.eqNullSafe(known.s)).drop("source"))
+
+    coarse = stored(_cut(ranked(draws, plan.drop("before")), plan, 0), "plan")
+    inside = ranked(draws, coarse).where(_range(0) == F.col("cut_0"))
+    fine = stored(_cut(inside, coarse, 1), "plan")
+    inside = ranked(draws, fine).where((_range(0) == F.col("cut_0")) & (_range(1) == F.col("cut_1")))
+    order = Window.partitionBy("s").orderBy("q", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    after = F.col("before") + F.sum("size").over(order)
     # The last document is taken if that brings the words nearer to the target.
-    more = (F.col("p") > 0) & (after - F.col("size") < F.col("rest")) & (after - F.col("rest") <= F.col("rest") - (after - F.col("size")))
-    inside = inside.withColumn("more", more).select(
-        kept, "size", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies")
+    more = (after - F.col("size") < F.col("rest")) & (after - F.col("rest") <= F.col("rest") - (after - F.col("size")))
+    alike = inside.withColumn("more", more).groupBy("s", "q", "tie").agg(
+        F.count("*").alias("alike"), F.sum(F.col("more").cast("long")).alias("alike_taken")
     )
-    return outside.union(inside)
+    last = alike.where("alike_taken > 0").groupBy(F.col("s").alias("t")).agg(
+        F.max(F.struct("q", "tie", "alike", "alike_taken")).alias("last")
+    )
+    final = stored(fine.join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "before"), "plan")
+
+    kept = F.struct(*(F.col(f"row.`{c}`") for c in columns or docs.columns)).alias("row")
+    rows = ranked(drawn, final)
+    here = F.struct(_range(0).alias("a"), _range(1).alias("b"))
+    cut = F.struct(F.col("cut_0").alias("a"), F.col("cut_1").alias("b"))
+    point, end = F.struct("q", "tie"), F.struct(F.col("last.q").alias("q"), F.col("last.tie").alias("tie"))
+    equal = F.coalesce(point == end, F.lit(False))
+    taken_too = (here < cut) | ((here == cut) & F.coalesce(point <= end, F.lit(False)))
+    copies = F.col("whole") + F.coalesce(F.col("cut_0").isNotNull() & taken_too, F.lit(False)).cast("long")
+    out = ("size", "source_size", "target")
+    if final.where("last.alike_taken < last.alike").isEmpty():
+        return rows.select(kept, *out, copies.alias("copies"))
+    # Rows that are alike in all that decides, some of which are taken: any of them may be.
+    split = equal & (F.col("last.alike_taken") < F.col("last.alike"))
+    number = F.row_number().over(Window.partitionBy("s").orderBy("tie"))
+    some = rows.where(split).withColumn("number", number)
+    some = some.select(kept, *out, (F.col("whole") + (F.col("number") <= F.col("last.alike_taken")).cast("long")).alias("copies"))
+    return rows.where(~split).select(kept, *out, copies.alias("copies")).unionByName(some)
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -158,10 +223,21 @@ WITH docs AS (
   FROM levels
 ), split AS (
   SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole, target - whole * s AS rest FROM wanted
+), counted AS (
+  SELECT d.source, size, count(*) AS n FROM docs d WHERE size > 0 GROUP BY ALL
+), chances AS (
+  SELECT c.source, size, rest - coalesce(sum(size * n) OVER (PARTITION BY c.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double AS room,
+    (sum(size::hugeint * size * n) OVER (PARTITION BY c.source ORDER BY size))::double AS squares
+  FROM counted c JOIN split ON c.source IS NOT DISTINCT FROM split.source
+), per AS (
+  SELECT source, greatest(max_by(room, size), 0) / max_by(squares, size) AS per_word FROM chances WHERE NOT size * room >= squares GROUP BY source
+), odds AS (
+  SELECT d.*, s, target, whole, rest, size * per_word AS chance,
+    CASE WHEN rest <= 0 OR size = 0 THEN 'inf'::double WHEN coalesce(chance >= 1, true) THEN 0 WHEN chance <= 0 THEN 'inf'::double
+      ELSE (u / (1 - u)) / (chance / (1 - chance)) END AS q
+  FROM docs d JOIN split ON d.source IS NOT DISTINCT FROM split.source LEFT JOIN per ON d.source IS NOT DISTINCT FROM per.source
 ), ranked AS (
-  SELECT d.*, s, target, whole, rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY u, tie ROWS UNBOUNDED PRECEDING) AS upto
-  FROM docs d JOIN split ON d.source IS NOT DISTINCT FROM split.source
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, tie ROWS UNBOUNDED PRECEDING) AS upto FROM odds
 )
 SELECT doc_id, size::bigint AS size, s AS source_size, target, (size * (whole + CASE
     WHEN rest > 0 AND upto - size < rest AND upto - rest <= rest - (upto - size) THEN 1 ELSE 0 END))::bigint AS taken

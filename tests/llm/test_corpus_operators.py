@@ -224,6 +224,38 @@ def test_mix_misses_by_half_a_document(docs):
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in taken)
 
 
+def test_chances_follow_sizes(spark):
+    """Many sources of the same sizes are many draws: how often a size is taken is its chance."""
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 100] + list(range(4, 44, 2))
+    rows = [(r * 100 + k, f"s{r:04d}", "w " * size) for r in range(900) for k, size in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mixed(docs, weights=(1.0,), total=1.5, columns=["doc_id"]).select("row.doc_id", "size", "copies").collect()
+    rest, open_ = 0.5 * sum(sizes), sorted(sizes)
+    while open_ and open_[-1] * rest >= sum(s * s for s in open_):
+        rest -= open_.pop()
+    chance = {s: min(1.0, s * rest / sum(x * x for x in open_)) for s in set(sizes)}
+    assert chance[100] == 1.0 and 0.01 < chance[1] < 0.1
+    taken = defaultdict(list)
+    for r in found:
+        taken[r.size].append(r.copies - 1)
+    for size, copies in taken.items():
+        p, many = chance[size], len(copies)
+        assert set(copies) <= {0, 1}
+        # the sum of the words is fixed, which moves a chance a little besides the noise of the draws
+        assert abs(np.mean(copies) - p) < 0.03 + 4 * math.sqrt(p * (1 - p) / many), (size, p, np.mean(copies))
+    frequent = [np.mean(taken[s]) for s in (2, 10, 20, 34, 100)]
+    assert frequent == sorted(frequent) and frequent[-1] == 1.0
+
+
+def test_alike_rows_are_taken_in_part(spark):
+    """Rows that nothing tells apart: as many of them are taken as the target needs."""
+    rows = [(None, "s", "one two three")] * 1000 + [(k, "t", "x " * (k % 7)) for k in range(50)]
+    found = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1.0, 1.0), total=1.3)
+    words = {r.source: (r.words, r.target, r.most) for r in found.groupBy("row.source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("words"), F.max("target").alias("target"), F.max("size").alias("most")).collect()}
+    assert all(abs(got - target) <= most / 2 for got, target, most in words.values()) and found.count() == 1050
+
+
 # Sharding
 
 
