@@ -116,6 +116,22 @@ key 8f14e45fceea167a5a36dedad4bea254 here
 they won 3-2 and 10-0 at home
 born 1999-12-31 in 90210 town
 id 000123456789 of 2021
+phone me on [phone|0151 222 3344] any day
+tel [phone|0161 496 0753] desk
+my number is [phone|0207 946 0999] .
+fax [phone|(040) 333 2211] office
+call [phone|(089) 1234 567] again
+mobile [phone|0176 1234567] or mail
+the hotline [phone|0800 555 0000] is free
+ring [phone|06131/445566] today
+invoice 20210915-12 was paid
+order 20191224-03 is late
+case 2020-1187 is closed
+between 1200 and 1500 people
+sold 4500 units for 2999 each
+article 4711-22 is sold out
+the sum of 120 450 and 800 points
+in 1998 , 2004 and 2011
 """.strip().splitlines()
 
 
@@ -133,14 +149,14 @@ def _labelled(line: str) -> tuple[list[str], list[int]]:
 
 def _shape(word: str) -> str:
     """Letters as a, digits as 0; runs of letters are one, runs of over four digits are five."""
-    out = re.sub(r"[^\W\d_]+", "a", word[:64])
+    out = re.sub(r"[^\W\d_]+", "a", word)
     out = re.sub(r"[0-9]", "0", out)
     return re.sub(r"0{5,}", "00000", out)
 
 
 def _own(word: str) -> list[str]:
     bare = word.strip(".,;:!?\"'()[]<>")
-    digits = re.sub(r"[^0-9]", "", bare[:64])
+    digits = re.sub(r"[^0-9]", "", bare)
     parts = bare.split(".")
     octets = len(parts) == 4 and all(p[:4].isascii() and p[:4].isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
     return [
@@ -150,7 +166,7 @@ def _own(word: str) -> list[str]:
         f"at={bare.count('@') and (1 + (0 < bare.find('@') < len(bare) - 1))}",
         f"octets={octets}",
         f"card={13 <= len(digits) <= 19 and len(digits) == len(bare) and luhn(digits)}",
-        f"signs={''.join(sorted(set(re.sub(r'[^-+().:/]', '', word[:64]))))}",
+        f"signs={''.join(sorted(set(re.sub(r'[^-+().:/]', '', word))))}",
         f"first={word[:1] if word[:1] in '+(' else ''}",
     ]
 
@@ -160,14 +176,14 @@ _CUES = frozenset("call phone tel mail card visa contact fax mobile host server
 
 def _near(word: str) -> str:
     low = word.strip(".,;:").lower()
-    return low if low in _CUES else ("0" if _DIGIT.search(word[:64]) else "a")
+    return low if low in _CUES else ("0" if _DIGIT.search(word) else "a")
 
 
 def observations(words: list[str]) -> list[list[str]]:
     """Feature names of every word of a stretch."""
     own, near = [_own(w) for w in words], [_near(w) for w in words]
     edge = ["|"] + near + ["|"]
-    sizes = [f"beside={_shape(w.strip('.,;:'))}" if _DIGIT.search(w[:64]) else "" for w in words]
+    sizes = [f"beside={_shape(w.strip('.,;:'))}" if _DIGIT.search(w) else "" for w in words]
     out = []
     for k, names in enumerate(own):
         row = [*names, f"before={edge[k]}", f"after={edge[k + 2]}"]

@@ -97,6 +97,56 @@ def test_field_adds_and_keeps():
     assert pii.all_spans(["order 9890149938096989 in 2019 , page 12"], field)[0][1] == []
 
 
+#: Sentences that the training table does not hold.
+HELD = [
+    "you can phone me on [phone|0171 555 8821] after lunch",
+    "mobile [phone|0912-443-1187] or the desk at [phone|020 7946 0018]",
+    "our fax is [phone|(030) 4455 667] in the old town",
+    "contact [phone|555-201-7788] , room 12",
+    "ring [phone|06221-778899] before 9 in the morning",
+    "tel: [phone|089/1234567] and ask for Ann",
+    "paid with card [card|4111 1111 1111 1111] on 3 May 2021",
+    "send it to [email|j.smith@example.org] by Friday",
+    "the host [ip|10.20.30.40] answered in 35 ms",
+    "call [phone|0800 123 4567] free of charge",
+    "in 2019 we sold 12500 units for 399.99 each",
+    "version 1.2.3 was built on 2020-11-05 at 14:30",
+    "page 315 of 1200 , chapter 7 , section 4.2",
+    "order 20230418-77 was shipped with 3 boxes",
+    "the score was 24-17 after 60 minutes",
+    "population 8,405,837 in 2013 and 8.8 million in 2020",
+    "flight 447 left gate 12 at 18:05",
+    "ISBN 978-3-16-148410-0 has 448 pages",
+    "the room costs 120 to 150 euros a night",
+    "write to her at [email|ann.b@mail.example.net] or reach [phone|(212) 555-0199]",
+]
+
+
+def unseen(line):
+    """Text of a labelled line, and its spans."""
+    words, tags = pii._labelled(line)
+    starts = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+    cuts = [k for k in range(len(words) + 1) if k in (0, len(words)) or tags[k] != tags[k - 1]]
+    spans = [(pii.TAGS[tags[a]], starts[a], starts[b] - 1) for a, b in zip(cuts, cuts[1:], strict=False) if tags[a]]
+    return " ".join(words), spans
+
+
+def test_field_on_unseen_sentences():
+    field, right, wrong, missed = pii.train(), 0, 0, 0
+    for line in HELD:
+        text, wanted = unseen(line)
+        base, every = (set(x) for x in pii.all_spans([text], field)[0])
+        assert base <= every
+        added, open_ = every - base, set(wanted) - base
+        right, wrong, missed = right + len(added & open_), wrong + len(added - open_), missed + len(open_ - added)
+    assert right >= 8 and wrong == 0 and missed <= 1
+
+
+def test_long_words_reach_the_field_whole():
+    """Nothing of a word is cut off: what stands far inside it shapes its features."""
+    assert pii._own("x" * 500 + "-12345") != pii._own("x" * 500) and pii._near("x" * 500 + "7") == "0"
+
+
 def test_viterbi_finds_the_best_path():
     field = pii.train()
     words = "call 555-123-4567 in 2019 now".split()
