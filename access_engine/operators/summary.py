@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from access_engine.config import MONSOON, NON_WALKING, NORMAL
-from access_engine.functions.quantiles import group_quantiles, same_keys
+from access_engine.functions.quantiles import group_quantiles, nested_quantiles, same_keys
 
 BY_BAND = ["season", "fac_type", "trav_cat", "trav_value"]
 # keys in front of BY_BAND, and the total each level's share refers to
@@ -105,19 +105,8 @@ def summarise_all(complete: DataFrame) -> DataFrame:
     whole = F.when(geog, F.col("geog_pop")).when(province, F.col("prov_pop")).otherwise(
         F.col("tot_pop")
     )
-    marked = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("level"),
-                    *[(F.col(k) if k in extra else F.lit(None)).cast("string").alias(k) for k in ("province", "geog")],
-                )
-                for name, (extra, _) in LEVELS.items()
-            ]
-        )
-    )
-    rows = complete.select(marked.alias("l"), *BY_BAND, "pc_pop").select("l.*", *BY_BAND, "pc_pop")
-    quartiles = group_quantiles(rows, ["level", *every], "pc_pop", QUARTILES)
+    extras = {name: extra for name, (extra, _) in LEVELS.items()}
+    quartiles = nested_quantiles(complete, BY_BAND, extras, "pc_pop", QUARTILES)
     stats = (
         stats.withColumn("level", level)
         .alias("m")

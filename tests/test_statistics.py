@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from access_engine import config
 from access_engine.functions import bands as B
 from access_engine.functions import paths as P
-from access_engine.functions.quantiles import group_quantiles
+from access_engine.functions.quantiles import group_quantiles, nested_quantiles
 from access_engine.operators import density as D
 from access_engine.operators import overlay as O
 from access_engine.operators import summary as S
@@ -124,6 +124,25 @@ def pooled(spark):
     return N.final_frame(N.pool(results, zones))
 
 
+def test_nested_quantiles_equal_those_of_each_level(spark):
+    """Null keys, groups of one value, a group with a third of all rows, ranks in any range."""
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), rng.choice(["x", "y", None]), rng.choice([1, 2, None]), rng.choice([None, rng.random(), 0.5])) for _ in range(900)]
+    rows += [("a", "x", 1, rng.random()) for _ in range(450)] + [("c", "x", 1, 0.25), ("c", "y", 2, None)]
+    frame = spark.createDataFrame(rows, "b string, p string, g int, v double").repartition(5)
+    levels = {"all": [], "p": ["p"], "g": ["g"], "both": ["p", "g"]}
+    found = {(r.level, r.b, r.p, r.g): [r[q] for q in PROBS] for r in nested_quantiles(frame, ["b"], levels, "v", PROBS).collect()}
+    wanted = {}
+    for b, p, g, v in rows:
+        for level, keys in levels.items():
+            if v is not None:
+                wanted.setdefault((level, b, p if "p" in keys else None, g if "g" in keys else None), []).append(v)
+    assert found.keys() == wanted.keys()
+    for key, own in wanted.items():
+        assert found[key] == pytest.approx(list(np.quantile(own, list(PROBS.values()))))
+    assert nested_quantiles(frame.limit(0), ["b"], levels, "v", PROBS).count() == 0
+
+
 def test_denominators_count_incomplete_units(spark):
     final = pooled(spark)
     row = final.where("adm2_code = 'u1'").first()
