@@ -226,17 +226,16 @@ def test_two_fattest(spark):
         assert r.a < r.f <= r.b and (r.f & -r.f) == max(k & -k for k in range(r.a + 1, min(r.b, r.a + 80) + 1))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_trie_equals_brute_force(spark, seed):
-    rng = random.Random(seed)
+def test_trie_equals_brute_force(spark):
+    rng = random.Random(1)
     said = [("user", "one two"), ("assistant", "one"), ("user", ""), ("assistant", "one two"), ("", "\t a  b c ")]
     conversations = {}
     for k in range(150):
         base = rng.choice(list(conversations.values()) or [[]])
         turns = base[: rng.randint(0, len(base))] + [rng.choice(said) for _ in range(rng.choice([0, 1, 2, 9]))]
         conversations[k * 7] = turns[:40] or [said[0]]
-    conversations[5000] = [said[k % 2] for k in range(700)]  # long ones, one a prefix of the other
-    conversations[5001] = conversations[5000][:333]
+    conversations[5000] = [said[k % 2] for k in range(300)]  # long ones, one a prefix of the other
+    conversations[5001] = conversations[5000][:133]
     rows = [(c, t, *turn, "x") for c, turns in conversations.items() for t, turn in enumerate(turns)]
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string").repartition(3)
@@ -261,8 +260,7 @@ def test_fat_binary_search_goes_on_where_it_was(spark):
     conversations = defaultdict(list)
     for c, _, role, text in rows:
         conversations[c].append((role, text))
-    for batches in ((1,), (1, 2, 4, 8)):
-        assert nodes_of(trie.prefix_trie(turns, batches)) == plain_trie(conversations)
+    assert nodes_of(trie.prefix_trie(turns, (1, 3, 9))) == plain_trie(conversations)
 
 
 def test_trie_odd_rows(spark):
