@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from access_engine.storage import stored
+
 CELL = ["row_no", "col_no"]
 
 
@@ -21,6 +23,32 @@ def dissolve(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cells.select(*keys, *CELL).distinct()
 
 
+def numbered_categories(df: DataFrame, keys: Sequence[str], number: str = "category") -> DataFrame:
+    """Each different key once with its dense number from 1, in the order of the keys, NULL first.
+
+    Keys are ordered over all tasks by a range partitioning; a number is the place in a range and the keys of the ranges
+    before it. The numbers depend on the set of keys alone, so they are the same in every run.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written out, because counts and places must see the same ranges
+    ordered = stored(
+        df.select(*keys)
+        .distinct()
+        .repartitionByRange(partitions, *keys)
+        .withColumn("part", F.spark_partition_id()),
+        "categories",
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    return (
+        ordered.withColumn("place", place)
+        .join(offsets, "part")
+        .select(*keys, (F.col("before") + F.col("place")).cast("long").alias(number))
+    )
+
+
 def zonal_stats(
     cells: DataFrame,
     keys: Sequence[str | Column],

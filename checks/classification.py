@@ -149,6 +149,16 @@ def overlay_key_dissolve(g: OrderGrid) -> DataFrame:
     )
 
 
+def category_numbers(g: OrderGrid) -> DataFrame:
+    """The overlay reclassed: every (unit, band) as a dense number, with its cells of all rasters."""
+    cells = O.overlay(located(g).select("row_no", "col_no", "id"), g.stack.select("row_no", "col_no", "hours"), "and")
+    banded = O.unstack(cells, "id").withColumn("band", B.band_of(F.col("hours")))
+    zones = banded.groupBy("id", "band").agg(F.count(F.lit(1)).alias("cells"))
+    numbers = O.numbered_categories(zones, ["id", "band"])
+    same = zones["id"].eqNullSafe(numbers["id"]) & zones["band"].eqNullSafe(numbers["band"])
+    return zones.join(numbers, same).select(zones["id"], zones["band"], "cells", "category")
+
+
 def zonal_sum_count(g: OrderGrid) -> DataFrame:
     return O.zonal_stats(located(g), ["id"])
 
@@ -224,6 +234,7 @@ QUERIES = {
         span_overlay_or,
         strip_span_overlay_or,
         overlay_key_dissolve,
+        category_numbers,
         zonal_sum_count,
         prefix_zonal_sum,
         strip_prefix_zonal_sum,
@@ -280,6 +291,11 @@ ORACLE = {
         "join fx_lgu_cell l on l.cell = b.cell join fx_adm2 a on a.id = l.id) t where dissolve is not null "
         "group by season, fac_type, dissolve"
     ),
+    "category_numbers": with_views(
+        "select id, band, count(*) as cells, dense_rank() over (order by id nulls first, band nulls first) as category "
+        "from (select l.id, z.band from fx_lgu_cell l join (select c.cell, b.band from fx_cells c cross join fx_season s cross join fx_fac f "
+        "left join fx_band b on b.cell = c.cell and b.season = s.season and b.fac_type = f.fac_type) z on z.cell = l.cell) t group by id, band"
+    ),
     "zonal_sum_count": with_views(
         "select id, sum(pop) as pop_sum, count(pop) as pop_count from fx_cells c join fx_lgu_cell l on l.cell = c.cell group by id"
     ),

@@ -259,6 +259,19 @@ def test_overlay_kinds(spark):
     assert O.dissolve(twice).count() == 2 and O.dissolve(twice, ["a"]).count() == 2
 
 
+def test_categories_are_numbered_without_gaps(spark):
+    rng = random.Random(2)
+    keys = [(rng.choice([None, "a", "b", "cc"]), rng.choice([None, *range(40)])) for _ in range(500)]
+    frame = spark.createDataFrame([(*k, "x") for k in keys], "code string, band int, part string").repartition(6)
+    order = sorted(set(keys), key=lambda k: tuple((v is not None, v or type(v)()) if v is not None else (False, 0) for v in k))
+    first, again = (
+        {(r.code, r.band): r.number for r in O.numbered_categories(f.drop("part"), ["code", "band"], "number").collect()}
+        for f in (frame, frame.repartition(3))
+    )
+    assert first == again == {k: n for n, k in enumerate(order, 1)}
+    assert O.numbered_categories(frame.limit(0), ["code"]).count() == 0
+
+
 def test_lookup_keeps_unmatched_rows(spark):
     df = spark.createDataFrame([("k1",), ("k2",)], "code string")
     dim = spark.createDataFrame([("k1", "one")], "key string, name string")
