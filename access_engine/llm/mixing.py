@@ -4,7 +4,7 @@ Everything is DataFrame operations. A source whose target is e times its size gi
 copies. The words that are still wanted are sampled with unequal chances: a document's chance is in proportion to its
 size, and one that would come to 1 or more is certain. Documents are ranked by their random odds over the odds of their
 chance and taken in that order until the words are there. Where a source's order is cut is found on ranges of the rank,
-refined once, so that no task orders more than a sliver of a source; after that every document is decided by itself.
+refined twice, so that no task orders more than a sliver of a source; after that every document is decided by itself.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
 MOST = 2.0
 SEED = 11
-#: The rank is cut into so many ranges, and the one that holds the cut again; single rows are ordered only there.
-RANGES = 1 << 12
+#: The rank is cut into so many ranges, the one that holds the cut again, and so on; single rows are ordered only in the
+#: last of these, one of 2^24.
+RANGES = 1 << 8
+LEVELS = 3
 
 
 def words(text: Column) -> Column:
@@ -101,22 +103,22 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def _range(level: int) -> Column:
-    """Number of the range of ``v``, and within it that of the finer range."""
-    coarse = F.least(F.floor(F.col("v") * RANGES), F.lit(RANGES - 1))
-    fine = F.least(F.floor((F.col("v") * RANGES - coarse) * RANGES), F.lit(RANGES - 1))
-    return (coarse, fine)[level].cast("int")
+    """Number of the range of ``v``, ranges of all levels before it included."""
+    finest = F.least(F.floor(F.col("v") * RANGES**LEVELS), F.lit(RANGES**LEVELS - 1))
+    return F.floor(finest / RANGES ** (LEVELS - 1 - level))
 
 
 def _cut(rows: DataFrame, plan: DataFrame, level: int) -> DataFrame:
     """``plan`` with the range in which a source's words reach what it wants, and the words before that range."""
     sums = rows.groupBy("s", _range(level).alias("range")).agg(F.sum("size").alias("range_size"))
-    running = Window.partitionBy("s").orderBy("range")
-    sums = sums.withColumn("upto", F.sum("range_size").over(running)).join(plan.select(F.col("s").alias("t"), "rest", "before"), F.col("s").eqNullSafe(F.col("t")))
+    running = Window.partitionBy("s").orderBy("range")  # RANGES rows a source
+    sums = sums.withColumn("upto", F.sum("range_size").over(running))
+    sums = sums.join(plan.select(F.col("s").alias("t"), "rest", "before"), F.col("s").eqNullSafe(F.col("t")))
     found = sums.where((F.col("rest") > 0) & (F.col("before") + F.col("upto") >= F.col("rest")))
     start = F.col("before") + F.col("upto") - F.col("range_size")
-    first = found.groupBy(F.col("s").alias("t")).agg(F.min("range").alias(f"cut_{level}"), F.min_by(start, "range").alias("start"))
-    joined = plan.join(first, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
-    return joined.withColumn("before", F.coalesce("start", "before")).drop("start")
+    first = found.groupBy(F.col("s").alias("t")).agg(F.min("range").alias("cut"), F.min_by(start, "range").alias("start"))
+    joined = plan.drop("cut").join(first, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+    return stored(joined.withColumn("before", F.coalesce("start", "before")).drop("start"), "plan")
 
 
 def mixed(
@@ -155,10 +157,10 @@ def mixed(
     def ranked(rows: DataFrame, known: DataFrame) -> DataFrame:
         return _ranked(rows.join(known, rows.source.eqNullSafe(known.s)).drop("source"))
 
-    coarse = stored(_cut(ranked(draws, plan.drop("before")), plan, 0), "plan")
-    inside = ranked(draws, coarse).where(_range(0) == F.col("cut_0"))
-    fine = stored(_cut(inside, coarse, 1), "plan")
-    inside = ranked(draws, fine).where((_range(0) == F.col("cut_0")) & (_range(1) == F.col("cut_1")))
+    plan = _cut(ranked(draws, plan.drop("before")), plan, 0)
+    for level in range(1, LEVELS):
+        plan = _cut(ranked(draws, plan.drop("before")).where(_range(level - 1) == F.col("cut")), plan, level)
+    inside = ranked(draws, plan).where(_range(LEVELS - 1) == F.col("cut"))
     order = Window.partitionBy("s").orderBy("q", "tie").rowsBetween(Window.unboundedPreceding, 0)
     after = F.col("before") + F.sum("size").over(order)
     # The last document is taken if that brings the words nearer to the target.
@@ -169,16 +171,15 @@ def mixed(
     last = alike.where("alike_taken > 0").groupBy(F.col("s").alias("t")).agg(
         F.max(F.struct("q", "tie", "alike", "alike_taken")).alias("last")
     )
-    final = stored(fine.join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "before"), "plan")
+    final = stored(plan.join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "before"), "plan")
 
     kept = F.struct(*(F.col(f"row.`{c}`") for c in columns or docs.columns)).alias("row")
     rows = ranked(drawn, final)
-    here = F.struct(_range(0).alias("a"), _range(1).alias("b"))
-    cut = F.struct(F.col("cut_0").alias("a"), F.col("cut_1").alias("b"))
     point, end = F.struct("q", "tie"), F.struct(F.col("last.q").alias("q"), F.col("last.tie").alias("tie"))
     equal = F.coalesce(point == end, F.lit(False))
-    taken_too = (here < cut) | ((here == cut) & F.coalesce(point <= end, F.lit(False)))
-    copies = F.col("whole") + F.coalesce(F.col("cut_0").isNotNull() & taken_too, F.lit(False)).cast("long")
+    here = _range(LEVELS - 1)
+    taken_too = (here < F.col("cut")) | ((here == F.col("cut")) & F.coalesce(point <= end, F.lit(False)))
+    copies = F.col("whole") + F.coalesce(taken_too, F.lit(False)).cast("long")
     out = ("size", "source_size", "target")
     if final.where("last.alike_taken < last.alike").isEmpty():
         return rows.select(kept, *out, copies.alias("copies"))
