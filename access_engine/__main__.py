@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
         if name != "statistics":
             run.add_argument("--layout", choices=["cells", "segments"], default="cells")
             run.add_argument("--population-grid")
+            run.add_argument("--update", action="store_true", help="compute only what changed since the run in --out")
     chosen = vars(parser.parse_args(argv))
     spark = SparkSession.builder.appName("access-engine").getOrCreate()
     getattr(jobs, chosen.pop("run"))(spark, **chosen)

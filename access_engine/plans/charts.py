@@ -191,7 +191,10 @@ def category_order(columns: Sequence[str]) -> list[Column | str]:
     return [place for c, place in places.items() if c in columns] + names
 
 
-def write_chart_tables(chart: DataFrame, path: str, keys: Sequence[str]) -> None:
+def write_chart_tables(
+    chart: DataFrame, path: str, keys: Sequence[str], mode: str = "errorifexists"
+) -> None:
     """One folder per chart, named by the keys that select it; its rows in category order."""
     rest = [c for c in chart.columns if c not in keys]
-    in_order(chart, *keys, *category_order(rest)).write.partitionBy(*keys).parquet(path)
+    ordered = in_order(chart, *keys, *category_order(rest))
+    ordered.write.mode(mode).partitionBy(*keys).parquet(path)

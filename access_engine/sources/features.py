@@ -11,8 +11,18 @@ from pyspark.sql import types as T
 _POLYGON = "array<array<array<double>>>"
 
 
-def write_geojson(features: DataFrame, path: str, properties: Sequence[str], srid: int) -> None:
-    """One feature per line; ``geometry`` is GeoJSON text, the named columns are properties."""
+def write_geojson(
+    features: DataFrame,
+    path: str,
+    properties: Sequence[str],
+    srid: int,
+    partition_by: Sequence[str] = (),
+    mode: str = "errorifexists",
+) -> None:
+    """One feature per line; ``geometry`` is GeoJSON text, the named columns are properties.
+
+    With ``partition_by`` one folder per group; the features keep these columns as properties.
+    """
     line = F.concat(
         F.lit('{"type":"Feature","srid":'),
         F.lit(srid).cast("string"),
@@ -22,10 +32,13 @@ def write_geojson(features: DataFrame, path: str, properties: Sequence[str], sri
         F.col("geometry"),
         F.lit("}"),
     )
-    features.select(line.alias("value")).write.text(path)
+    lines = features.select(*partition_by, line.alias("value"))
+    lines.write.mode(mode).partitionBy(*partition_by).text(path)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
+def read_geojson(
+    spark: SparkSession, path: str | Sequence[str], properties: T.StructType
+) -> DataFrame:
     """Features with their properties as columns, ``srid``, ``feature`` and ``coordinates``.
 
     ``Polygon`` and ``MultiPolygon`` come out alike, as nested MultiPolygon coordinates; any other
@@ -39,7 +52,7 @@ def read_geojson(spark: SparkSession, path: str, properties: T.StructType) -> Da
             T.StructField("geometry", T.StringType()),
         ]
     )
-    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(path if isinstance(path, str) else list(path))
     kind = F.get_json_object("geometry", "$.type")
     shape = F.get_json_object("geometry", "$.coordinates")
     strict = {"mode": "FAILFAST"}

@@ -30,9 +30,14 @@ def write_grid(spark: SparkSession, grid: Grid, path: str) -> None:
     spark.createDataFrame([tuple(vars(grid).values())], GRID).write.json(path)
 
 
-def read_travel_time(spark: SparkSession, path: str, layout: str = "cells") -> DataFrame:
-    """All travel-time rasters, partitioned by season and facility type."""
-    return spark.read.schema(TRAVEL_TIME[layout]).parquet(path)
+def read_travel_time(
+    spark: SparkSession, path: str, layout: str = "cells", folders: Sequence[str] | None = None
+) -> DataFrame:
+    """All travel-time rasters, partitioned by season and facility type, or those in ``folders`` below ``path``."""
+    reader = spark.read.schema(TRAVEL_TIME[layout])
+    if folders is None:
+        return reader.parquet(path)
+    return reader.option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
 
 
 def read_population(spark: SparkSession, path: str, layout: str = "cells") -> DataFrame:

@@ -14,9 +14,11 @@ from access_engine.functions import paths as P
 from access_engine.storage import qualified
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_csv(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
+) -> None:
     """Table as CSV with header; with ``partition_by`` one folder per group."""
-    df.write.option("header", True).partitionBy(*partition_by).csv(path)
+    df.write.mode(mode).option("header", True).partitionBy(*partition_by).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -37,6 +39,13 @@ def in_order(df: DataFrame, *order: str | Column) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def result_folders(datasets: DataFrame, level: str = "adm2") -> DataFrame:
+    """``season, fac_type`` -> ``folder, file`` of the dataset in a result tree, other columns kept."""
+    season, fac = F.col("season"), F.col("fac_type")
+    file = F.concat(F.lower(season), F.lit("_"), fac, F.lit(f"_{level}.csv"))
+    return datasets.withColumn("folder", season).withColumn("file", file).drop("season", "fac_type")
+
+
 def write_result_tree(
     df: DataFrame, root: str, level: str = "adm2", mode: str = "errorifexists"
 ) -> None:
@@ -44,11 +53,8 @@ def write_result_tree(
 
     All datasets go out in one job, each in the order of unit code and band over its files.
     """
-    season, fac = F.col("season"), F.col("fac_type")
-    file = F.concat(F.lower(season), F.lit("_"), fac, F.lit(f"_{level}.csv"))
     code = "adm2_code" if level == "adm2" else "adm_code"
-    named = df.withColumn("folder", season).withColumn("file", file).drop("season", "fac_type")
-    ordered = in_order(named, "folder", "file", code, "trav_value")
+    ordered = in_order(result_folders(df, level), "folder", "file", code, "trav_value")
     ordered.write.mode(mode).option("header", True).partitionBy("folder", "file").csv(root)
 
 

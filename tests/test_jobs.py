@@ -1,5 +1,7 @@
 """The runs from files to files give what the registered queries give."""
 
+import os
+import shutil
 from pathlib import Path
 
 import pytest
@@ -8,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from access_engine import __main__ as cli
-from access_engine import config
+from access_engine import config, jobs
 from access_engine.operators import boundary as S
 from access_engine.operators.grid import Grid
 from access_engine.operators.overlay import name_layers, unstack
 from access_engine.operators.segments import segment_cells, to_segments
 from access_engine.operators.spans import burn, rasterise
 from access_engine.sources import features as V
+from access_engine.sources import manifest as M
 from access_engine.sources import rasters as W
 from access_engine.sources import results as R
 from access_engine.storage import shared_folder
@@ -373,3 +376,135 @@ def test_results_by_name(spark, tmp_path):
     }.items():
         with pytest.raises(Exception, match="unlike it|bad trav_value"):
             tree(name, nm_dhq_adm2=text).collect()
+
+
+def spoil(folder):
+    """Fill the data files of ``folder`` with zeros, length and time of change as before: whoever opens one fails."""
+    for file in [f for f in Path(folder).rglob("part-*") if not f.name.endswith(".crc")]:
+        state = file.stat()
+        file.write_bytes(bytes(state.st_size))
+        os.utime(file, ns=(state.st_atime_ns, state.st_mtime_ns))
+        checksum = file.with_name(f".{file.name}.crc")
+        if checksum.exists():
+            checksum.unlink()
+
+
+def written(out):
+    return {str(f.relative_to(out)): f.stat().st_mtime_ns for f in Path(out).rglob("part-*") if "manifest" not in f.parts}
+
+
+def test_classify_update(spark, inputs, tmp_path):
+    """A raster changed, one came and one went: only these are read and only their results are written."""
+    rasters, out = tmp_path / "rasters", tmp_path / "out"
+    long = W.read_travel_time(spark, f"{inputs}/rasters").where("season in ('NM', 'MSN') and fac_type in ('dhq', 'banks')")
+    W.write_sorted(long, str(rasters), ["season", "fac_type"])
+    words = ["classify", "--rasters", rasters, "--population", f"{inputs}/population", "--units", f"{inputs}/units",
+             "--grid", f"{inputs}/grid", "--out", out]
+    datasets = sorted(tuple(r) for r in long.select("season", "fac_type").distinct().collect())
+    assert len(datasets) == 4
+    run(*words)
+    first = written(out)
+    with pytest.raises(FileExistsError):
+        run(*words)
+    run(*words, "--update")
+    assert written(out) == first  # nothing changed, nothing written
+
+    stays, changes, goes, _ = ("season=%s/fac_type=%s" % d for d in datasets)
+    later = W.read_travel_time(spark, f"{inputs}/rasters").where("season = 'NM' and fac_type = 'dhq'").selectExpr(
+        "row_no", "col_no", "hours / 2 as hours")
+    later.write.mode("overwrite").parquet(str(rasters / changes))
+    later.write.parquet(str(rasters / "season=MSN/fac_type=new+one"))
+    shutil.rmtree(rasters / goes)
+    want = tmp_path / "want"
+    run(*words[:-1], want)
+    for folder in ("season=%s/fac_type=%s" % datasets[0], "season=%s/fac_type=%s" % datasets[3]):
+        spoil(rasters / folder)
+    run(*words, "--update")
+    kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("season", "fac_type", "dissolve", "cat_pop")])
+    for read in (lambda o: R.read_results(spark, f"{o}/results"), lambda o: spark.read.parquet(f"{o}/charts"),
+                 lambda o: V.read_geojson(spark, f"{o}/features", kinds).drop("feature", "coordinates")):
+        mine, theirs = read(out), read(want)
+        assert rows_of(mine, sorted(mine.columns)) == rows_of(theirs, sorted(mine.columns))
+    now = written(out)
+    kept = {f: t for f, t in first.items() if f in now}
+    assert kept and all(now[f] == t for f, t in kept.items())
+    assert len([f for f in kept if f.startswith("charts")]) >= 2
+    assert {r.fac_type for r in R.read_results(spark, f"{out}/results").collect()} >= {"new+one"}
+
+
+def test_update_after_a_run_that_was_broken_off(spark, inputs, tmp_path, monkeypatch):
+    """Results half written, then a run to the end: as if nothing had happened."""
+    rasters, out = tmp_path / "rasters", tmp_path / "out"
+    long = W.read_travel_time(spark, f"{inputs}/rasters").where("season = 'NM' and fac_type in ('dhq', 'banks')")
+    W.write_sorted(long, str(rasters), ["season", "fac_type"])
+    words = ["classify", "--rasters", rasters, "--population", f"{inputs}/population", "--units", f"{inputs}/units",
+             "--grid", f"{inputs}/grid", "--out", out]
+    run(*words)
+    want = rows_of(R.read_results(spark, f"{out}/results"), [*config.LGU_RESULT.names, "season", "fac_type"])
+    long.where("fac_type = 'dhq'").drop("season", "fac_type").write.mode("overwrite").parquet(
+        str(rasters / "season=NM/fac_type=dhq"))
+
+    def breaks(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs.H, "write_chart_tables", breaks)
+        with pytest.raises(RuntimeError, match="lost"):
+            run(*words, "--update")
+    names = [r.dataset for r in M.last(spark, str(out)).where("role = 'rasters'").select("dataset").distinct().collect()]
+    assert names == [["NM", "banks"]]
+    run(*words, "--update")
+    assert rows_of(R.read_results(spark, f"{out}/results"), [*config.LGU_RESULT.names, "season", "fac_type"]) == want
+    assert spark.read.parquet(f"{out}/charts").count() == len(want)
+
+
+def test_update_when_a_shared_input_changed(spark, inputs, tmp_path):
+    rasters, people, out = tmp_path / "rasters", tmp_path / "people", tmp_path / "out"
+    W.write_sorted(W.read_travel_time(spark, f"{inputs}/rasters").where("season = 'NM' and fac_type = 'dhq'"),
+                   str(rasters), ["season", "fac_type"])
+    W.write_sorted(W.read_population(spark, f"{inputs}/population"), str(people))
+    words = ["classify", "--rasters", rasters, "--population", people, "--units", f"{inputs}/units",
+             "--grid", f"{inputs}/grid", "--out", out]
+    run(*words)
+    total = R.read_results(spark, f"{out}/results").agg(F.sum("cat_pop")).first()[0]
+    W.read_population(spark, f"{inputs}/population").withColumn("pop", F.col("pop") * 2).write.mode("overwrite").parquet(str(people))
+    run(*words, "--update")
+    assert R.read_results(spark, f"{out}/results").agg(F.sum("cat_pop")).first()[0] == pytest.approx(2 * total)
+    with pytest.raises(ValueError, match="another run"):
+        run(*words[:-1], out, "--level", "adm1", "--update")
+
+
+def test_catchments_update(spark, tmp_path):
+    """Files of facility types, one of which holds two, come, change and go."""
+    square = lambda kind, x, w: feature('{"id":1,"fac_type":"%s"}' % kind, "Polygon", square_text(x, 10, w, 10))
+    layer = tmp_path / "catchments"
+    small_inputs(spark, tmp_path, [feature(UNIT, "Polygon", square_text(0, 10, 10, 10))], [square("a", 0, 2), square("b", 1, 3)])
+    words = ["catchments", "--layer", layer, "--population", f"{tmp_path}/population", "--units", f"{tmp_path}/units",
+             "--grid", f"{tmp_path}/grid", "--out", tmp_path / "out", "--update"]
+
+    def state():
+        free = R.read_csv(spark, f"{tmp_path}/out/uncovered_by_facility", T.StructType.fromDDL(
+            "a_hlcit_code string, adm_pop double, catch_pop_sum double, pc_uncov double, fac_type string"))
+        held = R.read_csv(spark, f"{tmp_path}/out/covered_by_facility", T.StructType.fromDDL(
+            "adm2_code string, covered_pop double, fac_type string"))
+        every = spark.read.option("header", True).csv(f"{tmp_path}/out/coverage").where("coverage = 'Uncovered'").first()
+        return ({r.fac_type: r.catch_pop_sum for r in free.collect()},
+                {r.fac_type: r.covered_pop for r in held.collect()}, float(every["pop"]))
+
+    assert state() == ({"a": 80.0, "b": 70.0}, {"a": 20.0, "b": 30.0}, 60.0)
+    first = written(tmp_path / "out")
+    run(*words)
+    assert written(tmp_path / "out") == first
+    (layer / "more.json").write_text(square("c", 8, 2) + "\n" + square("b", 4, 1))
+    run(*words)
+    assert state() == ({"a": 80.0, "b": 60.0, "c": 80.0}, {"a": 20.0, "b": 40.0, "c": 20.0}, 30.0)
+    same = [f for f, t in written(tmp_path / "out").items() if first.get(f) == t]
+    assert {f.split("/")[0] for f in same if "fac_type=a" in f} == {"covered", "uncovered_by_facility", "covered_by_facility"}
+    assert not [f for f in same if "fac_type=b" in f]
+    (layer / "part.json").unlink()
+    run(*words)
+    assert state() == ({"b": 90.0, "c": 80.0}, {"b": 10.0, "c": 20.0}, 70.0)
+    (layer / "more.json").unlink()
+    (layer / "none [1].json").write_text("")
+    run(*words)
+    assert state() == ({}, {}, 100.0)
