@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from access_engine.llm.text import WORD, mix, powers, text_blocks
+from access_engine.llm.text import WORD, crc32_sql, mix, powers, text_blocks
 
 #: A run has at least this many words, and at least this many periods.
 LEAST = 6
@@ -190,6 +190,41 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
+# Stretches of words that equal the word q places on, for every q; those that lie in one of a smaller period are none.
+SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words, len(words) AS n,
+    {crc32_sql("doc_id::varchar")} AS h, h // 10 AS g
+  FROM documents
+), places AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM docs
+), word AS (
+  SELECT r, n, i, words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM places)
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // {TIMES}
+), stretches AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island
+), long AS (
+  SELECT * FROM stretches WHERE l >= greatest({LEAST}, {TIMES} * q)
+), runs AS (
+  SELECT * FROM long a WHERE NOT EXISTS (SELECT 1 FROM long b WHERE b.r = a.r AND b.q < a.q AND b.s <= a.s AND b.s + b.l >= a.s + a.l)
+), listed AS (
+  SELECT r, count(*) AS n_runs, list({{'s': s, 'l': l, 'q': q}} ORDER BY l DESC, s, q)[1] AS best,
+    string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY r
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, best.s::bigint AS start, best.l::bigint AS length, best.q::bigint AS period,
+  (1000 * best.l // best.q)::bigint AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     return digests(periodic_runs(planted(docs)))

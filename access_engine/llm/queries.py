@@ -19,4 +19,12 @@ QUERIES = {
     "op12_licenses": licenses.query,
     "op13_trie": trie.query,
 }
-ORACLE = {"op3_chat": chat.SQL, "op5_search": search.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
+ORACLE = {
+    "op3_chat": chat.SQL,
+    "op5_search": search.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op7_mixing": mixing.SQL,
+    "op10_repeats": repeats.SQL,
+    "op11_periods": periods.SQL,
+    "op13_trie": trie.SQL,
+}

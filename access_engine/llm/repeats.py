@@ -425,6 +425,36 @@ def without_repeats(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     )
 
 
+# Hashes of 2, 4, 8, 16, 80 and 400 bytes from those of the strings they consist of, for every place.
+SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), bytes AS (
+  SELECT r, unnest(regexp_extract_all(hex(b), '..')) AS h1, unnest(range(octet_length(b))) AS i FROM docs
+), h2 AS (SELECT r, i, h1, md5(h1 || lead(h1, 1) OVER w) AS h2 FROM bytes WINDOW w AS (PARTITION BY r ORDER BY i)
+), h4 AS (SELECT r, i, h1, md5(h2 || lead(h2, 2) OVER w) AS h4 FROM h2 WINDOW w AS (PARTITION BY r ORDER BY i)
+), h8 AS (SELECT r, i, h1, md5(h4 || lead(h4, 4) OVER w) AS h8 FROM h4 WINDOW w AS (PARTITION BY r ORDER BY i)
+), h16 AS (SELECT r, i, h1, md5(h8 || lead(h8, 8) OVER w) AS h16 FROM h8 WINDOW w AS (PARTITION BY r ORDER BY i)
+), h80 AS (SELECT r, i, h1, md5(h16 || lead(h16, 16) OVER w || lead(h16, 32) OVER w || lead(h16, 48) OVER w || lead(h16, 64) OVER w) AS h80
+  FROM h16 WINDOW w AS (PARTITION BY r ORDER BY i)
+), h400 AS (SELECT r, i, h1, md5(h80 || lead(h80, 80) OVER w || lead(h80, 160) OVER w || lead(h80, 240) OVER w || lead(h80, 320) OVER w) AS h400
+  FROM h80 WINDOW w AS (PARTITION BY r ORDER BY i)
+), starts AS (
+  SELECT r, i, h1, h400 IS NOT NULL AND count(*) OVER (PARTITION BY h400) > 1 AS again FROM h400
+), covered AS (
+  SELECT r, i, h1, max(again::int) OVER (PARTITION BY r ORDER BY i ROWS 399 PRECEDING) AS gone FROM starts
+), edges AS (
+  SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), 0) = 0 AS opens FROM covered
+), sums AS (
+  SELECT r, sum(gone) AS n, count_if(opens) AS spans, sha256(unhex(coalesce(string_agg(h1, '' ORDER BY i) FILTER (gone = 0), ''))) AS kept
+  FROM edges GROUP BY r
+)
+SELECT doc_id, octet_length(b)::bigint AS n_bytes, coalesce(n, 0)::bigint AS n_removed, coalesce(spans, 0)::bigint AS n_spans,
+  coalesce(kept, sha256(''::blob)) AS kept_sha256, coalesce(n, 0) > 0 AS has_repeat
+FROM docs LEFT JOIN sums USING (r)
+"""
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{folder}/documents.parquet"), keep_first=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from access_engine.llm.text import WORD
+from access_engine.llm.text import WORD, crc32_sql
 from access_engine.storage import drop, store, stored
 
 #: Parts of all conversations that are in the trie after each batch, of as many parts as after the last.
@@ -307,5 +307,45 @@ def grafted(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.concat(F.slice(F.coalesce("head", none), F.lit(1), F.col("h")), own).alias("turns"))
 
 
+# A node's name is the string of the digests of its turns, 64 characters a turn.
+SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || coalesce(text, ''))) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, n, conv_id - (conv_id % 20 + 20) % 20 AS base, {crc32_sql("conv_id::varchar")} % 4 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id)
+), heads AS (
+  SELECT i.*, coalesce(least(h, b.n), 0) AS taken FROM ids i LEFT JOIN (SELECT conv_id AS base, n FROM ids) b USING (base)
+), rebuilt AS (
+  SELECT i.conv_id, t.d, role, text FROM heads i JOIN turns t ON t.conv_id = i.base AND t.d <= i.h
+  UNION ALL
+  SELECT i.conv_id, taken + t.d - h AS d, role, text FROM heads i JOIN turns t ON t.conv_id = i.conv_id AND t.d > i.h
+), members AS (
+  SELECT conv_id, d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path,
+    len(regexp_extract_all(text, '{WORD}')) AS words
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words FROM members GROUP BY path
+), children AS (
+  SELECT path[:-65] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)
+), above AS (
+  SELECT path[:64 * unnest(range(depth + 1))] AS path, n_children = 0 AS leaf, (n_convs - 1) * words AS saved FROM known
+), sums AS (
+  SELECT path, count_if(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path
+), ends AS (
+  SELECT path, string_agg(conv_id::varchar, ',' ORDER BY conv_id) AS ends
+  FROM (SELECT conv_id, arg_max(path, d) AS path FROM members GROUP BY conv_id) GROUP BY path
+)
+SELECT k.conv_id, k.depth::bigint AS depth, p.conv_id AS parent_conv_id, k.n_convs::bigint AS n_convs, k.n_children::bigint AS n_children,
+  n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM known k JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON k.depth > 0 AND p.path = k.path[:-65]
+"""
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(grafted(gathered(spark.read.parquet(f"{folder}/conversations.parquet"))))
