@@ -24,6 +24,7 @@ ORACLE = {
     "op5_search": search.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_sharding": sharding.SQL,
     "op10_repeats": repeats.SQL,
     "op11_periods": periods.SQL,
     "op13_trie": trie.SQL,

@@ -17,7 +17,7 @@ LOWER[65:91] += 32
 
 
 def crc32_sql(text: str) -> str:
-    """The CRC-32 of a short text in DuckDB's SQL: each byte is added and then shifted out, bit by bit."""
+    """The CRC-32 of a text in DuckDB's SQL: each byte is added and then shifted out, bit by bit."""
     steps = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: [('0x' || b)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
     step = "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
     return f"xor(list_reduce(list_concat([4294967295::bigint], {steps}), {step}), 4294967295)"

@@ -279,6 +279,17 @@ def test_sharding_splits_one_hot_text(spark):
     assert len(sizes) == 16 and sizes.max() - sizes.min() <= 20
 
 
+@pytest.mark.parametrize("ranges, most, pieces", [(8, 20, 5), (64, 1, 32), (1, 30, 64)])
+def test_subdivided_ranges_change_nothing(spark, docs, ranges, most, pieces):
+    """Few ranges, all of them or some overfull, one text that is most of the rows, ids that are null or below zero."""
+    hot = spark.range(-150, 150).select(F.when(F.col("id") != 3, F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    rows = docs.select("doc_id", "text").unionByName(hot)
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    plain = sorted(map(tuple, sharding.sharded(rows).select(columns).collect()), key=str)
+    cut = sorted(map(tuple, sharding.sharded(rows, ranges=ranges, most=most, pieces=pieces).select(columns).collect()), key=str)
+    assert cut == plain and len(plain) == 500
+
+
 def test_sharding_odd_rows(odd):
     found = sharding.sharded(odd).collect()
     assert len(found) == 7 and {(r.size, r.text_crc32) for r in found if r.doc_id in (2, 3)} == {(1, 0)}
