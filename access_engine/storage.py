@@ -14,9 +14,17 @@ _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or where it is unset one in the warehouse, which sessions share too."""
+    """The folder of ``spark.checkpoint.dir``, or where it is unset one in the warehouse, which sessions share too.
+
+    A warehouse on the driver's own file system is out of reach of a cluster's executors and refused there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
+    if folder:
+        return folder.rstrip("/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
+    if not spark.sparkContext.master.startswith("local") and qualified(spark, folder).startswith("file:"):
+        raise RuntimeError(f"spark.checkpoint.dir is unset and executors may not reach {folder}")
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:

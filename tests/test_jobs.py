@@ -508,3 +508,22 @@ def test_catchments_update(spark, tmp_path):
     (layer / "none [1].json").write_text("")
     run(*words)
     assert state() == ({}, {}, 100.0)
+
+
+def test_a_folder_of_the_driver_alone_is_refused(spark):
+    class Session:
+        """The session on another master, with or without a shared folder."""
+
+        def __init__(self, master, folder):
+            self.settings = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": spark.conf.get("spark.sql.warehouse.dir")}
+            self.conf = self
+            context = spark.sparkContext
+            self.sparkContext = type("Context", (), {"master": master, "_jvm": context._jvm, "_jsc": context._jsc})
+
+        def get(self, name, default=None):
+            return self.settings.get(name, default)
+
+    assert shared_folder(Session("spark://somewhere:7077", "hdfs://shared/x/")) == "hdfs://shared/x"
+    assert shared_folder(Session("local[8]", None)).endswith("/_stored")
+    with pytest.raises(RuntimeError, match="executors may not reach"):
+        shared_folder(Session("spark://somewhere:7077", None))
