@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# Band bounds, labels and colours that results must show.
 BAND_CASE = (
     "case when hours < 0 then 0 when hours < cast(0.501 as double) then 1 "
     "when hours < cast(1.01 as double) then 2 when hours < cast(2.01 as double) then 3 "
