@@ -35,6 +35,90 @@ def _first_col_right_of(x: Column, grid: Grid) -> Column:
     return F.least(F.greatest(exact, F.lit(0)), F.lit(grid.ncols)).cast("int")
 
 
+def _first_row_below(y: Column, grid: Grid) -> Column:
+    """How many row centres satisfy ``centre >= y``, clamped to the grid; exact like :func:`_first_col_right_of`."""
+    guess = F.ceil((F.lit(grid.y0) - y) / F.lit(grid.dy) - F.lit(0.5))
+    exact = (
+        F.when(grid.y_centre(guess - 1) < y, guess - 1)
+        .when(grid.y_centre(guess) >= y, guess + 1)
+        .otherwise(guess)
+    )
+    return F.least(F.greatest(exact, F.lit(0)), F.lit(grid.nrows)).cast("int")
+
+
+def _crossing_col(row: Column, grid: Grid) -> Column:
+    """Where an edge ``x1, y1, x2, y2`` crosses the centre line of a raster row."""
+    y = grid.y_centre(row)
+    x = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return _first_col_right_of(x, grid)
+
+
+def crossing_runs(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
+    """:func:`row_crossings` as runs ``keys, r0, r1, col``: an edge crosses rows ``r0 <= row < r1`` at the same column.
+
+    Every operation that leads from a row to its column is monotone, rounding included, so the columns of an edge rise or
+    fall with its rows. The rows where they change are settled by the same expression, so an edge costs no more runs
+    than it has rows or columns, whichever are fewer, and the runs are the crossings to the last bit.
+    """
+    met = (
+        edges.where(F.col("y1") != F.col("y2"))
+        .withColumn("first", _first_row_below(F.greatest("y1", "y2"), grid))
+        .withColumn("past", _first_row_below(F.least("y1", "y2"), grid))
+        .where("first < past")
+        .withColumn("c_first", _crossing_col(F.col("first"), grid))
+        .withColumn("c_last", _crossing_col(F.col("past") - 1, grid))
+    )
+    rows, way = F.col("past") - F.col("first"), F.signum(F.col("c_last") - F.col("c_first")).cast("int")
+    by_col = F.abs(F.col("c_last") - F.col("c_first")) + 1 < rows
+    places = F.when(by_col, F.sequence("c_first", "c_last")).otherwise(F.sequence("first", F.col("past") - 1))
+    k, end = F.col("k"), F.col("k") == F.col("c_last")
+    return (
+        met.withColumn("way", way)
+        .select("*", by_col.alias("by_col"), F.explode(places).alias("k"))
+        .withColumn("r0", F.when(F.col("by_col"), _first_row_at(k, grid)).otherwise(k))
+        .withColumn(
+            "r1",
+            F.when(~F.col("by_col"), k + 1)
+            .when(end, F.col("past"))
+            .otherwise(_first_row_at(k + F.col("way"), grid)),
+        )
+        .where("r0 < r1")
+        .select(*keys, "r0", "r1", _crossing_col(F.col("r0"), grid).alias("col"))
+    )
+
+
+def _first_row_at(col: Column, grid: Grid) -> Column:
+    """First row from ``first`` on whose column is ``col`` or lies beyond it; ``past`` where there is none.
+
+    The inverse of the edge tells the row up to one unless the edge is so steep that rounding counts; what the columns
+    next to it don't bear out is bisected.
+    """
+    first, past, way = F.col("first"), F.col("past"), F.col("way")
+
+    def there(row: Column) -> Column:
+        return (_crossing_col(row, grid) - col) * way >= 0
+
+    border = grid.x_centre(F.when(way > 0, col - 1).otherwise(col))
+    y = F.col("y1") + F.try_divide((border - F.col("x1")) * (F.col("y2") - F.col("y1")), F.col("x2") - F.col("x1"))
+    guess = F.ceil((F.lit(grid.y0) - y) / F.lit(grid.dy) - F.lit(0.5))
+
+    def halve(left: Column, _: Column) -> Column:
+        middle = F.floor((left["low"].cast("long") + left["high"]) / 2).cast("int")
+        more = left["low"] < left["high"]
+        return F.struct(
+            F.when(more & ~there(middle), middle + 1).otherwise(left["low"]).alias("low"),
+            F.when(more & there(middle), middle).otherwise(left["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(past - first + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(first.alias("low"), past.alias("high")), halve, lambda left: left["low"])
+    for near in (1, -1, 0):
+        row = F.least(F.greatest(guess + near, first), past).cast("int")
+        right = ((row == first) | ~there(row - 1)) & ((row == past) | there(row))
+        found = F.when(right, row).otherwise(found)
+    return found
+
+
 def row_crossings(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
     """Where polygon edges ``x1, y1, x2, y2`` cross the centre lines of raster rows.
 
@@ -54,11 +138,7 @@ def row_crossings(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFram
         .select(
             *keys,
             "row_no",
-            _first_col_right_of(
-                (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1"))
-                + F.col("x1"),
-                grid,
-            ).alias("col"),
+            _crossing_col(F.col("row_no"), grid).alias("col"),
         )
     )
 
@@ -101,6 +181,84 @@ def rasterise(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
     return odd_spans(row_crossings(edges, grid, keys), keys)
 
 
+def rasterise_blocks(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
+    """Closed rings given as edges -> blocks ``keys, r0, r1, c0, c1`` of the cells whose centre lies inside.
+
+    The cells are those of :func:`rasterise`; rows of a feature between which no crossing moves form one block, so a
+    feature on a grid of any height costs what its outline crosses, columns or rows. Features are parted into at most 64
+    heights of the grid; a window holds one feature in one of these.
+    """
+    height = max(64, -(-grid.nrows // 64))
+    part = F.explode(F.sequence(strip_of(F.col("r0"), height), strip_of(F.col("r1") - 1, height)))
+    cut = (
+        crossing_runs(edges, grid, keys)
+        .withColumn("part", part)
+        .withColumn("r0", F.greatest("r0", F.col("part") * height))
+        .withColumn("r1", F.least("r1", (F.col("part") + 1) * height))
+    )
+    own = [*keys, "part"]
+    # where a column begins or ceases to be crossed; equal runs cancel in pairs
+    turns = (
+        cut.select(*own, F.explode(F.array("r0", "r1")).alias("row"), F.col("col").alias("line"))
+        .groupBy(*own, "row", "line")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") % 2 == 1)
+    )
+    numbered = turns.select(
+        *own, "row", "line", F.dense_rank().over(Window.partitionBy(*own).orderBy("row")).alias("nth")
+    )
+    along = Window.partitionBy(*own, "line").orderBy("row")
+    crossed = numbered.select(
+        *own,
+        "line",
+        F.col("nth").alias("first"),
+        F.lead("nth").over(along).alias("past"),
+        F.row_number().over(along).alias("turn"),
+    ).where("turn % 2 = 1")
+    crossed = crossed.select(
+        *own, F.explode(F.sequence("first", F.col("past") - 1)).alias("nth"), F.col("line").alias("col")
+    )
+    # the rows from one turn of a feature to the next, put before the columns that are crossed between them
+    rows = numbered.select(*own, "row", "nth").distinct()
+    rows = rows.select(*own, "nth", "row", F.lead("row").over(Window.partitionBy(*own).orderBy("nth")).alias("until"))
+    none = F.lit(None).cast("int")
+    both = rows.select(*own, "nth", F.lit(-1).alias("col"), "row", "until").unionByName(
+        crossed.select(*own, "nth", "col", none.alias("row"), none.alias("until"))
+    )
+    across = Window.partitionBy(*own, "nth").orderBy("col")
+    paired = both.select(
+        *keys,
+        F.first("row").over(across).alias("r0"),
+        F.first("until").over(across).alias("r1"),
+        F.col("col").alias("c0"),
+        F.lead("col").over(across).alias("c1"),
+        F.row_number().over(across).alias("place"),
+    )
+    return paired.where("place % 2 = 0").drop("place")
+
+
+def merge_blocks(blocks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Union of overlapping blocks ``r0, r1, c0, c1`` per key, as merged spans of every raster row.
+
+    A block changes the number of open blocks at its four corners. Equal corners are summed before any row is unfolded, so
+    what is unfolded grows with the grid and not with the blocks on it. One window runs over a column line, the other over
+    a raster row, of one key.
+    """
+    corner = [(r, c, 1 if (r, c) in (("r0", "c0"), ("r1", "c1")) else -1) for r in ("r0", "r1") for c in ("c0", "c1")]
+    corners = F.inline(
+        F.array(*[F.struct(F.col(r).alias("row"), F.col(c).alias("col"), F.lit(s).alias("step")) for r, c, s in corner])
+    )
+    turns = blocks.select(*keys, corners).groupBy(*keys, "col", "row").agg(F.sum("step").alias("step"))
+    down = Window.partitionBy(*keys, "col").orderBy("row")
+    runs = (
+        turns.where("step <> 0")
+        .select(*keys, "col", "row", F.lead("row").over(down).alias("until"), F.sum("step").over(down).alias("step"))
+        .where("step <> 0")
+    )
+    rows = F.explode(F.sequence("row", F.col("until") - 1)).alias("row_no")
+    return _swept(runs.select(*keys, "col", "step", rows), keys)
+
+
 def merge_spans(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Union of overlapping spans per key: dissolve without exploding any cell.
 
@@ -122,6 +280,11 @@ def merge_spans(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .agg(F.sum("e.step").alias("step"))
         .where(F.col("step") != 0)
     )
+    return _swept(ends, keys)
+
+
+def _swept(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Merged spans from the changes ``step`` of the number of open spans along each row."""
     along = Window.partitionBy(*keys, "row_no").orderBy("col")
     steps = ends.withColumn("open", F.sum("step").over(along))
     edge = (F.col("open") == 0) | (F.col("open") == F.col("step"))

@@ -15,8 +15,8 @@ from access_engine.operators.spans import (
     complement_spans,
     intersect_spans,
     locate,
-    merge_spans,
-    rasterise,
+    merge_blocks,
+    rasterise_blocks,
 )
 
 
@@ -27,10 +27,12 @@ def coverage(
 
     ``feature`` names the columns that tell every single feature apart: the even-odd rule holds
     within a feature, and two that shared a name would cancel where they overlap. Overlapping
-    catchments melt into one span per raster row before any cell is touched.
+    catchments melt into one span per raster row before any cell is touched, and rows are unfolded
+    after the corners of all catchments are summed.
     """
     keys = [*dataset, *[f for f in feature if f not in dataset]]
-    return merge_spans(rasterise(edges, grid, keys).select(*dataset, "row_no", "c0", "c1"), dataset)
+    blocks = rasterise_blocks(edges, grid, keys)
+    return merge_blocks(blocks.select(*dataset, "r0", "r1", "c0", "c1"), dataset)
 
 
 def uncovered_cells(located: DataFrame, covered: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ class OrderGrid:
         steps = "(0, 1, 0, 0, 1), (1, 0, 1, -1, 0), (2, -1, 0, 0, -1), (3, 0, -1, 1, 0)"
         names = ", ".join(f"'{f}'" for f in FACILITIES)
         return (
-            self.table("supplier")
+            spread(self.table("supplier"))
             .selectExpr(
                 "s_suppkey as id",
                 f"get(array({names}), int(s_suppkey % 8)) as fac_type",

@@ -12,11 +12,15 @@ from access_engine.operators.segments import to_segments
 from access_engine.operators.spans import (
     burn,
     complement_spans,
+    crossing_runs,
     intersect_spans,
     locate,
+    merge_blocks,
     merge_spans,
     overlay_spans,
     rasterise,
+    rasterise_blocks,
+    row_crossings,
 )
 
 GRID = Grid(0.0, 20.0, 1.0, 1.0, 30, 20)
@@ -295,3 +299,44 @@ def test_resampling_between_reference_systems_is_refused(spark):
     frame = spark.createDataFrame([(0, 0, 1.0)], "row_no int, col_no int, pop double")
     with pytest.raises(ValueError):
         resample(frame, "pop", GRID, Grid(0.0, 20.0, 1.0, 1.0, 30, 20, 4326))
+
+
+def test_runs_of_an_edge_are_its_crossings(spark):
+    """Flat, steep and nearly upright edges; few columns on many rows and the reverse, corners on centres."""
+    rng = random.Random(8)
+    edges = [(n, *(rng.uniform(-5, 35) for _ in range(4))) for n in range(60)]
+    edges += [(60 + n, *(float(rng.randrange(-2, 60)) / 2 for _ in range(4))) for n in range(60)]
+    edges += [(120 + n, 4.5 + d, -1.0, 4.5 + e, 21.0) for n, (d, e) in enumerate([(0, 0), (-1e-15, 1e-15), (1e-14, -1e-14), (0, 3e-16)])]
+    for grid in (GRID, Grid(0.0, 20.0, 3.0, 0.05, 10, 400), Grid(0.0, 20.0, 0.05, 3.0, 600, 7)):
+        df = frame(spark, edges)
+        want = sorted((r.id, r.row_no, r.col) for r in row_crossings(df, grid, ["id"]).collect())
+        runs = crossing_runs(df, grid, ["id"]).collect()
+        assert sorted((r.id, row, r.col) for r in runs for row in range(r.r0, r.r1)) == want
+        per_edge = max(sum(r.id == n for r in runs) for n in range(124))
+        assert per_edge <= min(grid.ncols + 1, grid.nrows)
+
+
+def test_union_of_blocks_equals_union_of_rows(spark):
+    """Overlapping stars with holes, ids and datasets that repeat or are missing; a tall grid has rows to save."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(40):
+        cx, cy, size = rng.randrange(30), rng.randrange(20), rng.uniform(1, 9)
+        ring = [(cx + rng.uniform(-size, size), cy + rng.uniform(-size, size)) for _ in range(rng.choice([3, 4, 7]))]
+        key, dataset = (None if n == 7 else n // 2), rng.choice(["a", "b", None])
+        rows += [(dataset, *e) for e in edges_of([ring, [(cx, cy), (cx + 2, cy), (cx + 2, cy + 2)]], key)]
+    df = spark.createDataFrame(rows, "d string, id int, x1 double, y1 double, x2 double, y2 double")
+    for grid in (GRID, Grid(0.0, 20.0, 3.0, 0.1, 10, 200)):
+        merged = merge_blocks(rasterise_blocks(df, grid, ["d", "id"]).drop("id"), ["d"])
+        want = merge_spans(rasterise(df, grid, ["d", "id"]).drop("id"), ["d"])
+        assert merged.dtypes == want.dtypes
+        assert sorted(map(str, merged.collect())) == sorted(map(str, want.collect()))
+
+
+def test_covering_a_taller_grid_unfolds_no_feature(spark):
+    """What catchments cost does not grow with the rows of the grid: about as many blocks on ten times the rows."""
+    rows = [e for n in range(30) for e in edges_of([[(n % 7, 3), (n % 7 + 6, 9), (n % 7, 16)]], n)]
+    counts = [
+        rasterise_blocks(frame(spark, rows), Grid(0.0, 20.0, 1.0, 20 / n, 30, n), ["id"]).count() for n in (6400, 64000)
+    ]
+    assert counts[1] < 1.5 * counts[0]
