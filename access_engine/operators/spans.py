@@ -46,11 +46,14 @@ def _first_row_below(y: Column, grid: Grid) -> Column:
     return F.least(F.greatest(exact, F.lit(0)), F.lit(grid.nrows)).cast("int")
 
 
-def _crossing_col(row: Column, grid: Grid) -> Column:
+def _crossing_x(row: Column, grid: Grid) -> Column:
     """Where an edge ``x1, y1, x2, y2`` crosses the centre line of a raster row."""
     y = grid.y_centre(row)
-    x = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    return _first_col_right_of(x, grid)
+    return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+
+
+def _crossing_col(row: Column, grid: Grid) -> Column:
+    return _first_col_right_of(_crossing_x(row, grid), grid)
 
 
 def crossing_runs(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFrame:
@@ -71,51 +74,66 @@ def crossing_runs(edges: DataFrame, grid: Grid, keys: Sequence[str]) -> DataFram
     rows, way = F.col("past") - F.col("first"), F.signum(F.col("c_last") - F.col("c_first")).cast("int")
     by_col = F.abs(F.col("c_last") - F.col("c_first")) + 1 < rows
     places = F.when(by_col, F.sequence("c_first", "c_last")).otherwise(F.sequence("first", F.col("past") - 1))
-    k, end = F.col("k"), F.col("k") == F.col("c_last")
+    k = F.col("k")
+    past_k = F.when(k == F.col("c_last"), F.col("past")).otherwise(_first_row_at("beyond", grid))
+    ends = F.struct(
+        F.when(F.col("by_col") & (k != F.col("c_first")), _first_row_at("k", grid))
+        .otherwise(F.when(F.col("by_col"), F.col("first")).otherwise(k))
+        .alias("r0"),
+        F.when(F.col("by_col"), past_k).otherwise(k + 1).alias("r1"),
+    )
+    # a generator, so that the rows are settled once and not for every use of them
     return (
         met.withColumn("way", way)
         .select("*", by_col.alias("by_col"), F.explode(places).alias("k"))
-        .withColumn("r0", F.when(F.col("by_col"), _first_row_at(k, grid)).otherwise(k))
-        .withColumn(
-            "r1",
-            F.when(~F.col("by_col"), k + 1)
-            .when(end, F.col("past"))
-            .otherwise(_first_row_at(k + F.col("way"), grid)),
-        )
+        .withColumn("beyond", k + F.col("way"))
+        .withColumn("k_guess", _guessed_row("k", grid))
+        .withColumn("beyond_guess", _guessed_row("beyond", grid))
+        .select(*keys, "x1", "y1", "x2", "y2", F.inline(F.array(ends)))
         .where("r0 < r1")
         .select(*keys, "r0", "r1", _crossing_col(F.col("r0"), grid).alias("col"))
     )
 
 
-def _first_row_at(col: Column, grid: Grid) -> Column:
+def _border(col: str, grid: Grid) -> Column:
+    """The column centre that an edge passes when it comes to ``col`` from the column before."""
+    return grid.x_centre(F.when(F.col("way") > 0, F.col(col) - 1).otherwise(F.col(col)))
+
+
+def _guessed_row(col: str, grid: Grid) -> Column:
+    """About where an edge comes to ``col``, by the inverse of the edge."""
+    away = (_border(col, grid) - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    y = F.col("y1") + F.try_divide(away, F.col("x2") - F.col("x1"))
+    guess = F.ceil((F.lit(grid.y0) - y) / F.lit(grid.dy) - F.lit(0.5))
+    return F.least(F.greatest(guess, F.col("first")), F.col("past")).cast("int")
+
+
+def _first_row_at(col: str, grid: Grid) -> Column:
     """First row from ``first`` on whose column is ``col`` or lies beyond it; ``past`` where there is none.
 
-    The inverse of the edge tells the row up to one unless the edge is so steep that rounding counts; what the columns
-    next to it don't bear out is bisected.
+    The inverse of the edge tells the row up to one unless the edge is so steep that rounding counts; a guess that the
+    rows next to it don't bear out is replaced by bisection.
     """
-    first, past, way = F.col("first"), F.col("past"), F.col("way")
+    first, past, guess, border = F.col("first"), F.col("past"), F.col(f"{col}_guess"), _border(col, grid)
 
     def there(row: Column) -> Column:
-        return (_crossing_col(row, grid) - col) * way >= 0
-
-    border = grid.x_centre(F.when(way > 0, col - 1).otherwise(col))
-    y = F.col("y1") + F.try_divide((border - F.col("x1")) * (F.col("y2") - F.col("y1")), F.col("x2") - F.col("x1"))
-    guess = F.ceil((F.lit(grid.y0) - y) / F.lit(grid.dy) - F.lit(0.5))
+        x = _crossing_x(row, grid)
+        return F.when(F.col("way") > 0, border < x).otherwise(border >= x)
 
     def halve(left: Column, _: Column) -> Column:
         middle = F.floor((left["low"].cast("long") + left["high"]) / 2).cast("int")
-        more = left["low"] < left["high"]
+        more, reached = left["low"] < left["high"], there(middle)
         return F.struct(
-            F.when(more & ~there(middle), middle + 1).otherwise(left["low"]).alias("low"),
-            F.when(more & there(middle), middle).otherwise(left["high"]).alias("high"),
+            F.when(more & ~reached, middle + 1).otherwise(left["low"]).alias("low"),
+            F.when(more & reached, middle).otherwise(left["high"]).alias("high"),
         )
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(past - first + 1)).cast("int"))
     found = F.aggregate(steps, F.struct(first.alias("low"), past.alias("high")), halve, lambda left: left["low"])
-    for near in (1, -1, 0):
-        row = F.least(F.greatest(guess + near, first), past).cast("int")
-        right = ((row == first) | ~there(row - 1)) & ((row == past) | there(row))
-        found = F.when(right, row).otherwise(found)
+    for near in (guess + 1, guess - 1, guess):
+        inside = (near >= first) & (near <= past)
+        right = ((near == first) | ~there(near - 1)) & ((near == past) | there(near))
+        found = F.when(inside & right, near).otherwise(found)
     return found
 
 
