@@ -63,6 +63,18 @@ def to_segments(
     )
 
 
+def by_layer(segments: DataFrame, value: str) -> DataFrame:
+    """Row segments of a multi-layer raster, an array of cells with all their layers, turned to an array of the layers' segments.
+
+    The layers are then unstacked where their segment lies: a shuffle moves cells, not cells times layers. A place without
+    a cell is NULL in every layer.
+    """
+    layers = F.array_max(F.transform(value, lambda cell: F.coalesce(F.size(cell), F.lit(0))))
+    numbers = F.when(layers > 0, F.sequence(F.lit(0), layers - 1)).otherwise(F.array().cast("array<int>"))
+    turned = F.transform(numbers, lambda layer: F.transform(value, lambda cell: F.get(cell, layer)))
+    return segments.withColumn(value, turned)
+
+
 def to_cells(segments: DataFrame, value: str, keys: Sequence[str] = (), width: int = STRIP) -> DataFrame:
     """The cells with a value of row segments."""
     return (

@@ -10,7 +10,7 @@ from access_engine.functions import bands as B
 from access_engine.operators import overlay as O
 from access_engine.operators.grid import Grid, align, resample
 from access_engine.operators.prefix import running_sums, span_sums
-from access_engine.operators.segments import segment_zones, to_segments
+from access_engine.operators.segments import by_layer, segment_zones, to_segments
 from access_engine.operators.spans import overlay_spans, rasterise
 from access_engine.plans import classification as C
 from checks.fixture_sql import BAND_CASE, with_views
@@ -95,9 +95,14 @@ def overlay_union_or(g: OrderGrid) -> DataFrame:
     return O.name_layers(zones, LAYERS)
 
 
+def layer_segments(g: OrderGrid, width: int = STRIP) -> DataFrame:
+    """Row segments of all travel-time layers; the layers are parted after the cells are gathered."""
+    return O.unstack(by_layer(to_segments(g.stack, "hours", width=width), "hours"), "row_no", "strip")
+
+
 def span_overlay_or(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """The full overlay once more, of span layers: one sweep per raster row, sums from running sums."""
-    times = to_segments(O.unstack(g.stack, "row_no", "col_no"), "hours", ["layer"], width)
+    times = layer_segments(g, width)
     rows = g.spark.range(g.grid.nrows).select(F.lit(0).alias("all"), F.col("id").cast("int").alias("row_no"))
     rows = rows.select("*", F.lit(0).alias("c0"), F.lit(g.grid.ncols).alias("c1"))
     zones = segment_zones(times, rows, ["layer"], "all", B.band_of, width).drop("all")
@@ -179,8 +184,7 @@ def lgu_band_share(g: OrderGrid) -> DataFrame:
 
 def segment_band_share(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """The LGU result again, from rasters and population stored as row segments."""
-    long = O.unstack(g.stack, "row_no", "col_no")
-    times = to_segments(long, "hours", ["layer"], width)
+    times = layer_segments(g, width)
     people = to_segments(g.population, "pop", width=width)
     units = rasterise(g.lgu_edges, g.grid, ["id"])
     cells = C.banded_segments(times, people, units, "id", ["layer"], width)

@@ -13,14 +13,14 @@ from access_engine.operators import overlay as O
 from access_engine.operators.grid import same_srid
 from access_engine.operators.regions import TILE, connected_runs, polygonize
 from access_engine.operators.rings import assemble_features
-from access_engine.operators.segments import segment_zones, to_segments
+from access_engine.operators.segments import segment_zones
 from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans.classification import banded_cells
 from access_engine.sources import features as V
 from access_engine.storage import new_path
 from checks.catchment import covered
-from checks.classification import adm2, located
+from checks.classification import adm2, layer_segments, located
 from checks.fixture_sql import with_views
 from checks.order_grid import LAYERS, OrderGrid
 
@@ -117,10 +117,9 @@ def zone_outlines(spans: DataFrame) -> DataFrame:
 
 def segment_zone_boundary(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """The dissolved zones once more, from rasters stored as row segments."""
-    long = O.unstack(g.stack, "row_no", "col_no")
     units = rasterise(g.lgu_edges, g.grid, ["id"])
     spans = segment_zones(
-        to_segments(long, "hours", ["layer"], width), units, ["layer"], "id", B.band_of, width
+        layer_segments(g, width), units, ["layer"], "id", B.band_of, width
     ).where(F.col("band") > 0)
     return zone_outlines(spans)
 

@@ -8,7 +8,8 @@ from conftest import plan_of
 
 from access_engine.operators.grid import Grid, align, resample, same_srid
 from access_engine.operators.prefix import running_sums, span_sums
-from access_engine.operators.segments import to_segments
+from access_engine.operators.overlay import unstack
+from access_engine.operators.segments import by_layer, to_segments
 from access_engine.operators.spans import (
     burn,
     complement_spans,
@@ -340,3 +341,18 @@ def test_covering_a_taller_grid_unfolds_no_feature(spark):
         rasterise_blocks(frame(spark, rows), Grid(0.0, 20.0, 1.0, 20 / n, 30, n), ["id"]).count() for n in (6400, 64000)
     ]
     assert counts[1] < 1.5 * counts[0]
+
+
+def test_layers_are_parted_after_their_cells_are_gathered(spark):
+    """Gaps, cells without a value, several strips: the segments of the long raster, from one shuffled row a cell."""
+    cells = [(r, c, [None if (r * c + k) % 5 == 0 else float(r + c * k) for k in range(3)]) for r in range(3) for c in range(0, 13, r + 1)]
+    stack = spark.createDataFrame(cells, "row_no int, col_no int, hours array<double>")
+    found = unstack(by_layer(to_segments(stack, "hours", width=4), "hours"), "row_no", "strip")
+    want = to_segments(unstack(stack, "row_no", "col_no"), "hours", ["layer"], 4).select(found.columns)
+    assert found.dtypes == want.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    twice = stack.unionByName(stack.limit(1))
+    with pytest.raises(Exception, match="holds a cell twice"):
+        by_layer(to_segments(twice, "hours", width=4), "hours").collect()
+    plan = plan_of(found)
+    assert "Exchange" not in plan[: plan.index("Generate")]
