@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from access_engine.config import SRID, STRIP
 
 
+#: Cells of all layers that one task unfolds and sorts.
+TASK_CELLS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Grid:
     """North-up raster grid; row 0 is the top row, ``(x0, y0)`` its upper left corner."""
@@ -44,6 +48,20 @@ class Grid:
         return self.dx * self.dy
 
 
+def tasks_of(spark: SparkSession, grid: Grid, layers: int = 1) -> int:
+    """How many tasks share the cells of all layers, with at most :data:`TASK_CELLS` in each on average."""
+    return max(-(-grid.nrows * grid.ncols * layers // TASK_CELLS), spark.sparkContext.defaultParallelism)
+
+
+def by_rows(df: DataFrame, grid: Grid, layers: int = 1) -> DataFrame:
+    """Deal rows of a raster over tasks so that all of one raster row meets in one, however many layers are unfolded there.
+
+    What is grouped, swept or joined within a raster row afterwards moves no more, if both sides of a join are dealt for the
+    same grid and number of layers. The tasks grow in number with grid and layers, not in size.
+    """
+    return df.repartition(tasks_of(df.sparkSession, grid, layers), "row_no")
+
+
 def strip_of(col: Column, width: int = STRIP) -> Column:
     """Number of the column strip a cell lies in."""
     return F.floor(col / F.lit(width)).cast("int")

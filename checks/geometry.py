@@ -18,7 +18,7 @@ from access_engine.operators.spans import burn, merge_spans, rasterise
 from access_engine.plans import catchment as K
 from access_engine.plans.classification import banded_cells
 from access_engine.sources import features as V
-from access_engine.storage import new_path
+from access_engine.storage import new_path, stored
 from checks.catchment import covered
 from checks.classification import adm2, layer_segments, located
 from checks.fixture_sql import with_views
@@ -47,7 +47,7 @@ def gap_spans(g: OrderGrid, width: int = STRIP) -> DataFrame:
 
 def band_spans(g: OrderGrid) -> DataFrame:
     """Spans of equal (unit, band) of every raster: the dissolved zones."""
-    cells = banded_cells(located(g), g.stack).where(F.col("band") > 0)
+    cells = banded_cells(g.by_rows(located(g)), g.row_stack).where(F.col("band") > 0)
     return S.cells_to_spans(cells, ["layer", "id", "band"])
 
 
@@ -106,6 +106,7 @@ def zone_boundary(g: OrderGrid) -> DataFrame:
 def zone_outlines(spans: DataFrame) -> DataFrame:
     """Cells, outline length and number of straight outline segments of every dissolved zone."""
     keys = ["layer", "id", "band"]
+    spans = stored(spans, "zones")  # read twice
     outline = (
         S.span_boundary(spans, keys)
         .groupBy(*keys)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from access_engine import config
-from access_engine.operators.grid import Grid
+from access_engine.operators.grid import Grid, by_rows
 
 NCOLS = 125
 EXTENT = 500.0
@@ -91,8 +91,19 @@ class OrderGrid:
 
         ``LAYERS`` names the array positions, as the header of a multi-layer raster file would.
         """
+        return self._layered(self.base_hours)
+
+    @cached_property
+    def row_stack(self) -> DataFrame:
+        """The stack with every raster row in one task, dealt before the layers are there."""
+        return self._layered(self.by_rows(self.base_hours))
+
+    def by_rows(self, df: DataFrame) -> DataFrame:
+        return by_rows(df, self.grid, len(LAYERS))
+
+    def _layered(self, cells: DataFrame) -> DataFrame:
         n = len(FACILITIES)
-        return self.base_hours.selectExpr(
+        return cells.selectExpr(
             "cell",
             "row_no",
             "col_no",

@@ -133,6 +133,31 @@ def test_span_boundary_length(spark):
     assert sum(s.c1 - s.c0 for s in segments) == edges
 
 
+def test_span_boundary_over_block_borders(spark):
+    """Outlines settled in blocks of rows: each edge once, every segment as long as it can be, spans twice cancel."""
+    rng = random.Random(3)
+    held = {(k, r, c) for k in (None, "a", "b") for r in range(23) for c in range(9) if rng.random() < 0.6}
+    held |= {("v", r, 3) for r in range(5, 40)}
+    cells = spark.createDataFrame(sorted(held, key=str), "k string, row_no int, col_no int")
+    spans = S.cells_to_spans(cells, ["k"])
+    twice = spans.unionAll(spans.where("k = 'b' and row_no between 3 and 8"))
+    held -= {(k, r, c) for k, r, c in held if k == "b" and 3 <= r <= 8}
+    edges = {}
+    for k, r, c in held:
+        for side, line, at in (("h", r, c), ("h", r + 1, c), ("v", c, r), ("v", c + 1, r)):
+            edges.setdefault((k, side, line), set()).symmetric_difference_update({at})
+    want = []
+    for (k, side, line), places in edges.items():
+        for at in sorted(places):
+            if at - 1 not in places:
+                want.append((k, side, line, at, next(e for e in range(at + 1, at + 50) if e not in places)))
+    for height, most in ((4, 7), (1, 1), (128, 1000)):
+        found = S.span_boundary(twice, ["k"], height, most)
+        assert [d for _, d in found.dtypes[1:]] == ["string", "int", "int", "int"]
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert S.span_boundary(spans.where("row_no < 0").drop("k"), []).count() == 0
+
+
 def feature_grid():
     return Grid(100.0, 50.0, 2.0, 3.0, 10, 7)
 
