@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from access_engine.operators.boundary import cells_to_spans
-from access_engine.operators.grid import Grid
+from access_engine.operators.grid import Grid, tasks_of
 from access_engine.operators.spans import burn, cut_by_strip
 from access_engine.storage import drop, store
 
@@ -199,11 +199,13 @@ def connected_runs(
     keys: Sequence[str] = (),
     tile: int = TILE,
     block: int = BLOCK,
+    layers: int | None = None,
 ) -> DataFrame:
     """Runs ``row_no, c0, c1`` with ``zone_id``: the smallest cell id of the connected area of equal class they lie in.
 
     Runs of one dataset (``keys``) don't overlap. They come back cut at every ``tile`` columns. The labelled runs stay
-    in the shared folder, because the result reads them.
+    in the shared folder, because the result reads them. Where the number of datasets is known, ``layers`` tells it, and the
+    tasks grow in number with grid and layers.
     """
     cut = cut_by_strip(runs, tile).select(
         *keys,
@@ -215,7 +217,8 @@ def connected_runs(
         F.floor(F.col("row_no") / tile).cast("int").alias("tile_row"),
     )
     tiles = [*keys, "tile_row", "strip"]
-    sorted_runs = cut.repartition(*tiles).sortWithinPartitions(*tiles, "row_no", "c0")
+    dealt = cut.repartition(*tiles) if layers is None else cut.repartition(tasks_of(cut.sparkSession, grid, layers), *tiles)
+    sorted_runs = dealt.sortWithinPartitions(*tiles, "row_no", "c0")
     out = cut.withColumn("label", F.lit(0).cast("long")).schema
     local, _ = store(sorted_runs.mapInPandas(_tiles(tiles, grid.ncols, block), out).drop("tile_row"), "tiles")
     joined = connected_components(_across(local, keys, tile), keys)

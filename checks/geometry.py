@@ -31,9 +31,9 @@ NARROW, SMALL = 16, 32
 
 def zones(g: OrderGrid, tile: int = TILE) -> DataFrame:
     """Runs of the connected areas of equal band of all rasters; band 0 is no zone."""
-    cells = B.classify_bands(O.unstack(g.stack, "row_no", "col_no"))
+    cells = B.classify_bands(O.unstack(g.row_stack, "row_no", "col_no"))
     runs = S.cells_to_spans(cells.where(F.col("band") > 0), ["layer", "band"])
-    return connected_runs(runs, g.grid, "band", ["layer"], tile)
+    return connected_runs(runs, g.grid, "band", ["layer"], tile, layers=len(LAYERS))
 
 
 def gaps(g: OrderGrid) -> DataFrame:
