@@ -11,8 +11,11 @@ from pyspark.sql import types as T
 
 from access_engine.config import LGU_RESULT
 from access_engine.functions import paths as P
+from access_engine.operators.grid import Grid
 from access_engine.storage import qualified
 
+BUCKET_CELLS = 1 << 19
+
 
 def write_csv(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
@@ -161,8 +164,16 @@ def save_result(df: DataFrame, table: str, schema: T.StructType = LGU_RESULT) ->
     df.select(*dataset, *schema.names).write.saveAsTable(table)
 
 
+def buckets_of(grid: Grid, least: int = 8) -> int:
+    """Buckets for the cells of a grid: ``least``, and more where these would hold over :data:`BUCKET_CELLS` cells each.
+
+    A bucket is read and joined by one task, so the number of buckets grows with the grid.
+    """
+    return max(least, -(-grid.nrows * grid.ncols // BUCKET_CELLS))
+
+
 def save_cells(
     df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("row_no", "col_no")
 ) -> None:
-    """Store a cell table bucketed and sorted by cell, so that later joins need no shuffle."""
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    """Store a cell table bucketed and sorted by cell, so that later joins need no shuffle; a bucket is one file."""
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)

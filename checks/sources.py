@@ -96,7 +96,7 @@ def catalog_tables(g: OrderGrid) -> DataFrame:
     units, cells, result = (_table(k) for k in ("units", "cells", "result"))
     within = located(g)
     adm2(g, within).write.saveAsTable(units)
-    R.save_cells(within.select("row_no", "col_no", "id", "pop"), cells, 8)
+    R.save_cells(within.select("row_no", "col_no", "id", "pop"), cells, R.buckets_of(g.grid, 8))
     per_unit = C.band_population(C.banded_cells(g.spark.table(cells), g.stack), "id", LAYERS)
     R.save_result(C.lgu_share(per_unit, g.spark.table(units), "id"), result)
     return g.spark.table(result)

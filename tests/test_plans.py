@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from access_engine.config import LGU_RESULT
-from access_engine.operators.grid import Grid
+from access_engine.operators.boundary import cells_to_spans
+from access_engine.operators.grid import TASK_CELLS, Grid, tasks_of
+from access_engine.operators.overlay import unstack
+from access_engine.operators.segments import to_segments
 from access_engine.plans import catchment as K
 from access_engine.plans import charts as H
 from access_engine.plans import classification as C
@@ -109,6 +112,30 @@ def test_bucketed_cells_join_without_a_shuffle(spark):
         spark.sql("drop table travel_cells")
 
 
+def test_buckets_grow_with_the_grid(spark):
+    """A bucket is one file and read by one task, so its cells are bounded."""
+    small, large = Grid(0.0, 1.0, 1.0, 1.0, 125, 1200), Grid(0.0, 1.0, 1.0, 1.0, 125, 432000)
+    assert R.buckets_of(small) == 8 and large.nrows * large.ncols / R.buckets_of(large) <= R.BUCKET_CELLS
+    cells = spark.range(400).selectExpr("cast(id div 20 as int) row_no", "cast(id % 20 as int) col_no").repartition(5)
+    R.save_cells(cells, "few_files", 3)
+    try:
+        assert len(spark.table("few_files").inputFiles()) == 3
+        assert spark.table("few_files").count() == 400
+    finally:
+        spark.sql("drop table few_files")
+
+
+def test_layers_are_unfolded_where_their_row_lies(spark):
+    """Nothing is shuffled once the layers of a cell are rows of their own; tasks grow in number with grid and layers."""
+    g = OrderGrid(spark, FOLDER)
+    cells = unstack(g.row_stack, "row_no", "col_no")
+    for df in (cells_to_spans(cells, ["layer", "hours"]), to_segments(cells, "hours", ["layer"], 16)):
+        plan = plan_of(df)
+        assert "Exchange" in plan and plan.index("Generate posexplode") < plan.index("Exchange")
+        assert plan.count("Exchange hashpartitioning") == 1
+    assert tasks_of(spark, Grid(0.0, 1.0, 1.0, 1.0, 125, 432000), 32) == -(-125 * 432000 * 32 // TASK_CELLS)
+
+
 def test_result_tree_and_bind(spark, tmp_path):
     rows = [("n1", "c1", "1", 1, "0 to 30 minutes", 10.0, 2.5, 0.25, "NM", "all_hosp"),
             ("n,2", 'c"2', "1", 2, None, None, 1e-9, None, "MSN", "dhq")]
