@@ -18,7 +18,7 @@ from access_engine.plans import classification as C
 from access_engine.sources import features as V
 from access_engine.sources import rasters as W
 from access_engine.sources import results as R
-from access_engine.storage import new_path
+from access_engine.storage import drop, new_path, store
 from checks import classification
 from checks.classification import adm2, located, share_table
 from checks.fixture_sql import BAND_CASE, with_views
@@ -27,9 +27,9 @@ from checks.order_grid import LAYERS, OrderGrid
 TILE_ROWS, TILE_COLS, NODATA = 8, 32, -9999.0
 
 
-def _long(g: OrderGrid) -> DataFrame:
+def _long(stack: DataFrame) -> DataFrame:
     """All rasters in long form with their season and facility type."""
-    return O.name_layers(O.unstack(g.stack, "row_no", "col_no"), LAYERS)
+    return O.name_layers(O.unstack(stack, "row_no", "col_no"), LAYERS)
 
 
 def raster_tiles(g: OrderGrid) -> DataFrame:
@@ -59,7 +59,7 @@ def raster_tiles(g: OrderGrid) -> DataFrame:
 def raster_cells(g: OrderGrid) -> DataFrame:
     """Long rasters laid out by row and partitioned by dataset, read back and counted by band."""
     path = new_path(g.spark, "raster_cells")
-    W.write_sorted(_long(g).where("hours IS NOT NULL"), path, ["season", "fac_type"])
+    W.write_sorted(_long(g.stack).where("hours IS NOT NULL"), path, ["season", "fac_type"])
     cells = B.classify_bands(W.read_travel_time(g.spark, path))
     return cells.groupBy("season", "fac_type", "band").agg(F.count(F.lit(1)).alias("cells"))
 
@@ -67,7 +67,10 @@ def raster_cells(g: OrderGrid) -> DataFrame:
 def raster_segments(g: OrderGrid) -> DataFrame:
     """The LGU result from rasters and population written as row segments."""
     times, people = (new_path(g.spark, name) for name in ("raster_segments", "pop_segments"))
-    W.write_sorted(to_segments(_long(g), "hours", C.DATASET), times, C.DATASET)
+    # written out, because laying out by range reads them twice
+    segments, path = store(to_segments(_long(g.row_stack), "hours", C.DATASET), "segments")
+    W.write_sorted(segments, times, C.DATASET)
+    drop(g.spark, path)
     W.write_sorted(to_segments(g.population, "pop"), people)
     cells = C.banded_segments(
         W.read_travel_time(g.spark, times, "segments"),
@@ -82,7 +85,7 @@ def raster_segments(g: OrderGrid) -> DataFrame:
 def raster_stack(g: OrderGrid) -> DataFrame:
     """Long rasters stacked to one array per cell, and the result of the stack."""
     cells = located(g)
-    stack = W.stack_layers(_long(g), LAYERS)
+    stack = W.stack_layers(_long(g.row_stack), LAYERS)
     per_unit = C.band_population(C.banded_cells(cells, stack), "id", LAYERS)
     return C.lgu_share(per_unit, adm2(g, cells), "id")
 
