@@ -97,7 +97,7 @@ def overlay_union_or(g: OrderGrid) -> DataFrame:
 
 def layer_segments(g: OrderGrid, width: int = STRIP) -> DataFrame:
     """Row segments of all travel-time layers; the layers are parted after the cells are gathered."""
-    return O.unstack(by_layer(to_segments(g.stack, "hours", width=width), "hours"), "row_no", "strip")
+    return O.unstack(by_layer(to_segments(g.row_stack, "hours", width=width), "hours"), "row_no", "strip")
 
 
 def span_overlay_or(g: OrderGrid, width: int = STRIP) -> DataFrame:
@@ -105,9 +105,10 @@ def span_overlay_or(g: OrderGrid, width: int = STRIP) -> DataFrame:
     times = layer_segments(g, width)
     rows = g.spark.range(g.grid.nrows).select(F.lit(0).alias("all"), F.col("id").cast("int").alias("row_no"))
     rows = rows.select("*", F.lit(0).alias("c0"), F.lit(g.grid.ncols).alias("c1"))
-    zones = segment_zones(times, rows, ["layer"], "all", B.band_of, width).drop("all")
+    # all sides are dealt by raster row, so that what is swept along a row stays in its task
+    zones = segment_zones(times, g.by_rows(rows), ["layer"], "all", B.band_of, width).drop("all")
     layers = g.spark.range(len(LAYERS)).select(F.col("id").cast("int").alias("layer"))
-    units = rasterise(g.lgu_edges, g.grid, ["id"]).crossJoin(layers)
+    units = g.by_rows(rasterise(g.lgu_edges, g.grid, ["id"])).crossJoin(layers)
     pieces = overlay_spans(units, zones, "or", ["layer"])
     sums = running_sums(to_segments(g.population, "pop", width=width), "pop", g.grid, width)
     found = span_sums(pieces, sums, ["layer", "id", "band"], width=width).where("pop_count > 0")
