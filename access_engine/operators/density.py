@@ -18,8 +18,8 @@ from access_engine.functions.quantiles import group_quantiles, same_keys
 GRID_POINTS = 512
 MIN_POINTS = 3  # smaller groups get no curve
 #: Terms of the series. Of each kernel, 1 high at its middle, at most 1.1 * 0.5 ** TERMS / sqrt(TERMS!) is left out,
-#: 4e-12, and 2e-16 beyond REACH bandwidths from its box.
-TERMS = 16
+#: 7e-16, and 2e-16 beyond REACH bandwidths from its box. What is left out adds up over the kernels of a sum.
+TERMS = 20
 REACH = 8.5
 
 

@@ -242,6 +242,14 @@ def test_series_equals_the_exact_sum_of_kernels(spark, bw):
     assert len(boxes) <= len(set(values))
 
 
+def test_what_the_series_leaves_out_does_not_add_up(spark):
+    """Many values at one end of their box, where a kernel's series is least exact."""
+    rows = spark.range(4000).select(F.lit("g").alias("g"), F.lit(1.0).alias("bw"), F.lit(0.0).alias("at"))
+    found = {r.i: r.s for r in D.kernel_sums(rows, ["g"], 9, 0.0, 1.0).collect()}
+    for i in range(9):
+        assert found[i] == pytest.approx(4000 * math.exp(-((i / 8) ** 2) / 2), rel=1e-13)
+
+
 def test_quantile_lines_ignore_values_outside(spark):
     df = spark.createDataFrame([("p", "a", x) for x in (0.1, 0.3, 0.5, 7.0)], "panel string, band string, v double")
     assert D.quantile_lines(df, ["panel"], "band", "v").first().q50 == pytest.approx(0.3)
